@@ -82,15 +82,14 @@ def to_quat(spark, sf):
         *[F.round(c, 6).alias(n) for c, n in zip(b, ("vw", "vx", "vy", "vz"))])
 
 
-@query("F4", "SELECT episode, frame_index, " + ", ".join(f"round({c}, 6) AS {n}" for c, n in zip(s_inv(Q, ["obj_x", "obj_y", "obj_z"]), ("rx", "ry", "rz")))
-       + ", round(qw * qw - qx * qx - qy * qy - qz * qz, 6) AS sw, round(2 * qw * qx, 6) AS sx, round(2 * qw * qy, 6) AS sy, round(2 * qw * qz, 6) AS sz FROM v_frames", "v_frames")
+@query("F4", "SELECT episode, frame_index, " + ", ".join(f"round({c}, 9) AS {n}" for c, n in zip(s_inv(Q, ["obj_x", "obj_y", "obj_z"]), ("rx", "ry", "rz")))
+       + ", round(qw * qw - qx * qx - qy * qy - qz * qz, 9) AS sw, round(2 * qw * qx, 9) AS sx, round(2 * qw * qy, 9) AS sy, round(2 * qw * qz, 9) AS sz FROM v_frames", "v_frames")
 def relative_pose(spark, sf):
     q = C(*Q)
     r, s = rot.rotate_inv(q, C("obj_x", "obj_y", "obj_z")), rot.mul(q, q)
-    return v.v_frames(spark, sf).select("episode", "frame_index", *[F.round(c, 6).alias(n) for c, n in zip([*r, *s], ("rx", "ry", "rz", "sw", "sx", "sy", "sz"))])
+    return v.v_frames(spark, sf).select("episode", "frame_index", *[F.round(c, 9).alias(n) for c, n in zip([*r, *s], ("rx", "ry", "rz", "sw", "sx", "sy", "sz"))])
 
 
-DELTA = "[{a}[i] - state[i] for i in range(1, 7)]"
 WRAPPED = f"list_transform(range(1, 7), lambda i: CASE WHEN i >= 4 THEN {s_mod('action[i] - state[i] + pi()')} - pi() ELSE action[i] - state[i] END)"
 
 
@@ -152,10 +151,10 @@ OUTCOME = f"""oc AS (
   oo AS (SELECT *, CASE WHEN success THEN 'grasp_success' WHEN z_last < z_first - 0.05::DOUBLE THEN 'object_fell' WHEN close_frames = 0 THEN 'missed_object_or_timeout' ELSE 'grasp_failed' END AS reason FROM o)"""
 
 
-@query("P11 A31", f"""{OUTCOME} SELECT episode, frames, close_frames, first_close, round(min_distance, 6) AS min_distance, round(lift, 6) AS lift, success, reason FROM oo""", "v_frames")
+@query("P11 A31", f"""{OUTCOME} SELECT episode, frames, close_frames, first_close, round(min_distance, 9) AS min_distance, round(lift, 9) AS lift, success, reason FROM oo""", "v_frames")
 def label_outcome(spark, sf):
     o = fr.label_outcome(v.v_frames(spark, sf), E)
-    return o.select("episode", "frames", "close_frames", "first_close", F.round("min_distance", 6).alias("min_distance"), F.round("lift", 6).alias("lift"), "success", "reason")
+    return o.select("episode", "frames", "close_frames", "first_close", F.round("min_distance", 9).alias("min_distance"), F.round("lift", 9).alias("lift"), "success", "reason")
 
 
 @query("P12", f"""{OUTCOME} SELECT CASE WHEN success THEN 'success' ELSE 'failure' END AS outcome_split, reason, count(*) AS n FROM oo GROUP BY ALL""", "v_frames")
@@ -290,10 +289,10 @@ def history(spark, sf):
   p AS (SELECT f.episode, frame_index, n, frame_index + 2.5::DOUBLE AS pos FROM v_frames f JOIN n USING (episode)),
   q AS (SELECT episode, frame_index, least(greatest(floor(pos), 0), n - 1)::BIGINT AS "left", least(greatest(ceil(pos), 0), n - 1)::BIGINT AS "right",
         CASE WHEN ceil(pos) < n THEN pos - floor(pos) ELSE 0.0 END::DOUBLE AS alpha, ceil(pos) < n AS valid FROM p)
-  SELECT q.*, round((1 - alpha) * a.obj_z + alpha * b.obj_z, 6) AS blended FROM q JOIN v_frames a ON a.episode = q.episode AND a.frame_index = q."left"
+  SELECT q.*, round((1 - alpha) * a.obj_z + alpha * b.obj_z, 9) AS blended FROM q JOIN v_frames a ON a.episode = q.episode AND a.frame_index = q."left"
   JOIN v_frames b ON b.episode = q.episode AND b.frame_index = q."right" """, "v_frames")
 def future_blend(spark, sf):
-    return fr.future_blend(v.v_frames(spark, sf), E, 10, 0.01, 25.0, "obj_z").withColumn("blended", F.round("blended", 6))
+    return fr.future_blend(v.v_frames(spark, sf), E, 10, 0.01, 25.0, "obj_z").withColumn("blended", F.round("blended", 9))
 
 
 @query("J10", """n AS (SELECT episode, max(frame_index) AS last FROM v_frames GROUP BY episode),

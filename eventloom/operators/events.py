@@ -140,7 +140,7 @@ def top_patches(dens: DataFrame, keys: list[str], k: int, floor: float = 1e-6) -
     """The k densest patches per bin (ties: lower index first) with a validity mask."""
     w = Window.partitionBy(*keys, "t_bin").orderBy(F.desc("density"), "patch_index")
     return (
-        dens.withColumn("rank", F.row_number().over(w))
+        dens.withColumn("rank", F.row_number().over(w).cast("long"))
         .where(F.col("rank") <= k)
         .withColumn("mask", F.col("density") > floor)
     )
@@ -276,27 +276,34 @@ def phase_imbalance(hist: DataFrame, keys: list[str], phases: int = 4) -> DataFr
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], width: float) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per key as columns ``q0, q1, ...``.
 
-    ``percentile`` keeps one count per distinct value in a single buffer, which is fine for
-    coarse values only. Here values are counted first, then ordered in value chunks of
-    ``width`` with running totals, so no task holds a whole key; only the rows next to
-    a wanted rank are joined.
+    ``percentile`` would hold a key's distinct values in one buffer. Here a first pass counts
+    values per chunk of ``width`` (map-side combined, one small row per chunk) and finds the
+    chunk of every wanted rank; a second pass keeps only the rows of those chunks and orders
+    them. ``width`` should cut the value range into many chunks.
     """
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c"))
-    cum = chunked.running_sum(counts, keys or ["_one"], [value], {"_upto": F.col("_c")}, width) if keys else (
-        chunked.running_sum(counts.withColumn("_one", F.lit(1)), ["_one"], [value], {"_upto": F.col("_c")}, width).drop("_one"))
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = cum.join(total, keys) if keys else cum.crossJoin(F.broadcast(total))
-    aggs = []
+    src = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(width)).cast("long").alias("_ch"))
+    hist = src.groupBy(*keys, "_ch").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    hist = hist.select(*keys, "_ch", "_c", F.sum("_c").over(w).alias("_n"),
+                       (F.sum("_c").over(w.orderBy("_ch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
+    wanted = []
     for i, q in enumerate(probs):
         pos = F.lit(q) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        first = F.col("_upto") - F.col("_c")
-        at = lambda r: (first <= r) & (r < F.col("_upto"))
-        vlo, vhi = F.max(F.when(at(lo), F.col(value))), F.max(F.when(at(hi), F.col(value)))
-        frac = F.max(pos - lo)
-        aggs.append((vlo + (vhi - vlo) * frac).alias(f"q{i}"))
-    return joined.groupBy(*keys).agg(*aggs)
+        wanted += [F.struct(F.lit(i).alias("i"), F.lit(hi).alias("hi"), (F.ceil(pos) if hi else F.floor(pos)).alias("rank"), (pos - F.floor(pos)).alias("frac"))
+                   for hi in (False, True)]
+    want = hist.withColumn("_w", F.explode(F.array(*wanted))).select(
+        *keys, "_ch", F.col("_w.i").alias("_i"), F.col("_w.hi").alias("_hi"), F.col("_w.frac").alias("_frac"), (F.col("_w.rank") - F.col("_before")).alias("_r"), "_c")
+    want = want.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_c"))).drop("_c")
+    vals = src.join(want.select(*keys, "_ch").distinct(), [*keys, "_ch"], "left_semi").groupBy(*keys, "_ch", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    upto = Window.partitionBy(*keys, "_ch").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("_upto", F.sum("_k").over(upto))
+    hit = vals.join(want, [*keys, "_ch"]).where((F.col("_r") >= F.col("_upto") - F.col("_k")) & (F.col("_r") < F.col("_upto")))
+    aggs = []
+    for i in range(len(probs)):
+        lo, hi = (F.max(F.when((F.col("_i") == i) & (F.col("_hi") == F.lit(h)), F.col("_v"))) for h in (False, True))
+        aggs.append((lo + (hi - lo) * F.max(F.when(F.col("_i") == i, F.col("_frac")))).alias(f"q{i}"))
+    return hit.groupBy(*keys).agg(*aggs)
 
 
 def label_fractions(events: DataFrame, keys: list[str], thr: float) -> DataFrame:

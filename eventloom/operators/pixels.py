@@ -208,19 +208,20 @@ def area_pool(df: DataFrame, src: tuple[int, int], out: tuple[int, int], values:
 POSE = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
 
 
-def camera_pairs(cams: DataFrame) -> DataFrame:
+def camera_pairs(cams: DataFrame, keep_last: bool = False) -> DataFrame:
     """Each frame's camera with the pose of the next frame (frame table only: one row per frame)."""
     nxt = cams.select(*RUN, (F.col("frame_index") - 1).alias("frame_index"), *[F.col(c).alias(f"n_{c}") for c in POSE])
-    return cams.join(nxt, FRAME)
+    return cams.join(nxt, FRAME, "left" if keep_last else "inner")
 
 
-def ego_flow(pixels: DataFrame, cams: DataFrame, width: int, height: int) -> DataFrame:
+def ego_flow(pixels: DataFrame, cams: DataFrame, width: int, height: int, keep_last: bool = False) -> DataFrame:
     """Flow a static world would show, the depth it predicts, and where that is valid.
 
     The camera table has one row per frame; the join hashes on the frame, so a large camera
     table works as well as one that fits a broadcast (which AQE then picks by size).
+    A frame without a successor is left out, or kept as invalid with ``keep_last``.
     """
-    p = pixels.join(camera_pairs(cams), FRAME)
+    p = pixels.join(camera_pairs(cams, keep_last), FRAME)
     c = rot.cols
     x, y, z = c("x", "y", "depth")
     ray = [(x - F.col("cx")) * z / F.col("fx"), (y - F.col("cy")) * z / F.col("fy"), z]

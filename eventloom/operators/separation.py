@@ -87,12 +87,12 @@ def calibrate_labelled(cands: DataFrame, width: float = 0.05) -> DataFrame:
 
 # -- residuals and thresholds -----------------------------------------------------------
 
-def residuals(pixels: DataFrame, cams: DataFrame, gain: float | Column, width: int, height: int, offset: int = 1) -> DataFrame:
+def residuals(pixels: DataFrame, cams: DataFrame, gain: float | Column, width: int, height: int, offset: int = 1, keep_last: bool = False) -> DataFrame:
     """Flow, depth, light and colour residuals of every frame against the next one.
 
-    The motion recorded at frame ``k + offset`` describes the step ``k -> k + 1``; on the last
-    frame it falls back to the last record. Frames without a successor are not anchored here
-    (``pad_last`` fills them); validity follows the geometry and the sampled values.
+    The motion recorded at frame ``k + offset`` describes the step ``k -> k + 1``. The last
+    frame has no successor: it is left out, or kept as invalid for ``pad_last`` to fill.
+    Validity follows the geometry and the sampled values.
     """
     c = F.col
     p = pixels.withColumns({"glog": light.gray_log(c("r"), c("g"), c("b")),
@@ -102,7 +102,7 @@ def residuals(pixels: DataFrame, cams: DataFrame, gain: float | Column, width: i
         p = p.withColumn("_n", nxt)
         adj = c("_n.frame_index") == c("frame_index") + 1
         p = p.withColumns({m: F.when(adj, c(f"_n.{m}")).otherwise(c(m)) for m in ("mvx", "mvy")}).drop("_n")
-    e = px.ego_flow(p, cams, width, height)
+    e = px.ego_flow(p, cams, width, height, keep_last)
     e = px.flow_residual(e, gain)
     vals = ["depth", "glog", "ch0", "ch1", "ch2"]
     nxt = pixels.withColumns({"glog": light.gray_log(c("r"), c("g"), c("b")),
@@ -126,27 +126,34 @@ def residuals(pixels: DataFrame, cams: DataFrame, gain: float | Column, width: i
 KINDS = {"flow": "flow_error", "relative": "flow_error_rel", "depth": "depth_error", "photo": "photo_error", "chroma": "chroma_error"}
 
 
+def _stacked(df: DataFrame, kinds: dict[str, str], probs: list[float], width: float) -> DataFrame:
+    """Quantiles of several residuals in one call: ``q0..`` per (run, kind)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(v).alias("value")) for k, v in kinds.items()]))
+    return ev.exact_quantiles(df.select(*RUN, pairs.alias("p")).select(*RUN, "p.kind", "p.value"), [*RUN, "kind"], "value", probs, width)
+
+
 def thresholds(res: DataFrame, quantile: float = 0.95, width: float = 0.02) -> DataFrame:
     """Per run: max(floor, quantile) down the chain flow -> relative flow -> depth -> light, colour."""
     c, fl = F.col, light.FLOORS
     runs = res.select(*RUN).distinct()
-
-    def limit(d, col, q, name, floor):
-        got = ev.exact_quantiles(d, RUN, col, [q], width).withColumnRenamed("q0", name)
-        return got.withColumn(name, F.greatest(c(name), F.lit(floor))) if floor is not None else got
-
+    of = lambda kind, q: F.max(F.when(c("kind") == kind, c(q)))
     rel = res.where("reliable")
-    t = runs.join(limit(rel, "flow_error", quantile, "t_flow", fl["flow"]), RUN, "left")
-    t = t.join(limit(rel, "flow_error_rel", 0.80, "_r", None), RUN, "left")
-    t = t.select(*RUN, F.coalesce("t_flow", F.lit(fl["flow"])).alias("t_flow"),
-                 F.coalesce(F.least(F.greatest(2.5 * c("_r"), F.lit(fl["relative"])), F.lit(light.RELATIVE_CAP)), F.lit(fl["relative"])).alias("t_relative"))
+    a = _stacked(rel, {"flow": "flow_error", "relative": "flow_error_rel"}, [quantile, 0.80], width).groupBy(*RUN).agg(
+        of("flow", "q0").alias("_f"), of("relative", "q1").alias("_r"))
+    t = runs.join(a, RUN, "left").select(
+        *RUN, F.greatest(F.coalesce("_f", F.lit(fl["flow"])), F.lit(fl["flow"])).alias("t_flow"),
+        F.least(F.greatest(2.5 * F.coalesce("_r", F.lit(0.0)), F.lit(fl["relative"])), F.lit(light.RELATIVE_CAP)).alias("t_relative"))
     still = rel.join(t, RUN).where((c("flow_error") <= c("t_flow")) & (c("flow_error_rel") <= c("t_relative"))).select(
         *RUN, "depth_error", "photo_error", "chroma_error")
-    t = t.join(limit(still, "depth_error", quantile, "t_depth", fl["depth"]), RUN, "left").withColumn("t_depth", F.coalesce("t_depth", F.lit(fl["depth"])))
+    d = ev.exact_quantiles(still, RUN, "depth_error", [quantile], width)
+    t = t.join(d, RUN, "left").withColumn("t_depth", F.greatest(F.coalesce("q0", F.lit(fl["depth"])), F.lit(fl["depth"]))).drop("q0")
+    t = cut_lineage(t, "separation-thresholds")  # one row per run; keeps the last step's plan short
     calm = still.join(t.select(*RUN, "t_depth"), RUN).where(c("depth_error") <= c("t_depth"))
-    for k in ("photo", "chroma"):
-        t = t.join(limit(calm, f"{k}_error", quantile, f"t_{k}", fl[k]), RUN, "left").withColumn(f"t_{k}", F.coalesce(f"t_{k}", F.lit(fl[k])))
-    return t
+    b = _stacked(calm, {"photo": "photo_error", "chroma": "chroma_error"}, [quantile], width).groupBy(*RUN).agg(
+        *[of(k, "q0").alias(f"_{k}") for k in ("photo", "chroma")])
+    return t.join(b, RUN, "left").select(
+        *RUN, "t_flow", "t_relative", "t_depth",
+        *[F.greatest(F.coalesce(f"_{k}", F.lit(fl[k])), F.lit(fl[k])).alias(f"t_{k}") for k in ("photo", "chroma")])
 
 
 def cue_confidences(res: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -200,12 +207,10 @@ def separate(pixels: DataFrame, cams: DataFrame, gain: float | Column, width: in
     k + 1, with a neutral (all static) map on frame 0.
     """
     c = F.col
-    res = residuals(pixels, cams, gain, width, height, offset)
+    res = residuals(pixels, cams, gain, width, height, offset, keep_last=not causal)
     cols = ["ego_x", "ego_y", "flow_error", "flow_error_rel", "depth_error", "photo_error", "chroma_error", "valid", "reliable"]
-    last = F.lead("frame_index").over(px._series()).isNull()
     if causal:
-        conf = cue_confidences(res.withColumn("_last", last).where(~c("_last")).drop("_last"))
-        conf = conf.withColumn("frame_index", c("frame_index") + 1)
+        conf = cue_confidences(res).withColumn("frame_index", c("frame_index") + 1)
     else:
         res = px.pad_last(res, cols)
         res = cut_lineage(res, "separation-residuals")  # read once for thresholds, once for confidences
@@ -228,18 +233,19 @@ def residual_mask(pixels: DataFrame, cams: DataFrame, gain: float | Column, widt
                   least: float = 0.35, decay: float = 0.85) -> DataFrame:
     """Dynamic confidence from a quantile of residuals on static labels, plus a decaying target memory."""
     c = F.col
-    e = px.flow_residual(px.ego_flow(pixels, cams, width, height), gain)
+    e = px.flow_residual(px.ego_flow(pixels, cams, width, height, keep_last=True), gain)
     e = px.depth_edge(e, radii=(2,))
-    last = F.lead("frame_index").over(px._series()).isNull()
-    e = e.withColumn("valid", c("valid") & ~c("edge2")).withColumn("_last", last)
+    e = e.withColumns({"valid": c("valid") & ~c("edge2"), "is_last": F.lead("frame_index").over(px._series()).isNull()})
     e = e.withColumn("residual", F.when(c("valid"), c("flow_error")).otherwise(0.0))
-    tau = ev.exact_quantiles(e.where(c("valid") & c("seg").isin(0, 3) & ~c("_last")), RUN, "residual", [quantile], 0.05)
+    e = e.select(*PIXEL, "seg", "valid", "residual", "is_last")
+    tau = ev.exact_quantiles(e.where(c("valid") & c("seg").isin(0, 3)), RUN, "residual", [quantile], 0.05)
+    e = px.pad_last(e, ["valid", "residual"])
     tau = tau.select(*RUN, F.greatest("q0", F.lit(least)).alias("tau"))
     d = e.join(tau, RUN)
     soft = F.greatest(F.lit(0.08), 0.25 * c("tau"))
     d = d.withColumn("q_dyn", light.sigmoid((c("residual") - c("tau")) / soft) * c("valid").cast("double"))
     d = px.decay_memory(d, "q_dyn", c("seg") == 2, decay)
-    return d.select(*PIXEL, "seg", "valid", "residual", "tau", "q_dyn", c("memory").alias("q_target_dyn"), c("_last").alias("is_last"))
+    return d.select(*PIXEL, "seg", "valid", "residual", "tau", "q_dyn", c("memory").alias("q_target_dyn"), "is_last")
 
 
 def moving_recall(maps: DataFrame, speeds: DataFrame, keys: list[str], q: str, thr: float, speed: float = 0.02) -> DataFrame:

@@ -402,8 +402,10 @@ def moving_recall(spark, sf):
 
 OLD = f"""{RES}, e2 AS (SELECT *, greatest(coalesce(abs(depth - lag(depth) OVER (PARTITION BY episode, camera, frame_index, y ORDER BY x)), 0), coalesce(abs(depth - lag(depth) OVER (PARTITION BY episode, camera, frame_index, x ORDER BY y)), 0))
     > 0.03::DOUBLE + 0.04::DOUBLE * least(depth, 10) AS e FROM fr), {dil('em', 'e2', 'e', 2)},
-  ol AS (SELECT fr.* EXCLUDE (valid), valid AND NOT em.m AS valid, CASE WHEN valid AND NOT em.m THEN flow_error ELSE 0 END AS residual, max(fr.frame_index) OVER (PARTITION BY episode, camera) = fr.frame_index AS is_last FROM fr JOIN em USING ({KEY})),
-  tq AS (SELECT episode, camera, greatest(quantile_cont(residual, 0.95), 0.35::DOUBLE) AS tau, quantile_cont(residual, 0.5) AS r50, quantile_cont(residual, 0.95) AS r95, quantile_cont(residual, 0.99) AS r99 FROM ol WHERE valid AND seg IN (0, 3) AND NOT is_last GROUP BY ALL),
+  o0 AS (SELECT fr.* EXCLUDE (valid), valid AND NOT em.m AS valid, CASE WHEN valid AND NOT em.m THEN flow_error ELSE 0 END AS residual FROM fr JOIN em USING ({KEY})),
+  tq AS (SELECT episode, camera, greatest(quantile_cont(residual, 0.95), 0.35::DOUBLE) AS tau, quantile_cont(residual, 0.5) AS r50, quantile_cont(residual, 0.95) AS r95, quantile_cont(residual, 0.99) AS r99 FROM o0 WHERE valid AND seg IN (0, 3) GROUP BY ALL),
+  lf AS (SELECT episode, camera, max(frame_index) AS last FROM v_pixels GROUP BY ALL),
+  ol AS (SELECT p.episode, p.camera, p.frame_index, p.y, p.x, p.seg, o.valid, o.residual FROM v_pixels p JOIN lf USING (episode, camera) JOIN o0 o ON o.episode = p.episode AND o.camera = p.camera AND o.y = p.y AND o.x = p.x AND o.frame_index = least(p.frame_index, last - 1)),
   om AS (SELECT ol.*, tau, CASE WHEN valid THEN {SIG.format('(residual - tau) / greatest(0.08::DOUBLE, 0.25::DOUBLE * tau)')} ELSE 0 END AS q_dyn FROM ol JOIN tq USING (episode, camera))"""
 E_SMALL = (PX2 + ", " + OLD).replace("FROM v_pixels p", "FROM v_px2 p")
 

@@ -20,6 +20,13 @@ CHUNK = "_chunk"
 
 
 def with_chunk(df: DataFrame, order: list[str], width) -> DataFrame:
+    """Adds the chunk number; a no-op when present.
+
+    Add it once before chaining several functions of this module: they keep it, so rows stay
+    where they are and only the small edge summaries move.
+    """
+    if CHUNK in df.columns:
+        return df
     return df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
 
 

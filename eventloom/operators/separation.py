@@ -237,7 +237,7 @@ def residual_mask(pixels: DataFrame, cams: DataFrame, gain: float | Column, widt
     e = px.depth_edge(e, radii=(2,))
     e = e.withColumns({"valid": c("valid") & ~c("edge2"), "is_last": F.lead("frame_index").over(px._series()).isNull()})
     e = e.withColumn("residual", F.when(c("valid"), c("flow_error")).otherwise(0.0))
-    e = e.select(*PIXEL, "seg", "valid", "residual", "is_last")
+    e = cut_lineage(e.select(*PIXEL, "seg", "valid", "residual", "is_last"), "residual-mask")  # read by both quantile passes and the mask
     tau = ev.exact_quantiles(e.where(c("valid") & c("seg").isin(0, 3)), RUN, "residual", [quantile], 0.05)
     e = px.pad_last(e, ["valid", "residual"])
     tau = tau.select(*RUN, F.greatest("q0", F.lit(least)).alias("tau"))

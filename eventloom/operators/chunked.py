@@ -11,7 +11,7 @@ the chunks, all together give a total order.
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,31 +109,102 @@ def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     )
 
 
+def _placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows placed by ``by`` and sorted, with a flag on the first row of each group."""
+    d = df.repartition(*by)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    return d.withColumn("_first", first).sortWithinPartitions(*by, *order)
+
+
+def blocks(batches) -> Iterator[dict]:
+    """The groups of a placed table one after another, as NumPy columns, across Arrow batches."""
+    import numpy as np
+
+    held = None
+    for pdf in batches:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        first = cols.pop("_first")
+        n = len(first)
+        edges = np.flatnonzero(first)
+        edges = [0, *edges[edges > 0].tolist(), n]
+        for lo, hi in zip(edges, edges[1:]):
+            part = {c: a[lo:hi] for c, a in cols.items()}
+            if held is not None and not first[lo]:
+                held = {c: np.concatenate([held[c], part[c]]) for c in part}
+                continue
+            if held is not None:
+                yield held
+            held = part
+    if held is not None:
+        yield held
+
+
+def _per_block(fn: Callable[[dict], dict], rows: int = 50_000) -> Callable:
+    """Maps ``fn`` over blocks and emits its output columns in larger batches."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        out, size = [], 0
+
+        def frame():
+            return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+
+        for b in blocks(batches):
+            o = fn(b)
+            out.append(o)
+            size += len(next(iter(o.values())))
+            if size >= rows:
+                yield frame()
+                out, size = [], 0
+        if out:
+            yield frame()
+
+    return run
+
+
 def chunk_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     width,
     *,
-    summary: Callable,
+    summary: Callable[[dict], dict],
     summary_schema: str,
-    entries: Callable,
+    entries: Callable[[dict], dict],
     entry_schema: str,
-    replay: Callable,
+    replay: Callable[[dict], dict],
     out_schema: str,
 ) -> DataFrame:
     """Exact sequential recurrence over a chunked series.
 
-    ``summary(pdf)``: what a chunk does to any state that may enter it (a few rows).
-    ``entries(pdf)``: all summaries of one key in chunk order -> the state entering each chunk.
-    ``replay(pdf)``: the chunk's rows with their entry state -> output rows.
+    Each function takes and returns a dict of NumPy columns.
+    ``summary``: a chunk in order -> what it does to any state that may enter it (a few rows).
+    ``entries``: all summaries of one key in chunk order -> the state entering each chunk.
+    ``replay``: a chunk in order with its entry state -> output rows.
 
-    Summaries are a few rows per chunk, so the only per-key step stays small even for a
-    key with a third of all rows; rows themselves are only ever grouped by (key, chunk).
+    Rows are only ever grouped by (key, chunk); the per-key step sees a few rows per chunk,
+    so a key with a third of all rows stays small there. Groups stream through a task one
+    after another, so many short series cost no more than one long one.
     """
-    c = with_chunk(df, order, width)
-    keycols = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in [*keys])
+    import numpy as np
+
     by = [*keys, CHUNK]
-    summ = c.groupBy(*by).applyInPandas(summary, f"{keycols}, {CHUNK} long, {summary_schema}")
-    entry = summ.groupBy(*keys).applyInPandas(entries, f"{keycols}, {CHUNK} long, {entry_schema}")
-    return c.join(entry, by, "left").groupBy(*by).applyInPandas(replay, out_schema)
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    keycols = ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + f", {CHUNK} long"
+    rows = _placed(with_chunk(df, order, width), by, order)
+
+    def with_keys(fn):
+        def run(b):
+            o = fn(b)
+            n = len(next(iter(o.values())))
+            return {**{k: np.repeat(b[k][:1], n) for k in by if k not in o}, **o}
+
+        return run
+
+    summ = rows.mapInPandas(_per_block(with_keys(summary)), f"{keycols}, _seq int, {summary_schema}")
+    entry = _placed(summ, keys, [CHUNK, "_seq"]).mapInPandas(_per_block(with_keys(entries)), f"{keycols}, {entry_schema}")
+    joined = rows.drop("_first").join(entry, by)
+    joined = joined.withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1).sortWithinPartitions(*by, *order)
+    return joined.mapInPandas(_per_block(replay), out_schema)

@@ -38,35 +38,57 @@ def level_steps(df: DataFrame, keys: list[str], order: list[str], value: str, th
     and the first valid row after them starts a new reference silently.
     """
     c = F.col
+    by = [*keys, chunked.CHUNK]
     start = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
     d = chunked.with_chunk(df.withColumn("_v", c(value)), order, width)
     if valid is not None:
+        # a reset on invalid rows takes effect on the next valid row, which starts anew anyway
         d = chunked.prev_value(d, keys, order, {"_pv": c(valid)}, width)
-        start = start | (c("_pv") == F.lit(False))
-        d = d.withColumn("_start", start).drop("_pv")
-        # a reset falling on invalid rows takes effect on the next valid row, which re-anchors anyway
-        d = d.where(valid)
+        start = start | F.coalesce(c("_pv") == F.lit(False), F.lit(False))
+        d = d.withColumn("_start", start).drop("_pv").where(valid)
     else:
         d = d.withColumn("_start", start)
-    own = {"_p": c("_v"), "_pt": c(order[0])}
-    if q:
-        own["_pq"] = c(q)
-    d = chunked.prev_value(d, keys, order, own, width)
-    d = d.withColumn("_start", c("_start") | c("_pt").isNull())
-    d = chunked.carry_last(d, keys, order, {"_v0": F.when(c("_start"), c("_v"))}, width)
+    w = Window.partitionBy(*by).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    wc = Window.partitionBy(*keys).orderBy(chunked.CHUNK)
+    earlier = wc.rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.struct(*order)
+
+    # first pass: previous sample and reference value, over the chunk borders
+    own = F.struct("_v", c(order[0]).alias("_t"), *([c(q).alias("_q")] if q else []))
+    edge = d.groupBy(*by).agg(F.max_by(own, pos).alias("_tail"), F.min_by("_v", pos).alias("_head"),
+                              F.max_by(F.when(c("_start"), c("_v")), F.when(c("_start"), pos)).alias("_sv"))
+    edge = edge.withColumn("_tail", F.lag("_tail").over(wc)).withColumn("_new", F.coalesce("_sv", F.when(c("_tail").isNull(), c("_head"))))
+    edge = edge.select(*by, "_tail", F.coalesce(F.last("_new", ignorenulls=True).over(earlier), c("_head")).alias("_v0_in"))
+    d = d.withColumns({"_near": F.lag(own).over(w), "_sv": F.last(F.when(c("_start"), c("_v")), ignorenulls=True).over(upto)})
+    d = d.join(edge, by).withColumns({"_prev": F.coalesce("_near", "_tail"), "_v0": F.coalesce("_sv", "_v0_in")})
+    d = d.withColumn("_start", c("_start") | c("_prev").isNull()).drop("_near", "_tail", "_sv", "_v0_in")
     u = (c("_v") - c("_v0")) / F.lit(float(theta))
     d = d.withColumns({"_lo": F.floor(u).cast("long"), "_hi": F.ceil(u).cast("long")})
-    d = chunked.prev_value(d, keys, order, {"_plo": c("_lo"), "_phi": c("_hi")}, width)
-    move = (F.when(c("_start"), 0).when((c("_lo") > c("_plo")) | (c("_hi") > c("_phi")), 1)
-            .when((c("_lo") < c("_plo")) | (c("_hi") < c("_phi")), -1))
-    d = chunked.carry_last(d.withColumn("_move", move), keys, order, {"_dir": c("_move")}, width)
+
+    # second pass: direction of the last change of the interval
+    def change(lo, hi, plo, phi):
+        return F.when((lo > plo) | (hi > phi), 1).when((lo < plo) | (hi < phi), -1)
+
+    d = d.withColumn("_pl", F.lag(F.struct("_lo", "_hi")).over(w))
+    d = d.withColumn("_move", F.when(c("_start"), 0).otherwise(change(c("_lo"), c("_hi"), c("_pl._lo"), c("_pl._hi"))))
+    edge = d.groupBy(*by).agg(
+        F.max_by(F.struct("_lo", "_hi"), pos).alias("_tail"), F.min_by(F.struct("_lo", "_hi", "_start"), pos).alias("_h"),
+        F.max_by("_move", F.when(c("_move").isNotNull(), pos)).alias("_last"))
+    edge = edge.withColumn("_tail", F.lag("_tail").over(wc))
+    edge = edge.withColumn("_border", F.when(c("_h._start"), 0).otherwise(change(c("_h._lo"), c("_h._hi"), c("_tail._lo"), c("_tail._hi"))))
+    edge = edge.withColumn("_dir_in", F.last(F.coalesce("_last", "_border"), ignorenulls=True).over(earlier))
+    d = d.join(edge.select(*by, "_tail", "_border", "_dir_in"), by)
+    d = d.withColumn("_move", F.when(c("_pl").isNull(), c("_border")).otherwise(c("_move")))
+    d = d.withColumn("_dir", F.coalesce(F.last("_move", ignorenulls=True).over(upto), c("_dir_in")))
     d = d.withColumn("level", F.when(c("_dir") < 0, c("_hi")).otherwise(c("_lo")))
-    d = chunked.prev_value(d, keys, order, {"_pk": c("level")}, width)
+    entering = F.when(c("_dir_in") < 0, c("_tail._hi")).otherwise(c("_tail._lo"))
+    d = d.withColumn("_pk", F.coalesce(F.lag("level").over(w), entering))
     d = d.withColumns({"level_before": F.when(c("_start"), c("level")).otherwise(c("_pk")), "v_ref0": c("_v0"),
-                       "v_prev": F.when(~c("_start"), c("_p")), "t_prev": F.when(~c("_start"), c("_pt"))})
+                       "v_prev": F.when(~c("_start"), c("_prev._v")), "t_prev": F.when(~c("_start"), c("_prev._t"))})
     extra = ["level", "level_before", "v_ref0", "v_prev", "t_prev"]
     if q:
-        d = d.withColumn("interval_q", F.least("_pq", q))
+        d = d.withColumn("interval_q", F.least(c("_prev._q"), c(q)))
         extra.append("interval_q")
     return d.select(*df.columns, *extra)
 
@@ -94,65 +116,61 @@ def refractory(df: DataFrame, keys: list[str], order: list[str], gap: float, wid
     t = order[0]
     names = df.columns
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    integral = types[t] in ("bigint", "int")
-
-    def chain(pdf):
-        import numpy as np
+    kind = "bigint" if types[t] in ("bigint", "int") else "double"
 
-        ts = pdf[t].to_numpy()
-        nxt = np.searchsorted(ts, ts + gap, side="left")
-        return ts, nxt
-
-    def summary(pdf):
+    def summary(b):
         import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values(order)
-        ts, nxt = chain(pdf)
+        ts = b[t]
         n = len(ts)
-        last = np.arange(n)
+        nxt = np.searchsorted(ts, ts + gap, side="left").tolist()
+        last = list(range(n))  # last row kept when row i is kept
         for i in range(n - 1, -1, -1):
             if nxt[i] < n:
                 last[i] = last[nxt[i]]
-        first = min(int(np.searchsorted(ts, ts[0] + gap, side="left")), n - 1)
-        cand = pd.DataFrame({"c": ts[: first + 1], "e": ts[last[: first + 1]]}).groupby("e", as_index=False)["c"].max()
-        # entries later than every candidate but still within a gap of the first row keep nothing
-        out = pd.DataFrame({**{k: pdf[k].iloc[0] for k in [*keys, chunked.CHUNK]}, "c_upto": cand["c"].astype(float if not integral else "int64"),
-                            "t_exit": cand["e"].astype(float if not integral else "int64")})
-        return out
-
-    def entries(pdf):
-        import pandas as pd
-
-        rows, state = [], None
-        for ch, g in pdf.sort_values([chunked.CHUNK, "c_upto"]).groupby(chunked.CHUNK, sort=True):
-            rows.append((ch, state))
+        # the first kept row of the chunk can be any of its first gap, or the one after
+        m = min(nxt[0], n - 1) + 1
+        steps = [i for i in range(m) if i == m - 1 or last[i + 1] != last[i]]
+        return {"_seq": np.arange(len(steps), dtype="int32"), "c_upto": ts[steps], "t_exit": ts[[last[i] for i in steps]]}
+
+    def entries(b):
+        import numpy as np
+
+        chunks, states, known = [], [], []
+        state = None
+        ch, upto, ex = b[chunked.CHUNK].tolist(), b["c_upto"].tolist(), b["t_exit"].tolist()
+        i, n = 0, len(ch)
+        while i < n:
+            j = i
+            while j < n and ch[j] == ch[i]:
+                j += 1
+            chunks.append(ch[i])
+            known.append(state is not None)
+            states.append(0 if state is None else state)
             if state is None:
-                state = g["t_exit"].iloc[0]
+                state = ex[i]
             else:
-                hit = g[g["c_upto"] >= state + gap]
-                if len(hit):
-                    state = hit["t_exit"].iloc[0]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, chunked.CHUNK: [r[0] for r in rows],
-                             "_entry": pd.array([r[1] for r in rows], dtype="Int64" if integral else "Float64")})
+                # an entry later than all candidates (a chunk within one gap of it) keeps nothing
+                state = next((ex[r] for r in range(i, j) if upto[r] >= state + gap), state)
+            i = j
+        return {chunked.CHUNK: np.array(chunks), "_has": np.array(known), "_entry": np.array(states, dtype=b["t_exit"].dtype)}
 
-    def replay(pdf):
+    def replay(b):
         import numpy as np
 
-        pdf = pdf.sort_values(order)
-        ts, nxt = chain(pdf)
-        entry = pdf["_entry"].iloc[0]
-        i = 0 if entry is None or entry != entry else int(np.searchsorted(ts, entry + gap, side="left"))
+        ts = b[t]
+        n = len(ts)
+        nxt = np.searchsorted(ts, ts + gap, side="left").tolist()
+        i = int(np.searchsorted(ts, b["_entry"][0] + gap, side="left")) if b["_has"][0] else 0
         kept = []
-        while i < len(ts):
+        while i < n:
             kept.append(i)
-            i = int(nxt[i])
-        return pdf.iloc[kept][names]
+            i = nxt[i]
+        return {c: b[c][kept] for c in names}
 
-    kind = "bigint" if integral else "double"
     return chunked.chunk_scan(
         df, keys, order, width, summary=summary, summary_schema=f"c_upto {kind}, t_exit {kind}", entries=entries,
-        entry_schema=f"_entry {kind}", replay=replay, out_schema=", ".join(f"`{n}` {types[n]}" for n in names))
+        entry_schema=f"_has boolean, _entry {kind}", replay=replay, out_schema=", ".join(f"`{n}` {types[n]}" for n in names))
 
 
 def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: str, b: str, width, out: str) -> DataFrame:
@@ -160,34 +178,29 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: str, b: str
     names = [n for n in df.columns if n not in (a, b)]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def fold(pdf, y):
+    def fold(slopes, shifts, y):
         ys = []
-        for x, z in zip(pdf[a].to_numpy(), pdf[b].to_numpy()):
+        for x, z in zip(slopes.tolist(), shifts.tolist()):
             y = x * y + z
             ys.append(y)
         return ys
 
-    def summary(pdf):
-        import pandas as pd
+    def summary(blk):
+        import numpy as np
 
-        pdf = pdf.sort_values(order)
-        # b-part: the chunk entered with 0; a-part: the product of its slopes
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, chunked.CHUNK]}, "_pa": [float(pdf[a].prod())], "_pb": [float(fold(pdf, 0.0)[-1])]})
+        # entered with 0 the chunk ends at its shift; its slope is the product of slopes
+        return {"_seq": np.zeros(1, dtype="int32"), "_pa": np.array([np.prod(blk[a])]), "_pb": np.array([fold(blk[a], blk[b], 0.0)[-1]])}
 
-    def entries(pdf):
-        import pandas as pd
+    def entries(blk):
+        import numpy as np
 
-        pdf = pdf.sort_values(chunked.CHUNK)
-        y, ys = 0.0, []
-        for x, z in zip(pdf["_pa"], pdf["_pb"]):
-            ys.append(y)
-            y = x * y + z
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, chunked.CHUNK: pdf[chunked.CHUNK], "_entry": ys})
+        after = fold(blk["_pa"], blk["_pb"], 0.0)
+        return {chunked.CHUNK: blk[chunked.CHUNK], "_entry": np.array([0.0, *after[:-1]])}
+
+    def replay(blk):
+        import numpy as np
 
-    def replay(pdf):
-        pdf = pdf.sort_values(order)
-        ys = fold(pdf, float(pdf["_entry"].iloc[0]))
-        return pdf[names].assign(**{out: ys})
+        return {**{n: blk[n] for n in names}, out: np.array(fold(blk[a], blk[b], float(blk["_entry"][0])))}
 
     return chunked.chunk_scan(
         df, keys, order, width, summary=summary, summary_schema="_pa double, _pb double", entries=entries, entry_schema="_entry double",

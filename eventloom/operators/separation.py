@@ -78,6 +78,7 @@ def _scores(rows: DataFrame, scales: DataFrame, width: float) -> DataFrame:
 
 def calibrate_labelled(cands: DataFrame, width: float = 0.05) -> DataFrame:
     """One least-squares fit per candidate on pixels known to be static."""
+    cands = cut_lineage(cands, "calibration-rows")  # read by the fit and by both quantile passes
     fit = cands.groupBy(*CAND).agg(
         (F.sum(F.col("ox") * F.col("ego_x") + F.col("oy") * F.col("ego_y"))
          / F.greatest(F.sum(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy")), F.lit(1e-8))).alias("scale"))

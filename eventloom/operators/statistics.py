@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import counter
 from eventloom.operators import chunked
 from eventloom.operators import events as ev
+from eventloom.session import cut_lineage
 
 # fixed values: which way each metric improves
 DIRECTIONS = {
@@ -166,7 +167,8 @@ def wilcoxon(pairs: DataFrame, keys: list[str], exact_upto: int = 50, width: flo
     w = c("_w2").cast("int")
     low = F.aggregate(F.slice("_ways", F.lit(1), w + 1), F.lit(0.0), lambda a, v: a + v)
     high = F.aggregate(F.slice("_ways", w + 1, total - w + 1), F.lit(0.0), lambda a, v: a + v)
-    exact = F.least(F.lit(1.0), 2 * F.least(low, high) / F.pow(F.lit(2.0), c("n")))
+    # least() skips NULLs, so the exact value needs its own guard
+    exact = F.when(c("_ways").isNotNull(), F.least(F.lit(1.0), 2 * F.least(low, high) / F.pow(F.lit(2.0), c("n"))))
     var = c("n") * (c("n") + 1) * (2 * c("n") + 1) / 24.0 - c("_ties") / 48.0
     z = F.abs(c("_w2") / 2.0 - c("n") * (c("n") + 1) / 4.0) / F.sqrt(var)
     return s.select(*keys, "n", (c("_w2") / 2.0).alias("w_plus"), F.coalesce(exact, _two_sided(z)).alias("p_value"))
@@ -229,7 +231,8 @@ def aggregate_pairs(reports: DataFrame, extra: list[str], b: int, seed: int, rul
     """Multi-episode report: paired summary, bootstrap interval and signed-rank test per metric."""
     keys = [*extra, "metric"]
     means = episode_mean(reports.where("kind <> 'voxel'"), extra)
-    pairs = pair_runs(means, [*extra, "episode", "metric"])
+    # one row per episode and metric, read by three statistics
+    pairs = cut_lineage(pair_runs(means, [*extra, "episode", "metric"]), "pairs")
     s = paired_summary(pairs, keys, rules, width)
     s = s.join(bootstrap_ci(pairs, keys, ["episode"], b, seed), keys, "left").join(wilcoxon(pairs, keys, width=width).select(*keys, "p_value"), keys, "left")
     vox = candidate_summary(episode_mean(reports.where("kind = 'voxel'"), extra), keys)

@@ -172,8 +172,8 @@ def report_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def report_markdown(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Rows of a Markdown table (without the head); missing numbers print as n/a."""
+def markdown_row(df: DataFrame, digits: int = 4) -> Column:
+    """A row as a line of a Markdown table; missing numbers print as n/a."""
     def cell(f):
         c = F.col(f.name)
         if f.dataType.typeName() in ("double", "float"):
@@ -182,7 +182,12 @@ def report_markdown(df: DataFrame, digits: int = 4) -> DataFrame:
             return F.when(c.isNotNull(), F.format_number(c, 0)).otherwise("n/a")
         return F.coalesce(c.cast("string"), F.lit("n/a"))
 
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in df.schema.fields]), F.lit(" |")).alias("value"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in df.schema.fields]), F.lit(" |"))
+
+
+def report_markdown(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Rows of a Markdown table (without the head)."""
+    return df.select(markdown_row(df, digits).alias("value"))
 
 
 def markdown_head(df: DataFrame) -> list[str]:
@@ -192,13 +197,14 @@ def markdown_head(df: DataFrame) -> list[str]:
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", order: list[str] | None = None) -> None:
     """A report table as JSON lines or as one Markdown file, sorted for readers."""
-    d = df.orderBy(*order) if order else df
+    order = order or []
     if fmt == "json":
-        report_json(d).write.mode("overwrite").text(path)
+        report_json(df.orderBy(*order) if order else df).write.mode("overwrite").text(path)
         return
     if fmt != "markdown":
         raise ValueError(f"unknown report format {fmt}")
-    head = df.sparkSession.createDataFrame([(i, line) for i, line in enumerate(markdown_head(df))], "_i int, value string")
-    body = report_markdown(d).withColumn("_i", F.lit(2))
+    head = df.sparkSession.createDataFrame(list(enumerate(markdown_head(df))), "_i int, value string")
+    body = df.select(F.lit(2).alias("_i"), markdown_row(df).alias("value"), *order)
     # a report has one row per metric and episode, so it fits one file
-    head.unionByName(body, allowMissingColumns=True).select("value").coalesce(1).write.mode("overwrite").text(path)
+    out = head.unionByName(body, allowMissingColumns=True).coalesce(1).sortWithinPartitions("_i", *order)
+    out.select("value").write.mode("overwrite").text(path)

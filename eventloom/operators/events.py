@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import chunked
+from eventloom.session import cut_lineage
 
 SERIES = ["episode", "camera"]
 ORDER = ["t_us", "event_id"]
@@ -273,32 +274,50 @@ def phase_imbalance(hist: DataFrame, keys: list[str], phases: int = 4) -> DataFr
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], width: float) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], width: float, levels: int = 2) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per key as columns ``q0, q1, ...``.
 
-    ``percentile`` would hold a key's distinct values in one buffer. Here a first pass counts
-    values per chunk of ``width`` (map-side combined, one small row per chunk) and finds the
-    chunk of every wanted rank; a second pass keeps only the rows of those chunks and orders
-    them. ``width`` should cut the value range into many chunks.
+    ``percentile`` would hold a key's distinct values in one buffer. Here values are counted
+    per cell of ``width`` (map-side combined, one small row per cell) to find the cell of
+    every wanted rank; the next level counts only the rows of those cells in cells 4,096
+    times finer; only what falls into the last cells is ordered, equal values as one row.
+    So neither a hot key nor a pile-up of values in one cell is sorted as a whole. With more
+    than one level the levels run as jobs of their own.
     """
-    src = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(width)).cast("long").alias("_ch"))
-    hist = src.groupBy(*keys, "_ch").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)
-    hist = hist.select(*keys, "_ch", "_c", F.sum("_c").over(w).alias("_n"),
-                       (F.sum("_c").over(w.orderBy("_ch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
-    wanted = []
-    for i, q in enumerate(probs):
-        pos = F.lit(q) * (F.col("_n") - 1)
-        wanted += [F.struct(F.lit(i).alias("i"), F.lit(hi).alias("hi"), (F.ceil(pos) if hi else F.floor(pos)).alias("rank"), (pos - F.floor(pos)).alias("frac"))
-                   for hi in (False, True)]
-    want = hist.withColumn("_w", F.explode(F.array(*wanted))).select(
-        *keys, "_ch", F.col("_w.i").alias("_i"), F.col("_w.hi").alias("_hi"), F.col("_w.frac").alias("_frac"), (F.col("_w.rank") - F.col("_before")).alias("_r"), "_c")
-    want = want.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_c"))).drop("_c")
-    vals = src.join(want.select(*keys, "_ch").distinct(), [*keys, "_ch"], "left_semi").groupBy(*keys, "_ch", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    upto = Window.partitionBy(*keys, "_ch").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"_c{i}" for i in range(levels)]
+    v = F.col(value)
+    src = df.where(v.isNotNull() & ~F.isnan(value)).select(
+        *keys, v.alias("_v"), *[F.floor(v / F.lit(width / 4096.0**i)).cast("long").alias(n) for i, n in enumerate(names)])
+    want = None
+    rows = src
+    for i in range(levels):
+        outer, cell = [*keys, *names[:i]], [*keys, *names[:i + 1]]
+        if want is not None:
+            rows = src.join(want.select(*outer).distinct(), outer, "left_semi")
+        hist = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_k"))
+        w = Window.partitionBy(*outer)
+        before = (F.sum("_k").over(w.orderBy(names[i]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before")
+        if want is None:
+            hist = hist.select(*cell, "_k", before, F.sum("_k").over(w).alias("_n"))
+            ranks = []
+            for q, p in enumerate(probs):
+                pos = F.lit(p) * (F.col("_n") - 1)
+                ranks += [F.struct(F.lit(q).alias("i"), F.lit(hi).alias("hi"), (F.ceil(pos) if hi else F.floor(pos)).alias("r"), (pos - F.floor(pos)).alias("frac"))
+                          for hi in (False, True)]
+            hist = hist.withColumn("_w", F.explode(F.array(*ranks))).select(
+                *cell, "_k", "_before", F.col("_w.i").alias("_i"), F.col("_w.hi").alias("_hi"), F.col("_w.frac").alias("_frac"), F.col("_w.r").alias("_r"))
+        else:
+            hist = hist.select(*cell, "_k", before).join(want, outer)
+        r = F.col("_r") - F.col("_before")
+        want = hist.where((r >= 0) & (r < F.col("_k"))).select(*cell, "_i", "_hi", "_frac", r.alias("_r"))
+        if levels > 1:
+            # a few rows per key: written once, so that each level is one scan of the input
+            want = cut_lineage(want, "quantile-ranks")
+    cell = [*keys, *names]
+    vals = src.join(want.select(*cell).distinct(), cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_upto", F.sum("_k").over(upto))
-    hit = vals.join(want, [*keys, "_ch"]).where((F.col("_r") >= F.col("_upto") - F.col("_k")) & (F.col("_r") < F.col("_upto")))
+    hit = vals.join(want, cell).where((F.col("_r") >= F.col("_upto") - F.col("_k")) & (F.col("_r") < F.col("_upto")))
     aggs = []
     for i in range(len(probs)):
         lo, hi = (F.max(F.when((F.col("_i") == i) & (F.col("_hi") == F.lit(h)), F.col("_v"))) for h in (False, True))

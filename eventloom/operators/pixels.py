@@ -314,9 +314,14 @@ def knots(pairs: DataFrame, base: int, factor: int = 2, motion_px: float = 1.0,
     return g.select(*FRAME, F.least(F.lit(base * factor), k).cast("int").alias("knots"))
 
 
-def interpolate_frames(pairs: DataFrame, k: int, width: int, height: int, beta: float = 12.0, margin: int = 1) -> DataFrame:
+def interpolate_frames(pairs: DataFrame, k: int, width: int, height: int, beta: float = 12.0, margin: int = 1, blend: str = "log",
+                       nearer_wins: bool = False, hole_fill: float = 0.0) -> DataFrame:
     """K-1 frames between each pair: both ends are scattered along their motion, then blended.
 
+    ``blend="log"`` blends where both ends show the same surface; ``blend="later"`` keeps the
+    later end wherever it has content. With ``nearer_wins`` a nearer earlier surface wins
+    where the two differ. Cells neither end reaches get ``hole_fill`` and are invalid.
+
     Taps of both ends and of all gaps and fractions go through one aggregation.
     """
     c = F.col
@@ -350,9 +355,15 @@ def interpolate_frames(pairs: DataFrame, k: int, width: int, height: int, beta:
     g = g.withColumns({"same_surface": q["same_surface"], "_conf": q["confidence"], "_none": ~(c("has_a") | c("has_b"))})
     f = c("step") / F.lit(float(k))
     mix = light.log_blend([c(f"a_{v}") for v in "rgb"], [c(f"b_{v}") for v in "rgb"], f)
+    if blend not in ("log", "later"):
+        raise ValueError(f"unknown blend {blend}")
+    nearer = c("has_a") & c("has_b") & ~c("same_surface") & (c("a_depth") < c("b_depth"))
     out = {}
     for v, m in zip("rgb", mix):
-        out[v] = F.when(c("same_surface"), m).when(c("has_b"), c(f"b_{v}")).when(c("has_a"), c(f"a_{v}")).otherwise(F.lit(0.0))
+        e = F.when(nearer & F.lit(nearer_wins), c(f"a_{v}"))
+        if blend == "log":
+            e = e.when(c("same_surface"), m)
+        out[v] = e.when(c("has_b"), c(f"b_{v}")).when(c("has_a"), c(f"a_{v}")).otherwise(F.lit(hole_fill))
     g = g.withColumns(out)
     wr = Window.partitionBy(*FRAME, "step", "y").orderBy("x").rangeBetween(-margin, margin)
     wc = Window.partitionBy(*FRAME, "step", "x").orderBy("y").rangeBetween(-margin, margin)
@@ -390,3 +401,23 @@ def hybrid_gate(df: DataFrame, diff: str, theta: float, gain: float, conf: str,
     d = _spread(d, {"_gon": (c("_son"), radius), "_goff": (c("_soff"), radius)})
     zero = F.lit(0).cast("long")
     return d.withColumns({"n_on": F.when(c("_gon"), c("n_on")).otherwise(zero), "n_off": F.when(c("_goff"), c("n_off")).otherwise(zero)}).drop("_son", "_soff", "_gon", "_goff")
+
+
+# the plug-in point: interpolators by name, each (pairs, k, width, height) -> frames
+INTERPOLATORS: dict = {}
+
+
+def register_interpolator(name: str, fn) -> None:
+    if name in INTERPOLATORS:
+        raise ValueError(f"interpolator {name} exists")
+    INTERPOLATORS[name] = fn
+
+
+def interpolate(name: str, pairs: DataFrame, k: int, width: int, height: int) -> DataFrame:
+    if name not in INTERPOLATORS:
+        raise ValueError(f"unknown interpolator {name}; known: {sorted(INTERPOLATORS)}")
+    return INTERPOLATORS[name](pairs, k, width, height)
+
+
+register_interpolator("log_blend", interpolate_frames)
+register_interpolator("later_first", lambda pairs, k, width, height: interpolate_frames(pairs, k, width, height, blend="later"))

@@ -61,7 +61,7 @@ def paired_summary(pairs: DataFrame, keys: list[str], rules: dict[str, str] | No
     g = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"), F.avg("base").alias("base_mean"), F.avg("cand").alias("cand_mean"), F.avg("delta").alias("mean_delta"),
         F.count_if(c("delta") > 0).alias("increased"), F.count_if(c("delta") < 0).alias("decreased"))
-    med = ev.exact_quantiles(pairs, keys, "delta", [0.5], width).withColumnRenamed("q0", "median_delta")
+    med = ev.exact_quantiles(pairs, keys, "delta", [0.5], width, levels=1).withColumnRenamed("q0", "median_delta")
     way = direction(c("metric"), rules)
     return g.join(med, keys).select(
         *keys, "pairs", "base_mean", "cand_mean", "mean_delta", "median_delta",

@@ -160,7 +160,7 @@ def edge_fill(spark, sf):
 
 
 @query("G8", f"""o AS (SELECT dy, dx, CASE WHEN dy = 0 AND dx = 0 THEN 0 ELSE 1 + (dy + 1) * 3 + dx + 1 END AS pref FROM generate_series(-1, 1) a(dy), generate_series(-1, 1) b(dx)),
-  c AS (SELECT episode, camera, frame_index, (y + dy + {N}) % {N} AS y, (x + dx + {N}) % {N} AS x, pref, mvx, mvy, mvx * mvx + mvy * mvy AS mag FROM v_pixels, o)
+  c AS (SELECT episode, camera, frame_index, ((y + dy + {N}) % {N})::INT AS y, ((x + dx + {N}) % {N})::INT AS x, pref, mvx, mvy, mvx * mvx + mvy * mvy AS mag FROM v_pixels, o)
   SELECT {KEY}, mvx, mvy FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY mag DESC, pref) AS rn FROM c) WHERE rn = 1""", "v_pixels")
 def dilate_motion(spark, sf):
     return px.dilate_motion(v.v_pixels(spark, sf), N, N)

@@ -78,6 +78,25 @@ def provenance(spark, sf):
     return s.select(F.to_json(doc).alias("doc"))
 
 
+@query("S3", """SELECT sample_index, success, split, size_bytes % 1000 AS frame_count, sample_index % 7 AS wrist FROM v_samples""", "v_samples")
+def read_samples(spark, sf):
+    """Dataset documents of up to a hundred samples each, written as JSON and scanned back."""
+    i = F.col("sample_index")
+    row = F.struct("sample_index", "success", "split", (F.col("size_bytes") % 1000).alias("frame_count"), F.create_map(F.lit("wrist"), i % 7).alias("event_counts"))
+    path = shared_folder(spark, "documents")
+    v.v_samples(spark, sf).groupBy(F.floor(i / 100).alias("part")).agg(F.collect_list(row).alias("samples")).select("samples").write.json(path)
+    d = readers.read_samples(spark, path, one_per_file=False)
+    return d.select("sample_index", "success", "split", "frame_count", F.col("event_counts")["wrist"].alias("wrist"))
+
+
+@query("S6", "SELECT episode AS demo, 1::BIGINT AS files FROM v_events GROUP BY episode", "v_events")
+def scan_demos(spark, sf):
+    """One folder per episode with one file each; only metadata is listed."""
+    path = shared_folder(spark, "demos")
+    v.v_events(spark, sf).withColumn("demo", F.col("episode")).repartition("demo").write.partitionBy("demo").parquet(path)
+    return readers.scan_demos(spark, path, "parquet").select("demo", "files")
+
+
 @query("S12 F22", """SELECT sample_index, coalesce(split, 'unsplit') AS split, success, 'auto' AS reason, sample_index + 7 AS seed, sample_index % 50 AS frame_count, sample_index % 100 AS wrist, sample_index % 10 AS side FROM v_samples""", "v_samples")
 def sample_index(spark, sf):
     d = writers.sample_index(provenance(spark, sf))

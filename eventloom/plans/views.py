@@ -27,8 +27,10 @@ def micros(c) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp")) if isinstance(c, str) else F.unix_micros(c.cast("timestamp"))
 
 
-def v_events(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+def v_events(spark, sf, stored=None) -> DataFrame:
+    """Events; ``stored`` is a condition on the stored columns, for pruning at the reader."""
+    e = table(spark, sf, "events")
+    e = (e if stored is None else e.where(stored)).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     u, i, k = F.col("user_id"), F.col("event_id"), F.col("k")
     return e.select(
         (u % 4).alias("episode"),

@@ -43,10 +43,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).json(path, multiLine=True)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry of ``samples`` in the dataset document."""
+def read_samples(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """One row per entry of ``samples`` in dataset documents (one per file, or one per line)."""
     row = T.StructType.fromDDL(schemas.SAMPLES)
-    doc = spark.read.schema(T.StructType([T.StructField("samples", T.ArrayType(row))])).json(path, multiLine=True)
+    doc = spark.read.schema(T.StructType([T.StructField("samples", T.ArrayType(row))])).json(path, multiLine=one_per_file)
     return doc.select(F.inline("samples"))
 
 
@@ -89,7 +89,7 @@ def scan_demos(spark: SparkSession, root: str, suffix: str = "h5") -> DataFrame:
     Only file metadata is listed; contents are never read.
     """
     f = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(root)
-    f = f.select("path", "length", F.regexp_extract("path", r"demo(\d+)", 1).alias("_n")).where("_n <> ''")
+    f = f.select("path", "length", F.regexp_extract("path", r"demo=?(\d+)", 1).alias("_n")).where("_n <> ''")
     f = f.withColumn("demo", F.col("_n").cast("long")).drop("_n")
     n = f.groupBy("demo").agg(F.count(F.lit(1)).alias("files"))
     return f.join(n, "demo")

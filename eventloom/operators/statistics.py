@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -81,11 +82,12 @@ def fairness(checks: DataFrame, cols: list[str]) -> DataFrame:
 
 # -- t interval ---------------------------------------------------------------------------
 
+@functools.lru_cache(None)
 def t_critical(df: int, level: float = 0.975) -> float:
     """Student t quantile by bisection on the distribution function (Simpson's rule)."""
     norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
 
-    def cdf(x, n=4000):
+    def cdf(x, n=400):
         # substitute t = tan(u) so that heavy tails stay on a short interval
         h = math.atan(x) / n
         f = lambda u: (1 + math.tan(u) ** 2 / df) ** (-(df + 1) / 2) / math.cos(u) ** 2
@@ -93,7 +95,7 @@ def t_critical(df: int, level: float = 0.975) -> float:
         return 0.5 + norm * s * h / 3
 
     lo, hi = 0.0, 64.0
-    for _ in range(60):
+    for _ in range(50):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cdf(mid) < level else (lo, mid)
     return (lo + hi) / 2

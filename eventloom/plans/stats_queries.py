@@ -81,8 +81,11 @@ def fairness(spark, sf):
     return st.fairness(g, ["state_exact", "seg_exact"])
 
 
+T_TABLE = "(VALUES " + ", ".join(f"({d + 1}, {st.t_critical(d)!r}::DOUBLE)" for d in range(1, st.T_SMALL + 1)) + ") t(n, tc)"
+
+
 @query("A19", f"""{REP}, g AS (SELECT metric, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS std, min(delta) AS min, max(delta) AS max FROM pr GROUP BY metric)
-  SELECT metric, n, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(mean - 2.1603686564610127::DOUBLE * std / sqrt(n), 6) AS ci_low, round(mean + 2.1603686564610127::DOUBLE * std / sqrt(n), 6) AS ci_high FROM g""", "v_events")
+  SELECT metric, n, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(mean - tc * std / sqrt(n), 6) AS ci_low, round(mean + tc * std / sqrt(n), 6) AS ci_high FROM g JOIN {T_TABLE} USING (n)""", "v_events")
 def t_summary(spark, sf):
     return r6(st.t_summary(pairs(spark, sf), ["metric"], "delta"))
 

@@ -31,9 +31,12 @@ def stream_latest(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     return df.groupBy(*keys).agg(m).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in dict.fromkeys([*order, *cols])])
 
 
-def run_available(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str], mode: str = "update", state_partitions: int | None = None) -> DataFrame:
     """Run to the end of what is available and return the newest emitted row per key.
 
+    A stream keeps the number of state partitions it starts with, so it is set here: by
+    default one per core of the cluster.
+
     Micro-batches are written to the shared folder with their number, overwriting a
     repeated batch, so a restarted batch leaves one copy.
     """
@@ -43,8 +46,14 @@ def run_available(stream: DataFrame, keys: list[str], mode: str = "update") -> D
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
-    q.awaitTermination()
+    conf = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     best = F.max_by(F.struct(*stream.columns), "batch").alias("_r")
     return rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(best).select("_r.*")

@@ -111,10 +111,11 @@ def refractory(df: DataFrame, keys: list[str], order: list[str], gap: float, wid
 
     A chunk's effect on the last kept time is a step function of it with few steps: only
     entries within one gap of the chunk matter, and their chains of kept rows soon merge.
-    ``width`` should be many gaps.
+    ``width`` should be many gaps. Only keys and order columns, which must not be NULL, pass
+    through Python; other columns come back by a semi join.
     """
     t = order[0]
-    names = df.columns
+    names = [*keys, *order]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     kind = "bigint" if types[t] in ("bigint", "int") else "double"
 
@@ -168,14 +169,20 @@ def refractory(df: DataFrame, keys: list[str], order: list[str], gap: float, wid
             i = nxt[i]
         return {c: b[c][kept] for c in names}
 
-    return chunked.chunk_scan(
-        df, keys, order, width, summary=summary, summary_schema=f"c_upto {kind}, t_exit {kind}", entries=entries,
+    kept = chunked.chunk_scan(
+        df.select(*names), keys, order, width, summary=summary, summary_schema=f"c_upto {kind}, t_exit {kind}", entries=entries,
         entry_schema=f"_has boolean, _entry {kind}", replay=replay, out_schema=", ".join(f"`{n}` {types[n]}" for n in names))
+    if set(df.columns) <= set(names):
+        return kept.select(*df.columns)
+    return df.join(kept, names, "left_semi")
 
 
 def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: str, b: str, width, out: str) -> DataFrame:
-    """y_t = a_t * y_(t-1) + b_t per key. Affine maps compose, so one pair per chunk carries the state."""
-    names = [n for n in df.columns if n not in (a, b)]
+    """y_t = a_t * y_(t-1) + b_t per key. Affine maps compose, so one pair per chunk carries the state.
+
+    Keys, order columns, a and b must not be NULL; other columns are joined back.
+    """
+    names = [*keys, *order]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def fold(slopes, shifts, y):
@@ -202,9 +209,11 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: str, b: str
 
         return {**{n: blk[n] for n in names}, out: np.array(fold(blk[a], blk[b], float(blk["_entry"][0])))}
 
-    return chunked.chunk_scan(
-        df, keys, order, width, summary=summary, summary_schema="_pa double, _pb double", entries=entries, entry_schema="_entry double",
+    got = chunked.chunk_scan(
+        df.select(*names, a, b), keys, order, width, summary=summary, summary_schema="_pa double, _pb double", entries=entries, entry_schema="_entry double",
         replay=replay, out_schema=", ".join(f"`{n}` {types[n]}" for n in names) + f", {out} double")
+    rest = [c for c in df.columns if c not in (a, b)]
+    return got if set(rest) <= set(names) else df.select(*rest).join(got, names)
 
 
 def lowpass(df: DataFrame, keys: list[str], order: list[str], value: str, tau: float, width, rate: Column | None = None, out: str = "smooth") -> DataFrame:

@@ -125,3 +125,12 @@ def test_exact_quantiles(spark, width):
     got = {r.k: [r[f"q{i}"] for i in range(5)] for r in ev.exact_quantiles(d, ["k"], "v", probs, width).collect()}
     for k, g in d.toPandas().groupby("k"):
         np.testing.assert_allclose(got[k], np.quantile(g.v.dropna(), probs), atol=1e-12)
+
+
+def test_refractory_keeps_null_columns_exact(spark):
+    big = 2**60 + 1
+    d = spark.createDataFrame([(1, 0, big, None), (1, 5, None, "x"), (1, 20, big + 2, "y")], "k long, t long, n long, s string")
+    got = sorted((r.t, r.n, r.s) for r in se.refractory(d, ["k"], ["t"], 10, 100).collect())
+    assert got == [(0, big, None), (20, big + 2, "y")]
+    y = {r.t: (r.n, r.smooth) for r in se.lowpass(d.withColumn("v", F.lit(2.0)), ["k"], ["t"], "v", 10, 7).collect()}
+    assert y == {0: (big, 2.0), 5: (None, 2.0), 20: (big + 2, 2.0)}

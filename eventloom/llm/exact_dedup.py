@@ -88,3 +88,22 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, digest: Column
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Of repeated rows of one id and text the one with the least other columns stays.
+    """
+    kept = pin(exact_dedup(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")), "kept-texts")
+    return only(docs, kept)
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named in ``kept(_id, _sha)``, one each."""
+    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return found.select(*docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    return found.groupBy("doc_id", "_key").agg(F.min(F.struct(*others)).alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])

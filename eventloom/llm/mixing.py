@@ -144,3 +144,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .agg(F.sum(F.col("words") * F.coalesce("hit", F.lit(0).cast("long"))).alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, all columns kept: each as often as the words taken of it, over its size, round to."""
+    keys = ["doc_id", "source", "size"]
+    taken = mix(docs).groupBy(*keys).agg((F.sum("taken") / F.count("*")).alias("_taken")).withColumnsRenamed({c: f"_{c}" for c in keys})
+    times = F.round(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1))).cast("int")
+    taken = pin(taken.select("_doc_id", "_source", "_size", times.alias("_times")).filter("_times > 0"), "mix-taken")
+    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return sized.join(taken, same).withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, mixing
+from eventloom.llm import exact_dedup, language, mixing, pieces, simhash
 from eventloom.llm.common import documents
 from eventloom.session import tune
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(tune(spark), sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(tune(spark), sf_dir), PIECES)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(tune(spark), sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op6_exact_dedup)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(tune(spark), sf_dir), PIECES)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(tune(spark), sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_piece_coding, op6_exact_dedup, op8_language, op9_simhash)}
 
 SQL = {
     "op6_exact_dedup": """

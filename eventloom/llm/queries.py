@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, language, mixing, pieces, simhash
+from eventloom.llm import exact_dedup, fuzzy_lines, language, mixing, pieces, repeats, simhash, topk, units
 from eventloom.llm.common import documents
 from eventloom.session import tune
 
@@ -20,10 +21,24 @@ def op3_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(tune(spark), sf_dir), PIECES)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(tune(spark), sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = units.substring_dedup(documents(tune(spark), sf_dir))
+    return found.select("doc_id", "n_units", "n_removed", "spans", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(tune(spark), sf_dir))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/embeddings.parquet"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(tune(spark), sf_dir), PIECES)
 
@@ -32,7 +47,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(tune(spark), sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_piece_coding, op6_exact_dedup, op8_language, op9_simhash)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_dedup(documents(tune(spark), sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines)}
 
 SQL = {
     "op6_exact_dedup": """

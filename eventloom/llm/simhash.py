@@ -166,7 +166,9 @@ def links(tiled: DataFrame, radius: int = RADIUS) -> DataFrame:
     batches(tiled.sparkSession, 200)
     left = tiled.select(F.col("tile").alias("a"), F.col("content").alias("x"))
     right = tiled.select(F.col("tile").alias("b"), F.col("content").alias("y"))
-    return tile_pairs(tiled, radius).join(left, "a").join(right, "b").select("x", "y").mapInArrow(run, "a long, b long").filter("a != b")
+    pairs = pin(tile_pairs(tiled, radius), "tile-pairs")
+    # some 16 pairs a task, however few bytes they are
+    return pairs.join(left, "a").repartition(max(1, pairs.count() // 16), "b").join(right, "b").select("x", "y").mapInArrow(run, "a long, b long").filter("a != b")
 
 
 def _rooted(prints: DataFrame, radius: int, tile: int) -> DataFrame:

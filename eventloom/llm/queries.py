@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, fuzzy_lines, language, mixing, pieces, repeats, simhash, topk, units
+from eventloom.llm import exact_dedup, fuzzy_lines, language, mixing, ngrams, pieces, repeats, simhash, topk, units
 from eventloom.llm.common import documents
 from eventloom.session import tune
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(documents(tune(spark), sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(tune(spark), sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,7 +55,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_dedup(documents(tune(spark), sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines)}
 
 SQL = {
     "op6_exact_dedup": """

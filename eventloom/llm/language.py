@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import batches, remainder
+from eventloom.llm.common import batches, pin, remainder
 
 #: Documents of each language that the model is fitted on, at most.
 SAMPLE_DOCS = 1500
@@ -132,14 +132,19 @@ def words_of(text: str) -> list[str]:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, folds: int = 5) -> DataFrame:
-    """lang, text of the ``per_language`` documents of each language with the smallest digest of their id.
+    """lang, text of some ``per_language`` documents of each language, never more: those with the smallest digests.
 
-    Only rows with a language, a text, and crc32 of the id not divisible by ``folds``.
+    Only rows with a language, a text, and crc32 of the id not divisible by ``folds``. The
+    digests that can be among the smallest follow from the language's number of documents,
+    so the others are left out before anything is sent.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "text")
-    ids = known.select("lang", "text", F.row_number().over(first).alias("r"))
-    return ids.filter(F.col("r") <= per_language).select("lang", "text")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), folds) != 0)).select("doc_id", "lang", "text")
+    counts = pin(known.groupBy("lang").agg(F.count("*").alias("n")), "language-counts").withColumnRenamed("lang", "_lang")
+    digest = F.xxhash64(F.lit(5), "doc_id")
+    share = (per_language + 6 * per_language**0.5 + 10) / F.col("n")
+    near = known.join(counts, F.col("lang") == F.col("_lang")).filter(F.pmod(digest, F.lit(1 << 40)) < share * float(1 << 40))
+    first = Window.partitionBy("lang").orderBy(F.pmod(digest, F.lit(1 << 40)), "doc_id", "text")
+    return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("lang", "text")
 
 
 def fit(labelled: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:

@@ -188,6 +188,8 @@ class Trie:
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """The code of each key plus one; 0 for a key that is not there."""
         at = np.full(len(keys), -1)
+        if not len(self.codes):
+            return np.zeros(len(keys), np.int64)
         context = self.contexts.find(keys >> _HALF)
         known = np.flatnonzero(context >= 0)
         if len(known):

@@ -161,7 +161,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE,
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all rows of the
     same number of components, except those of the query's own id. Fewer candidates than k:
-    all of them. Ties go to the smaller vec_id; repeated rows are candidates of their own.
+    all of them. Ties go to the smaller vec_id. Repeated rows are candidates of their own,
+    but one query: of different vectors of a query's id, the shortest and then least one.
     Empty vectors score 0. See :func:`usable` for what takes no part. Scores are exact as
     long as they fit a long. An empty table, or no query, gives no rows.
     """
@@ -169,7 +170,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE,
     per = pin(rows.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.count_if(F.col("vec_id") % every == 0) / block).alias("blocks")), "vector-counts")
     known = rows.join(per.filter("blocks > 0"), "dim")
     shards = _packed(known.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id"), "shards")).select("dim", "shard", "vec_id", "v"), "shard")
-    blocks = _packed(known.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "vec_id"), "blocks")).select("dim", "block", "vec_id", "v"), "block")
+    asked = known.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "blocks")).alias("q")).select("vec_id", "q.*")
+    blocks = _packed(asked.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "vec_id"), "blocks")).select("dim", "block", "vec_id", "v"), "block")
     # each shard meets each block: the pair is the key, on both sides
     left = shards.join(per, "dim").select("dim", "shard", "ids", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     right = blocks.join(per, "dim").select("dim", "block", F.col("ids").alias("q_ids"), F.col("content").alias("q_content"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))

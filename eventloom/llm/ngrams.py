@@ -277,8 +277,9 @@ class _Block:
         if text:
             number = self.number
             ws = text.encode().lower().split()
-            for w in set(ws) - number.keys():
-                number[w] = len(number)
+            for w in set(ws):
+                if w not in number:
+                    number[w] = len(number)
             self.tokens.extend(map(number.__getitem__, ws))
         self.tokens.append(0)
         self.starts.append(len(self.tokens))

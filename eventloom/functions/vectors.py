@@ -48,7 +48,8 @@ def array_norm(v: Column) -> Column:
 
 
 def rounded(v: Column, digits: int = 6) -> Column:
-    return F.transform(v, lambda a: F.round(a, digits))
+    """Rounded components; zero has no sign."""
+    return F.transform(v, lambda a: F.round(a, digits) + F.lit(0.0))
 
 
 def allclose(a: Column, b: Column, atol: float = 1e-6, rtol: float = 1e-5) -> Column:

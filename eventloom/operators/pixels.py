@@ -304,14 +304,15 @@ def splat(points: DataFrame, keys: list[str], width: int, height: int, values: l
 
 
 def knots(pairs: DataFrame, base: int, factor: int = 2, motion_px: float = 1.0, log_step: float = 0.15) -> DataFrame:
-    """Steps per frame gap: base, or more for fast motion (q99) or light change (q90), capped."""
+    """Steps per frame gap: base, or more for fast motion (q99) or light change (q90), capped; a base or factor of 1 stays."""
     m = lambda a, b: F.sqrt(a * a + b * b)
     c = F.col
     motion = F.greatest(m(c("mvx"), c("mvy")), m(c("next_mvx"), c("next_mvy")))
     dlog = F.abs(light.log_lum(c("next_r"), c("next_g"), c("next_b")) - light.log_lum(c("r"), c("g"), c("b")))
     g = pairs.groupBy(*FRAME).agg(F.percentile(motion, 0.99).alias("_m"), F.percentile(dlog, 0.90).alias("_l"))
     k = F.greatest(F.lit(base), F.ceil(F.col("_m") / motion_px), F.ceil(F.col("_l") / log_step))
-    return g.select(*FRAME, F.least(F.lit(base * factor), k).cast("int").alias("knots"))
+    k = F.lit(base) if base == 1 or factor == 1 else F.least(F.lit(base * factor), k)
+    return g.select(*FRAME, k.cast("int").alias("knots"))
 
 
 def interpolate_frames(pairs: DataFrame, k: int, width: int, height: int, beta: float = 12.0, margin: int = 1, blend: str = "log",

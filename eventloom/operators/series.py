@@ -1,11 +1,10 @@
-"""Keyed series: send-on-delta encoding, minimum-gap filter, smoothing, noise."""
+"""Keyed series: send-on-delta encoding, minimum-gap filter, smoothing, rings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions import counter
 from eventloom.functions.rotation import clip
 from eventloom.operators import chunked
 
@@ -232,35 +231,3 @@ def bin_ring(sums: DataFrame, keys: list[str], bin_col: str, value: str, n: int)
     w = Window.partitionBy(*keys).orderBy(F.desc(bin_col))
     top = last.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     return top.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(bin_col, value))), lambda s: s[value]).alias("ring"))
-
-
-def pixel_thresholds(df: DataFrame, ids: list[str], theta: float, sigma: float, on_off: float, least: float, seed: int) -> DataFrame:
-    """Fixed per-pixel ON and OFF thresholds."""
-    c = [F.col(i) for i in ids]
-    return df.withColumns({
-        "theta_on": F.greatest(theta * on_off + sigma * counter.normal(seed, "on", *c), F.lit(least)),
-        "theta_off": F.greatest(theta + sigma * counter.normal(seed, "off", *c), F.lit(least)),
-    })
-
-
-def add_noise(df: DataFrame, ids: list[str], step: str, dt: Column, brightness: Column, seed: int, *, leak_hz: float = 0.1,
-              shot_hz: float = 0.1, hot_share: float = 1e-4, hot_hz: float = 300.0) -> DataFrame:
-    """Seeded background events: leak (ON), shot (darker means more), hot pixels; ON wins over OFF.
-
-    Emits one row per pixel and step with an event, polarity ``p``. The minimum-gap filter
-    is applied afterwards with ``refractory``.
-    """
-    c = F.col
-    pix = [c(i) for i in ids]
-    row = [*pix, c(step)]
-    u = lambda kind: counter.uniform(seed, kind, *row)
-    dark = 1 - clip(brightness, 0, 1)
-    d = df.withColumn("_dt", F.greatest(dt, F.lit(0.0)))
-    leak = u("leak") < leak_hz * c("_dt")
-    shot = u("shot") < shot_hz * c("_dt") * dark
-    hot = (counter.uniform(seed, "hot-pixel", *pix) < hot_share) & (u("hot") < hot_hz * c("_dt"))
-    shot_on, hot_on = u("shot-side") < 0.5, u("hot-side") < 0.5
-    on = leak | (shot & shot_on) | (hot & hot_on)
-    off = (shot & ~shot_on) | (hot & ~hot_on)
-    d = d.withColumn("p", F.when(on, 1).when(off, -1)).drop("_dt")
-    return d.where(F.col("p").isNotNull())

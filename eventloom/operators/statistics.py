@@ -82,37 +82,50 @@ def fairness(checks: DataFrame, cols: list[str]) -> DataFrame:
 
 # -- t interval ---------------------------------------------------------------------------
 
+def t_quantiles(df, level: float = 0.975):
+    """Student t quantiles of many degrees of freedom (array): bisection on the distribution function.
+
+    With t = tan(u) both tails lie on one short interval. The distribution function is the
+    ratio of two Simpson sums of the density there, so no norm is needed, and one method
+    serves every df.
+    """
+    import numpy as np
+
+    df = np.asarray(df, float)[:, None]
+    n = 2000
+    weights = np.ones(n + 1)
+    weights[1:-1:2], weights[2:-1:2] = 4, 2
+
+    def mass(x):
+        u = np.arctan(x) * (np.arange(n + 1) / n)
+        # log of density times dt/du; near pi/2 the density of df = 1 stays constant
+        f = np.exp(-(df + 1) / 2 * np.log1p(np.tan(u) ** 2 / df) - 2 * np.log(np.cos(u)))
+        return (f * weights).sum(axis=1, keepdims=True) * np.arctan(x) / n
+
+    half = mass(np.full_like(df, np.inf))
+    lo, hi = np.zeros_like(df), np.full_like(df, 1e3)
+    for _ in range(70):
+        mid = (lo + hi) / 2
+        below = 0.5 + mass(mid) / (2 * half) < level
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return ((lo + hi) / 2).ravel()
+
+
 @functools.lru_cache(None)
 def t_critical(df: int, level: float = 0.975) -> float:
-    """Student t quantile by bisection on the distribution function (Simpson's rule)."""
-    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
-
-    def cdf(x, n=400):
-        # substitute t = tan(u) so that heavy tails stay on a short interval
-        h = math.atan(x) / n
-        f = lambda u: (1 + math.tan(u) ** 2 / df) ** (-(df + 1) / 2) / math.cos(u) ** 2
-        s = f(0) + f(n * h) + 4 * sum(f((2 * i + 1) * h) for i in range(n // 2)) + 2 * sum(f(2 * i * h) for i in range(1, n // 2))
-        return 0.5 + norm * s * h / 3
-
-    lo, hi = 0.0, 64.0
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < level else (lo, mid)
-    return (lo + hi) / 2
+    return float(t_quantiles([df], level)[0])
 
 
-T_SMALL = 30
+def with_t(g: DataFrame, n: str = "n", out: str = "_t") -> DataFrame:
+    """``g`` with the two-sided 95 % critical value for its sample sizes, found once for each different size."""
 
+    def find(it):
+        for pdf in it:
+            pdf[out] = t_quantiles(pdf["_n"] - 1)
+            yield pdf
 
-def t_value(n: Column) -> Column:
-    """Two-sided 95 % critical value for n samples: exact up to 30 degrees of freedom, then a series in 1/df."""
-    df = n - 1
-    z = 1.959963984540054
-    g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
-         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
-    e = F.lit(z) + g[0] / df + g[1] / (df * df) + g[2] / (df * df * df) + g[3] / (df * df * df * df)
-    table = F.array(*[F.lit(t_critical(d)) for d in range(1, T_SMALL + 1)])
-    return F.when(df <= T_SMALL, F.try_element_at(table, df.cast("int"))).otherwise(e)
+    sizes = g.select(F.col(n).alias("_n")).where(F.col(n) > 1).distinct().mapInPandas(find, f"_n long, {out} double")
+    return g.join(sizes, F.col(n) == F.col("_n"), "left").drop("_n")
 
 
 def t_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -120,8 +133,8 @@ def t_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     c = F.col
     g = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    half = F.when(c("n") > 1, t_value(c("n")) * c("std") / F.sqrt(c("n"))).otherwise(F.lit(0.0))
-    return g.withColumns({"ci_low": c("mean") - half, "ci_high": c("mean") + half})
+    half = F.when(c("n") > 1, c("_t") * c("std") / F.sqrt(c("n"))).otherwise(F.lit(0.0))
+    return with_t(g).withColumns({"ci_low": c("mean") - half, "ci_high": c("mean") + half}).drop("_t")
 
 
 # -- resampling and ranks -------------------------------------------------------------------
@@ -144,36 +157,39 @@ def bootstrap_ci(pairs: DataFrame, keys: list[str], order: list[str], b: int, se
     return means.groupBy(*keys).agg(q.alias("_q")).select(*keys, c("_q")[0].alias("ci_low"), c("_q")[1].alias("ci_high"))
 
 
-def wilcoxon(pairs: DataFrame, keys: list[str], exact_upto: int = 50, width: float = 1.0) -> DataFrame:
+def wilcoxon(pairs: DataFrame, keys: list[str], method: str = "exact", width: float = 1.0) -> DataFrame:
     """Two-sided signed-rank test with zeros dropped and mid-ranks for ties.
 
-    Up to ``exact_upto`` pairs the null distribution is counted exactly by adding one rank
-    at a time; beyond that the normal approximation with tie correction is used. Ranks come
-    from chunked running counts of distinct sizes, so a metric with very many pairs splits.
+    ``method`` is the caller's choice, never the data's: "exact" builds the null distribution
+    by adding one rank at a time, as probabilities that are halved on the way, so that they
+    stay in range for any number of pairs; "normal" is the approximation with tie
+    correction. Ranks come from chunked running counts of distinct sizes, so a metric with
+    very many pairs splits.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError("method is exact or normal")
     c = F.col
     d = pairs.where("delta <> 0").select(*keys, F.abs("delta").alias("_a"), (F.col("delta") > 0).alias("_pos"))
     g = d.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_c"), F.count_if("_pos").alias("_cp"))
     g = chunked.running_sum(g, keys, ["_a"], {"_upto": c("_c")}, width)
     g = g.withColumn("_rank2", 2 * c("_upto") - c("_c") + 1)  # twice the mid-rank
-    n = F.sum("_c")
-    s = g.groupBy(*keys).agg(
-        n.alias("n"), F.sum(c("_rank2") * c("_cp")).alias("_w2"), F.sum(c("_c") * c("_c") * c("_c") - c("_c")).alias("_ties"))
-    small = g.join(s.where(c("n") <= exact_upto).select(*keys), keys, "left_semi")
-    ranks = small.groupBy(*keys).agg(F.flatten(F.collect_list(F.array_repeat(c("_rank2").cast("int"), c("_c").cast("int")))).alias("_ranks"))
-    s = s.join(ranks, keys, "left")
-    total = (c("n") * (c("n") + 1)).cast("int")
-    start = F.transform(F.sequence(F.lit(0), total), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    ways = F.aggregate("_ranks", start, lambda acc, r: F.transform(acc, lambda v, i: v + F.when(i >= r, F.get(acc, i - r)).otherwise(F.lit(0.0))))
-    s = s.withColumn("_ways", F.when(c("_ranks").isNotNull(), ways))
-    w = c("_w2").cast("int")
-    low = F.aggregate(F.slice("_ways", F.lit(1), w + 1), F.lit(0.0), lambda a, v: a + v)
-    high = F.aggregate(F.slice("_ways", w + 1, total - w + 1), F.lit(0.0), lambda a, v: a + v)
-    # least() skips NULLs, so the exact value needs its own guard
-    exact = F.when(c("_ways").isNotNull(), F.least(F.lit(1.0), 2 * F.least(low, high) / F.pow(F.lit(2.0), c("n"))))
-    var = c("n") * (c("n") + 1) * (2 * c("n") + 1) / 24.0 - c("_ties") / 48.0
-    z = F.abs(c("_w2") / 2.0 - c("n") * (c("n") + 1) / 4.0) / F.sqrt(var)
-    return s.select(*keys, "n", (c("_w2") / 2.0).alias("w_plus"), F.coalesce(exact, _two_sided(z)).alias("p_value"))
+    n, w2, ties = F.sum("_c"), F.sum(c("_rank2") * c("_cp")), F.sum(c("_c") * c("_c") * c("_c") - c("_c"))
+    if method == "normal":
+        s = g.groupBy(*keys).agg(n.alias("n"), w2.alias("_w2"), ties.alias("_ties"))
+        var = c("n") * (c("n") + 1) * (2 * c("n") + 1) / 24.0 - c("_ties") / 48.0
+        p = _two_sided(F.abs(c("_w2") / 2.0 - c("n") * (c("n") + 1) / 4.0) / F.sqrt(var))
+    else:
+        ranks = F.flatten(F.collect_list(F.array_repeat(c("_rank2").cast("int"), c("_c").cast("int"))))
+        s = g.groupBy(*keys).agg(n.alias("n"), w2.alias("_w2"), ranks.alias("_ranks"))
+        total = (c("n") * (c("n") + 1)).cast("int")
+        start = F.transform(F.sequence(F.lit(0), total), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        mass = F.aggregate("_ranks", start, lambda acc, r: F.transform(acc, lambda v, i: (v + F.when(i >= r, F.get(acc, i - r)).otherwise(F.lit(0.0))) / 2))
+        s = s.withColumn("_mass", mass)
+        w = c("_w2").cast("int")
+        low = F.aggregate(F.slice("_mass", F.lit(1), w + 1), F.lit(0.0), lambda a, v: a + v)
+        high = F.aggregate(F.slice("_mass", w + 1, total - w + 1), F.lit(0.0), lambda a, v: a + v)
+        p = F.least(F.lit(1.0), 2 * F.least(low, high))
+    return s.select(*keys, "n", (c("_w2") / 2.0).alias("w_plus"), p.alias("p_value"))
 
 
 def _two_sided(z: Column) -> Column:

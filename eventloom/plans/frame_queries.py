@@ -27,7 +27,7 @@ ROLL = s_mod("atan2(2 * (qw * qx + qy * qz), 1 - 2 * (qx * qx + qy * qy))")
 PITCH = "asin(least(greatest(2 * (qw * qy - qz * qx), -1.0::DOUBLE), 1.0::DOUBLE))"
 YAW = s_mod("atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz))")
 STATE = f"st AS (SELECT *, [ee_x, ee_y, ee_z, {ROLL}, {PITCH}, {YAW}] AS state, [ee_x * 1.1::DOUBLE, ee_y * 0.9::DOUBLE, ee_z, {YAW}, {PITCH}, {ROLL}, gripper] AS action FROM v_frames)"
-R6 = "list_transform({0}, lambda a: round(a, 6))"
+R6 = "list_transform({0}, lambda a: round(a, 6) + 0.0::DOUBLE)"
 
 
 def s_cross(a, b):
@@ -106,11 +106,11 @@ def undo_delta(spark, sf):
 
 
 @query("A20 F8", f"""{STATE}, s AS (SELECT {', '.join(f'avg(state[{i}]) AS m{i}, greatest(stddev_pop(state[{i}]), 1e-6) AS d{i}' for i in range(1, 7))} FROM st)
-  SELECT episode, frame_index, [{', '.join(f'round((state[{i}] - m{i}) / d{i}, 5)' for i in range(1, 7))}] AS z FROM st, s""", "v_frames")
+  SELECT episode, frame_index, [{', '.join(f'round((state[{i}] - m{i}) / d{i}, 5) + 0.0::DOUBLE' for i in range(1, 7))}] AS z FROM st, s""", "v_frames")
 def zscore(spark, sf):
     st = states(spark, sf).select("episode", "frame_index", "state")
     s = fr.stat_vectors(fr.vector_stats(st, "state", 6), 6).scalar()
-    z = [F.round((F.col("state")[i] - s["mean"][i]) / s["std"][i], 5) for i in range(6)]
+    z = [F.round((F.col("state")[i] - s["mean"][i]) / s["std"][i], 5) + F.lit(0.0) for i in range(6)]
     return st.select("episode", "frame_index", F.array(*z).alias("z"))
 
 

@@ -51,7 +51,9 @@ def crop(spark, sf):
     return px.crop(v.v_pixels(spark, sf), 1, 2, 2, 1, N, N).select(*PIX, "v")
 
 
-PAIR = f"pr AS (SELECT a.*, b.v AS next_v, b.seg AS next_seg, b.r AS next_r, b.g AS next_g, b.b AS next_b, b.mvx AS next_mvx, b.mvy AS next_mvy, b.depth AS next_depth FROM v_pixels a JOIN v_pixels b ON a.episode = b.episode AND a.camera = b.camera AND a.y = b.y AND a.x = b.x AND b.frame_index = a.frame_index + 1)"
+_NEXT = ("v", "seg", "r", "g", "b", "mvx", "mvy", "depth")
+PAIR = f"""pr AS (SELECT * FROM (SELECT *, {', '.join(f'lead({c}) OVER w AS next_{c}' for c in _NEXT)}, lead(frame_index) OVER w AS next_frame FROM v_pixels
+  WINDOW w AS (PARTITION BY episode, camera, y, x ORDER BY frame_index)) WHERE next_frame = frame_index + 1)"""
 
 
 @query("J5", f"{PAIR} SELECT {KEY}, round(next_v - v, 6) AS dv FROM pr", "v_pixels")

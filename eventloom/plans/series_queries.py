@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.functions import counter
 from eventloom.operators import events as ev
 from eventloom.operators import series as se
 from eventloom.plans import views as v
@@ -104,37 +103,6 @@ def bin_ring(spark, sf):
     return se.bin_ring(e, U, "bin", "q", 8).withColumn("ring", F.transform("ring", lambda a: F.round(a, 6)))
 
 
-def s_u(kind, *ids):
-    text = " || '|' || ".join(["'11'", f"'{kind}'", *[f"({i})::VARCHAR" for i in ids]])
-    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
-
-
-PIXID = ("episode", "camera", "y", "x")
-ROW = (*PIXID, "frame_index")
-
-
-@query("T11", f"""n AS (SELECT *, {s_u('leak', *ROW)} < 0.1::DOUBLE * 0.4::DOUBLE AS leak, {s_u('shot', *ROW)} < 0.5::DOUBLE * 0.4::DOUBLE * (1 - least(greatest(r / 255.0::DOUBLE, 0), 1)) AS shot,
-   {s_u('hot-pixel', *PIXID)} < 0.05::DOUBLE AND {s_u('hot', *ROW)} < 2.0::DOUBLE * 0.4::DOUBLE AS hot, {s_u('shot-side', *ROW)} < 0.5 AS son, {s_u('hot-side', *ROW)} < 0.5 AS hon FROM v_pixels),
-  k AS (SELECT *, CASE WHEN leak OR (shot AND son) OR (hot AND hon) THEN 1 WHEN (shot AND NOT son) OR (hot AND NOT hon) THEN -1 END AS p FROM n)
-  SELECT episode, camera, frame_index, y, x, p FROM k WHERE p IS NOT NULL""", "v_pixels")
-def add_noise(spark, sf):
-    """Seeded background events; md5 counters make them reproducible in any engine."""
-    p = v.v_pixels(spark, sf).select(*PIXID, "frame_index", "r")
-    d = se.add_noise(p, list(PIXID), "frame_index", F.lit(0.4), F.col("r") / 255.0, 11, leak_hz=0.1, shot_hz=0.5, hot_share=0.05, hot_hz=2.0)
-    return d.select("episode", "camera", "frame_index", "y", "x", "p")
-
-
-def s_n(kind, *ids):
-    return f"(sqrt(-2 * ln(1 - {s_u(kind + '-r', *ids)})) * cos(2 * pi() * {s_u(kind + '-a', *ids)}))"
-
-
-@query("T11", f"""SELECT DISTINCT episode, camera, y, x, round(greatest(0.15::DOUBLE * 1.2::DOUBLE + 0.03::DOUBLE * {s_n('on', *PIXID)}, 0.01), 6) AS theta_on, round(greatest(0.15::DOUBLE + 0.03::DOUBLE * {s_n('off', *PIXID)}, 0.01), 6) AS theta_off FROM v_pixels""", "v_pixels")
-def pixel_thresholds(spark, sf):
-    p = v.v_pixels(spark, sf).select(*PIXID).distinct()
-    d = se.pixel_thresholds(p, list(PIXID), 0.15, 0.03, 1.2, 0.01, 11)
-    return d.withColumns({c: F.round(c, 6) for c in ("theta_on", "theta_off")})
-
-
 # -- streams ------------------------------------------------------------------------------
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -154,7 +122,7 @@ def event_stream(spark, sf):
 @query("T1", f"""SELECT t_us // {v.DAY_US} AS bin, episode, camera, CASE WHEN p > 0 THEN 1 ELSE 0 END AS pol, y * 3 // {v.HEIGHT} AS oy, x * 4 // {v.WIDTH} AS ox, round(sum(q), 6) AS wq FROM v_events GROUP BY ALL""", "v_events")
 def stream_voxels(spark, sf):
     """Structured Streaming over the event files, run to the end, equal to the batch result."""
-    s = windows.stream_voxels(event_stream(spark, sf), ["episode", "camera"], "1 day", {"wq": F.col("q")})
+    s = windows.stream_voxels(event_stream(spark, sf), ["episode", "camera"], "1 day", {"wq": F.col("q")}, None)
     d = windows.run_available(s, ["bin_start", "episode", "camera", "pol", "oy", "ox"])
     b = ((F.unix_micros("bin_start") - F.lit(v.ORIGIN_US)) / v.DAY_US).cast("long")
     return d.select(b.alias("bin"), "episode", "camera", "pol", "oy", "ox", F.round("wq", 6).alias("wq"))
@@ -164,7 +132,7 @@ def stream_voxels(spark, sf):
 def stream_history(spark, sf):
     # windows are aligned to the epoch: 19,723 days before the origin, so shift the start by three days
     s = event_stream(spark, sf).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
-    h = windows.stream_history(s, ["episode", "camera"], "8 days", "4 days", {"wq": F.col("q")})
+    h = windows.stream_history(s, ["episode", "camera"], "8 days", "4 days", {"wq": F.col("q")}, None)
     d = windows.run_available(h, ["window_end", "episode", "camera"])
     end = ((F.unix_micros("window_end") - F.lit(v.ORIGIN_US)) / v.DAY_US - 1).cast("long")
     return d.select("episode", "camera", end.alias("end_day"), "n", F.round("wq", 6).alias("wq"))
@@ -190,5 +158,3 @@ def stream_refractory(spark, sf):
     s = stateful.apply(event_stream(spark, sf).select("user_id", "t_us", "event_id"), U, p, "user_id bigint, t_us bigint, event_id bigint")
     return windows.run_available(s, ["event_id"], "append")
 
-
-del counter

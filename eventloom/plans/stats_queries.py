@@ -9,15 +9,13 @@ from eventloom.plans import views as v
 from eventloom.plans.registry import query
 
 RULES = {"polarity_imbalance": "lower", "mean_q": "higher", "mean_value": "higher"}
-RUNS = ("event_id % 2 = 0", "event_id % 3 > 0")
 
 
 def reports(spark, sf):
     """Long metric table of two runs over 14 episodes and three cameras; one metric is empty for one camera."""
-    e = v.v_events(spark, sf).withColumn("episode", F.col("user_id") % 14)
     out = None
-    for name, rule in zip("ab", RUNS):
-        g = e.where(rule).groupBy("episode", "camera").agg(
+    for name, e in zip("ab", v.v_runs(spark, sf), strict=True):
+        g = e.withColumn("episode", F.col("user_id") % 14).groupBy("episode", "camera").agg(
             F.count(F.lit(1)).cast("double").alias("events"), (F.abs(F.sum("p")) / F.count(F.lit(1))).alias("polarity_imbalance"),
             F.round(F.avg("q"), 9).alias("mean_q"), F.when(F.first("camera") == "cam1", F.lit(float("nan"))).otherwise(F.round(F.avg("value"), 9)).alias("mean_value"))
         r = st.long_metrics(g, ["episode", "camera"], ["events", "polarity_imbalance", "mean_q", "mean_value"], "event", name)
@@ -25,19 +23,19 @@ def reports(spark, sf):
     return out
 
 
-def _wide(name, rule):
+def _wide(name):
     return f"""SELECT user_id % 14 AS episode, camera, '{name}' AS version, count(*)::DOUBLE AS events, abs(sum(p)) / count(*) AS polarity_imbalance, round(avg(q), 9) AS mean_q,
-      CASE WHEN any_value(camera) = 'cam1' THEN NULL ELSE round(avg(value), 9) END AS mean_value FROM v_events WHERE {rule} GROUP BY ALL"""
+      CASE WHEN any_value(camera) = 'cam1' THEN NULL ELSE round(avg(value), 9) END AS mean_value FROM v_run_{name} GROUP BY ALL"""
 
 
-REP = f"""rw AS ({_wide('a', RUNS[0])} UNION ALL {_wide('b', RUNS[1])}),
+REP = f"""rw AS ({_wide('a')} UNION ALL {_wide('b')}),
   rp AS ({' UNION ALL '.join(f"SELECT episode, camera, version, 'event' AS kind, '{m}' AS metric, {m}::DOUBLE AS value FROM rw" for m in ('events', 'polarity_imbalance', 'mean_q', 'mean_value'))}),
   em AS (SELECT episode, version, metric, avg(value) AS value FROM rp GROUP BY ALL),
   pr AS (SELECT a.episode, a.metric, a.value AS base, b.value AS cand, b.value - a.value AS delta FROM em a JOIN em b ON a.episode = b.episode AND a.metric = b.metric AND a.version = 'a' AND b.version = 'b' WHERE a.value IS NOT NULL AND b.value IS NOT NULL)"""
 SUMM = """ps AS (SELECT metric, count(*) AS pairs, avg(base) AS base_mean, avg(cand) AS cand_mean, avg(delta) AS mean_delta, quantile_cont(delta, 0.5) AS median_delta, avg(delta) / avg(base) AS relative_delta,
    CASE metric WHEN 'polarity_imbalance' THEN 'lower' WHEN 'events' THEN 'neutral' ELSE 'higher' END AS direction, CASE metric WHEN 'polarity_imbalance' THEN count(*) FILTER (delta < 0) WHEN 'events' THEN NULL ELSE count(*) FILTER (delta > 0) END AS improved,
    count(*) FILTER (delta > 0) AS increased, count(*) FILTER (delta < 0) AS decreased FROM pr GROUP BY metric)"""
-B = 400
+B = 100_000
 BOOT = f"""np AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY episode) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM pr),
   dr AS (SELECT metric, r.r, floor(('0x' || substr(md5('7|boot|' || metric || '|' || r.r || '|' || i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * n)::BIGINT AS j FROM np CROSS JOIN generate_series(0, {B - 1}) r(r)),
   mb AS (SELECT dr.metric, r, avg(delta) AS m FROM dr JOIN np ON np.metric = dr.metric AND np.i = dr.j GROUP BY ALL),
@@ -60,17 +58,17 @@ def r6(d, skip=()):
     return d.withColumns({n: F.round(n, 6) for n in dbl})
 
 
-@query("A16 P8", f"{REP} SELECT episode, version, metric, round(value, 6) AS value FROM em", "v_events")
+@query("A16 P8", f"{REP} SELECT episode, version, metric, round(value, 6) AS value FROM em", "v_run_a v_run_b")
 def episode_mean(spark, sf):
     return r6(st.episode_mean(reports(spark, sf)))
 
 
-@query("J12", f"{REP} SELECT episode, metric, round(base, 6) AS base, round(cand, 6) AS cand, round(delta, 6) AS delta FROM pr", "v_events")
+@query("J12", f"{REP} SELECT episode, metric, round(base, 6) AS base, round(cand, 6) AS cand, round(delta, 6) AS delta FROM pr", "v_run_a v_run_b")
 def pair_runs(spark, sf):
     return r6(pairs(spark, sf))
 
 
-@query("A17", f"{REP}, {SUMM} SELECT metric, {SUM_COLS} FROM ps", "v_events")
+@query("A17", f"{REP}, {SUMM} SELECT metric, {SUM_COLS} FROM ps", "v_run_a v_run_b")
 def paired_summary(spark, sf):
     return r6(st.paired_summary(pairs(spark, sf), ["metric"], RULES))
 
@@ -81,47 +79,48 @@ def fairness(spark, sf):
     return st.fairness(g, ["state_exact", "seg_exact"])
 
 
-T_TABLE = "(VALUES " + ", ".join(f"({d + 1}, {st.t_critical(d)!r}::DOUBLE)" for d in range(1, st.T_SMALL + 1)) + ") t(n, tc)"
+T_TABLE = "(VALUES " + ", ".join(f"({d + 1}, {st.t_critical(d)!r}::DOUBLE)" for d in range(1, 31)) + ") t(n, tc)"
 
 
 @query("A19", f"""{REP}, g AS (SELECT metric, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS std, min(delta) AS min, max(delta) AS max FROM pr GROUP BY metric)
-  SELECT metric, n, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(mean - tc * std / sqrt(n), 6) AS ci_low, round(mean + tc * std / sqrt(n), 6) AS ci_high FROM g JOIN {T_TABLE} USING (n)""", "v_events")
+  SELECT metric, n, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(mean - tc * std / sqrt(n), 6) AS ci_low, round(mean + tc * std / sqrt(n), 6) AS ci_high FROM g JOIN {T_TABLE} USING (n)""", "v_run_a v_run_b")
 def t_summary(spark, sf):
     return r6(st.t_summary(pairs(spark, sf), ["metric"], "delta"))
 
 
-@query("X7", f"{REP}, {BOOT} SELECT metric, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci", "v_events")
+@query("X7", f"{REP}, {BOOT} SELECT metric, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci", "v_run_a v_run_b")
 def bootstrap_ci(spark, sf):
     return r6(st.bootstrap_ci(pairs(spark, sf), ["metric"], ["episode"], B, 7))
 
 
-@query("X8", f"{REP}, {WX} SELECT metric, n, w_plus, round(p_value, 6) AS p_value FROM wx", "v_events")
+@query("X8", f"{REP}, {WX} SELECT metric, n, w_plus, round(p_value, 6) AS p_value FROM wx", "v_run_a v_run_b")
 def wilcoxon(spark, sf):
     return r6(st.wilcoxon(pairs(spark, sf), ["metric"]))
 
 
-@query("X10 A16 A17 X7 X8", f"""{REP}, {SUMM}, {BOOT}, {WX} SELECT metric, {SUM_COLS}, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value FROM ps LEFT JOIN ci USING (metric) LEFT JOIN wx USING (metric)""", "v_events")
+@query("X10 A16 A17 X7 X8", f"""{REP}, {SUMM}, {BOOT}, {WX} SELECT metric, {SUM_COLS}, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value FROM ps LEFT JOIN ci USING (metric) LEFT JOIN wx USING (metric)""", "v_run_a v_run_b")
 def aggregate_pairs(spark, sf):
     return r6(st.aggregate_pairs(reports(spark, sf), [], B, 7, RULES))
 
 
 @query("X10", f"""{REP}, pc AS (SELECT a.camera, a.metric, a.value AS base, b.value AS cand, b.value - a.value AS delta FROM rp a JOIN rp b ON a.episode = b.episode AND a.camera = b.camera AND a.metric = b.metric AND a.version = 'a' AND b.version = 'b' WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
-  {SUMM.replace('SELECT metric', 'SELECT camera, metric').replace('FROM pr GROUP BY metric', 'FROM pc GROUP BY camera, metric')} SELECT camera, metric, {SUM_COLS} FROM ps""", "v_events")
+  {SUMM.replace('SELECT metric', 'SELECT camera, metric').replace('FROM pr GROUP BY metric', 'FROM pc GROUP BY camera, metric')} SELECT camera, metric, {SUM_COLS} FROM ps""", "v_run_a v_run_b")
 def paired_summary_by_camera(spark, sf):
     p = st.pair_runs(reports(spark, sf), ["camera", "episode", "metric"])
     return r6(st.paired_summary(p, ["camera", "metric"], RULES))
 
 
-def _eval_sql(name, rule):
+def _eval_sql(name):
     H = v.HOUR_US
-    return f"""{name}e AS (SELECT * FROM v_events WHERE {rule}),
-  {name}h AS (SELECT s.episode, s.camera, b.b AS bin, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT episode, camera FROM {name}e) s CROSS JOIN generate_series(0, 119) b(b)
+    return f"""{name}e AS (SELECT * FROM v_run_{name}),
+  {name}h AS (SELECT s.episode, s.camera, b.b AS bin, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT episode, camera FROM {name}e) s CROSS JOIN (SELECT k AS b FROM {v.span(6 * H, 'both_runs')}) b
      LEFT JOIN (SELECT episode, camera, t_us // {6 * H} AS bin, count(*) AS n FROM {name}e WHERE t_us >= 0 GROUP BY ALL) e ON e.episode = s.episode AND e.camera = s.camera AND e.bin = b.b),
-  {name}f AS (SELECT s.episode, s.camera, b.b AS bin, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT episode, camera FROM {name}e) s CROSS JOIN generate_series(0, 719) b(b)
+  {name}f AS (SELECT s.episode, s.camera, b.b AS bin, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT episode, camera FROM {name}e) s CROSS JOIN (SELECT k AS b FROM {v.span(H, 'both_runs')}) b
      LEFT JOIN (SELECT episode, camera, t_us // {H} AS bin, count(*) AS n FROM {name}e WHERE t_us >= 0 GROUP BY ALL) e ON e.episode = s.episode AND e.camera = s.camera AND e.bin = b.b),
   {name}m AS (SELECT episode, camera, bin % 4 AS phase, avg(n) AS m FROM {name}h GROUP BY ALL),
-  {name}g AS (SELECT episode, camera, bin, (n - avg(n) OVER (PARTITION BY episode, camera)) * (0.5 - 0.5 * cos(2 * pi() * bin / 719.0::DOUBLE)) AS s FROM {name}f),
-  {name}p AS (SELECT episode, camera, j.j / 0.72::DOUBLE AS hz, pow(sum(s * cos(2 * pi() * ((j.j * bin) % 720) / 720.0::DOUBLE)), 2) + pow(sum(s * sin(2 * pi() * ((j.j * bin) % 720) / 720.0::DOUBLE)), 2) AS power FROM {name}g CROSS JOIN generate_series(0, 360) j(j) GROUP BY ALL),
+  {name}g AS (SELECT episode, camera, bin, (n - avg(n) OVER (PARTITION BY episode, camera)) * (0.5 - 0.5 * cos(2 * pi() * bin / (max(bin) OVER ())::DOUBLE)) AS s, max(bin) OVER () + 1 AS nb FROM {name}f),
+  {name}p AS (SELECT episode, camera, j.j / (max(nb) * 0.001::DOUBLE) AS hz, pow(sum(s * cos(2 * pi() * ((j.j * bin) % nb) / nb::DOUBLE)), 2) + pow(sum(s * sin(2 * pi() * ((j.j * bin) % nb) / nb::DOUBLE)), 2) AS power
+     FROM {name}g CROSS JOIN (SELECT unnest(generate_series(0::BIGINT, (max(t_us) // {H} + 1) // 2)) AS j FROM both_runs) j GROUP BY episode, camera, j.j),
   {name}k AS (SELECT episode, camera, sum(power) FILTER (hz >= 5 AND hz <= 250 AND abs(hz - greatest(round(hz / 25), 1) * 25) <= 0.75 AND greatest(round(hz / 25), 1) * 25 <= 250) / sum(power) FILTER (hz >= 5 AND hz <= 250) AS hr,
      10 * log10((avg(power) FILTER (abs(hz - 25) <= 0.75) + 1e-12) / (quantile_cont(power, 0.5) FILTER (abs(hz - 25) <= 5 AND abs(hz - 25) >= 1.5) + 1e-12)) AS db FROM {name}p GROUP BY ALL),
   {name}o AS (SELECT episode, camera, 'events' AS metric, count(*)::DOUBLE AS value FROM {name}e GROUP BY ALL UNION ALL SELECT episode, camera, 'polarity_imbalance', abs(sum(p)) / count(*) FROM {name}e GROUP BY ALL
@@ -129,13 +128,14 @@ def _eval_sql(name, rule):
      UNION ALL SELECT episode, camera, 'harmonic_power_ratio', hr FROM {name}k UNION ALL SELECT episode, camera, 'line_db', db FROM {name}k)"""
 
 
-@query("X9 A4 A6 A7 X6 A15", f"""{_eval_sql('a', RUNS[0])}, {_eval_sql('b', RUNS[1])},
-  ca AS (SELECT DISTINCT episode, camera, t_us // {v.DAY_US} AS tb, y // 40 AS cy, x // 40 AS cx, p > 0 AS pol FROM ae WHERE t_us >= 0 AND t_us <= {30 * v.DAY_US}), cb AS (SELECT DISTINCT episode, camera, t_us // {v.DAY_US} AS tb, y // 40 AS cy, x // 40 AS cx, p > 0 AS pol FROM be WHERE t_us >= 0 AND t_us <= {30 * v.DAY_US}),
+@query("X9 A4 A6 A7 X6 A15", f"""both_runs AS (SELECT t_us FROM v_run_a UNION ALL SELECT t_us FROM v_run_b), {_eval_sql('a')}, {_eval_sql('b')},
+  ca AS (SELECT DISTINCT episode, camera, t_us // {v.DAY_US} AS tb, y // 40 AS cy, x // 40 AS cx, p > 0 AS pol FROM ae WHERE t_us >= 0), cb AS (SELECT DISTINCT episode, camera, t_us // {v.DAY_US} AS tb, y // 40 AS cy, x // 40 AS cx, p > 0 AS pol FROM be WHERE t_us >= 0),
   na AS (SELECT episode, camera, count(*) AS n FROM ca GROUP BY ALL), nb AS (SELECT episode, camera, count(*) AS n FROM cb GROUP BY ALL), nc AS (SELECT episode, camera, count(*) AS n FROM ca JOIN cb USING (episode, camera, tb, cy, cx, pol) GROUP BY ALL),
   vx AS (SELECT episode, camera, nc.n / nb.n AS pr, nc.n / na.n AS rc FROM na JOIN nb USING (episode, camera) JOIN nc USING (episode, camera)),
   al AS (SELECT episode, camera, 'a' AS version, 'event' AS kind, metric, value FROM ao UNION ALL SELECT episode, camera, 'b', 'event', metric, value FROM bo
    UNION ALL SELECT episode, camera, 'b', 'voxel', 'precision', pr FROM vx UNION ALL SELECT episode, camera, 'b', 'voxel', 'recall', rc FROM vx UNION ALL SELECT episode, camera, 'b', 'voxel', 'f1', 2.0::DOUBLE * pr * rc / (pr + rc) FROM vx)
-  SELECT episode, camera, version, kind, metric, round(value, 6) AS value FROM al""", "v_events")
+  SELECT episode, camera, version, kind, metric, round(value, 6) AS value FROM al""", "v_run_a v_run_b")
 def evaluate_pair(spark, sf):
-    e = v.v_events(spark, sf)
-    return r6(st.evaluate_pair(e.where(RUNS[0]), e.where(RUNS[1]), ["episode", "camera"], 6 * v.HOUR_US, 120, v.HOUR_US, 720, (40, v.DAY_US)))
+    a, b = v.v_runs(spark, sf)
+    n = max(v.units(a, v.HOUR_US), v.units(b, v.HOUR_US))
+    return r6(st.evaluate_pair(a, b, ["episode", "camera"], 6 * v.HOUR_US, -(-n // 6), v.HOUR_US, n, (40, v.DAY_US)))

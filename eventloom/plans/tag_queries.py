@@ -32,11 +32,6 @@ def attrs():
     return {k: F.round(c, 9) for k, c in tg.attributes(rot.cols("sx", "sy", "sz"), rot.cols("px", "py", "pz"), lits(BASE), lits(BQ)).items()}
 
 
-def scenes(spark, sf):
-    """Scenes of two to four objects."""
-    return v.v_objects(spark, sf).where(F.col("slot") < 2 + F.col("scene") % 3)
-
-
 @query("F19 F4", "SELECT scene, slot, " + ", ".join(f"round({e}, 9) AS {k}" for k, e in S_ATTR.items()) + " FROM v_objects", "v_objects")
 def object_attributes(spark, sf):
     return v.v_objects(spark, sf).select("scene", "slot", *[c.alias(k) for k, c in attrs().items()])
@@ -58,7 +53,7 @@ def _case(table):
 
 
 S_SEEN = s_inv(s_l(BQ), ["vx", "vy", "0.0::DOUBLE"])
-TAGS = f"""ob AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, {s_dir(S_SEEN[0], S_SEEN[1])} AS dir FROM v_objects WHERE slot < 2 + scene % 3),
+TAGS = f"""ob AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, {s_dir(S_SEEN[0], S_SEEN[1])} AS dir FROM v_objects),
   av AS ({' UNION ALL '.join(f"SELECT scene, slot, category, '{k}' AS kind, round({e}, 9) AS value, {TOLS[k]}::DOUBLE AS tol FROM ob" for k, e in S_ATTR.items())}
     UNION ALL SELECT scene, slot, category, 'velocity', round(speed, 9), {TOLS['velocity']}::DOUBLE FROM ob WHERE round(speed, 9) >= 0.01),
   {s_rank('av', 'scene, kind', 'tol')}, r2 AS (SELECT *, count(*) OVER (PARTITION BY scene, kind) AS n FROM r1),
@@ -69,7 +64,7 @@ TAGS = f"""ob AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, {s_dir(S_SEEN[0],
 
 def all_tags(spark, sf):
     vel = [F.col("vx"), F.col("vy"), F.lit(0.0)]
-    return tg.scene_tags(scenes(spark, sf), ["scene"], "slot", F.col("category"), attrs(), vel, lits(BQ), TOLS)
+    return tg.scene_tags(v.v_objects(spark, sf), ["scene"], "slot", F.col("category"), attrs(), vel, lits(BQ), TOLS)
 
 
 @query("F20 F18 W10", f"{TAGS} SELECT scene, slot, kind, tag FROM tg", "v_objects")

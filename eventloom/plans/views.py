@@ -14,7 +14,6 @@ ORIGIN_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 DAY_US = 86_400_000_000
 FRAME_US = 4 * DAY_US
 HOUR_US = 3_600_000_000
-N_FRAMES = 8
 WIDTH, HEIGHT = 480, 360
 SIDE = 8  # raster side
 
@@ -49,6 +48,17 @@ def v_events(spark, sf, stored=None) -> DataFrame:
     )
 
 
+def units(df: DataFrame, width_us: int) -> int:
+    """How many stretches of ``width_us`` from the origin hold the events of ``df``."""
+    last = df.agg(F.max("t_us")).first()[0]
+    return 0 if last is None else max(0, last // width_us + 1)
+
+
+def span(width_us: int, source: str = "v_events") -> str:
+    """The same as a table of the numbers k of the stretches."""
+    return f"(SELECT unnest(generate_series(0::BIGINT, max(t_us) // {width_us})) AS k FROM {source})"
+
+
 def v_frames(spark, sf) -> DataFrame:
     c = F.col
     li = table(spark, sf, "lineitem").select("*", (micros("l_shipdate") / 86_400_000_000).cast("long").alias("_day"))
@@ -154,16 +164,24 @@ def v_samples(spark, sf) -> DataFrame:
 
 
 def v_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the whole stream. The second has some events moved, flipped or weighed anew, and echoes of others."""
     e = v_events(spark, sf)
-    return e.where(F.col("event_id") % 2 == 0), e.where(F.col("event_id") % 3 > 0)
+    i = F.col("event_id")
+    b = e.withColumns({
+        "t_us": F.col("t_us") + (i % 3) * HOUR_US, "p": F.when(i % 5 == 0, -F.col("p")).otherwise(F.col("p")),
+        "q": F.least(F.col("q") + (i % 4) / 200, F.lit(1.0)), "value": F.col("value") * (1 + (i % 3) / 10),
+    })
+    return e, b.unionByName(e.where(i % 7 == 0).withColumn("t_us", F.col("t_us") + 2 * HOUR_US))
 
 
 def v_objects(spark, sf) -> DataFrame:
-    """Objects grouped into scenes of up to a handful each: position in scene 0 is the target."""
+    """Objects in scenes of two, three and four by turns: slot 0 of a scene is the target."""
     c = F.col
+    place, turn = c("p_partkey") % 9, F.floor(c("p_partkey") / 9) * 3
+    scene = turn + F.when(place < 2, 0).when(place < 5, 1).otherwise(2)
     return table(spark, sf, "part").select(
-        F.floor(c("p_partkey") / 4).cast("long").alias("scene"),
-        (c("p_partkey") % 4).alias("slot"),
+        scene.cast("long").alias("scene"),
+        (place - F.when(place < 2, 0).when(place < 5, 2).otherwise(5)).alias("slot"),
         F.split("p_name", " ")[1].alias("category"),
         (c("p_size") / 50).alias("sx"), (c("p_retailprice") / 2000).alias("sy"), ((c("p_partkey") % 7 + 1) / 10).alias("sz"),
         ((c("p_partkey") * 13 % 40) / 20 - 1).alias("px"), ((c("p_partkey") * 29 % 40) / 20 - 1).alias("py"),
@@ -230,10 +248,14 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT o_orderkey AS sample_index, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS success,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'test' WHEN '2-HIGH' THEN 'train' END AS split,
                floor(o_totalprice)::BIGINT AS size_bytes, o_custkey AS group_id FROM orders"""),
-    "v_run_a": (("v_events",), "SELECT * FROM v_events WHERE event_id % 2 = 0"),
-    "v_run_b": (("v_events",), "SELECT * FROM v_events WHERE event_id % 3 > 0"),
+    "v_run_a": (("v_events",), "SELECT * FROM v_events"),
+    "v_run_b": (("v_events",), f"""
+        SELECT * REPLACE (t_us + (event_id % 3) * {HOUR_US} AS t_us, CASE WHEN event_id % 5 = 0 THEN -p ELSE p END AS p,
+               least(q + (event_id % 4) / 200::DOUBLE, 1) AS q, value * (1 + (event_id % 3) / 10::DOUBLE) AS value) FROM v_events
+        UNION ALL SELECT * REPLACE (t_us + {2 * HOUR_US} AS t_us) FROM v_events WHERE event_id % 7 = 0"""),
     "v_objects": ((), """
-        SELECT (p_partkey // 4)::BIGINT AS scene, p_partkey % 4 AS slot, split_part(p_name, ' ', 2) AS category,
+        SELECT (p_partkey // 9 * 3 + CASE WHEN p_partkey % 9 < 2 THEN 0 WHEN p_partkey % 9 < 5 THEN 1 ELSE 2 END)::BIGINT AS scene,
+               p_partkey % 9 - CASE WHEN p_partkey % 9 < 2 THEN 0 WHEN p_partkey % 9 < 5 THEN 2 ELSE 5 END AS slot, split_part(p_name, ' ', 2) AS category,
                p_size / 50::DOUBLE AS sx, p_retailprice / 2000 AS sy, (p_partkey % 7 + 1) / 10::DOUBLE AS sz,
                (p_partkey * 13 % 40) / 20::DOUBLE - 1 AS px, (p_partkey * 29 % 40) / 20::DOUBLE - 1 AS py,
                (p_partkey * 17 % 20) / 20::DOUBLE AS pz,

@@ -1,7 +1,8 @@
 """Windowed aggregates on event streams, and a helper that runs a stream to its current end.
 
-Streams carry an event-time column ``ts`` (timestamp). Late rows beyond the watermark are
-dropped by Spark; the batch operators stay exact.
+Streams carry an event-time column ``ts`` (timestamp). Spark drops rows that are later than
+the delay; the caller sets it for a live source. A finite history that is replayed takes no
+watermark (None), and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from pyspark.sql import types as T
 from eventloom.session import shared_folder
 
 
-def stream_voxels(df: DataFrame, keys: list[str], bin_len: str, weights: dict, delay: str = "1 second") -> DataFrame:
+def _marked(df: DataFrame, delay: str | None) -> DataFrame:
+    return df if delay is None else df.withWatermark("ts", delay)
+
+
+def stream_voxels(df: DataFrame, keys: list[str], bin_len: str, weights: dict, delay: str | None) -> DataFrame:
     """Tumbling voxel bins: weighted sums per (keys, bin, pol, oy, ox)."""
-    w = df.withWatermark("ts", delay).groupBy(F.window("ts", bin_len), *keys, "pol", "oy", "ox")
+    w = _marked(df, delay).groupBy(F.window("ts", bin_len), *keys, "pol", "oy", "ox")
     return w.agg(*[F.sum(c).alias(n) for n, c in weights.items()]).select(F.col("window.start").alias("bin_start"), *keys, "pol", "oy", "ox", *weights)
 
 
-def stream_history(df: DataFrame, keys: list[str], length: str, step: str, weights: dict, delay: str = "1 second") -> DataFrame:
+def stream_history(df: DataFrame, keys: list[str], length: str, step: str, weights: dict, delay: str | None) -> DataFrame:
     """Sliding history: sums over ``length`` every ``step``."""
-    w = df.withWatermark("ts", delay).groupBy(F.window("ts", length, step), *keys)
+    w = _marked(df, delay).groupBy(F.window("ts", length, step), *keys)
     return w.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in weights.items()]).select(F.col("window.end").alias("window_end"), *keys, "n", *weights)
 
 

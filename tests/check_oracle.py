@@ -26,8 +26,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        r = round(v, 6)
-        return 0.0 if r == 0 else r
+        return round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "tolist"):
@@ -46,12 +45,19 @@ def rows_of(cols, rows):
     return sorted((tuple(norm(r[i]) for i in idx) for r in rows), key=repr)
 
 
+def zero(v):
+    """Whether a zero in ``v`` has a sign: the driver tells it from a plain one."""
+    return isinstance(v, float) and v == 0 and math.copysign(1, v) < 0 or isinstance(v, tuple) and any(map(zero, v))
+
+
 def same(a, b):
-    if isinstance(a, float) or isinstance(b, float):
+    if (isinstance(a, float) or isinstance(b, float)) and zero(a) == zero(b):
         try:
             return abs(a - b) <= 2e-6 * max(1.0, abs(a), abs(b))
         except TypeError:
             return a == b
+    if zero(a) != zero(b):
+        return False
     if isinstance(a, tuple) and isinstance(b, tuple):
         return len(a) == len(b) and all(same(x, y) for x, y in zip(a, b))
     return a == b
@@ -92,7 +98,7 @@ def main():
     entries = registry.load()
     names = args or list(entries)
     names = [n for n in entries if any(n == a or (a.endswith("*") and entries[n].run.__name__ and n.startswith(a[:-1])) for a in names)] if args else names
-    spark, con = local_session(), connect(sf)
+    spark, con = local_session(int(os.environ.get("CORES", "8"))), connect(sf)
     bad = 0
     for n in names:
         try:

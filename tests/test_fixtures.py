@@ -242,9 +242,10 @@ def test_t_critical():
     assert st.t_critical(1) == pytest.approx(12.706204736432095, abs=1e-6)
 
 
-def test_t_value_series(spark):
-    got = spark.createDataFrame([(n,) for n in (2, 31, 41, 121)], "n int").select(st.t_value(F.col("n"))).collect()
-    assert [r[0] for r in got] == pytest.approx([12.7062047364, 2.0422724563, 2.0210753903, 1.9799304051], abs=2e-7)
+def test_t_for_every_size(spark):
+    got = {r.n: r._t for r in st.with_t(spark.createDataFrame([(n,) for n in (1, 2, 31, 41, 121, 100001)], "n long")).collect()}
+    assert got.pop(1) is None
+    assert got == pytest.approx({2: 12.7062047364, 31: 2.0422724563, 41: 2.0210753903, 121: 1.9799304051, 100001: 1.9599877077}, abs=1e-8)
 
 
 def test_wilcoxon_exact_and_large(spark):
@@ -254,7 +255,8 @@ def test_wilcoxon_exact_and_large(spark):
     r = np.random.default_rng(8)
     big = r.normal(0.2, 1, 80)
     rows += [("b", i, float(x)) for i, x in enumerate(big)]
-    got = {x.metric: x for x in st.wilcoxon(spark.createDataFrame(rows, "metric string, i long, delta double"), ["metric"]).collect()}
+    table = spark.createDataFrame(rows, "metric string, i long, delta double")
+    got = {x.metric: x for x in st.wilcoxon(table, ["metric"]).collect()}
     d = [x[2] for x in rows if x[0] == "a" and x[2] != 0]
     a = sorted(map(abs, d))
     rank = {v: np.mean([i + 1 for i, u in enumerate(a) if u == v]) for v in a}
@@ -266,7 +268,14 @@ def test_wilcoxon_exact_and_large(spark):
     order = np.argsort(np.abs(big))
     wb = sum(i + 1 for i, j in enumerate(order) if big[j] > 0)
     z = abs(wb - 80 * 81 / 4) / math.sqrt(80 * 81 * 161 / 24)
-    assert got["b"].w_plus == wb and got["b"].p_value == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-10)
+    normal = st.wilcoxon(table, ["metric"], method="normal").where("metric = 'b'").first()
+    assert normal.w_plus == wb and normal.p_value == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-10)
+    # the exact distribution of 80 ranks, counted in whole numbers
+    ways = [1]
+    for k in range(1, 81):
+        ways = [(ways[i] if i < len(ways) else 0) + (ways[i - k] if 0 <= i - k < len(ways) else 0) for i in range(len(ways) + k)]
+    exact = min(1.0, 2 * min(sum(ways[: wb + 1]), sum(ways[wb:])) / 2**80)
+    assert got["b"].w_plus == wb and got["b"].p_value == pytest.approx(exact, rel=1e-12)
 
 
 def test_normal_tail(spark):
@@ -338,11 +347,3 @@ def test_reports(spark, tmp_path):
     assert lines == ["| name | value | n |", "| --- | ---: | ---: |", "| a | 1.5000 | 1,200 |", "| b | n/a | 3 |"]
     writers.write_report(d, str(tmp_path / "js"), "json", ["name"])
     assert spark.read.text(str(tmp_path / "js")).orderBy("value").first().value == '{"name":"a","value":1.5,"n":1200}'
-
-
-def test_noise_rates_and_exclusivity(spark):
-    p = spark.range(20000).selectExpr("1L AS episode", "id % 100 AS x", "id div 100 AS step")
-    n = se.add_noise(p, ["episode", "x"], "step", F.lit(0.5), F.lit(0.0), 5, leak_hz=0.2, shot_hz=0.2, hot_share=0.0)
-    c = {r.p: r["count"] for r in n.groupBy("p").count().collect()}
-    assert c[1] == pytest.approx(20000 * (1 - 0.9 * 0.95), rel=0.1) and c[-1] == pytest.approx(20000 * 0.05 * 0.9, rel=0.15)
-    assert n.groupBy("x", "step").count().where("count > 1").count() == 0

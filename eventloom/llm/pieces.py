@@ -281,7 +281,7 @@ class Coder:
         if len(self.ids) > _HOLD:
             self.ids, self.back = {}, {}
         split = [words_of(t) if t else [] for t in texts]
-        new = list(set().union(*split) - self.ids.keys())
+        new = [w for w in set().union(*split) if w not in self.ids]
         for at in range(0, len(new), 20_000):
             self.learn(new[at : at + 20_000])
         end, ids, back = str(self.merges.end), self.ids.__getitem__, self.back.__getitem__

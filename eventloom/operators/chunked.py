@@ -11,6 +11,7 @@ the chunks, all together give a total order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,15 +20,34 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 
 
-def with_chunk(df: DataFrame, order: list[str], width) -> DataFrame:
-    """Adds the chunk number; a no-op when present.
+@dataclass(frozen=True)
+class Rows:
+    """Chunks of about ``target`` rows: whole cells of ``cell`` units of the first order column.
+
+    A chunk has at most ``target`` rows and one more cell, so take cells that hold few rows.
+    The number of chunks follows the data; what is ordered per key is a count per cell, and
+    the number of cells follows the extent of the order column.
+    """
+
+    target: int
+    cell: float
+
+
+def with_chunk(df: DataFrame, keys: list[str], order: list[str], width: float | Rows) -> DataFrame:
+    """Adds the chunk number; a no-op when present. ``width``: of a chunk in units of the order column, or :class:`Rows`.
 
     Add it once before chaining several functions of this module: they keep it, so rows stay
     where they are and only the small edge summaries move.
     """
     if CHUNK in df.columns:
         return df
-    return df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
+    if not isinstance(width, Rows):
+        return df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
+    d = df.withColumn("_cell", F.floor(F.col(order[0]) / F.lit(width.cell)).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = d.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = cells.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / width.target).alias(CHUNK))
+    return d.join(cuts, [*keys, "_cell"]).select(*df.columns, CHUNK)
 
 
 def _ord(order: list[str]) -> Column:
@@ -36,7 +56,7 @@ def _ord(order: list[str]) -> Column:
 
 def _neighbour(df, keys, order, values, width, ahead: bool) -> DataFrame:
     cols = df.columns
-    c = with_chunk(df, order, width)
+    c = with_chunk(df, keys, order, width)
     val = F.struct(*[v.alias(n) for n, v in values.items()])
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     shift = F.lead if ahead else F.lag
@@ -63,7 +83,7 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], values: dict[st
 def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], width) -> DataFrame:
     """Inclusive running sums per key: chunk-local sums plus the total of earlier chunks."""
     cols = df.columns
-    c = with_chunk(df, order, width)
+    c = with_chunk(df, keys, order, width)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     base = c.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"_b_{n}") for n, v in values.items()])
@@ -90,7 +110,7 @@ def positions(df: DataFrame, keys: list[str], order: list[str], width, name: str
 def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], width) -> DataFrame:
     """Last non-NULL value up to and including the row, over the whole key."""
     cols = df.columns
-    c = with_chunk(df, order, width)
+    c = with_chunk(df, keys, order, width)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     seen = c.select(*keys, CHUNK, *order, *[v.alias(f"_v_{n}") for n, v in values.items()])
@@ -193,7 +213,7 @@ def chunk_scan(
     by = [*keys, CHUNK]
     kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
     keycols = ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + f", {CHUNK} long"
-    rows = _placed(with_chunk(df, order, width), by, order)
+    rows = _placed(with_chunk(df, keys, order, width), by, order)
 
     def with_keys(fn):
         def run(b):

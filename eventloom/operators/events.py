@@ -423,7 +423,7 @@ def non_monotonic(events: DataFrame, keys: list[str], by: str, width) -> DataFra
 
 def runs(events: DataFrame, keys: list[str], order: list[str], key: Column, width) -> DataFrame:
     """Contiguous runs of equal ``key`` in order: start, end, length."""
-    d = events.select(*keys, *order, key.alias("run_key"))
+    d = chunked.with_chunk(events.select(*keys, *order, key.alias("run_key")), keys, order, width)
     d = chunked.prev_value(d, keys, order, {"_p": F.col("run_key"), "_has": F.lit(True)}, width)
     d = d.withColumn("_new", F.when(F.col("_has").isNull() | ~F.col("_p").eqNullSafe(F.col("run_key")), 1).otherwise(0))
     d = chunked.running_sum(d, keys, order, {"run": F.col("_new")}, width)

@@ -292,9 +292,10 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
 def segments(log: DataFrame, keys: list[str], order: list[str], is_start: Column, is_end: Column, width) -> DataFrame:
     """Rows inside open segments: a start message opens (and belongs to) one, an end message closes it."""
     mark = F.when(is_start, F.lit(1)).when(is_end, F.lit(0))
-    d = chunked.running_sum(log, keys, order, {"segment": F.when(is_start, 1).otherwise(0)}, width)
+    d = chunked.with_chunk(log, keys, order, width)
+    d = chunked.running_sum(d, keys, order, {"segment": F.when(is_start, 1).otherwise(0)}, width)
     d = chunked.carry_last(d, keys, order, {"_open": mark}, width)
-    return d.where(F.col("_open") == 1).drop("_open")
+    return d.where(F.col("_open") == 1).drop("_open", chunked.CHUNK)
 
 
 def usable_steps(seg: DataFrame, keys: list[str], order: list[str], required: list[str], skip: int, width) -> DataFrame:

@@ -39,7 +39,7 @@ def level_steps(df: DataFrame, keys: list[str], order: list[str], value: str, th
     c = F.col
     by = [*keys, chunked.CHUNK]
     start = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
-    d = chunked.with_chunk(df.withColumn("_v", c(value)), order, width)
+    d = chunked.with_chunk(df.withColumn("_v", c(value)), keys, order, width)
     if valid is not None:
         # a reset on invalid rows takes effect on the next valid row, which starts anew anyway
         d = chunked.prev_value(d, keys, order, {"_pv": c(valid)}, width)

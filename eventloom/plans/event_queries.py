@@ -320,7 +320,7 @@ def stream_checks(spark, sf):
 def non_monotonic(spark, sf):
     """Checked in a shuffled arrival order, so that there is something to find."""
     e = v.v_events(spark, sf).withColumn("arrival", (F.col("event_id") * 7919 % 10007) * F.lit(2**40) + F.col("event_id"))
-    return ev.non_monotonic(e, S, "arrival", 2**50)
+    return ev.non_monotonic(e, S, "arrival", chunked.Rows(2_000, 2**43))
 
 
 @query("W5", f"""s AS (SELECT episode, camera, t_us, event_id, t_us // {FR} AS rk FROM v_events),
@@ -328,13 +328,13 @@ def non_monotonic(spark, sf):
   g AS (SELECT *, sum(nw) OVER (PARTITION BY episode, camera ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM f)
   SELECT episode, camera, run, min(rk) AS run_key, min(t_us) AS t_first, max(t_us) AS t_last, count(*) AS n FROM g GROUP BY episode, camera, run""", "v_events")
 def event_runs(spark, sf):
-    return ev.runs(v.v_events(spark, sf), S, ev.ORDER, F.floor(F.col("t_us") / FR), D)
+    return ev.runs(v.v_events(spark, sf), S, ev.ORDER, F.floor(F.col("t_us") / FR), v.ROWS)
 
 
 @query("K1", """SELECT event_id, row_number() OVER (PARTITION BY episode, camera ORDER BY t_us, event_id) - 1 AS pos FROM v_events""", "v_events")
 def sorted_events(spark, sf):
     """Stable time order as an explicit position, built from per-chunk sorts."""
-    return chunked.positions(v.v_events(spark, sf).select(*S, "t_us", "event_id"), S, ev.ORDER, D).select("event_id", "pos")
+    return chunked.positions(v.v_events(spark, sf).select(*S, "t_us", "event_id"), S, ev.ORDER, v.ROWS).select("event_id", "pos")
 
 
 @query("U2", f"""SELECT episode, camera, t_us // {D} AS bin, pol, count(*) AS n FROM (

@@ -175,7 +175,7 @@ def exclude_failures(spark, sf):
 def assign_split(spark, sf):
     s = v.v_samples(spark, sf)
     a = fr.assign_split(s, 10).withColumnRenamed("ml_split", "by_index")
-    a = fr.assign_split(a, 10, "position", width=1000).withColumnRenamed("ml_split", "by_position")
+    a = fr.assign_split(a, 10, "position", width=100_000).withColumnRenamed("ml_split", "by_position")
     a = fr.assign_split(a, 10, "thousand").withColumnRenamed("ml_split", "by_thousand")
     return a.select("sample_index", "by_index", "by_position", "by_thousand")
 
@@ -264,7 +264,7 @@ SEG = """lg AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type, CASE WH
 
 def log_segments(spark, sf):
     e = v.table(spark, sf, "events").select("user_id", "event_id", v.micros("ts").alias("t"), "event_type", F.when(F.col("value") >= 20, F.col("value")).alias("value"))
-    return fr.segments(e, ["user_id"], ["t", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "error", 5 * v.DAY_US)
+    return fr.segments(e, ["user_id"], ["t", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "error", v.ROWS)
 
 
 @query("W15", f"WITH {SEG} SELECT event_id, user_id, segment::BIGINT AS segment FROM sg")
@@ -274,7 +274,7 @@ def log_segment_rows(spark, sf):
 
 @query("P24", f"""WITH {SEG} SELECT event_id, user_id, segment::BIGINT AS segment FROM (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY t, event_id) AS rn FROM sg WHERE value IS NOT NULL) WHERE rn > 3""")
 def usable_steps(spark, sf):
-    return fr.usable_steps(log_segments(spark, sf), ["user_id"], ["t", "event_id"], ["value"], 3, 5 * v.DAY_US).select("event_id", "user_id", "segment")
+    return fr.usable_steps(log_segments(spark, sf), ["user_id"], ["t", "event_id"], ["value"], 3, v.ROWS).select("event_id", "user_id", "segment")
 
 
 @query("J8", """n AS (SELECT episode, max(frame_index) AS last FROM v_frames GROUP BY episode),
@@ -311,7 +311,7 @@ def match_nearest(spark, sf):
 def locate(spark, sf):
     e = v.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("episode")).agg(F.count(F.lit(1)).alias("n"))
     w = v.table(spark, sf, "orders").select((F.col("o_orderkey") * 3).alias("row_index"))
-    return fr.locate(w, e, 1024, 1000)
+    return fr.locate(w, e, 1024)
 
 
 @query("J13", """b AS (SELECT episode, frame_index, CASE WHEN episode % 7 = 0 THEN obj_z + 0.01::DOUBLE ELSE obj_z END AS obj_z, gripper FROM v_frames WHERE NOT (episode % 11 = 0 AND frame_index = 0))

@@ -12,7 +12,6 @@ from eventloom.streaming import stateful, windows
 
 U = ["user_id"]
 TAU = 2 * v.HOUR_US
-WIDTH = 5 * v.DAY_US
 O = ["t_us", "event_id"]  # noqa: E741
 
 
@@ -44,20 +43,20 @@ def cross_sql(extra=""):
 @query("T4 F16 F17 W9 W13", f"{ORD}, {enc_sql('od')} {cross_sql(', least(pq, q) AS interval_q')}", "v_events")
 def encode_crossings(spark, sf):
     """Send-on-delta in closed form, against a recursive query."""
-    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, WIDTH, q="q")
+    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, v.ROWS, q="q")
     return d.withColumn("t_cross", F.round("t_cross", 0))
 
 
 @query("T10 T4", f"{ORD}, {enc_sql('od', start='o.reset')} {cross_sql()}", "v_events")
 def encode_with_reset(spark, sf):
-    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, WIDTH, reset=F.col("reset"))
+    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, v.ROWS, reset=F.col("reset"))
     return d.withColumn("t_cross", F.round("t_cross", 0))
 
 
 @query("W12 T4", f"""{ORD}, pv AS (SELECT *, lag(ok) OVER (PARTITION BY user_id ORDER BY rn) = false AS back FROM od), ov AS (SELECT * REPLACE (row_number() OVER (PARTITION BY user_id ORDER BY rn) AS rn) FROM pv WHERE ok),
   {enc_sql('ov', start='o.back')} {cross_sql()}""", "v_events")
 def encode_with_validity(spark, sf):
-    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, WIDTH, valid="ok")
+    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, v.ROWS, valid="ok")
     return d.withColumn("t_cross", F.round("t_cross", 0))
 
 
@@ -74,14 +73,14 @@ REFR = f"""{ORD}, rf AS (SELECT user_id, rn, event_id, t_us, t_us AS last, true
 @query("T5", f"{REFR} SELECT user_id, t_us, event_id FROM rf WHERE kept", "v_events")
 def refractory(spark, sf):
     """Greedy minimum gap, split into chunks, against a recursive query."""
-    return se.refractory(series(spark, sf).select("user_id", "t_us", "event_id"), U, O, TAU * 4, WIDTH)
+    return se.refractory(series(spark, sf).select("user_id", "t_us", "event_id"), U, O, TAU * 4, v.ROWS)
 
 
 @query("T6", f"""{ORD}, lp AS (SELECT user_id, rn, event_id, t_us, value AS y FROM od WHERE rn = 1
    UNION ALL SELECT o.user_id, o.rn, o.event_id, o.t_us, (1 - least((o.q * greatest(o.t_us - l.t_us, 0)) / {float(TAU * 6)}::DOUBLE, 1)) * l.y + least((o.q * greatest(o.t_us - l.t_us, 0)) / {float(TAU * 6)}::DOUBLE, 1) * o.value
    FROM lp l JOIN od o ON o.user_id = l.user_id AND o.rn = l.rn + 1) SELECT user_id, event_id, round(y, 6) AS smooth FROM lp""", "v_events")
 def lowpass(spark, sf):
-    d = se.lowpass(series(spark, sf).select("user_id", "t_us", "event_id", "value", "q"), U, O, "value", TAU * 6, WIDTH, rate=F.col("q"))
+    d = se.lowpass(series(spark, sf).select("user_id", "t_us", "event_id", "value", "q"), U, O, "value", TAU * 6, v.ROWS, rate=F.col("q"))
     return d.select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
@@ -91,9 +90,9 @@ def lowpass(spark, sf):
   SELECT user_id, event_id, ordinal, p FROM rf WHERE kept""", "v_events")
 def layered_crossings(spark, sf):
     """Several crossings between two samples, in time order, through the minimum-gap filter."""
-    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, WIDTH)
+    d = se.encode_crossings(series(spark, sf), U, O, "value", 25.0, v.ROWS)
     d = d.select("user_id", F.round("t_cross", 0).alias("t_cross"), "event_id", "ordinal", "p")
-    return se.refractory(d, U, ["t_cross", "event_id", "ordinal"], float(TAU), WIDTH).select("user_id", "event_id", "ordinal", "p")
+    return se.refractory(d, U, ["t_cross", "event_id", "ordinal"], float(TAU), v.ROWS).select("user_id", "event_id", "ordinal", "p")
 
 
 @query("T3", f"""b AS (SELECT user_id, t_us // {v.DAY_US} AS bin, sum(q) AS s FROM v_events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bin DESC) AS rn FROM b)

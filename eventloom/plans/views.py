@@ -16,6 +16,7 @@ FRAME_US = 4 * DAY_US
 HOUR_US = 3_600_000_000
 WIDTH, HEIGHT = 480, 360
 SIDE = 8  # raster side
+ROWS = chunked.Rows(2_000, HOUR_US)  # chunks of a series of events
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ def data(spark, n=3000, seed=1, hot=0.6, span=4000):
         "flag": r.random(n) < 0.05, "ok": r.random(n) < 0.8}))
 
 
-@pytest.mark.parametrize("width", [1, 37, 10**9])
+@pytest.mark.parametrize("width", [1, 37, 10**9, chunked.Rows(50, 3), chunked.Rows(7, 1)])
 def test_against_windows(spark, width):
     d = data(spark)
     w = Window.partitionBy("k").orderBy("t", "id")
@@ -36,6 +36,18 @@ def test_against_windows(spark, width):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
+def test_chunks_follow_the_rows(spark):
+    """Ten times the rows over the same stretch: ten times the chunks, and no larger ones."""
+    size = {}
+    for n in (3000, 30000):
+        d = data(spark, n, hot=0.9, span=100_000)
+        c = chunked.with_chunk(d, ["k"], ["t", "id"], chunked.Rows(100, 10))
+        size[n] = [r["count"] for r in c.groupBy("k", chunked.CHUNK).count().where("k = 0").collect()]
+        assert c.columns == [*d.columns, chunked.CHUNK] and c.count() == n
+    assert 9 * len(size[3000]) <= len(size[30000]) <= 11 * len(size[3000])
+    assert max(size[30000]) <= 1.1 * max(size[3000]) <= 130
+
+
 def encode(pdf, theta, reset=None, valid=None):
     """The recursion itself, one key at a time."""
     out = []
@@ -59,7 +71,7 @@ def encode(pdf, theta, reset=None, valid=None):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width", [3, 50, 10**9])
+@pytest.mark.parametrize("width", [3, 50, 10**9, chunked.Rows(40, 7)])
 @pytest.mark.parametrize("mode", ["plain", "reset", "valid", "both"])
 def test_encoder_against_recursion(spark, width, mode):
     d = data(spark, 1500, seed=3)
@@ -91,7 +103,7 @@ def test_refractory_known_case(spark):
     assert got == [0, 1200, 2300]
 
 
-@pytest.mark.parametrize("width", [5, 60, 500, 10**9])
+@pytest.mark.parametrize("width", [5, 60, 500, 10**9, chunked.Rows(30, 4)])
 @pytest.mark.parametrize("gap", [3, 40, 700])
 def test_refractory_dense_hot_key(spark, width, gap):
     d = data(spark, 2500, seed=5, hot=0.9)
@@ -106,7 +118,7 @@ def test_refractory_dense_hot_key(spark, width, gap):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("width", [11, 10**9])
+@pytest.mark.parametrize("width", [11, 10**9, chunked.Rows(25, 9)])
 def test_lowpass(spark, width):
     d = data(spark, 1200, seed=7)
     got = {r.id: r.smooth for r in se.lowpass(d, ["k"], ["t", "id"], "v", 25.0, width).collect()}

@@ -30,6 +30,7 @@ THRESHOLD = 0.8
 #: Lines of fewer characters are left alone.
 MIN_CHARS = 20
 _BATCH = 1000
+_LINES = 100
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -57,30 +58,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    """A polynomial hash of the ``n`` codes from each place on, from those of half as many."""
+    if n == 1:
+        return codes
+    half = _rolled(codes, n // 2)
+    out = half.copy()
+    part = half[n // 2 :]
+    out[: len(part)] *= np.uint64(pow(int(_MIX[0]), n // 2, 1 << 64))
+    out[: len(part)] += part
+    if n % 2:
+        last = codes[n - 1 :]
+        out[: len(last)] *= _MIX[0]
+        out[: len(last)] += last
+    return out
+
+
 def band_keys(lines: list[str], n: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """[line, band]: a 64-bit key of each band of each line's signature."""
     bins = rows * bands
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     if not len(lines):
         return np.empty((0, bands), np.int64)
+    if len(lines) > _LINES:  # parts that stay in a processor's cache
+        return np.concatenate([band_keys(lines[i : i + _LINES], n, rows, bands) for i in range(0, len(lines), _LINES)])
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     end = np.cumsum(length)
-    # a shingle's hash from its characters; those that leave their line are dropped
-    h = np.zeros(len(codes), np.uint64)
-    for k in range(n):
-        part = codes[k:]
-        h[: len(part)] = h[: len(part)] * _MIX[0] + part
+    h = _rolled(codes, n)
+    # those that leave their line are dropped; a short line is one shingle
     count = np.maximum(length - n + 1, 1)
-    start = np.repeat(end - length, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    line = np.repeat(np.arange(len(lines)), count)
     short = np.flatnonzero(length < n)
     h[(end - length)[short]] = [xxhash.xxh3_64_intdigest(lines[i].encode()) for i in short]
-    h = _mixed(h[start])
-    slot = line * bins + (h % np.uint64(bins)).astype(np.int64)
-    value = np.full(len(lines) * bins, np.uint64(2**64 - 1))
-    np.minimum.at(value, slot, h // np.uint64(bins))
+    inside = np.ones(len(h), bool)
+    drop = length - count
+    inside[np.repeat(end - drop, drop) + np.arange(drop.sum()) - np.repeat(np.cumsum(drop) - drop, drop)] = False
+    line = np.repeat(np.arange(len(lines)), count)
+    h = _mixed(h[inside])
+    # the upper half says which bin, the lower half is the value there
+    slot = line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    value = np.full(len(lines) * bins, np.uint64(1 << 32))
+    np.minimum.at(value, slot, h & np.uint64(0xFFFFFFFF))
     value = value.reshape(-1, bins)
-    empty = value == np.uint64(2**64 - 1)
+    empty = value == np.uint64(1 << 32)
     # empty bins: the next filled bin round the circle, and how far it is
     filled = np.where(empty, 4 * bins, np.arange(bins))
     ahead = np.minimum.accumulate(np.concatenate([filled, filled + bins], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
@@ -131,7 +150,7 @@ def candidates(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 pairs += [(lead[same], a[same]), (a[same - 1], a[same])]
                 key0, lead0, last0 = key[-1], lead[-1], a[-1]
             x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+            u = _once(x, y)
             yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], ["a", "b"])
 
     batches(docs.sparkSession, _BATCH)
@@ -141,10 +160,18 @@ def candidates(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, each with the smaller first."""
+    x, y = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+    return x[new], y[new]
+
+
 def _pairs_batch(keys: np.ndarray, leads: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    x, y = np.minimum(a, b), np.maximum(a, b)
-    u = np.unique(np.stack([x, y])[:, x != y], axis=1) if len(x) else np.empty((2, 0), np.int64)
-    none = np.ones(u.shape[1], bool)
+    u = _once(a, b)
+    none = np.ones(len(u[0]), bool)
     key = pa.array(np.append(keys, np.zeros(len(none), np.int64)), mask=np.append(np.zeros(len(keys), bool), none))
     return pa.RecordBatch.from_arrays([key, pa.array(np.append(leads, u[0])), pa.array(np.append(np.zeros(len(leads), np.int64), u[1]))], ["key", "a", "b"])
 
@@ -157,23 +184,27 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CH
             own = _distinct(b.column(0).to_pylist(), min_chars)
             yield pa.RecordBatch.from_arrays([pa.array(list(own.keys()), pa.int64()), pa.array(list(own.values()), pa.string())], ["id", "line"])
 
+    def sized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(shingles(x)) for x in b.column(1).to_pylist()], pa.int32())], ["id", "line", "n"])
+
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
-                # sizes alone can rule a pair out
-                good.append(min(len(p), len(q)) >= threshold * max(len(p), len(q)) and len(p & q) >= threshold * len(p | q))
+            for x, y, m, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                common = len(shingles(x).intersection(shingles(y)))
+                good.append(common >= threshold * (m + n - common))
             on = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], ["a", "b"])
 
     pairs = pin(candidates(docs, min_chars), "line-pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select("text").mapInArrow(distinct, "id long, line string").join(wanted, "id", "left_semi")
-    texts = pin(texts.groupBy("id").agg(F.min("line").alias("line")), "line-texts")
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    texts = pin(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(sized, "id long, line string, n int"), "line-texts")
+    left, right = (texts.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(n)) for i, t, n in (("a", "x", "m"), ("b", "y", "n")))
+    # the numbers of shingles alone rule most pairs out
+    likely = pairs.join(left, "a").join(right, "b").filter(F.least("m", "n") >= threshold * F.greatest("m", "n"))
+    return likely.select("a", "b", "x", "y", "m", "n").mapInArrow(verify, "a long, b long")
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -3,7 +3,8 @@
 A unit is a line, or with ``sentences`` a sentence of a line, so that a passage in the midst
 of a line is found too. Units are normalised (case, blanks) and digested; digests are grouped
 over all documents; the occurrence of the smallest (doc_id, place) stays and the others are
-removed at their original offsets.
+removed at their original offsets. A short unit recurs by chance, so it counts as the same
+only together with the units before it.
 
 Before the shuffle each task keeps only its own earliest occurrence of a digest and marks
 the others at once, so that a unit which is everywhere is sent once per batch.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import batches
 
-#: Units of fewer words are left alone: short ones recur by chance.
+#: A unit of fewer words is digested with as many units before it as make up that number.
 MIN_WORDS = 5
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
@@ -29,15 +31,27 @@ _BATCH = 1000
 
 
 def units(text: str, sentences: bool = True, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of ``text`` of ``min_words`` or more; offsets in characters.
+    """(start, end, digest) of the units of ``text``; offsets in characters.
 
-    Equal digests (128 bits): equal texts after lower-casing and blanks made one.
+    Equal digests (128 bits): equal texts after lower-casing and blanks made one, and for a
+    unit of under ``min_words`` words equal units before it too, back to that number of
+    words. A short unit with too little before it is none.
     """
     out = []
+    before: deque[list[str]] = deque(maxlen=min_words)
     for m in (_SENTENCE if sentences else _LINE).finditer(text):
         words = m.group().lower().split()
-        if len(words) >= min_words:
-            out.append((m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
+        if not words:
+            continue
+        parts, n = [words], len(words)
+        for earlier in reversed(before):
+            if n >= min_words:
+                break
+            parts.insert(0, earlier)
+            n += len(earlier)
+        before.append(words)
+        if n >= min_words:
+            out.append((m.start(), m.end(), hashlib.blake2b("\n".join(map(" ".join, parts)).encode(), digest_size=16).digest()))
     return out
 
 

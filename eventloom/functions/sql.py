@@ -21,6 +21,29 @@ SCALARS = {
     "euler_yaw": "(w DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE) RETURNS DOUBLE RETURN pmod(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)), 2 * pi())",
 }
 
+V = "ARRAY<DOUBLE>"
+# vectors are arrays; quaternions are (w, x, y, z)
+SCALARS |= {
+    "quat_product": f"""(a {V}, b {V}) RETURNS {V} RETURN array(a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3], a[0] * b[1] + a[1] * b[0] + a[2] * b[3] - a[3] * b[2],
+        a[0] * b[2] - a[1] * b[3] + a[2] * b[0] + a[3] * b[1], a[0] * b[3] + a[1] * b[2] - a[2] * b[1] + a[3] * b[0])""",
+    "cross_product": f"(a {V}, b {V}) RETURNS {V} RETURN array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])",
+    # u - 2 w (v x u) + 2 v x (v x u) with v the vector part
+    "rotate_inverse": f"""(q {V}, u {V}) RETURNS {V} RETURN transform(sequence(0, 2), i -> u[i] - 2 * q[0] * cross_product(slice(q, 2, 3), u)[i]
+        + 2 * cross_product(slice(q, 2, 3), cross_product(slice(q, 2, 3), u))[i])""",
+    "rotation_vector": f"""(q {V}) RETURNS {V} RETURN transform(slice(q, 2, 3), c -> CASE WHEN sqrt(1 - least(q[0] * q[0], 1D)) < 1e-8D THEN 0D
+        ELSE c / sqrt(1 - least(q[0] * q[0], 1D)) * 2 * acos(least(greatest(q[0], -1D), 1D)) END)""",
+    # all but the last (gripper) component; rotation components 3-5 wrapped
+    "delta_vector": f"""(action {V}, state {V}) RETURNS {V} RETURN concat(transform(sequence(0, size(action) - 2), i -> CASE WHEN i BETWEEN 3 AND 5
+        THEN pmod(action[i] - state[i] + pi(), 2 * pi()) - pi() ELSE action[i] - state[i] END), slice(action, -1, 1))""",
+    "undelta_vector": f"(action {V}, state {V}) RETURNS {V} RETURN concat(transform(sequence(0, size(action) - 2), i -> action[i] + state[i]), slice(action, -1, 1))",
+    "zscore_vector": f"(v {V}, mean {V}, std {V}) RETURNS {V} RETURN transform(v, (a, i) -> (a - mean[i]) / std[i])",
+    "pad_vector": f"(v {V}, n INT) RETURNS {V} RETURN concat(v, array_repeat(0D, greatest(n - size(v), 0)))",
+    "chroma_vector": f"(r DOUBLE, g DOUBLE, b DOUBLE) RETURNS {V} RETURN array((r + 1) / (r + g + b + 3), (g + 1) / (r + g + b + 3), (b + 1) / (r + g + b + 3))",
+    "cue_confidence": "(value DOUBLE, threshold DOUBLE, least_soft DOUBLE, factor DOUBLE) RETURNS DOUBLE RETURN 1 / (1 + exp(-least(greatest((value - threshold) / greatest(least_soft, factor * threshold), -20D), 20D)))",
+    "direction_sector": """(vx DOUBLE, vy DOUBLE) RETURNS INT RETURN (SELECT CASE WHEN a >= 345 OR a < 15 THEN 0 WHEN a < 75 THEN 1 WHEN a < 105 THEN 2 WHEN a < 165 THEN 3
+        WHEN a < 195 THEN 4 WHEN a < 255 THEN 5 WHEN a < 285 THEN 6 ELSE 7 END FROM (SELECT pmod(degrees(atan2(vy, vx)), 360D) AS a))""",
+}
+
 # crossings of one step from ``prev`` to ``cur`` with reference value ``ref``
 CROSSINGS = """(ref DOUBLE, prev DOUBLE, cur DOUBLE, theta DOUBLE, t0 DOUBLE, t1 DOUBLE)
     RETURNS TABLE (p INT, ordinal INT, t_cross DOUBLE)

@@ -246,6 +246,17 @@ def event_stats(events: DataFrame, keys: list[str], duration_us: int) -> DataFra
     )
 
 
+def stream_totals(events: DataFrame, keys: list[str], camera: str, duration_us: int, size: Column) -> DataFrame:
+    """Event statistics over all cameras of ``keys``, with bytes of storage per event (``size``: bytes of a row)."""
+    n = F.count(F.lit(1))
+    # one row per camera first, so that the cameras are counted without gathering them
+    per = events.groupBy(*keys, camera).agg(n.alias("n"), F.count_if(F.col("p") > 0).alias("on"), F.sum(size).alias("bytes"))
+    total = F.sum("n")
+    return per.groupBy(*keys).agg(
+        n.alias("cameras"), total.alias("events"), (total / (duration_us / 1e6)).alias("rate_per_s"), F.sum("on").alias("on_events"),
+        F.sum("bytes").alias("bytes"), ratio(F.sum("bytes"), total).alias("bytes_per_event"))
+
+
 def time_histogram(events: DataFrame, keys: list[str], bin_us: int, n_bins: int, series: DataFrame | None = None) -> DataFrame:
     """Counts per fixed bin with empty bins; the last edge is closed.
 

@@ -227,6 +227,18 @@ def event_stats(spark, sf):
     return d.withColumns({"rate_per_s": F.round("rate_per_s", 9), "polarity_imbalance": F.round("polarity_imbalance", 6)})
 
 
+@query("A4", """b AS (SELECT user_id % 4 AS episode, user_id % 3 AS cam, event_type, strlen(props) + 32 AS size FROM events)
+  SELECT episode, count(DISTINCT cam) AS cameras, count(*) AS events, round(count(*) / ((SELECT max(t_us) FROM v_events) / 1e6::DOUBLE), 9) AS rate_per_s,
+  count(*) FILTER (event_type IN ('click','purchase','signup')) AS on_events, sum(size)::BIGINT AS bytes, round(sum(size) / count(*), 6) AS bytes_per_event FROM b GROUP BY episode""", "v_events")
+def stream_totals(spark, sf):
+    """A stored event: four numbers of eight bytes and its properties."""
+    e = v.table(spark, sf, "events")
+    d = e.select((F.col("user_id") % 4).alias("episode"), (F.col("user_id") % 3).alias("cam"), F.when(F.col("event_type").isin("click", "purchase", "signup"), 1).otherwise(-1).alias("p"),
+                 (F.octet_length("props") + 32).alias("size"))
+    d = ev.stream_totals(d, ["episode"], "cam", v.units(v.v_events(spark, sf), 1) - 1, F.col("size"))
+    return d.withColumns({"rate_per_s": F.round("rate_per_s", 9), "bytes_per_event": F.round("bytes_per_event", 6)})
+
+
 def hist(spark, sf):
     e = v.v_events(spark, sf)
     return ev.time_histogram(e, S, H, v.units(e, H))

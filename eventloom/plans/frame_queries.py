@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import rotation as rot
+from eventloom.functions import sql as sqlf
 from eventloom.functions import vectors as vec
 from eventloom.operators import chunked
 from eventloom.operators import frames as fr
@@ -417,3 +418,35 @@ def merge_chunks(spark, sf):
 def latest_by_key(spark, sf):
     e = v.table(spark, sf, "events").withColumn("t", v.micros("ts"))
     return fr.latest_by_key(e, ["user_id"], ["t", "event_id"], ["value"])
+
+
+_QV = ["qx", "qy", "qz"]
+S_INVV = s_inv(["qw", *_QV], ["obj_x", "obj_y", "obj_z"])
+
+
+@query("F2 F4 F5 F6 F8 F9 F12 F14 F18", f"""{STATE} SELECT episode, frame_index, {R6.format(f'[{", ".join(S_INVV)}]')} AS seen,
+  {R6.format('[' + ', '.join(f'CASE WHEN sqrt(1 - least(qw * qw, 1)) < 1e-8 THEN 0 ELSE {c} / sqrt(1 - least(qw * qw, 1)) * 2 * acos(least(greatest(qw, -1), 1)) END' for c in _QV) + ']')} AS axis_angle,
+  {R6.format(f'[qw * qw - qx * qx - qy * qy - qz * qz, 2 * qw * qx, 2 * qw * qy, 2 * qw * qz]')} AS twice, {R6.format(f'list_append({WRAPPED}, gripper)')} AS delta,
+  {R6.format('action')} AS action, {R6.format('[(state[i] - 0.5::DOUBLE) / 2 for i in range(1, 7)]')} AS scaled, {R6.format('list_concat(state, [0.0::DOUBLE, 0])')} AS padded,
+  {R6.format('[(ee_x + 1) / (ee_x + ee_y + ee_z + 3), (ee_y + 1) / (ee_x + ee_y + ee_z + 3), (ee_z + 1) / (ee_x + ee_y + ee_z + 3)]')} AS colour,
+  round(1 / (1 + exp(-least(greatest((obj_x - 0.35::DOUBLE) / greatest(0.12::DOUBLE, 0.25::DOUBLE * 0.35::DOUBLE), -20), 20))), 6) AS cue, ({s_dir('vel_x', 'vel_y')})::INT AS sector FROM st""", "v_frames")
+def sql_vectors(spark, sf):
+    """Plain SQL over the registered functions."""
+    sqlf.register(spark)
+    f = states(spark, sf).withColumn("q", F.array("qw", "qx", "qy", "qz"))
+    out = spark.sql("""SELECT episode, frame_index, rotate_inverse(q, array(obj_x, obj_y, obj_z)) AS seen, rotation_vector(q) AS axis_angle, quat_product(q, q) AS twice,
+      delta_vector(action, state) AS delta, undelta_vector(concat(transform(sequence(0, 5), i -> action[i] - state[i]), slice(action, -1, 1)), state) AS action,
+      zscore_vector(state, array_repeat(0.5D, 6), array_repeat(2D, 6)) AS scaled, pad_vector(state, 8) AS padded, chroma_vector(ee_x, ee_y, ee_z) AS colour,
+      round(cue_confidence(obj_x, 0.35D, 0.12D, 0.25D), 6) AS cue, direction_sector(vel_x, vel_y) AS sector FROM {f}""", f=f)
+    return out.withColumns({c: vec.rounded(F.col(c)) for c in ("seen", "axis_angle", "twice", "delta", "action", "scaled", "padded", "colour")})
+
+
+@query("T4 F16 F17", """p AS (SELECT user_id, event_id, t_us, value, lag(value) OVER w AS pv, lag(t_us) OVER w AS pt FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id))
+  SELECT event_id, sign(value - pv)::INT AS p, i::INT AS ordinal, round(pt + (i * 30.0::DOUBLE / abs(value - pv)) * (t_us - pt), 0) AS t_cross
+  FROM p, generate_series(1, 100) g(i) WHERE i <= floor(abs(value - pv) / 30.0::DOUBLE)""", "v_events")
+def sql_crossings(spark, sf):
+    """The crossings table function as a lateral join; every sample is the next one's reference."""
+    sqlf.register(spark)
+    e = v.v_events(spark, sf).select("user_id", "event_id", "t_us", "value")
+    e = chunked.prev_value(e, ["user_id"], ["t_us", "event_id"], {"pv": F.col("value"), "pt": F.col("t_us")}, v.ROWS)
+    return spark.sql("SELECT e.event_id, c.p, c.ordinal, round(c.t_cross, 0) AS t_cross FROM {e} e, LATERAL crossings(e.pv, e.pv, e.value, 30D, CAST(e.pt AS DOUBLE), CAST(e.t_us AS DOUBLE)) c", e=e.where("pv IS NOT NULL"))

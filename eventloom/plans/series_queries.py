@@ -157,3 +157,30 @@ def stream_refractory(spark, sf):
     s = stateful.apply(event_stream(spark, sf).select("user_id", "t_us", "event_id"), U, p, "user_id bigint, t_us bigint, event_id bigint")
     return windows.run_available(s, ["event_id"], "append")
 
+
+@query("T3", f"""b AS (SELECT user_id, t_us // {v.DAY_US} AS bin, arg_max(q, (t_us, event_id)) AS s FROM v_events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bin DESC) AS rn FROM b)
+  SELECT user_id, list(s ORDER BY bin) AS ring FROM r WHERE rn <= 8 GROUP BY user_id""", "v_events")
+def stream_ring(spark, sf):
+    """The newest value of each of the last eight days, kept as state."""
+    s = event_stream(spark, sf).select("user_id", ev.bin_of(F.col("t_us"), v.DAY_US).alias("bin"), "t_us", "event_id", "q")
+    p = stateful.BinRing(U, "bin", "q", 8, order=["t_us", "event_id"])
+    return windows.run_available(stateful.apply(s, U, p, "user_id bigint, ring array<double>"), U, "append")
+
+
+@query("T6", f"""{ORD}, lp AS (SELECT user_id, rn, event_id, t_us, value AS y FROM od WHERE rn = 1
+   UNION ALL SELECT o.user_id, o.rn, o.event_id, o.t_us, l.y + least(greatest(o.t_us - l.t_us, 0) / {float(TAU * 6)}::DOUBLE, 1) * (o.value - l.y)
+   FROM lp l JOIN od o ON o.user_id = l.user_id AND o.rn = l.rn + 1) SELECT user_id, event_id, round(y, 6) AS smooth FROM lp""", "v_events")
+def stream_lowpass(spark, sf):
+    p = stateful.LowPass(O, "value", TAU * 6, ["user_id", "event_id"])
+    s = stateful.apply(event_stream(spark, sf).select("user_id", "t_us", "event_id", "value"), U, p, "user_id bigint, event_id bigint, smooth double")
+    return windows.run_available(s, ["event_id"], "append").withColumn("smooth", F.round("smooth", 6))
+
+
+@query("T8", f"""SELECT user_id, step, max(chunk) AS from_chunk, max(chunk) / 2::DOUBLE AS value FROM (SELECT user_id, t_us // {v.DAY_US} AS step, event_id % 30 AS chunk FROM v_events)
+  WHERE step >= chunk GROUP BY ALL""", "v_events")
+def stream_merge(spark, sf):
+    """Steps proposed by chunks of several ages: the newest chunk wins, steps before its start are dropped."""
+    e = event_stream(spark, sf)
+    s = e.select("user_id", ev.bin_of(F.col("t_us"), v.DAY_US).alias("step"), (F.col("event_id") % 30).alias("chunk"), ((F.col("event_id") % 30) / 2).alias("value"))
+    p = stateful.ChunkMerge(U, "step", "chunk", "value")
+    return windows.run_available(stateful.apply(s, U, p, "user_id bigint, step bigint, from_chunk bigint, value double"), ["user_id", "step"], "append")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom import schemas
@@ -36,8 +36,11 @@ def export_report(df: DataFrame, keys: list[str], width: int, height: int) -> Da
         F.count_if((x < 0) | (x >= width) | (y < 0) | (y >= height)).alias("outside"))
 
 
-def checked_export(df: DataFrame, path: str, keys: list[str], width: int, height: int) -> DataFrame:
-    """Write an export and compare the re-read counts per stream; refuses bad streams."""
+def checked_export(df: DataFrame, path: str, keys: list[str], width: int, height: int, series: DataFrame | None = None) -> DataFrame:
+    """Write an export and compare the re-read counts per stream; refuses bad streams, and those of ``series`` without events."""
+    empty = df.limit(1) if series is None else series.select(*keys).join(df.select(*keys), keys, "left_anti")
+    if empty.isEmpty() == (series is None):
+        raise ValueError(f"empty streams: {[] if series is None else empty.limit(5).collect()}")
     bad = export_report(df, keys, width, height).where("early > 0 OR outside > 0").limit(5).collect()
     if bad:
         raise ValueError(f"streams with early or out-of-range events, among them: {bad}")
@@ -55,10 +58,11 @@ def round_trip(df: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
 def write_frames(df: DataFrame, path: str) -> None:
     """Frame table with a re-read check of layout and count."""
     schemas.same_layout(df, schemas.FRAMES)
-    df.write.mode("overwrite").parquet(path)
+    written = Observation("frames")
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     again = df.sparkSession.read.parquet(path)
     schemas.same_layout(again.select(*schemas.names(schemas.FRAMES)), schemas.FRAMES)
-    a, b = df.count(), again.count()
+    a, b = written.get["n"], again.count()
     if a != b:
         raise ValueError(f"wrote {a} rows, read {b}")
 

@@ -103,17 +103,20 @@ class LowPass(StatefulProcessor):
 
 
 class BinRing(StatefulProcessor):
-    """The last n bin values per key in time order; a later value of a bin replaces it, a reset clears."""
+    """The last n bin values per key in time order; a later value of a bin replaces it, a reset clears.
 
-    def __init__(self, keys, bin_col, value, n, reset=None):
-        self.keys, self.bin_col, self.value, self.n, self.reset = keys, bin_col, value, n, reset
+    ``order`` says which of two values of one bin in a micro-batch is the later (default: as the bins).
+    """
+
+    def __init__(self, keys, bin_col, value, n, reset=None, order=None):
+        self.keys, self.bin_col, self.value, self.n, self.reset, self.order = keys, bin_col, value, n, reset, order or [bin_col]
 
     def init(self, handle) -> None:
         self.ring = handle.getListState("ring", "bin long, value double")
 
     def handleInputRows(self, key, rows, timerValues):
         have = {int(b): float(v) for b, v in self.ring.get()} if self.ring.exists() else {}
-        for r in _sorted(rows, [self.bin_col]).to_dict("records"):
+        for r in _sorted(rows, self.order).to_dict("records"):
             if self.reset and bool(r[self.reset]):
                 have = {}
             have[int(r[self.bin_col])] = float(r[self.value])

@@ -317,6 +317,11 @@ def test_checked_export_refuses_early_events(spark, tmp_path):
     e = evs(spark, [(1, 1, -5, 1, 1.0)])
     with pytest.raises(ValueError, match="early"):
         writers.checked_export(e, str(tmp_path / "x"), S, 10, 10)
+    good = evs(spark, [(1, 1, 5, 1, 1.0)])
+    with pytest.raises(ValueError, match="empty"):
+        writers.checked_export(good.where("false"), str(tmp_path / "y"), S, 10, 10)
+    with pytest.raises(ValueError, match="empty"):
+        writers.checked_export(good, str(tmp_path / "z"), S, 10, 10, good.select(*S).unionByName(good.select((F.col(S[0]) + 1).alias(S[0]), *S[1:])))
 
 
 def test_json_sources(spark, tmp_path):

@@ -47,6 +47,10 @@ RELATIVE_CAP = 0.40
 SOFTNESS = {"flow": (0.12, 0.25), "relative": (0.04, 0.25), "depth": (0.006, 0.35), "photo": (0.02, 0.35), "chroma": (0.008, 0.35)}
 
 
+# fixed values: how much light evidence weakens motion, and how much persistence supports it
+LIGHT_WEAKENS, PERSISTENT_SUPPORTS = 0.85, 0.25
+
+
 def cue(kind: str, value: Column, threshold: Column) -> Column:
     """Soft evidence that a residual exceeds its threshold."""
     least, factor = SOFTNESS[kind]
@@ -56,9 +60,9 @@ def cue(kind: str, value: Column, threshold: Column) -> Column:
 def fuse(flow: Column, depth: Column, photo: Column, chroma_: Column, persistent: Column, valid: Column) -> dict[str, Column]:
     """Split motion evidence into static, dynamic, illumination and unknown."""
     ok = valid.cast("double")
-    support = F.greatest(depth, chroma_, 0.25 * persistent)
+    support = F.greatest(depth, chroma_, PERSISTENT_SUPPORTS * persistent)
     light = photo * (1.0 - support) * ok
-    dynamic = flow * (1.0 - 0.85 * light)
+    dynamic = flow * (1.0 - LIGHT_WEAKENS * light)
     static = (1.0 - flow) * (1.0 - light) * ok
     return {"q_static": static, "q_dynamic": dynamic, "q_illumination": light,
             "q_unknown": F.greatest(light, 1.0 - F.greatest(dynamic, static))}

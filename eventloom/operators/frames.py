@@ -259,7 +259,10 @@ def stat_vectors(stats: DataFrame, dim: int) -> DataFrame:
 
 
 def consistency(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], by: list[str]) -> DataFrame:
-    """Exact equality of two recordings per group; a row missing on one side breaks it."""
+    """Exact equality of two recordings per group; a row missing on one side breaks it.
+
+    Columns are numbers, or arrays of numbers, whose error is the mean over their elements.
+    """
     left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("_a"))
     right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("_b"))
     j = left.join(right, keys, "full_outer")
@@ -267,7 +270,10 @@ def consistency(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], by
     aggs = [F.count_if(~both).alias("unmatched")]
     for c in cols:
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
-        aggs += [F.bool_and(both & x.eqNullSafe(y)).alias(f"{c}_exact"), F.avg(F.abs(x - y)).alias(f"{c}_mae"),
+        error = F.abs(x - y)
+        if a.schema[c].dataType.typeName() == "array":
+            error = F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, d: s + d) / F.size(x)
+        aggs += [F.bool_and(both & x.eqNullSafe(y)).alias(f"{c}_exact"), F.avg(error).alias(f"{c}_mae"),
                  F.avg(F.when(both, x.eqNullSafe(y).cast("int"))).alias(f"{c}_equal_share")]
     return j.groupBy(*by).agg(*aggs)
 

@@ -138,7 +138,8 @@ def thresholds(res: DataFrame, quantile: float = 0.95, width: float = 0.02) -> D
     c, fl = F.col, light.FLOORS
     runs = res.select(*RUN).distinct()
     of = lambda kind, q: F.max(F.when(c("kind") == kind, c(q)))
-    rel = res.where("reliable")
+    # every quantile of the chain reads these rows: they are made once
+    rel = cut_lineage(res.where("reliable").select(*RUN, *KINDS.values()), "separation-residuals")
     a = _stacked(rel, {"flow": "flow_error", "relative": "flow_error_rel"}, [quantile, 0.80], width).groupBy(*RUN).agg(
         of("flow", "q0").alias("_f"), of("relative", "q1").alias("_r"))
     t = runs.join(a, RUN, "left").select(

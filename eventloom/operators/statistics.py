@@ -13,9 +13,8 @@ from eventloom.operators import chunked
 from eventloom.operators import events as ev
 from eventloom.session import cut_lineage
 
-# fixed values: which way each metric improves
+# fixed values: which way each metric improves; the others are neutral
 DIRECTIONS = {
-    "events": "neutral",
     "polarity_imbalance": "lower",
     "count_cv": "lower",
     "phase_imbalance": "lower",
@@ -25,9 +24,6 @@ DIRECTIONS = {
     "boundary_density": "higher",
     "halo_ratio": "lower",
     "static_rate": "lower",
-    "f1": "neutral",
-    "precision": "neutral",
-    "recall": "neutral",
 }
 
 

@@ -38,6 +38,7 @@ MEDIUM = {
     "distance_from_robot": "the %s with medium distance to the robot at the start",
     "velocity": "the moving %s with medium initial velocity",
 }
+# fixed values: phrases for the direction of motion, and for none
 DIRECTIONS = [
     "the %s moving in the robot's forward direction",
     "the %s moving in the robot's forward-left direction",

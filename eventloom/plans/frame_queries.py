@@ -315,15 +315,23 @@ def locate(spark, sf):
     return fr.locate(w, e, 1024)
 
 
-@query("J13", """b AS (SELECT episode, frame_index, CASE WHEN episode % 7 = 0 THEN obj_z + 0.01::DOUBLE ELSE obj_z END AS obj_z, gripper FROM v_frames WHERE NOT (episode % 11 = 0 AND frame_index = 0))
+_EQ = "SELECT episode, frame_index, obj_z, gripper, state FROM st"
+
+
+@query("J13", f"""{STATE}, a AS ({_EQ}), b AS (SELECT * REPLACE (CASE WHEN episode % 7 = 0 THEN obj_z + 0.01::DOUBLE ELSE obj_z END AS obj_z, CASE WHEN episode % 5 = 0 THEN list_transform(state, lambda x: x * 2) ELSE state END AS state)
+    FROM ({_EQ}) WHERE NOT (episode % 11 = 0 AND frame_index = 0))
   SELECT episode, count(*) FILTER (a.obj_z IS NULL OR b.obj_z IS NULL) AS unmatched,
    bool_and(b.obj_z IS NOT NULL AND a.obj_z IS NOT NULL AND a.obj_z = b.obj_z) AS obj_z_exact, round(avg(abs(a.obj_z - b.obj_z)), 6) AS obj_z_mae, round(avg((a.obj_z = b.obj_z)::INT), 6) AS obj_z_equal_share,
-   bool_and(b.obj_z IS NOT NULL AND a.obj_z IS NOT NULL AND a.gripper = b.gripper) AS gripper_exact, round(avg(abs(a.gripper - b.gripper)), 6) AS gripper_mae, round(avg((a.gripper = b.gripper)::INT), 6) AS gripper_equal_share
-  FROM (SELECT episode, frame_index, obj_z, gripper FROM v_frames) a FULL JOIN b USING (episode, frame_index) GROUP BY episode""", "v_frames")
+   bool_and(b.obj_z IS NOT NULL AND a.obj_z IS NOT NULL AND a.gripper = b.gripper) AS gripper_exact, round(avg(abs(a.gripper - b.gripper)), 6) AS gripper_mae, round(avg((a.gripper = b.gripper)::INT), 6) AS gripper_equal_share,
+   bool_and(b.obj_z IS NOT NULL AND a.obj_z IS NOT NULL AND a.state = b.state) AS state_exact, round(avg(({' + '.join(f'abs(a.state[{k}] - b.state[{k}])' for k in range(1, 7))}) / 6), 6) AS state_mae, round(avg((a.state = b.state)::INT), 6) AS state_equal_share
+  FROM a FULL JOIN b USING (episode, frame_index) GROUP BY episode""", "v_frames")
 def consistency(spark, sf):
-    a = v.v_frames(spark, sf).select("episode", "frame_index", "obj_z", "gripper")
-    b = a.where(~((F.col("episode") % 11 == 0) & (F.col("frame_index") == 0))).withColumn("obj_z", F.when(F.col("episode") % 7 == 0, F.col("obj_z") + 0.01).otherwise(F.col("obj_z")))
-    d = fr.consistency(a, b, ["episode", "frame_index"], ["obj_z", "gripper"], E)
+    cols = ["obj_z", "gripper", "state"]
+    a = states(spark, sf).select("episode", "frame_index", *cols)
+    b = a.where(~((F.col("episode") % 11 == 0) & (F.col("frame_index") == 0))).withColumns({
+        "obj_z": F.when(F.col("episode") % 7 == 0, F.col("obj_z") + 0.01).otherwise(F.col("obj_z")),
+        "state": F.when(F.col("episode") % 5 == 0, F.transform("state", lambda x: x * 2)).otherwise(F.col("state"))})
+    d = fr.consistency(a, b, ["episode", "frame_index"], cols, E)
     return d.withColumns({c: F.round(c, 6) for c in d.columns if c.endswith(("_mae", "_share"))})
 
 

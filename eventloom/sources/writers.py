@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,8 +146,8 @@ def materialize(spark: SparkSession, inputs: DataFrame, build, path: str, keys:
     try:
         stored = spark.read.parquet(path).select(*keys, "fingerprint").distinct()
         todo = stale(inputs, stored, keys)
-    except Exception as e:  # first run: nothing is stored
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # first run: nothing is stored
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     out = build(todo)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

@@ -6,10 +6,10 @@ form: the contexts in order with monotone pointers to where their successors beg
 successors, made monotone by the number of their context, with quantised probabilities. A
 look-up finds the context, then searches its successors only, relative to it.
 
-Documents are tokenised in blocks. A block asks each shard once for every different n-gram
-that it holds and keeps its tokens as numbers in a pinned table; a shard sums the training
-counts in the questions, builds its trie, maps it into memory and answers all blocks. So a
-word that is everywhere costs one question per block, and no shard is sent to a document.
+Documents are tokenised in blocks, kept as word numbers in a pinned table. A block asks each
+shard once for every different n-gram that it holds; a shard sums the training counts in the
+questions, builds its trie, maps it into memory and answers all blocks. So a word that is
+everywhere costs one question per block, and no shard is sent to a document.
 
 Probabilities are interpolated from order 1 up: p1(w) = (c(w) - D) / N, the mass D V / N
 going to the class of unknown words; pk(w | u) = (c(u w) + M p(k-1)(w)) / (c(u) + M), with
@@ -36,8 +36,8 @@ DISCOUNT = 0.6
 STRENGTH = 200.0
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a block, and bytes of text for each shard; they bound a task's memory.
-BLOCK_TOKENS = 3_000_000
-SHARD_BYTES = 16_000_000
+BLOCK_TOKENS = 1_500_000
+SHARD_BYTES = 8_000_000
 _END, _BEGIN = np.uint64(1), np.uint64(2)
 _HALF = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -50,6 +50,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`mixed`."""
+    back = [np.uint64(pow(int(m), -1, 1 << 64)) for m in _MIX]
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * back[2]
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * back[1]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 # --- Elias-Fano ----------------------------------------------------------------------------
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -226,8 +234,15 @@ def gram_keys(words: np.ndarray, tokens: np.ndarray, starts: np.ndarray, order:
     return (context & ~_LOW) | (mixed(context * _MIX[2] + h) >> _HALF)
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((mixed(keys + _MIX[0]) >> _HALF) * np.uint64(shards) >> _HALF).astype(np.int64)
+def _bounds(shards: int) -> list[int]:
+    """Where each shard's stretch of the mixed keys begins, and the end of all."""
+    return [-(-(s << 64) // shards) for s in range(shards)] + [1 << 64]
+
+
+def _asked(words: np.ndarray, tokens: np.ndarray, starts: np.ndarray, order: int, bounds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys of a block, mixed and in order, which of them each token has, and where each shard's begin."""
+    keys, inverse = np.unique(mixed(gram_keys(words, tokens, starts, order)), return_inverse=True)
+    return keys, inverse, np.append(np.searchsorted(keys, np.array(bounds[:-1], np.uint64)), len(keys))
 
 
 _COLUMNS = "kind int, block long, shard int, a binary, b binary, c binary, n long, m long"
@@ -239,8 +254,8 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
-def blocks(docs: DataFrame, order: int, shards: int, folds: int, held_out: int) -> DataFrame:
-    """Kind 0: a block's documents and tokens. Kind k: its questions to one shard of order k, with training counts."""
+def blocks(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """A row per block: its documents (a), the digests of its words (b) and its tokens (c)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -251,10 +266,10 @@ def blocks(docs: DataFrame, order: int, shards: int, folds: int, held_out: int)
             for doc, train, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 own.add(doc, train, text)
                 if len(own.tokens) >= BLOCK_TOKENS:
-                    yield from _table(own.rows(block, order, shards)).to_batches()
+                    yield from _table([own.row(block)]).to_batches()
                     own, block = _Block(), block + 1
         if own.docs:
-            yield from _table(own.rows(block, order, shards)).to_batches()
+            yield from _table([own.row(block)]).to_batches()
 
     batches(docs.sparkSession, 500)
     train = F.coalesce(remainder(F.col("doc_id"), folds) != held_out, F.lit(False))
@@ -284,7 +299,7 @@ class _Block:
         self.tokens.append(0)
         self.starts.append(len(self.tokens))
 
-    def rows(self, block: int, order: int, shards: int) -> list[tuple]:
+    def row(self, block: int) -> tuple:
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.number), np.uint64, len(self.number))
         words[0] = _END
         tokens, starts = np.frombuffer(self.tokens, np.int32), np.array(self.starts)
@@ -292,61 +307,73 @@ class _Block:
         rank = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
         place = np.empty(len(rank), np.int32)
         place[rank] = np.arange(len(rank), dtype=np.int32)
-        words, tokens = words[rank], place[tokens]
-        train = np.repeat(np.array(self.train), np.diff(starts))
         null = np.array([d is None for d in self.docs])
         ids = np.array([d or 0 for d in self.docs], np.int64)
         head = np.concatenate([ids, np.diff(starts), np.array(self.train) + 2 * null])
-        out = [(0, block, -1, _pack(head), _pack(words), _pack(tokens), len(ids), 0)]
-        for k in range(1, order + 1):
-            keys, inverse = np.unique(gram_keys(words, tokens, starts, k), return_inverse=True)
-            count = np.bincount(inverse[train], minlength=len(keys))
-            shard = _shard(keys, shards)
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
-            for s in range(shards):
-                at = by[cut[s] : cut[s + 1]]
-                if len(at):
-                    out.append((k, block, s, EliasFano.build(keys[at], 2**64 - 1), _pack(count[at].astype(np.uint32)), None, len(at), 0))
-        return out
+        return 0, block, -1, _pack(head), _pack(words[rank]), _pack(place[tokens]), len(ids), 0
+
+
+def _opened(n: int, a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, ...]:
+    """ids, flags (1: learn from it, 2: no id), starts, words and tokens of a block."""
+    head = _unpack(a, np.int64)
+    return head[:n], head[2 * n :], np.append(0, np.cumsum(head[n : 2 * n])), _unpack(b, np.uint64), _unpack(c, np.int32)
+
+
+def questions(kept: DataFrame, order: int, shards: int) -> DataFrame:
+    """Rows of kind k: the keys (a) a block asks of one shard of order k, with their training counts (b)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(shards)
+        for batch in it:
+            for block, a, b, c, n in zip(*(batch.column(i) for i in range(5)), strict=True):
+                _, flags, starts, words, tokens = _opened(n.as_py(), a.as_py(), b.as_py(), c.as_py())
+                train = np.repeat(flags % 2 == 1, np.diff(starts))
+                for k in range(1, order + 1):
+                    keys, inverse, cut = _asked(words, tokens, starts, k, bounds)
+                    count = np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
+                    rows = []
+                    for s in range(shards):
+                        lo, hi = cut[s], cut[s + 1]
+                        if lo < hi:
+                            own = keys[lo:hi] - np.uint64(bounds[s])
+                            rows.append((k, block.as_py(), s, EliasFano.build(own, bounds[s + 1] - bounds[s]), _pack(count[lo:hi]), None, int(hi - lo), 0))
+                    yield from _table(rows).to_batches()
+
+    batches(kept.sparkSession, 1)
+    return kept.select("block", "a", "b", "c", "n").mapInArrow(run, _COLUMNS)
 
 
 # --- shards --------------------------------------------------------------------------------
 
 
-def _summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Different keys of training n-grams with their counts, and each question's keys."""
-    asked = [EliasFano(x.as_buffer()).values() for x in t.column("a")]
-    counts = [_unpack(x, np.uint32).astype(np.int64) for x in t.column("b").to_pylist()]
-    keys, count = np.concatenate(asked), np.concatenate(counts)
-    keys, count = keys[count > 0], count[count > 0]
-    order = np.argsort(keys, kind="stable")
-    keys, count = keys[order], count[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(count, first) if len(first) else count, asked
-
-
-def _answer(kind: int, shard: int, questions: pa.Table, keys: np.ndarray, count: np.ndarray, asked: list[np.ndarray]) -> list[tuple]:
-    """One row per block: codes and the book; and one with the sums of order 1. Counts of order 1 are exact."""
-    out: list[tuple] = []
-    if kind == 1:
-        words = EliasFano(EliasFano.build(keys, 2**64 - 1))
-        exact = np.append(count, 0)
-        for block, ask in zip(questions.column("block").to_pylist(), asked, strict=True):
-            out.append((kind, block, shard, _pack(exact[words.find(ask)]), None, None, len(ask), 0))
-        return [*out, (-1, -1, shard, None, None, None, int(count.sum()), len(count))]
-    trie = Trie(Trie.build(keys, count))
-    for block, ask in zip(questions.column("block").to_pylist(), asked, strict=True):
-        out.append((kind, block, shard, _pack(trie.look_up(ask).astype(np.uint16)), trie.book.tobytes(), None, len(ask), 0))
-    return out
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """The shards' answers to all blocks: each shard sums, builds its trie and looks up."""
+def answers(asked: DataFrame, shards: int) -> DataFrame:
+    """One row per question: counts of order 1 as they are, above codes (a) and their book (b); and the sums of order 1 (kind -1).
+
+    A shard sums the training counts of its keys, builds its trie, and looks up all that was asked.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        keys, count, ask = _summed(t)
-        return _table(_answer(key[0].as_py(), key[1].as_py(), t, keys, count, ask))
+        kind, shard = key[0].as_py(), key[1].as_py()
+        base = np.uint64(_bounds(shards)[shard])
+        lists = [EliasFano(x.as_buffer()).values() for x in t.column("a")]
+        cut = np.append(0, np.cumsum([len(x) for x in lists]))
+        ask = np.concatenate(lists) + base
+        ask = ask if kind == 1 else unmixed(ask)
+        count = np.concatenate([_unpack(x.as_py(), np.uint32) for x in t.column("b")]).astype(np.int64)
+        keys, count = ask[count > 0], count[count > 0]
+        order = np.argsort(keys, kind="stable")
+        keys, count = keys[order], count[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        keys, count = keys[first], np.add.reduceat(count, first) if len(first) else count
+        blocks_, rows = t.column("block").to_pylist(), []
+        if kind == 1:
+            found = np.append(count, 0)[EliasFano(EliasFano.build(keys, (1 << 64) - 1)).find(ask)]
+            rows, book = [(-1, -1, shard, None, None, None, int(count.sum()), len(count))], None
+        else:
+            trie = Trie(Trie.build(keys, count))
+            found, book = trie.look_up(ask).astype(np.uint16), trie.book.tobytes()
+        rows += [(kind, b, shard, _pack(found[lo:hi]), book, None, int(hi - lo), 0) for b, lo, hi in zip(blocks_, cut, cut[1:], strict=False)]
+        return _table(rows)
 
     return asked.groupBy("kind", "shard").applyInArrow(run, _COLUMNS)
 
@@ -367,14 +394,14 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, stren
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
-    asked = pin(blocks(docs, order, shards, folds, held_out), "lm-blocks")
-    replies = pin(answers(asked.filter("kind > 0")), "lm-answers")
+    kept = pin(blocks(docs, folds, held_out), "lm-blocks")
+    replies = pin(answers(questions(kept, order, shards), shards), "lm-answers")
     n, v = replies.filter("kind = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
 
     def run(key: tuple, own: pa.Table, replied: pa.Table) -> pa.Table:
         return _scored(own, replied, order, shards, n, v, discount, strength)
 
-    left, right = (x.select("block", "kind", "shard", "a", "b", "c", "n") for x in (asked.filter("kind = 0"), replies.filter("kind > 0")))
+    left, right = (x.select("block", "kind", "shard", "a", "b", "c", "n") for x in (kept, replies.filter("kind > 0")))
     out = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
     found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, out)
     is_held = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
@@ -382,29 +409,24 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, stren
 
 
 def _scored(own: pa.Table, replied: pa.Table, order: int, shards: int, n: int, v: int, discount: float, strength: float) -> pa.Table:
-    docs = own.column("n")[0].as_py()
-    head = _unpack(own.column("a")[0].as_py(), np.int64)
-    words, tokens = _unpack(own.column("b")[0].as_py(), np.uint64), _unpack(own.column("c")[0].as_py(), np.int32)
-    ids, length, flags = head[:docs], head[docs : 2 * docs], head[2 * docs :]
-    starts = np.append(0, np.cumsum(length))
+    ids, flags, starts, words, tokens = _opened(*(own.column(c)[0].as_py() for c in "nabc"))
+    bounds = _bounds(shards)
     reply: dict[tuple[int, int], tuple] = {}
     for kind, shard, a, b in zip(*(replied.column(c).to_pylist() for c in ("kind", "shard", "a", "b")), strict=True):
         reply[kind, shard] = (a, b)
 
     def read(k: int) -> np.ndarray:
         """The count of the k-gram at each token."""
-        keys, inverse = np.unique(gram_keys(words, tokens, starts, k), return_inverse=True)
-        shard, count = _shard(keys, shards), np.zeros(len(keys))
-        by = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[by], np.arange(shards + 1))
+        keys, inverse, cut = _asked(words, tokens, starts, k, bounds)
+        count = np.zeros(len(keys))
         for s in range(shards):
             if cut[s] < cut[s + 1]:
                 a, b = reply[k, s]
-                at = by[cut[s] : cut[s + 1]]
-                count[at] = _unpack(a, np.int64) if k == 1 else np.append(0.0, np.frombuffer(b, float))[_unpack(a, np.uint16)]
+                count[cut[s] : cut[s + 1]] = _unpack(a, np.int64) if k == 1 else np.append(0.0, np.frombuffer(b, float))[_unpack(a, np.uint16)]
         return count[inverse]
 
     c = read(1)
+    known = c > 0
     base = np.log10(c + 1) - np.log10(float(n + v + 1))
     first = np.zeros(len(tokens), bool)
     first[starts[:-1]] = True
@@ -419,9 +441,8 @@ def _scored(own: pa.Table, replied: pa.Table, order: int, shards: int, n: int, v
         log = np.log10(p)
     else:
         log = base
-    known = read(1) > 0
     total = lambda x: np.add.reduceat(x, starts[:-1])
     return pa.table({
-        "doc_id": pa.array(ids, pa.int64(), mask=flags >= 2), "train": pa.array(flags % 2 == 1), "n_tokens": pa.array(length), "n_known": pa.array(total(known.astype(np.int64))),
+        "doc_id": pa.array(ids, pa.int64(), mask=flags >= 2), "train": pa.array(flags % 2 == 1), "n_tokens": pa.array(np.diff(starts)), "n_known": pa.array(total(known.astype(np.int64))),
         "base_score": pa.array(total(base)), "score": pa.array(total(log)),
     })

@@ -486,16 +486,69 @@ def separation_thresholds(spark, sf):
     return rnd(t, "t_flow", "t_relative", "t_depth", "t_photo", "t_chroma")
 
 
-@query("X4")
+def _separation(causal: bool) -> str:
+    """The whole separation in one statement, from the formulas of its parts."""
+    w = "(PARTITION BY episode, camera, y, x ORDER BY frame_index)"
+    fr_ = "PARTITION BY episode, camera, frame_index"
+    vals = ["depth", "glog", "ch0", "ch1", "ch2"]
+    errs = ["flow_error", "flow_error_rel", "depth_error", "photo_error", "chroma_error"]
+    state = ["valid", "reliable", *errs]
+    pad = ", ".join(f"CASE WHEN lead(frame_index) OVER w IS NULL AND lag(frame_index) OVER w IS NOT NULL THEN lag({c}) OVER w ELSE {c} END AS {c}" for c in state)
+    limits = {"flow": "t_flow", "relative": "t_relative", "depth": "t_depth", "photo": "t_photo", "chroma": "t_chroma"}
+    fl = light.FLOORS
+    thr = f"""t1 AS (SELECT r.episode, r.camera, greatest(coalesce(f, {fl['flow']}), {fl['flow']}::DOUBLE) AS t_flow, least(greatest(2.5::DOUBLE * coalesce(q, 0), {fl['relative']}::DOUBLE), {light.RELATIVE_CAP}::DOUBLE) AS t_relative
+      FROM (SELECT DISTINCT episode, camera FROM res) r LEFT JOIN (SELECT episode, camera, quantile_cont(flow_error, 0.95) AS f, quantile_cont(flow_error_rel, 0.8) AS q FROM res WHERE reliable GROUP BY ALL) a USING (episode, camera)),
+  still AS (SELECT res.* FROM res JOIN t1 USING (episode, camera) WHERE reliable AND flow_error <= t_flow AND flow_error_rel <= t_relative),
+  t2 AS (SELECT t1.*, greatest(coalesce(d, 0), {fl['depth']}::DOUBLE) AS t_depth FROM t1 LEFT JOIN (SELECT episode, camera, quantile_cont(depth_error, 0.95) AS d FROM still GROUP BY ALL) b USING (episode, camera)),
+  t3 AS (SELECT t2.*, greatest(coalesce(f, 0), {fl['photo']}::DOUBLE) AS t_photo, greatest(coalesce(g, 0), {fl['chroma']}::DOUBLE) AS t_chroma FROM t2
+    LEFT JOIN (SELECT episode, camera, quantile_cont(photo_error, 0.95) AS f, quantile_cont(chroma_error, 0.95) AS g FROM still JOIN t2 USING (episode, camera) WHERE depth_error <= t_depth GROUP BY ALL) c USING (episode, camera)),
+  lim AS (SELECT * FROM res JOIN t3 USING (episode, camera))"""
+    if causal:
+        thr = "lim AS (SELECT *, " + ", ".join(f"{fl[k]}::DOUBLE AS {c}" for k, c in limits.items()) + " FROM res)"
+    near = "greatest(CASE WHEN lag(frame_index) OVER w = frame_index - 1 THEN lag(m) OVER w END" + ("" if causal else ", CASE WHEN lead(frame_index) OVER w = frame_index + 1 THEN lead(m) OVER w END") + ")"
+    neutral = f" UNION ALL SELECT {KEY}, 0, 1, 0, 0, 0, true FROM v_pixels WHERE frame_index = 0" if causal else ""
+    return f"""sg AS (SELECT *, ln(1 + round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0)) AS glog, {', '.join(f'({c} + 1.0::DOUBLE) / (r + g + b + 3) AS ch{k}' for k, c in enumerate('rgb'))} FROM v_pixels),
+  sp AS (SELECT *, CASE WHEN lead(frame_index) OVER w = frame_index + 1 THEN lead(mvx) OVER w ELSE mvx END AS ox, CASE WHEN lead(frame_index) OVER w = frame_index + 1 THEN lead(mvy) OVER w ELSE mvy END AS oy FROM sg WINDOW w AS {w}),
+  s0 AS (SELECT p.*, c.fx, c.fy, c.cx, c.cy, (p.x - c.cx) * depth / c.fx + c.tx - n.tx AS rx, (p.y - c.cy) * depth / c.fy AS ry FROM sp p JOIN v_cameras c USING (episode, camera, frame_index)
+    {'' if causal else 'LEFT'} JOIN v_cameras n ON n.episode = p.episode AND n.camera = p.camera AND n.frame_index = p.frame_index + 1),
+  s1 AS (SELECT *, fx * rx / depth + cx AS u, fy * ry / depth + cy AS w FROM s0),
+  s2 AS (SELECT *, coalesce(depth > 0.02 AND depth < 100 AND u >= -1e-4 AND u <= {N - 1} + 1e-4 AND w >= -1e-4 AND w <= {N - 1} + 1e-4 AND rx IS NOT NULL, false) AS ok FROM s1),
+  s3 AS (SELECT *, CASE WHEN ok THEN u - x ELSE 0 END AS ego_x, CASE WHEN ok THEN w - y ELSE 0 END AS ego_y, CASE WHEN ok THEN depth ELSE 0 END AS depth_pred FROM s2),
+  tp AS (SELECT e.*, t.dy, t.dx, CASE t.dx WHEN 1 THEN x + ego_x - floor(x + ego_x) ELSE 1 - (x + ego_x - floor(x + ego_x)) END * CASE t.dy WHEN 1 THEN y + ego_y - floor(y + ego_y) ELSE 1 - (y + ego_y - floor(y + ego_y)) END AS tw
+    FROM s3 e CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dy, dx)),
+  sm AS (SELECT a.episode, a.camera, a.frame_index, a.y, a.x, {', '.join(f'CASE WHEN count(*) = count(n.depth) THEN sum(tw * n.{c}) END AS fwd_{c}' for c in vals)}
+    FROM tp a LEFT JOIN sg n ON n.episode = a.episode AND n.camera = a.camera AND n.frame_index = a.frame_index + 1 AND n.y = floor(a.y + ego_y) + dy AND n.x = floor(a.x + ego_x) + dx
+    WHERE tw > 0 GROUP BY a.episode, a.camera, a.frame_index, a.y, a.x),
+  s4 AS (SELECT s3.*, sqrt(pow(ox * 0.5::DOUBLE - ego_x, 2) + pow(oy * 0.5::DOUBLE - ego_y, 2)) AS fe, abs(fwd_depth - depth_pred) / greatest(depth_pred, 0.05::DOUBLE) AS de, fwd_glog - glog AS d,
+      sqrt({' + '.join(f'pow(fwd_ch{k} - ch{k}, 2)' for k in range(3))}) AS ce,
+      greatest(coalesce(abs(depth - lag(depth) OVER ({fr_}, y ORDER BY x)), 0), coalesce(abs(depth - lag(depth) OVER ({fr_}, x ORDER BY y)), 0)) > 0.03::DOUBLE + 0.04::DOUBLE * least(greatest(depth, 0), 10) AS e FROM s3 JOIN sm USING ({KEY})),
+  {dil('e1', 's4', 'e', 1)}, {dil('e2', 's4', 'e', 2)},
+  md AS (SELECT episode, camera, frame_index, quantile_cont(d, 0.5) FILTER (ok AND de < 0.03::DOUBLE AND NOT e1.m) AS med FROM s4 JOIN e1 USING ({KEY}) GROUP BY ALL),
+  s5 AS (SELECT {KEY}, fe, fe / (1 + sqrt(ego_x * ego_x + ego_y * ego_y)) AS fr, de, abs(d - coalesce(med, 0)) AS pe, ce, e2.m AS edge2, ok AND fe IS NOT NULL AND de IS NOT NULL AND d IS NOT NULL AND ce IS NOT NULL AS valid
+    FROM s4 JOIN md USING (episode, camera, frame_index) JOIN e2 USING ({KEY})),
+  s6 AS (SELECT {KEY}, valid, valid AND NOT edge2 AS reliable, {', '.join(f'CASE WHEN valid THEN {a} ELSE 0 END AS {b}' for a, b in zip(('fe', 'fr', 'de', 'pe', 'ce'), errs))} FROM s5),
+  res AS (SELECT {KEY}, {', '.join(state) if causal else pad} FROM s6 {'' if causal else f'WINDOW w AS {w}'}),
+  {thr},
+  cu AS (SELECT {KEY if not causal else 'episode, camera, frame_index + 1 AS frame_index, y, x'}, valid, reliable, reliable::INT AS rel, valid::INT AS ok, greatest({s_cue('flow', 'flow_error', 't_flow')}, {s_cue('relative', 'flow_error_rel', 't_relative')}) * reliable::INT AS f,
+    {s_cue('depth', 'depth_error', 't_depth')} * valid::INT AS d, {s_cue('photo', 'photo_error', 't_photo')} * valid::INT AS photo, {s_cue('chroma', 'chroma_error', 't_chroma')} * valid::INT AS c FROM lim),
+  {dil('wf', 'cu', 'f', 2)}, {dil('wd', 'cu', 'd', 2)}, {dil('wc', 'cu', 'c', 1)},
+  cw AS (SELECT cu.*, CASE WHEN valid AND NOT reliable THEN wf.m ELSE f END AS flow, wd.m * ok AS depth_c, wc.m * ok AS chroma_c FROM cu JOIN wf USING ({KEY}) JOIN wd USING ({KEY}) JOIN wc USING ({KEY})),
+  {dil('w3', 'cw', 'flow', 3)}, nb AS (SELECT *, {near} AS other FROM w3 WINDOW w AS {w}),
+  v_cues AS (SELECT cw.*, sqrt(least(greatest(flow * coalesce(other, flow), 0), 1)) AS pers FROM cw JOIN nb USING ({KEY})), {FUSED}
+  SELECT {KEY}, {', '.join(f'round(least(greatest({e}, 0), 1), 6)::DOUBLE AS {n}' for n, e in (('q_motion', 'flow'), ('q_static', 'st'), ('q_dynamic', 'dy'), ('q_illumination', 'li'), ('q_unknown', 'greatest(li, 1 - greatest(dy, st))')))}, valid FROM fq{neutral}"""
+
+
+def _maps(d):
+    return rnd(d, "q_motion", "q_static", "q_dynamic", "q_illumination", "q_unknown")
+
+
+@query("X4", _separation(False), "v_pixels v_cameras")
 def separate_offline(spark, sf):
-    """The whole offline separation; checked against a NumPy brute force in the tests."""
-    return sep.separate(v.v_pixels(spark, sf), v.v_cameras(spark, sf), 0.5, N, N)
+    """The whole offline separation; the tests also check it against a NumPy brute force."""
+    return _maps(sep.separate(v.v_pixels(spark, sf), v.v_cameras(spark, sf), 0.5, N, N))
 
 
-@query("T12 X4")
+@query("T12 X4", _separation(True), "v_pixels v_cameras")
 def separate_causal(spark, sf):
     """Causal form: fixed thresholds, previous frame only, neutral first frame."""
-    return sep.separate(v.v_pixels(spark, sf), v.v_cameras(spark, sf), 0.5, N, N, causal=True)
-
-
-del math
+    return _maps(sep.separate(v.v_pixels(spark, sf), v.v_cameras(spark, sf), 0.5, N, N, causal=True))

@@ -223,21 +223,30 @@ EVENT_METRICS = ["events", "polarity_imbalance", "count_cv", "phase_imbalance",
 REGION_METRICS = ["boundary_coverage", "boundary_density", "halo_ratio", "static_rate"]
 
 
-def evaluate_pair(a: DataFrame, b: DataFrame, keys: list[str], bin_us: int, n_bins: int, spectrum_bin_us: int, spectrum_bins: int, cells: tuple[int, int],
-                  regions_a: DataFrame | None = None, regions_b: DataFrame | None = None) -> DataFrame:
-    """All metrics of two runs as one long table; agreement rows belong to the candidate.
+CONSISTENCY = ("_exact", "_mae", "_equal_share")
 
-    Both runs are measured in one pass with the version as part of the key.
+
+def evaluate_pair(a: DataFrame, b: DataFrame, keys: list[str], bin_us: int, n_bins: int, spectrum_bin_us: int, spectrum_bins: int, cells: list[tuple[int, int]],
+                  regions_a: DataFrame | None = None, regions_b: DataFrame | None = None, consistency: DataFrame | None = None) -> DataFrame:
+    """All metrics of two runs as one long table; agreement and consistency rows belong to the candidate.
+
+    Both runs are measured in one pass with the version as part of the key. ``cells`` are the
+    resolutions (pixels, microseconds) at which occupied cells are compared; a metric's name
+    carries the pixels. ``regions_*``: region metrics of the runs, ``consistency``: equality
+    of their recordings, each with one row per ``keys``.
     """
     both = a.withColumn("version", F.lit("a")).unionByName(b.withColumn("version", F.lit("b")))
     m = event_metrics(both, [*keys, "version"], bin_us, n_bins, spectrum_bin_us, spectrum_bins)
     rows = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in EVENT_METRICS])).alias("_m")
     out = m.select(*keys, "version", F.lit("event").alias("kind"), rows).select(*keys, "version", "kind", "_m.metric", "_m.value")
-    vox = ev.voxel_agreement(a, b, keys, [cells], bin_us * n_bins)
-    out = out.unionByName(long_metrics(vox, keys, ["f1", "precision", "recall"], "voxel", "b"))
+    vox = ev.voxel_agreement(a, b, keys, cells, bin_us * n_bins)
+    named = F.concat("metric", F.lit("_"), "px").alias("metric")
+    out = out.unionByName(long_metrics(vox, [*keys, "px"], ["f1", "precision", "recall"], "voxel", "b").select(*keys, "version", "kind", named, "value"))
     for version, r in (("a", regions_a), ("b", regions_b)):
         if r is not None:
             out = out.unionByName(long_metrics(r, keys, REGION_METRICS, "region", version))
+    if consistency is not None:
+        out = out.unionByName(long_metrics(consistency, keys, [c for c in consistency.columns if c.endswith(CONSISTENCY)], "consistency", "b"))
     return out
 
 

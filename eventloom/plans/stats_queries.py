@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom.operators import events as ev
+from eventloom.operators import frames as fr
+from eventloom.operators import pixels as px
+from eventloom.operators import separation as sep
 from eventloom.operators import statistics as st
 from eventloom.plans import views as v
+from eventloom.plans.event_queries import CONF
+from eventloom.plans.pixel_queries import REGIONS, masks
 from eventloom.plans.registry import query
 
 RULES = {"polarity_imbalance": "lower", "mean_q": "higher", "mean_value": "higher"}
@@ -128,14 +134,35 @@ def _eval_sql(name):
      UNION ALL SELECT episode, camera, 'harmonic_power_ratio', hr FROM {name}k UNION ALL SELECT episode, camera, 'line_db', db FROM {name}k)"""
 
 
-@query("X9 A4 A6 A7 X6 A15", f"""both_runs AS (SELECT t_us FROM v_run_a UNION ALL SELECT t_us FROM v_run_b), {_eval_sql('a')}, {_eval_sql('b')},
-  ca AS (SELECT DISTINCT episode, camera, t_us // {v.DAY_US} AS tb, y // 40 AS cy, x // 40 AS cx, p > 0 AS pol FROM ae WHERE t_us >= 0), cb AS (SELECT DISTINCT episode, camera, t_us // {v.DAY_US} AS tb, y // 40 AS cy, x // 40 AS cx, p > 0 AS pol FROM be WHERE t_us >= 0),
-  na AS (SELECT episode, camera, count(*) AS n FROM ca GROUP BY ALL), nb AS (SELECT episode, camera, count(*) AS n FROM cb GROUP BY ALL), nc AS (SELECT episode, camera, count(*) AS n FROM ca JOIN cb USING (episode, camera, tb, cy, cx, pol) GROUP BY ALL),
-  vx AS (SELECT episode, camera, nc.n / nb.n AS pr, nc.n / na.n AS rc FROM na JOIN nb USING (episode, camera) JOIN nc USING (episode, camera)),
+def _regions_sql(name):
+    return f"""{name}c AS (SELECT episode, camera, t_us // {v.DAY_US} AS frame_index, y * {v.SIDE} // {v.HEIGHT} AS y, x * {v.SIDE + 1} // {v.WIDTH} AS x, count(*) AS n FROM {name}e WHERE t_us >= 0 GROUP BY ALL),
+  {name}rg AS (SELECT rg.*, coalesce(n, 0) AS n FROM rg LEFT JOIN {name}c USING (episode, camera, frame_index, y, x)),
+  {name}q AS (SELECT episode, camera, count(*) FILTER (boundary) AS bp, count(*) FILTER (boundary AND n > 0) AS bc, coalesce(sum(n) FILTER (boundary), 0) AS be, count(*) FILTER (halo) AS hp, coalesce(sum(n) FILTER (halo), 0) AS he,
+     count(*) FILTER (static) AS sp, coalesce(sum(n) FILTER (static), 0) AS se FROM {name}rg GROUP BY ALL),
+  {name}r AS (SELECT episode, camera, 'boundary_coverage' AS metric, bc / nullif(bp, 0) AS value FROM {name}q UNION ALL SELECT episode, camera, 'boundary_density', be / nullif(bp, 0) FROM {name}q
+     UNION ALL SELECT episode, camera, 'halo_ratio', (he / nullif(hp, 0)) / nullif(be / nullif(bp, 0), 0) FROM {name}q UNION ALL SELECT episode, camera, 'static_rate', se * 1e6 / nullif(sp * 0.04::DOUBLE, 0) FROM {name}q)"""
+
+
+@query("X9 A4 A6 A7 A14 A15 J13 X6", f"""both_runs AS (SELECT t_us FROM v_run_a UNION ALL SELECT t_us FROM v_run_b), {_eval_sql('a')}, {_eval_sql('b')}, {REGIONS}, {_regions_sql('a')}, {_regions_sql('b')},
+  cf AS (SELECT * FROM (VALUES {', '.join(f'({p}, {u})' for p, u in CONF)}) t(px, bin_us)),
+  ca AS (SELECT DISTINCT episode, camera, px, t_us // bin_us AS tb, y // px AS cy, x // px AS cx, p > 0 AS pol FROM ae, cf WHERE t_us >= 0), cb AS (SELECT DISTINCT episode, camera, px, t_us // bin_us AS tb, y // px AS cy, x // px AS cx, p > 0 AS pol FROM be, cf WHERE t_us >= 0),
+  na AS (SELECT episode, camera, px, count(*) AS n FROM ca GROUP BY ALL), nb AS (SELECT episode, camera, px, count(*) AS n FROM cb GROUP BY ALL), nc AS (SELECT episode, camera, px, count(*) AS n FROM ca JOIN cb USING (episode, camera, px, tb, cy, cx, pol) GROUP BY ALL),
+  vx AS (SELECT episode, camera, px, nc.n / nb.n AS pr, nc.n / na.n AS rc FROM na JOIN nb USING (episode, camera, px) JOIN nc USING (episode, camera, px)),
+  cs AS (SELECT episode, camera, avg(CASE WHEN frame_index % 3 = 0 THEN 5.0::DOUBLE ELSE 0 END) AS mae, avg((frame_index % 3 <> 0)::INT) AS share, bool_and(frame_index % 3 <> 0)::INT AS exact FROM v_pixels GROUP BY ALL),
   al AS (SELECT episode, camera, 'a' AS version, 'event' AS kind, metric, value FROM ao UNION ALL SELECT episode, camera, 'b', 'event', metric, value FROM bo
-   UNION ALL SELECT episode, camera, 'b', 'voxel', 'precision', pr FROM vx UNION ALL SELECT episode, camera, 'b', 'voxel', 'recall', rc FROM vx UNION ALL SELECT episode, camera, 'b', 'voxel', 'f1', 2.0::DOUBLE * pr * rc / (pr + rc) FROM vx)
-  SELECT episode, camera, version, kind, metric, round(value, 6) AS value FROM al""", "v_run_a v_run_b")
+   UNION ALL SELECT episode, camera, 'b', 'voxel', 'precision_' || px, pr FROM vx UNION ALL SELECT episode, camera, 'b', 'voxel', 'recall_' || px, rc FROM vx UNION ALL SELECT episode, camera, 'b', 'voxel', 'f1_' || px, 2.0::DOUBLE * pr * rc / (pr + rc) FROM vx
+   UNION ALL SELECT episode, camera, 'a', 'region', metric, value FROM ar UNION ALL SELECT episode, camera, 'b', 'region', metric, value FROM br
+   UNION ALL SELECT episode, camera, 'b', 'consistency', 'r_exact', exact FROM cs UNION ALL SELECT episode, camera, 'b', 'consistency', 'r_mae', mae FROM cs UNION ALL SELECT episode, camera, 'b', 'consistency', 'r_equal_share', share FROM cs
+   UNION ALL SELECT DISTINCT episode, camera, 'b', 'consistency', t.m, t.val::DOUBLE FROM v_pixels, (VALUES ('seg_exact', 1), ('seg_mae', 0), ('seg_equal_share', 1)) t(m, val))
+  SELECT episode, camera, version, kind, metric, round(value, 6) AS value FROM al""", "v_run_a v_run_b v_pixels")
 def evaluate_pair(spark, sf):
+    """Events, regions, three resolutions of occupied cells, and equality of the recorded rasters (one channel altered)."""
     a, b = v.v_runs(spark, sf)
     n = max(v.units(a, v.HOUR_US), v.units(b, v.HOUR_US))
-    return r6(st.evaluate_pair(a, b, ["episode", "camera"], 6 * v.HOUR_US, -(-n // 6), v.HOUR_US, n, (40, v.DAY_US)))
+    keys = ["episode", "camera"]
+    where = masks(spark, sf)
+    ra, rb = (sep.region_metrics(where, ev.pixel_counts(v.on_raster(e), v.DAY_US), 0.04, keys) for e in (a, b))
+    p = v.v_pixels(spark, sf).select(*px.PIXEL, "seg", "r")
+    other = p.withColumn("r", F.when(F.col("frame_index") % 3 == 0, F.col("r") + 5).otherwise(F.col("r")))
+    same = fr.consistency(p, other, px.PIXEL, ["seg", "r"], keys)
+    return r6(st.evaluate_pair(a, b, keys, 6 * v.HOUR_US, -(-n // 6), v.HOUR_US, n, CONF, ra, rb, same))

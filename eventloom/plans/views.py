@@ -145,14 +145,18 @@ def v_maps(spark, sf) -> DataFrame:
     )
 
 
-def v_raster_events(spark, sf) -> DataFrame:
+def on_raster(events: DataFrame) -> DataFrame:
     """Events with coordinates on the raster; a few fall outside on purpose."""
-    return v_events(spark, sf).withColumns({
+    return events.withColumns({
         "x": F.floor(F.col("x") * (SIDE + 1) / WIDTH).cast("int"),
         "y": F.floor(F.col("y") * SIDE / HEIGHT).cast("int"),
     })
 
 
+def v_raster_events(spark, sf) -> DataFrame:
+    return on_raster(v_events(spark, sf))
+
+
 def v_samples(spark, sf) -> DataFrame:
     c = F.col
     return table(spark, sf, "orders").select(

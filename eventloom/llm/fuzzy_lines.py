@@ -110,16 +110,29 @@ def band_keys(lines: list[str], n: int = SHINGLE, rows: int = ROWS, bands: int =
     return key.view(np.int64)
 
 
-def _distinct(texts: list[str | None], min_chars: int) -> dict[int, str]:
-    return {content(x): x for t in texts if t for _, x in lines_of(t, min_chars)}
+def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, h (xxhash64 of the text), line, id, text: the normalised lines that take part, with their content numbers."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(d, h, i, content(x), x) for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for i, x in lines_of(t, min_chars)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "h", "line", "id", "text"])
+
+    batches(docs.sparkSession, _BATCH)
+    return _keyed(docs).mapInArrow(run, "doc_id long, h long, line int, id long, text string")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
 
 
-def candidates(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of content numbers to be compared, a < b, each once."""
+def candidates(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of content numbers of ``lines(id, text)`` to be compared, a < b, each once."""
 
     def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            own = _distinct(b.column(0).to_pylist(), min_chars)
+            own = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             ids = np.sort(np.fromiter(own.keys(), np.int64, len(own)))
             keys = band_keys([own[i] for i in ids.tolist()]).ravel()
             of = np.repeat(ids, BANDS)
@@ -153,9 +166,9 @@ def candidates(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             u = _once(x, y)
             yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], ["a", "b"])
 
-    batches(docs.sparkSession, _BATCH)
+    batches(lines.sparkSession, 10 * _BATCH)
     # pairs found on the way are spread by their own numbers
-    rows = docs.select("text").mapInArrow(bands, "key long, a long, b long")
+    rows = lines.select("id", "text").mapInArrow(bands, "key long, a long, b long")
     dealt = rows.repartition(F.coalesce("key", F.xxhash64("a", "b"))).sortWithinPartitions("key", "a")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
@@ -176,13 +189,8 @@ def _pairs_batch(keys: np.ndarray, leads: np.ndarray, a: np.ndarray, b: np.ndarr
     return pa.RecordBatch.from_arrays([key, pa.array(np.append(leads, u[0])), pa.array(np.append(np.zeros(len(leads), np.int64), u[1]))], ["key", "a", "b"])
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The candidate pairs whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
-
-    def distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            own = _distinct(b.column(0).to_pylist(), min_chars)
-            yield pa.RecordBatch.from_arrays([pa.array(list(own.keys()), pa.int64()), pa.array(list(own.values()), pa.string())], ["id", "line"])
+def links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The candidate pairs of ``lines(id, text)`` whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
 
     def sized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -200,10 +208,11 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CH
             on = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], ["a", "b"])
 
-    pairs = pin(candidates(docs, min_chars), "line-pairs")
+    pairs = pin(candidates(lines), "line-pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select("text").mapInArrow(distinct, "id long, line string").join(wanted, "id", "left_semi")
-    texts = pin(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(sized, "id long, line string, n int"), "line-texts")
+    texts = lines.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("line"))
+    batches(lines.sparkSession, _BATCH)
+    texts = pin(texts.mapInArrow(sized, "id long, line string, n int"), "line-texts")
     left, right = (texts.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(n)) for i, t, n in (("a", "x", "m"), ("b", "y", "n")))
     # the numbers of shingles alone rule most pairs out
     likely = pairs.join(left, "a").join(right, "b").filter(F.least("m", "n") >= threshold * F.greatest("m", "n"))
@@ -219,14 +228,9 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = M
     and have the same result. An empty table gives no rows; other columns are ignored.
     """
 
-    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = [(d, h, i, content(x)) for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for i, x in lines_of(t, min_chars)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "h", "line", "id"])
-
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    found = pin(components(links(docs, threshold, min_chars)).withColumnsRenamed({"node": "id"}), "line-components")
-    seen = pin(keyed.mapInArrow(places, "doc_id long, h long, line int, id long"), "line-places")
+    seen = pin(line_table(docs, min_chars), "lines")
+    found = pin(components(links(seen, threshold)).withColumnsRenamed({"node": "id"}), "line-components")
+    seen = seen.drop("text")
     own = seen.join(found, "id", "left").select("doc_id", "h", "line", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "line")
     first = own.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -234,7 +238,7 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = M
     count = seen.groupBy("doc_id", "h").agg(F.count_distinct("line").alias("n_lines"))
     per = count.join(gone.withColumnsRenamed({"doc_id": "_d", "h": "_g"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_g")), "left").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_lines", "removed")
     none = F.array().cast("array<int>")
-    out = keyed.select("doc_id", "h").join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    out = _keyed(docs).select("doc_id", "h").join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     removed = F.coalesce("removed", none)
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 

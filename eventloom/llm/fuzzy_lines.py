@@ -6,10 +6,10 @@ bin takes the next filled one's value). Lines that share a band are candidates;
 linked if the exact Jaccard similarity of their shingle sets reaches the threshold, and one
 occurrence per connected component stays.
 
-Lines of one band value are never paired among each other. A pass over the sorted band rows
-holds one leader and one predecessor and pairs each line with both; a task does the same for
-the lines it reads, and sends one row per band value and batch. A line is so paired
-with two others in each of its bands, at a cost linear in the lines.
+All lines of one band value are compared. Up to ``CAP`` different lines make pairs. More are
+dealt into blocks of bounded text, and a task compares the lines of one or two blocks: those
+that share a rare shingle of their prefixes, which misses no pair at the threshold. Lines
+that are linked already are not compared again, so a task returns a forest.
 """
 
 from __future__ import annotations
@@ -29,8 +29,13 @@ ROWS, BANDS = 4, 12
 THRESHOLD = 0.8
 #: Lines of fewer characters are left alone.
 MIN_CHARS = 20
+#: Up to so many different lines of a band value make pairs; more go to blocks of about ``BLOCK`` shingles.
+CAP = 16
+BLOCK = 200_000
 _BATCH = 1000
 _LINES = 100
+#: What a line counts for in a block besides its shingles.
+_LINE = 100
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -74,26 +79,30 @@ def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_keys(lines: list[str], n: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """[line, band]: a 64-bit key of each band of each line's signature."""
-    bins = rows * bands
+def _hashed(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's 64-bit hash and the place of its line; a line shorter than ``n`` is one shingle."""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    if not len(lines):
-        return np.empty((0, bands), np.int64)
-    if len(lines) > _LINES:  # parts that stay in a processor's cache
-        return np.concatenate([band_keys(lines[i : i + _LINES], n, rows, bands) for i in range(0, len(lines), _LINES)])
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     end = np.cumsum(length)
     h = _rolled(codes, n)
-    # those that leave their line are dropped; a short line is one shingle
+    # those that leave their line are dropped
     count = np.maximum(length - n + 1, 1)
     short = np.flatnonzero(length < n)
     h[(end - length)[short]] = [xxhash.xxh3_64_intdigest(lines[i].encode()) for i in short]
     inside = np.ones(len(h), bool)
     drop = length - count
     inside[np.repeat(end - drop, drop) + np.arange(drop.sum()) - np.repeat(np.cumsum(drop) - drop, drop)] = False
-    line = np.repeat(np.arange(len(lines)), count)
-    h = _mixed(h[inside])
+    return _mixed(h[inside]), np.repeat(np.arange(len(lines)), count)
+
+
+def band_keys(lines: list[str], n: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """[line, band]: a 64-bit key of each band of each line's signature."""
+    bins = rows * bands
+    if not len(lines):
+        return np.empty((0, bands), np.int64)
+    if len(lines) > _LINES:  # parts that stay in a processor's cache
+        return np.concatenate([band_keys(lines[i : i + _LINES], n, rows, bands) for i in range(0, len(lines), _LINES)])
+    h, line = _hashed(lines, n)
     # the upper half says which bin, the lower half is the value there
     slot = line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     value = np.full(len(lines) * bins, np.uint64(1 << 32))
@@ -127,50 +136,68 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of content numbers of ``lines(id, text)`` to be compared, a < b, each once."""
+def candidates(lines: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """What is to be compared of ``lines(id, text)``: pairs (a, b) of content numbers, a < b, without a key;
+    and the lines a of each band value (key) of more than ``CAP`` different lines. Each row comes once.
+    """
 
     def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             own = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             ids = np.sort(np.fromiter(own.keys(), np.int64, len(own)))
-            keys = band_keys([own[i] for i in ids.tolist()]).ravel()
+            keys = band_keys([own[i] for i in ids.tolist()], n).ravel()
             of = np.repeat(ids, BANDS)
             order = np.argsort(keys, kind="stable")
             keys, of = keys[order], of[order]
-            first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1)) if len(keys) else np.empty(0, np.int64)
-            size = np.diff(first, append=len(keys))
-            rest = np.setdiff1d(np.arange(len(keys)), first, assume_unique=True)
-            lead = np.repeat(of[first], size)[rest]
-            # a row of the leader for each key, and the pairs found here (key: null)
-            yield _pairs_batch(keys[first], of[first], np.concatenate([lead, of[rest - 1]]), np.concatenate([of[rest], of[rest]]))
+            first, size = _runs(keys)
+            # CAP + 1 lines tell the others that the value is crowded; the rest needs no meeting
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of), pa.array(np.arange(len(keys)) - np.repeat(first, size) > CAP)], ["key", "a", "sure"])
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = lead0 = last0 = None
+        held = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in it:
-            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            key, a, z = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(3))
-            pairs = [(a[~known], z[~known])]
-            key, a = key[known], a[known]
-            if len(key):
-                if key0 is not None:  # the run that went on at the end of the batch before
-                    key, a = np.append(key0, key), np.append(last0, a)
-                first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
-                lead = np.repeat(a[first], np.diff(first, append=len(key)))
-                if key0 is not None:
-                    lead[: first[1] if len(first) > 1 else len(key)] = lead0
-                same = np.flatnonzero(key[1:] == key[:-1]) + 1
-                pairs += [(lead[same], a[same]), (a[same - 1], a[same])]
-                key0, lead0, last0 = key[-1], lead[-1], a[-1]
-            x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            u = _once(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], ["a", "b"])
+            key, a, sure = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            crowd = key[sure], a[sure]
+            key, a = np.append(held[0], key[~sure]), np.append(held[1], a[~sure])
+            new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]))[: len(key)]
+            key, a = key[new], a[new]
+            # the last run may go on: of a crowded one CAP + 1 lines are enough to know
+            last = _runs(key)[0][-1] if len(key) else 0
+            held = key[last:], a[last:]
+            if len(held[0]) > CAP:
+                last, held = len(key), tuple(x[-CAP - 1 :] for x in held)
+            yield _met(key[:last], a[:last], *crowd)
+        yield _met(*held, *(np.empty(0, np.int64) for _ in range(2)))
 
     batches(lines.sparkSession, 10 * _BATCH)
-    # pairs found on the way are spread by their own numbers
-    rows = lines.select("id", "text").mapInArrow(bands, "key long, a long, b long")
-    dealt = rows.repartition(F.coalesce("key", F.xxhash64("a", "b"))).sortWithinPartitions("key", "a")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    rows = lines.select("id", "text").mapInArrow(bands, "key long, a long, sure boolean")
+    # the rest of crowded values is spread by its own numbers
+    dealt = rows.repartition(F.when(F.col("sure"), F.xxhash64("key", "a")).otherwise(F.col("key"))).sortWithinPartitions("key", "a")
+    return dealt.mapInArrow(meet, "key long, a long, b long").distinct()
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal keys."""
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1)) if len(keys) else np.empty(0, np.int64)
+    return first, np.diff(first, append=len(keys))
+
+
+def _met(key: np.ndarray, a: np.ndarray, crowd_key: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
+    """Pairs of the runs of up to ``CAP`` rows; the rows of longer ones, and those of ``crowd``, with their keys."""
+    size = np.repeat(s := _runs(key)[1], s)
+    many = size > CAP
+    crowd_key, crowd = np.append(crowd_key, key[many]), np.append(crowd, a[many])
+    key, a = key[~many], a[~many]
+    x, y = [a[:0]], [a[:0]]
+    for d in range(1, CAP):
+        same = np.flatnonzero(key[d:] == key[:-d])
+        if not len(same):
+            break
+        x.append(a[same])
+        y.append(a[same + d])
+    x, y = _once(np.concatenate(x), np.concatenate(y))
+    none = np.append(np.ones(len(x), bool), np.zeros(len(crowd), bool))
+    return pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(x), np.int64), crowd_key), mask=none), pa.array(np.append(x, crowd)), pa.array(np.append(y, np.zeros(len(crowd), np.int64)), mask=~none)], ["key", "a", "b"])
 
 
 def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,41 +209,95 @@ def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], y[new]
 
 
-def _pairs_batch(keys: np.ndarray, leads: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    u = _once(a, b)
-    none = np.ones(len(u[0]), bool)
-    key = pa.array(np.append(keys, np.zeros(len(none), np.int64)), mask=np.append(np.zeros(len(keys), bool), none))
-    return pa.RecordBatch.from_arrays([key, pa.array(np.append(leads, u[0])), pa.array(np.append(np.zeros(len(leads), np.int64), u[1]))], ["key", "a", "b"])
-
+def forest(lines: list[str], block: np.ndarray, n: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[list[int], list[int]]:
+    """Places of pairs at the threshold that connect all ``lines`` which such pairs connect.
 
-def links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The candidate pairs of ``lines(id, text)`` whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    With two blocks only pairs between them count. With shingles ordered from the rarest on,
+    two lines at the threshold share one of their first ``size - threshold * size + 1``.
+    """
+    h, line = _hashed(lines, n)
+    _, token, often = np.unique(h, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    flat = np.unique(line * len(often) + rank[token])
+    line, token = np.divmod(flat, len(often))
+    size = np.bincount(line, minlength=len(lines))
+    start = np.cumsum(size) - size
+    prefix = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
+    root, held, mark = np.arange(len(lines)), {}, np.zeros(len(often), bool)
+    between = len(lines) > 0 and block.min() != block.max()
+    a, b = [], []
+    for i in np.argsort(size, kind="stable").tolist():
+        own = token[start[i] : start[i] + size[i]]
+        first = own[: prefix[i]].tolist()
+        found = np.fromiter(set().union(*(held.get(t, ()) for t in first)), np.int64)
+        found = found[size[found] >= threshold * size[i]]
+        if between:
+            found = found[block[found] != block[i]]
+        mark[own] = True
+        while len(found := found[root[found] != root[i]]):
+            j = found[-1]
+            found = found[:-1]
+            common = np.count_nonzero(mark[token[start[j] : start[j] + size[j]]])
+            if common >= threshold * (size[i] + size[j] - common):
+                root[root == root[j]] = root[i]
+                a.append(i)
+                b.append(int(j))
+        mark[own] = False
+        for t in first:
+            held.setdefault(t, []).append(i)
+    return a, b
+
+
+def _crowded(crowd: DataFrame, texts: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) that connect the lines ``crowd(key, id)`` of each key, by pairs of blocks of its lines."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids = cell.column("id").to_numpy()
+        a, b = forest(cell.column("line").to_pylist(), cell.column("block").to_numpy(), n, threshold)
+        return pa.table(_once(ids[a], ids[b]) if a else (np.empty(0, np.int64),) * 2, ["a", "b"])
+
+    sizes = crowd.join(texts.select("id", "n"), "id").groupBy("key").agg(F.ceil(F.sum(F.col("n") + _LINE) / block).alias("blocks"))
+    dealt = crowd.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    cells = dealt.select("key", "id", "block", other).join(texts.select("id", "line"), "id")
+    return cells.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(compare, "a long, b long")
+
+
+def links(lines: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Pairs of ``lines(id, text)`` whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+
+    They connect all lines of a band value that such pairs connect; of lines so connected not each pair is named.
+    """
 
     def sized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(shingles(x)) for x in b.column(1).to_pylist()], pa.int32())], ["id", "line", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(shingles(x, n)) for x in b.column(1).to_pylist()], pa.int32())], ["id", "line", "n"])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, set()
         for b in it:
             good = []
-            for x, y, m, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            for x, y, m, k in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if y != held:  # pairs come in the order of one side
-                    held, own = y, shingles(y)
-                common = len(own.intersection([x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))]))
-                good.append(common >= threshold * (m + n - common))
+                    held, own = y, shingles(y, n)
+                common = len(own.intersection([x[i : i + n] for i in range(max(1, len(x) - n + 1))]))
+                good.append(common >= threshold * (m + k - common))
             on = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], ["a", "b"])
 
-    pairs = pin(candidates(lines), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    met = pin(candidates(lines, n), "line-pairs")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("id")).filter("id IS NOT NULL").distinct()
+    pairs = met.filter("key IS NULL").select("a", "b")
+    crowd = met.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
     texts = lines.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("line"))
     batches(lines.sparkSession, _BATCH)
     texts = pin(texts.mapInArrow(sized, "id long, line string, n int"), "line-texts")
-    left, right = (texts.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(n)) for i, t, n in (("a", "x", "m"), ("b", "y", "n")))
+    left, right = (texts.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(k)) for i, t, k in (("a", "x", "m"), ("b", "y", "k")))
     # the numbers of shingles alone rule most pairs out
-    likely = pairs.join(left, "a").join(right, "b").filter(F.least("m", "n") >= threshold * F.greatest("m", "n"))
-    return likely.select("a", "b", "x", "y", "m", "n").mapInArrow(verify, "a long, b long")
+    likely = pairs.join(left, "a").join(right, "b").filter(F.least("m", "k") >= threshold * F.greatest("m", "k"))
+    near = likely.select("a", "b", "x", "y", "m", "k").mapInArrow(verify, "a long, b long")
+    return near.unionByName(_crowded(crowd, texts, n, threshold, block))
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -210,6 +210,48 @@ def test_fuzzy_edges(none, odd):
     assert len(got) == odd.count() and len({tuple(r.removed) for r in got if r.doc_id == 0}) == 1
 
 
+def templated(seed, n):
+    """Lines of one template, and for the first hundred a true neighbour far from them in digest order."""
+    r = random.Random(seed)
+    own = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(42))
+    lines = [f"notice: this page is provided under the terms of the general licence of the site, and no warranty is given; {own()}" for _ in range(n)]
+    return lines, [x[:-4] + own()[:4] for x in lines[:100]]
+
+
+def joined(pairs, ids):
+    sets = Sets(ids)
+    for a, b in pairs:
+        sets.join(a, b)
+    return [sets.find(i) for i in ids]
+
+
+@pytest.mark.parametrize("block", [200_000, 1_000_000])
+def test_crowded_bands_lose_no_link(spark, block):
+    lines, near = templated(8, 3000)
+    ids = {x: fuzzy_lines.content(x) for x in lines + near}
+    table = spark.createDataFrame([(i, x) for x, i in ids.items()], "id long, text string").repartition(5)
+    met = fuzzy_lines.candidates(table).filter("key IS NOT NULL").groupBy("key").count()
+    assert met.agg(F.max("count")).first()[0] > 500
+    found = Sets(ids.values())
+    for x in fuzzy_lines.links(table, block=block).collect():
+        found.join(x.a, x.b)
+    assert sum(found.find(ids[a]) == found.find(ids[b]) for a, b in zip(lines, near, strict=False)) >= 99
+    assert sum(found.find(i) != i for i in ids.values()) <= 101
+
+
+def test_forest_against_brute_force():
+    r = random.Random(9)
+    lines, near = templated(10, 60)
+    pool = lines + near + [x[: r.randrange(90, len(x))] for x in lines[:30]] + ["a short one", "a short onf"]
+    sets = [fuzzy_lines.shingles(x) for x in pool]
+    blocks = np.arange(len(pool)) % 2
+    for block in (np.zeros(len(pool), np.int64), blocks):
+        wanted = [(i, j) for i in range(len(pool)) for j in range(i) if (not block.any() or block[i] != block[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        got = list(zip(*fuzzy_lines.forest(pool, block), strict=True))
+        assert set(map(frozenset, got)) <= set(map(frozenset, wanted)) and len(wanted) > 30
+        assert joined(got, range(len(pool))) == joined(wanted, range(len(pool)))
+
+
 # --- suffix arrays -------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from eventloom.llm.common import batches, components, pin
 SHINGLE = 9
 ROWS, BANDS = 4, 12
 THRESHOLD = 0.8
-#: Lines of fewer characters are left alone.
+#: Lines of fewer characters count as equal only if they are.
 MIN_CHARS = 20
 #: Up to so many different lines of a band value make pairs; more go to blocks of about ``BLOCK`` shingles.
 CAP = 16
@@ -43,9 +43,9 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def lines_of(text: str, min_chars: int = MIN_CHARS) -> list[tuple[int, str]]:
-    """(line number, normalised line) of the lines of ``min_chars`` or more after normalisation."""
-    return [(i, x) for i, x in enumerate(map(normal, text.split("\n"))) if len(x) >= min_chars]
+def lines_of(text: str) -> list[tuple[int, str]]:
+    """(line number, normalised line) of the lines that are not empty after normalisation."""
+    return [(i, x) for i, x in enumerate(map(normal, text.split("\n"))) if x]
 
 
 def content(line: str) -> int:
@@ -119,12 +119,12 @@ def band_keys(lines: list[str], n: int = SHINGLE, rows: int = ROWS, bands: int =
     return key.view(np.int64)
 
 
-def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, h (xxhash64 of the text), line, id, text: the normalised lines that take part, with their content numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(d, h, i, content(x), x) for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for i, x in lines_of(t, min_chars)]
+            rows = [(d, h, i, content(x), x) for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for i, x in lines_of(t)]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "h", "line", "id", "text"])
 
@@ -304,13 +304,14 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = M
     """One row per input row: doc_id, n_lines, n_removed, removed (line numbers from 0, in order).
 
     Of the lines of a component the occurrence of the smallest (doc_id, line number) stays,
-    nulls last. ``n_lines`` counts the lines that take part, those of ``min_chars`` or more.
+    nulls last. ``n_lines`` counts the lines that take part, all that are not empty; those of
+    fewer than ``min_chars`` characters are copies only of equal ones.
     Null and empty texts have none; repeated rows of one id and text count as one document
     and have the same result. An empty table gives no rows; other columns are ignored.
     """
 
-    seen = pin(line_table(docs, min_chars), "lines")
-    found = pin(components(links(seen, threshold)).withColumnsRenamed({"node": "id"}), "line-components")
+    seen = pin(line_table(docs), "lines")
+    found = pin(components(links(seen.filter(F.length("text") >= min_chars), threshold)).withColumnsRenamed({"node": "id"}), "line-components")
     seen = seen.drop("text")
     own = seen.join(found, "id", "left").select("doc_id", "h", "line", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "line")

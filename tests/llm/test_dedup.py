@@ -210,6 +210,13 @@ def test_fuzzy_edges(none, odd):
     assert len(got) == odd.count() and len({tuple(r.removed) for r in got if r.doc_id == 0}) == 1
 
 
+def test_short_lines_count_when_equal(spark):
+    texts = ["Menu\nA first text of its own, long enough.", "Another text, about nothing in particular.\n  MENU \n\nMenv", "\n \nmenu\nMenu"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_lines, x.removed) for x in fuzzy_lines.line_dedup(docs).collect()}
+    assert got == {0: (2, []), 1: (3, [1]), 2: (2, [2, 3])}
+
+
 def templated(seed, n):
     """Lines of one template, and for the first hundred a true neighbour far from them in digest order."""
     r = random.Random(seed)

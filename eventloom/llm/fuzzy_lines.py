@@ -25,6 +25,11 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import batches, components, pin
 
 SHINGLE = 9
+#: With 9 characters one changed letter takes a line of under 89 below the threshold; with 4, one of under 39.
+#: Lines of up to SHORT_TO characters are compared by the short shingles, from LONG_FROM on by the
+#: long ones; lines further apart in length can reach the threshold only if they repeat themselves.
+SHORT = 4
+LONG_FROM, SHORT_TO = 100, 130
 ROWS, BANDS = 4, 12
 THRESHOLD = 0.8
 #: Lines of fewer characters count as equal only if they are.
@@ -300,9 +305,17 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bloc
     return near.unionByName(_crowded(crowd, texts, n, threshold, block))
 
 
-def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def links_by_length(lines: DataFrame, threshold: float = THRESHOLD, short: int = SHORT) -> DataFrame:
+    """Links as of :func:`links`: by shingles of ``short`` characters between lines of up to ``SHORT_TO``, of ``SHINGLE`` between those from ``LONG_FROM`` on."""
+    low = links(lines.filter(F.length("text") <= SHORT_TO), threshold, short)
+    return low.unionByName(links(lines.filter(F.length("text") >= LONG_FROM), threshold))
+
+
+def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, short: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, removed (line numbers from 0, in order).
 
+    With ``short`` lines are linked by :func:`links_by_length`, else all by shingles of ``SHINGLE`` characters.
+
     Of the lines of a component the occurrence of the smallest (doc_id, line number) stays,
     nulls last. ``n_lines`` counts the lines that take part, all that are not empty; those of
     fewer than ``min_chars`` characters are copies only of equal ones.
@@ -311,7 +324,9 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = M
     """
 
     seen = pin(line_table(docs), "lines")
-    found = pin(components(links(seen.filter(F.length("text") >= min_chars), threshold)).withColumnsRenamed({"node": "id"}), "line-components")
+    long = seen.filter(F.length("text") >= min_chars)
+    near = links_by_length(long, threshold, short) if short else links(long, threshold)
+    found = pin(components(near).withColumnsRenamed({"node": "id"}), "line-components")
     seen = seen.drop("text")
     own = seen.join(found, "id", "left").select("doc_id", "h", "line", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "line")

@@ -52,7 +52,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.line_dedup(documents(tune(spark), sf_dir))
+    return fuzzy_lines.line_dedup(documents(tune(spark), sf_dir), short=fuzzy_lines.SHORT)
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines)}

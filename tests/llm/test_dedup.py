@@ -217,6 +217,22 @@ def test_short_lines_count_when_equal(spark):
     assert got == {0: (2, []), 1: (3, [1]), 2: (2, [2, 3])}
 
 
+def test_one_changed_letter_in_lines_of_any_length(spark, tmp_path):
+    from eventloom.llm import queries
+
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    own = lambda k: "x" + "".join(r.choice(letters) for _ in range(k - 2)).replace("  ", " q") + "y"
+    lines = [own(k) for k in (*range(42, 140), *range(42, 140))]
+    at = [r.randrange(8, len(x) - 8) for x in lines]
+    near = [x[:i] + "é" + (x[i + 1 :] if k % 2 else x[i:]) for k, (x, i) in enumerate(zip(lines, at, strict=True))]
+    rows = list(enumerate(lines)) + [(1000 + i, x) for i, x in enumerate(near)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.n_removed for x in queries.op10_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert sum(got[1000 + i] for i in range(len(near))) >= 0.97 * len(near)
+    assert not any(got[i] for i in range(len(lines)))
+
+
 def templated(seed, n):
     """Lines of one template, and for the first hundred a true neighbour far from them in digest order."""
     r = random.Random(seed)

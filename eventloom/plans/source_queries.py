@@ -70,12 +70,15 @@ def support_write(spark, sf):
 
 
 def provenance(spark, sf):
-    """Provenance documents as JSON text, one per sample."""
+    """Provenance documents as JSON text with their paths, one per sample."""
     s = v.v_samples(spark, sf)
     i = F.col("sample_index")
-    doc = F.struct(i.alias("sample_index"), F.col("split"), (i + 7).alias("seed"), (i % 50).alias("frame_count"), F.struct(F.col("success"), F.lit("auto").alias("reason")).alias("outcome"),
-                   F.create_map(F.lit("wrist"), i % 100, F.lit("side"), i % 10).alias("event_counts"))
-    return s.select(F.to_json(doc).alias("doc"))
+    count = lambda n: F.struct((i % n).alias("event_count"))
+    csv = F.struct(i.alias("zero_based_row"), i.alias("source_episode_index"))
+    doc = F.struct(i.alias("sample_index"), csv.alias("source_csv"), (i + 7).alias("simulation_seed"), (i % 50).alias("frame_count"), F.struct(F.col("success"), F.lit("auto").alias("termination_reason")).alias("outcome"),
+                   F.struct(count(100).alias("wrist"), count(10).alias("side")).alias("events"))
+    path = F.concat_ws("/", "split", F.format_string("sample_%06d", i), F.lit("reproduction.json"))
+    return s.select(F.to_json(doc).alias("doc"), path.alias("path"))
 
 
 @query("S3", """SELECT sample_index, success, split, size_bytes % 1000 AS frame_count, sample_index % 7 AS wrist FROM v_samples""", "v_samples")
@@ -100,7 +103,7 @@ def scan_demos(spark, sf):
 @query("S12 F22", """SELECT sample_index, coalesce(split, 'unsplit') AS split, success, 'auto' AS reason, sample_index + 7 AS seed, sample_index % 50 AS frame_count, sample_index % 100 AS wrist, sample_index % 10 AS side FROM v_samples""", "v_samples")
 def sample_index(spark, sf):
     d = writers.sample_index(provenance(spark, sf))
-    return d.select("sample_index", "split", "success", "reason", "seed", "frame_count", F.col("event_counts")["wrist"].alias("wrist"), F.col("event_counts")["side"].alias("side"))
+    return d.select("sample_index", "split", "success", F.col("termination_reason").alias("reason"), F.col("simulation_seed").alias("seed"), "frame_count", F.col("event_counts")["wrist"].alias("wrist"), F.col("event_counts")["side"].alias("side"))
 
 
 @query("S12", "SELECT count(*) AS total_samples, count(*) FILTER (success) AS success_samples, count(*) FILTER (success = false) AS failure_samples FROM v_samples", "v_samples")

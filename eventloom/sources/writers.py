@@ -90,13 +90,19 @@ def close_rasters(pixels: DataFrame, height: int, width: int, channels: list[str
     return g.select("episode", "camera", "frame_index", F.lit(height).alias("height"), F.lit(width).alias("width"), *[F.transform("_c", _field(c)).alias(c) for c in channels])
 
 
-def sample_index(provenance: DataFrame, doc: str = "doc") -> DataFrame:
-    """Sample rows from provenance documents (JSON text, one per row)."""
+def sample_index(provenance: DataFrame, doc: str = "doc", path: str = "path") -> DataFrame:
+    """Sample rows from provenance documents (JSON text, one per row) and their file paths below the root.
+
+    The sample's folder is its relative path; the first folder is the split if there is one above it.
+    """
     j = lambda p: F.get_json_object(doc, p)
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    events = F.from_json(j("$.events"), "map<string, struct<event_count: bigint>>")
     return provenance.select(
-        j("$.sample_index").cast("long").alias("sample_index"), F.coalesce(j("$.split"), F.lit("unsplit")).alias("split"), j("$.outcome.success").cast("boolean").alias("success"),
-        j("$.outcome.reason").alias("reason"), j("$.seed").cast("long").alias("seed"), j("$.frame_count").cast("long").alias("frame_count"),
-        F.from_json(j("$.event_counts"), "map<string, bigint>").alias("event_counts"))
+        j("$.sample_index").cast("long").alias("sample_index"), F.when(F.contains(folder, F.lit("/")), F.substring_index(folder, "/", 1)).otherwise("unsplit").alias("split"),
+        folder.alias("relative_path"), j("$.source_csv.zero_based_row").cast("long").alias("source_csv_row"), j("$.source_csv.source_episode_index").cast("long").alias("source_episode_index"),
+        j("$.simulation_seed").cast("long").alias("simulation_seed"), j("$.outcome.success").cast("boolean").alias("success"), j("$.outcome.termination_reason").alias("termination_reason"),
+        j("$.frame_count").cast("long").alias("frame_count"), F.transform_values(events, lambda _, e: e["event_count"]).alias("event_counts"))
 
 
 def index_totals(samples: DataFrame) -> DataFrame:

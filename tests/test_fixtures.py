@@ -333,6 +333,14 @@ def test_json_sources(spark, tmp_path):
     assert s[0].event_counts == {"wrist": 7} and s[1].success is None
 
 
+def test_sample_index_of_reference_records(spark):
+    doc = '{"sample_index": %d, "source_csv": %s, "simulation_seed": 11, "frame_count": 42, "outcome": {"success": false, "termination_reason": "timeout"}, "events": {"wrist": {"event_count": 9, "size_bytes": 3}, "side": {"event_count": 4}}}'
+    rows = [(doc % (1, '{"zero_based_row": 5, "source_episode_index": 77}'), "train/part_0/sample_000001/reproduction.json"), (doc % (2, "null"), "sample_000002/reproduction.json")]
+    s = writers.sample_index(spark.createDataFrame(rows, "doc string, path string")).orderBy("sample_index").collect()
+    assert [(x.split, x.relative_path, x.source_csv_row, x.source_episode_index) for x in s] == [("train", "train/part_0/sample_000001", 5, 77), ("unsplit", "sample_000002", None, None)]
+    assert all((x.simulation_seed, x.success, x.termination_reason, x.frame_count, x.event_counts) == (11, False, "timeout", 42, {"wrist": 9, "side": 4}) for x in s)
+
+
 def test_demo_scan_and_conditions(spark, tmp_path):
     for n in (1, 2, 10):
         (tmp_path / f"demo{n}").mkdir()

@@ -13,7 +13,7 @@ everywhere costs one question per block, and no shard is sent to a document.
 
 Probabilities are interpolated from order 1 up: p1(w) = (c(w) - D) / N, the mass D V / N
 going to the class of unknown words; pk(w | u) = (c(u w) + M p(k-1)(w)) / (c(u) + M), with
-counts of order 2 and above as the trie's quantised probabilities times N.
+counts of order 2 and above quantised: a trie stores counts, and scoring smooths them.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import batches, pin, remainder
 
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.6
 STRENGTH = 200.0
 FOLDS, HELD_OUT = 7, 2

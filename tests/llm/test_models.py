@@ -155,6 +155,12 @@ def test_scores(docs, rows, monkeypatch, order, shard_bytes, block):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(total, rel=1e-9)
 
 
+def test_production_order_has_two_words_of_context(docs):
+    by = lambda d: {r.doc_id: r.score for r in d.collect()}
+    default, two = by(ngrams.score(docs)), by(ngrams.score(docs, 2))
+    assert default == by(ngrams.score(docs, 3)) and sum(default.values()) > sum(two.values())
+
+
 def test_scores_edges(odd, none):
     assert ngrams.score(none).collect() == []
     got = ngrams.score(odd).collect()

@@ -1,7 +1,8 @@
 """Per-key stateful operators for streams, the online forms of ``operators.series``.
 
 Each is a ``StatefulProcessor`` for ``transformWithStateInPandas``. Rows of one micro-batch
-are ordered by time per key; state carries over batches. State values are cast explicitly.
+are ordered by time per key (rings and merges go through its frames one by one, the others
+hold a key's rows of a micro-batch); state carries over batches. State values are cast explicitly.
 """
 
 from __future__ import annotations
@@ -115,13 +116,21 @@ class BinRing(StatefulProcessor):
         self.ring = handle.getListState("ring", "bin long, value double")
 
     def handleInputRows(self, key, rows, timerValues):
-        have = {int(b): float(v) for b, v in self.ring.get()} if self.ring.exists() else {}
-        for r in _sorted(rows, self.order).to_dict("records"):
-            if self.reset and bool(r[self.reset]):
-                have = {}
-            have[int(r[self.bin_col])] = float(r[self.value])
-            for b in sorted(have)[: -self.n]:
-                del have[b]
+        # state is older than any row; frames come in no order, so each bin's newest row counts
+        best = {int(b): ((), float(v)) for b, v in self.ring.get()} if self.ring.exists() else {}
+        cleared = ()
+        for pdf in rows:
+            pdf = pdf.sort_values(self.order)
+            if self.reset:
+                at = pdf.loc[pdf[self.reset].astype(bool), self.order].tail(1)
+                cleared = max([cleared, *at.itertuples(index=False, name=None)])
+            new = pdf.drop_duplicates(self.bin_col, keep="last")
+            for b, x, t in zip(new[self.bin_col], new[self.value], new[self.order].itertuples(index=False, name=None)):
+                if t >= best.get(int(b), ((), 0.0))[0]:
+                    best[int(b)] = (t, float(x))
+            if not self.reset:  # a bin with n newer ones never comes back
+                best = {b: best[b] for b in sorted(best)[-self.n :]}
+        have = {b: best[b][1] for b in sorted(b for b, (t, _) in best.items() if t >= cleared)[-self.n :]}
         self.ring.put([(int(b), float(v)) for b, v in sorted(have.items())])
         yield pd.DataFrame([[*key, [v for _, v in sorted(have.items())]]], columns=[*self.keys, "ring"])
 
@@ -140,14 +149,16 @@ class ChunkMerge(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         touched = {}
-        for r in _sorted(rows, [self.chunk]).to_dict("records"):
-            step, chunk = int(r[self.step]), int(r[self.chunk])
-            if step < chunk:
-                continue
-            if self.steps.containsKey((step,)) and self.steps.getValue((step,))[0] > chunk:
-                continue
-            self.steps.updateValue((step,), (int(chunk), float(r[self.value])))
-            touched[step] = (chunk, float(r[self.value]))
+        for pdf in rows:
+            # the newest chunk of each step of a frame; the order of frames does not matter
+            pdf = pdf[pdf[self.step] >= pdf[self.chunk]].sort_values(self.chunk).drop_duplicates(self.step, keep="last")
+            for step, chunk, x in zip(pdf[self.step], pdf[self.chunk], pdf[self.value]):
+                step, chunk, x = int(step), int(chunk), float(x)
+                have = touched[step][0] if step in touched else self.steps.getValue((step,))[0] if self.steps.containsKey((step,)) else chunk
+                if have <= chunk:
+                    touched[step] = (chunk, x)
+        for step, to in touched.items():
+            self.steps.updateValue((step,), to)
         yield pd.DataFrame([[*key, s, c, v] for s, (c, v) in touched.items()], columns=[*self.keys, self.step, "from_chunk", self.value])
 
     def close(self) -> None:

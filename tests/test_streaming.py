@@ -112,3 +112,69 @@ def test_latest(spark, stream_dir):
     got = windows.run_available(windows.stream_latest(source(spark, stream_dir), ["k"], ["t", "id"], ["v"]), ["k"])
     want = fr.latest_by_key(batch(spark, stream_dir), ["k"], ["t", "id"], ["v"])
     assert rows(got, "k", "t", "id", "v") == rows(want, "k", "t", "id", "v")
+
+
+class Held:
+    """State in memory, and frames that count how many were read before the last one was let go."""
+
+    def __init__(self, start=()):
+        self.rows = dict(start)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return list(self.rows.items())
+
+    def put(self, rows):
+        self.rows = dict(rows)
+
+    def containsKey(self, k):  # noqa: N802
+        return k in self.rows
+
+    def getValue(self, k):  # noqa: N802
+        return self.rows[k]
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.rows[k] = v
+
+
+def one_by_one(pdf, size):
+    import gc
+    import weakref
+
+    held = []
+    for i in range(0, len(pdf), size):
+        f = pdf.iloc[i : i + size].copy()
+        held.append(weakref.ref(f))
+        yield f
+        del f
+        gc.collect()
+        assert sum(r() is not None for r in held) <= 2
+
+
+@pytest.mark.parametrize("reset", [None, "clear"])
+def test_rings_and_merges_hold_no_whole_batch(reset):
+    import random
+
+    import pandas as pd
+
+    r = random.Random(4)
+    for _ in range(20):
+        pdf = pd.DataFrame([(t, r.randrange(30), r.random(), r.random() < 0.03) for t in range(200)], columns=["t", "bin", "v", "clear"])
+        have = {1: 0.5, 40: 0.25}
+        p = stateful.BinRing(["k"], "bin", "v", 5, reset, ["t"])
+        p.ring = Held(have)
+        for x in pdf.itertuples():
+            have = {} if reset and x.clear else have
+            have[x.bin] = x.v
+            have = {b: have[b] for b in sorted(have)[-5:]}
+        got = list(p.handleInputRows((7,), one_by_one(pdf.sample(frac=1, random_state=r.randrange(99)), 20), None))[0]
+        assert got.ring[0] == [v for _, v in sorted(have.items())]
+        m = stateful.ChunkMerge(["k"], "bin", "c", "v")
+        m.steps = Held({(3,): (2, 0.0), (29,): (28, 0.0)})
+        rows = pdf.assign(c=pdf.t % 31, v=(pdf.t % 31) / 2.0)
+        got = list(m.handleInputRows((7,), one_by_one(rows, 20), None))[0]
+        newest = rows[rows.c <= rows.bin].groupby("bin").c.max().to_dict()
+        wanted = {b: c for b, c in newest.items() if c >= {3: 2, 29: 28}.get(b, 0)}
+        assert dict(zip(got.bin, got.from_chunk)) == wanted and all(got.v == got.from_chunk / 2)

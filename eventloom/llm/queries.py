@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, fuzzy_lines, language, mixing, ngrams, pieces, repeats, simhash, topk, units
+from eventloom.llm import exact_dedup, fuzzy_lines, language, mixing, ngrams, pieces, prefix_trie, repeats, simhash, topk, units
 from eventloom.llm.common import documents
 from eventloom.session import tune
 
@@ -55,10 +55,38 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_dedup(documents(tune(spark), sf_dir), short=fuzzy_lines.SHORT)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines, op11_prefix_trie)}
 
 SQL = {
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # crc32 bit by bit; a node is the list of its turns, and its subtree the nodes that start with that list
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) i,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} x
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY i) xs FROM t GROUP BY c),
+crc AS (
+  SELECT c, xs, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))) % 4 h
+  FROM own),
+conv AS (SELECT k.c, coalesce(b.xs[1:h], []) || k.xs[h + 1:] p FROM crc k LEFT JOIN own b ON b.c = k.c - k.c % 20),
+member AS (SELECT c, p[1:d] q, d, len(p) n FROM (SELECT c, p, unnest(range(len(p) + 1)) d FROM conv)),
+node AS (
+  SELECT q, d, min(c) conv_id, count(*) n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) ends_sha256,
+    coalesce(len(regexp_extract_all(any_value(q)[-1].t, '[^\\x20\\x09-\\x0D]+')), 0) w
+  FROM member GROUP BY q, d),
+child AS (SELECT q[1:d - 1] q, count(*) k FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(k, 0) k FROM node LEFT JOIN child ON child.q = node.q),
+below AS (
+  SELECT q, sum((k = 0)::INT) n_leaves, sum((n_convs - 1) * w) saved
+  FROM (SELECT q[1:u] q, k, n_convs, w FROM (SELECT *, unnest(range(d + 1)) u FROM full_node)) GROUP BY q)
+SELECT n.conv_id, n.d depth, up.conv_id parent_conv_id, n.n_convs, n.k n_children, b.n_leaves::BIGINT n_leaves, b.saved::BIGINT saved_tokens, n.ends_sha256
+FROM full_node n JOIN below b ON b.q = n.q LEFT JOIN node up ON n.d > 0 AND up.q = n.q[1:n.d - 1]""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, fuzzy_lines, language, mixing, ngrams, pieces, prefix_trie, repeats, simhash, topk, units
+from eventloom.llm import collocations, exact_dedup, fuzzy_lines, language, mixing, ngrams, pieces, prefix_trie, repeats, simhash, topk, units
 from eventloom.llm.common import documents
 from eventloom.session import tune
 
@@ -59,7 +59,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines, op11_prefix_trie)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(tune(spark), sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines, op11_prefix_trie, op13_collocations)}
 
 SQL = {
     "op6_exact_dedup": """
@@ -89,4 +93,22 @@ below AS (
   FROM (SELECT q[1:u] q, k, n_convs, w FROM (SELECT *, unnest(range(d + 1)) u FROM full_node)) GROUP BY q)
 SELECT n.conv_id, n.d depth, up.conv_id parent_conv_id, n.n_convs, n.k n_children, b.n_leaves::BIGINT n_leaves, b.saved::BIGINT saved_tokens, n.ends_sha256
 FROM full_node n JOIN below b ON b.q = n.q LEFT JOIN node up ON n.d > 0 AND up.q = n.q[1:n.d - 1]""",
+    "op13_collocations": """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') w
+  FROM documents),
+size AS (SELECT lang, sum(len(w)) n FROM piece GROUP BY lang),
+gram AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') phrase, count(*) f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) i FROM piece, (SELECT unnest([1, 2, 3]) m)) GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT g.lang, g.phrase, g.f a, k, l.f l, r.f r, (1000000::HUGEINT * g.f * g.f) // (l.f::HUGEINT * r.f) score
+  FROM (SELECT *, string_split(phrase, ' ') w, unnest(range(1, m)) k FROM gram WHERE m > 1) g
+  JOIN gram l ON l.lang = g.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN gram r ON r.lang = g.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') phrase, max(f) f FROM gram, (SELECT unnest([1, 2]) i) WHERE m = 3 GROUP BY ALL),
+kept AS (SELECT x.* FROM least x LEFT JOIN longer o ON o.lang = x.lang AND o.phrase = x.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT n, score::BIGINT score FROM ranked JOIN size USING (lang) WHERE rank <= 2000""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import collocations, exact_dedup, fuzzy_lines, language, mixing, ngrams, pieces, prefix_trie, repeats, simhash, topk, units
+from eventloom.llm import collocations, exact_dedup, fuzzy_lines, language, mixing, ngrams, page_text, pieces, prefix_trie, repeats, simhash, topk, units
 from eventloom.llm.common import documents
 from eventloom.session import tune
 
@@ -59,11 +59,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/conversations.parquet"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/pages.parquet"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(tune(spark), sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines, op11_prefix_trie, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_ngram_scores, op2_mix_sources, op3_piece_coding, op4_suffix_dedup, op5_line_hashing, op6_exact_dedup, op7_top_k, op8_language, op9_simhash, op10_fuzzy_lines, op11_prefix_trie, op12_page_text, op13_collocations)}
 
 SQL = {
     "op6_exact_dedup": """

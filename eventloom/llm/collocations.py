@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import batches, pin
 
 #: Entries of a container before it bursts; of all containers of a task before subtrees are spilled; words a task numbers before it starts anew.
-BURST, LIMIT, WORDS = 4096, 1_000_000, 1_000_000
+BURST, LIMIT, WORDS = 4096, 1_500_000, 1_000_000
 #: Tokens handled at once.
 STEP = 500_000
 #: Bits of the map of a level for each of its phrases, and at most (64 MB).
@@ -78,60 +78,58 @@ class HatTrie:
     def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
         """Adds different packed grams in ascending order."""
         if len(grams):
-            if self.order == 1:
-                self._below(self.root.children, 0, grams, counts, 1)
-            else:
-                self._split(self.root, grams, counts, self.order)
+            self._split(self.root, grams, counts, self.order)
 
     def _split(self, branch: Branch, grams: np.ndarray, counts: np.ndarray, width: int) -> None:
-        shift = self.bits * (width - 1)
-        first = grams >> shift
+        """Hands grams of ``width`` ids to the children of their first id (of order 1: to child 0)."""
+        below = max(width - 1, 1)
+        first = grams >> (self.bits * below)
         cuts = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
-        rest, heads = grams & ((1 << shift) - 1), first[cuts[:-1]].tolist()
+        heads, children = first[cuts[:-1]].tolist(), branch.children
+        rest, n = (grams & ((1 << (self.bits * below)) - 1)).tolist(), counts.tolist()
         for head, a, z in zip(heads, cuts[:-1], cuts[1:], strict=True):
-            self._below(branch.children, head, rest[a:z], counts[a:z], width - 1)
-
-    def _below(self, children: dict, head: int, grams: np.ndarray, counts: np.ndarray, width: int) -> None:
-        at = children.get(head)
-        if isinstance(at, HatTrie.Branch):
-            self._split(at, grams, counts, width)
-            return
-        before = len(at) if at is not None else 0
-        if at is None:
-            at = children[head] = dict(zip(grams.tolist(), counts.tolist(), strict=True))
-        else:
-            get = at.get
-            for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
-                at[g] = get(g, 0) + n
-        self.size += len(at) - before
-        if width > 1 and len(at) > self.burst:
-            keys = np.fromiter(at.keys(), np.int64, len(at))
-            by = np.argsort(keys)
-            children[head] = branch = HatTrie.Branch()
-            self.size -= len(at)
-            self._split(branch, keys[by], np.fromiter(at.values(), np.int64, len(at))[by], width)
+            at = children.get(head)
+            if at is None:
+                at = children[head] = dict(zip(rest[a:z], n[a:z], strict=True))
+                self.size += z - a
+            elif type(at) is dict:
+                get, before = at.get, len(at)
+                for i in range(a, z):
+                    at[rest[i]] = get(rest[i], 0) + n[i]
+                self.size += len(at) - before
+            else:
+                self._split(at, np.array(rest[a:z]), np.array(n[a:z]), below)
+                continue
+            if width > 2 and len(at) > self.burst:
+                keys = np.fromiter(at.keys(), np.int64, len(at))
+                by = np.argsort(keys)
+                children[head] = HatTrie.Branch()
+                self.size -= len(at)
+                self._split(children[head], keys[by], np.fromiter(at.values(), np.int64, len(at))[by], below)
 
     def take(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Takes out whole subtrees of the root, the largest first, until ``most`` entries are left."""
         kids = self.root.children
         sizes = {k: _size(c) for k, c in kids.items()}
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        keys: list[int] = []
+        counts: list[int] = []
+        prefixes: list[tuple[int, int]] = []  # and how many entries each is for
         for k in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= most:
                 break
-            width = max(self.order - 1, 1)
-            self._gather(kids.pop(k), (k << (self.bits * width)) if self.order > 1 else 0, width, found)
+            self._gather(kids.pop(k), k, max(self.order - 1, 1), keys, counts, prefixes)
             self.size -= sizes[k]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found])
-
-    def _gather(self, at: dict[int, int] | Branch, prefix: int, width: int, found: list) -> None:
-        if isinstance(at, HatTrie.Branch):
-            for k, c in at.children.items():
-                self._gather(c, prefix | (k << (self.bits * (width - 1))), width - 1, found)
+        prefix, times = np.array(prefixes, np.int64).reshape(-1, 2).T
+        return np.array(keys, np.int64) | np.repeat(prefix, times), np.array(counts, np.int64)
+
+    def _gather(self, at: dict[int, int] | Branch, prefix: int, width: int, keys: list, counts: list, prefixes: list) -> None:
+        if type(at) is dict:
+            keys.extend(at.keys())
+            counts.extend(at.values())
+            prefixes.append((prefix << (self.bits * width), len(at)))
         else:
-            found.append((np.fromiter(at.keys(), np.int64, len(at)) | prefix, np.fromiter(at.values(), np.int64, len(at))))
+            for k, c in at.children.items():
+                self._gather(c, prefix << self.bits | k, width - 1, keys, counts, prefixes)
 
 
 def _size(at: dict[int, int] | HatTrie.Branch) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from eventloom.operators import pixels as px
 from eventloom.operators import separation as sep
 from eventloom.plans import views as v
 from eventloom.plans.registry import query
+from eventloom.session import cut_lineage, shared_folder
+from eventloom.streaming import raster, windows
 
 PIX, FRAME, RUN = px.PIXEL, px.FRAME, px.RUN
 N = v.SIDE
@@ -507,7 +510,7 @@ def _separation(causal: bool) -> str:
         thr = "lim AS (SELECT *, " + ", ".join(f"{fl[k]}::DOUBLE AS {c}" for k, c in limits.items()) + " FROM res)"
     near = "greatest(CASE WHEN lag(frame_index) OVER w = frame_index - 1 THEN lag(m) OVER w END" + ("" if causal else ", CASE WHEN lead(frame_index) OVER w = frame_index + 1 THEN lead(m) OVER w END") + ")"
     neutral = f" UNION ALL SELECT {KEY}, 0, 1, 0, 0, 0, true FROM v_pixels WHERE frame_index = 0" if causal else ""
-    return f"""sg AS (SELECT *, ln(1 + round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0)) AS glog, {', '.join(f'({c} + 1.0::DOUBLE) / (r + g + b + 3) AS ch{k}' for k, c in enumerate('rgb'))} FROM v_pixels),
+    text = f"""sg AS (SELECT *, ln(1 + round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0)) AS glog, {', '.join(f'({c} + 1.0::DOUBLE) / (r + g + b + 3) AS ch{k}' for k, c in enumerate('rgb'))} FROM v_pixels),
   sp AS (SELECT *, CASE WHEN lead(frame_index) OVER w = frame_index + 1 THEN lead(mvx) OVER w ELSE mvx END AS ox, CASE WHEN lead(frame_index) OVER w = frame_index + 1 THEN lead(mvy) OVER w ELSE mvy END AS oy FROM sg WINDOW w AS {w}),
   s0 AS (SELECT p.*, c.fx, c.fy, c.cx, c.cy, (p.x - c.cx) * depth / c.fx + c.tx - n.tx AS rx, (p.y - c.cy) * depth / c.fy AS ry FROM sp p JOIN v_cameras c USING (episode, camera, frame_index)
     {'' if causal else 'LEFT'} JOIN v_cameras n ON n.episode = p.episode AND n.camera = p.camera AND n.frame_index = p.frame_index + 1),
@@ -536,6 +539,7 @@ def _separation(causal: bool) -> str:
   {dil('w3', 'cw', 'flow', 3)}, nb AS (SELECT *, {near} AS other FROM w3 WINDOW w AS {w}),
   v_cues AS (SELECT cw.*, sqrt(least(greatest(flow * coalesce(other, flow), 0), 1)) AS pers FROM cw JOIN nb USING ({KEY})), {FUSED}
   SELECT {KEY}, {', '.join(f'round(least(greatest({e}, 0), 1), 6)::DOUBLE AS {n}' for n, e in (('q_motion', 'flow'), ('q_static', 'st'), ('q_dynamic', 'dy'), ('q_illumination', 'li'), ('q_unknown', 'greatest(li, 1 - greatest(dy, st))')))}, valid FROM fq{neutral}"""
+    return re.sub(r"(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", text)  # each stage once, whatever order joins are taken in
 
 
 def _maps(d):
@@ -552,3 +556,14 @@ def separate_offline(spark, sf):
 def separate_causal(spark, sf):
     """Causal form: fixed thresholds, previous frame only, neutral first frame."""
     return _maps(sep.separate(v.v_pixels(spark, sf), v.v_cameras(spark, sf), 0.5, N, N, causal=True))
+
+
+@query("T12", _separation(True), "v_pixels v_cameras")
+def stream_separate(spark, sf):
+    """The causal form over files that hold every third frame, so that no file has two frames of a step."""
+    p, path = cut_lineage(v.v_pixels(spark, sf), "pixels"), shared_folder(spark, "pixel-files")
+    for i in (1, 0, 2):
+        p.where(F.col("frame_index") % 3 == i).write.mode("append").parquet(path)
+    s = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    d = raster.stream_separate(s, cut_lineage(v.v_cameras(spark, sf), "cameras"), 0.5, N, N)
+    return _maps(windows.run_available(d, PIX, "append"))

@@ -8,6 +8,7 @@ from eventloom.operators import events as ev
 from eventloom.operators import series as se
 from eventloom.plans import views as v
 from eventloom.plans.registry import query
+from eventloom.session import shared_folder
 from eventloom.streaming import stateful, windows
 
 U = ["user_id"]
@@ -37,7 +38,7 @@ def cross_sql(extra=""):
     tgt = "(v0 + (kb + sign(k - kb) * i) * 25.0::DOUBLE)"
     return f"""SELECT user_id, t_us, event_id, sign(k - kb)::INT AS p, i::INT AS ordinal,
      round(pt + CASE WHEN abs(value - pv) > 1e-12 THEN least(greatest(({tgt} - pv) / (value - pv), 0), 1) ELSE 1 END * (t_us - pt), 0) AS t_cross{extra}
-     FROM en, generate_series(1, 100) g(i) WHERE i <= abs(k - kb)"""
+     FROM en, (SELECT unnest(generate_series(1::BIGINT, max(abs(k - kb)))) AS i FROM en) g WHERE i <= abs(k - kb)"""
 
 
 @query("T4 F16 F17 W9 W13", f"{ORD}, {enc_sql('od')} {cross_sql(', least(pq, q) AS interval_q')}", "v_events")
@@ -108,7 +109,10 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 
 
 def event_stream(spark, sf):
-    s = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return _as_events(spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def _as_events(s):
     k = F.get_json_object("props", "$.k").cast("int")
     i = F.col("event_id")
     return s.select(
@@ -118,6 +122,27 @@ def event_stream(spark, sf):
         F.floor(((i * 53) % v.HEIGHT) * 3 / v.HEIGHT).cast("int").alias("oy"), F.floor(((i * 37) % v.WIDTH) * 4 / v.WIDTH).cast("int").alias("ox"))
 
 
+def scattered(spark, sf):
+    """The events as a stream of files out of time order, the delay that covers the disorder, and a stretch of time to hold.
+
+    A file's times overlap those of the files before and after, and later files come first.
+    A last row far ahead (of user -1, in no result) takes the watermark past all others.
+    """
+    raw, path = v.table(spark, sf, "events"), shared_folder(spark, "scattered")
+    t = v.micros("ts")
+    lo, hi = raw.agg(F.min(t), F.max(t)).first()
+    lo, hi = lo or 0, hi or 0
+    width = (hi - lo) // 4 + 1
+    early = F.floor((t - lo + (F.col("event_id") % 8) * width / 16) / width)
+    for part in (1, 0, 3, 2):
+        raw.where(F.least(early, F.lit(3)) == part).write.mode("append").parquet(path)
+    ahead = F.timestamp_micros(F.lit(hi + 3650 * v.DAY_US)).alias("ts")
+    end = spark.range(1).select(F.lit(-1).alias("event_id"), ahead, F.lit(-1).alias("user_id"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    end.select([F.col(f.name).cast(f.dataType) for f in raw.schema.fields]).write.mode("append").parquet(path)
+    s = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)
+    return _as_events(s), f"{3 * width // 1_000_000 + 1} seconds", max(width // 2000, 1)
+
+
 @query("T1", f"""SELECT t_us // {v.DAY_US} AS bin, episode, camera, CASE WHEN p > 0 THEN 1 ELSE 0 END AS pol, y * 3 // {v.HEIGHT} AS oy, x * 4 // {v.WIDTH} AS ox, round(sum(q), 6) AS wq FROM v_events GROUP BY ALL""", "v_events")
 def stream_voxels(spark, sf):
     """Structured Streaming over the event files, run to the end, equal to the batch result."""
@@ -127,7 +152,7 @@ def stream_voxels(spark, sf):
     return d.select(b.alias("bin"), "episode", "camera", "pol", "oy", "ox", F.round("wq", 6).alias("wq"))
 
 
-@query("T2", f"""SELECT e.episode, e.camera, (8 + 4 * f.k)::BIGINT AS end_day, count(*) AS n, round(sum(q), 6) AS wq FROM v_events e JOIN generate_series(-2, 8) f(k) ON t_us >= (4 * f.k) * {v.DAY_US} AND t_us < (4 * f.k + 8) * {v.DAY_US} GROUP BY ALL""", "v_events")
+@query("T2", f"""SELECT e.episode, e.camera, (8 + 4 * f.k)::BIGINT AS end_day, count(*) AS n, round(sum(q), 6) AS wq FROM v_events e JOIN (SELECT unnest(generate_series(-2::BIGINT, max(t_us) // {4 * v.DAY_US})) AS k FROM v_events) f ON t_us >= (4 * f.k) * {v.DAY_US} AND t_us < (4 * f.k + 8) * {v.DAY_US} GROUP BY ALL""", "v_events")
 def stream_history(spark, sf):
     # windows are aligned to the epoch: 19,723 days before the origin, so shift the start by three days
     s = event_stream(spark, sf).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
@@ -145,16 +170,18 @@ def stream_latest(spark, sf):
 
 @query("T4", f"{ORD}, {enc_sql('od')} {cross_sql()}", "v_events")
 def stream_crossings(spark, sf):
-    """The online encoder with keyed state, equal to the batch form."""
-    p = stateful.CrossingEncoder(U, O, "value", 25.0)
-    s = stateful.apply(event_stream(spark, sf), U, p, "user_id bigint, t_us bigint, event_id bigint, p int, ordinal int, t_cross double")
+    """The online encoder over files out of time order, equal to the batch form."""
+    s, delay, span = scattered(spark, sf)
+    p = stateful.CrossingEncoder(U, O, "value", 25.0, span=span)
+    s = stateful.apply(s.select("ts", *U, *O, "value"), U, p, "user_id bigint, t_us bigint, event_id bigint, p int, ordinal int, t_cross double", event_time=F.col("ts"), delay=delay)
     return windows.run_available(s, ["user_id", "event_id", "ordinal"], "append").withColumn("t_cross", F.round("t_cross", 0))
 
 
 @query("T5", f"{REFR} SELECT user_id, t_us, event_id FROM rf WHERE kept", "v_events")
 def stream_refractory(spark, sf):
-    p = stateful.MinimumGap(O, TAU * 4, ["user_id", "t_us", "event_id"])
-    s = stateful.apply(event_stream(spark, sf).select("user_id", "t_us", "event_id"), U, p, "user_id bigint, t_us bigint, event_id bigint")
+    s, delay, span = scattered(spark, sf)
+    p = stateful.MinimumGap(O, TAU * 4, ["user_id", "t_us", "event_id"], span)
+    s = stateful.apply(s.select("ts", *U, *O), U, p, "user_id bigint, t_us bigint, event_id bigint", event_time=F.col("ts"), delay=delay)
     return windows.run_available(s, ["event_id"], "append")
 
 
@@ -171,16 +198,18 @@ def stream_ring(spark, sf):
    UNION ALL SELECT o.user_id, o.rn, o.event_id, o.t_us, l.y + least(greatest(o.t_us - l.t_us, 0) / {float(TAU * 6)}::DOUBLE, 1) * (o.value - l.y)
    FROM lp l JOIN od o ON o.user_id = l.user_id AND o.rn = l.rn + 1) SELECT user_id, event_id, round(y, 6) AS smooth FROM lp""", "v_events")
 def stream_lowpass(spark, sf):
-    p = stateful.LowPass(O, "value", TAU * 6, ["user_id", "event_id"])
-    s = stateful.apply(event_stream(spark, sf).select("user_id", "t_us", "event_id", "value"), U, p, "user_id bigint, event_id bigint, smooth double")
+    s, delay, span = scattered(spark, sf)
+    p = stateful.LowPass(O, "value", TAU * 6, ["user_id", "event_id"], span)
+    s = stateful.apply(s.select("ts", *U, *O, "value"), U, p, "user_id bigint, event_id bigint, smooth double", event_time=F.col("ts"), delay=delay)
     return windows.run_available(s, ["event_id"], "append").withColumn("smooth", F.round("smooth", 6))
 
 
 @query("T8", f"""SELECT user_id, step, max(chunk) AS from_chunk, max(chunk) / 2::DOUBLE AS value FROM (SELECT user_id, t_us // {v.DAY_US} AS step, event_id % 30 AS chunk FROM v_events)
   WHERE step >= chunk GROUP BY ALL""", "v_events")
 def stream_merge(spark, sf):
-    """Steps proposed by chunks of several ages: the newest chunk wins, steps before its start are dropped."""
-    e = event_stream(spark, sf)
-    s = e.select("user_id", ev.bin_of(F.col("t_us"), v.DAY_US).alias("step"), (F.col("event_id") % 30).alias("chunk"), ((F.col("event_id") % 30) / 2).alias("value"))
-    p = stateful.ChunkMerge(U, "step", "chunk", "value")
-    return windows.run_available(stateful.apply(s, U, p, "user_id bigint, step bigint, from_chunk bigint, value double"), ["user_id", "step"], "append")
+    """Steps proposed by chunks of several ages: the newest wins. A step is handed out, and leaves the state, when its day has passed."""
+    e, delay, _ = scattered(spark, sf)
+    s = e.select("ts", "user_id", ev.bin_of(F.col("t_us"), v.DAY_US).alias("step"), (F.col("event_id") % 30).alias("chunk"), ((F.col("event_id") % 30) / 2).alias("value"))
+    p = stateful.ChunkMerge(U, "step", "chunk", "value", v.DAY_US // 1000, v.ORIGIN_US // 1000)
+    m = stateful.apply(s, U, p, "user_id bigint, step bigint, from_chunk bigint, value double", event_time=F.col("ts"), delay=delay)
+    return windows.run_available(m, ["user_id", "step"], "append")

@@ -1,8 +1,11 @@
 """Per-key stateful operators for streams, the online forms of ``operators.series``.
 
-Each is a ``StatefulProcessor`` for ``transformWithStateInPandas``. Rows of one micro-batch
-are ordered by time per key (rings and merges go through its frames one by one, the others
-hold a key's rows of a micro-batch); state carries over batches. State values are cast explicitly.
+Each is a ``StatefulProcessor`` for ``transformWithStateInPandas``. The processors that need
+a key's rows in order are ``Ordered``: with a span they hold rows in state by stretches of
+event time, and a timer lets a stretch go once the watermark has passed its end. So files may
+come out of order within the delay of the watermark, and a task handles one stretch of one
+key at a time. Without a span each micro-batch is sorted and handled at once, which is right
+when files come in order. Rings and merges go through frames one by one.
 """
 
 from __future__ import annotations
@@ -10,97 +13,176 @@ from __future__ import annotations
 import math
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+AT, MS = "event_at", "event_ms"  # event time, and in milliseconds for timers (names with a leading _ do not reach the processors)
 
-def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(order)
 
+def packed(pdf: pd.DataFrame) -> bytes:
+    """A frame as Arrow bytes, for state."""
+    import pyarrow as pa
 
-class CrossingEncoder(StatefulProcessor):
-    """Send-on-delta per key; a true ``reset`` column value starts a new reference silently."""
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def __init__(self, keys, order, value, theta, reset=None):
-        self.keys, self.order, self.value, self.theta, self.reset = keys, order, value, float(theta), reset
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("level", "v0 double, k long, v double, t long")
+def unpacked(piece: bytes) -> pd.DataFrame:
+    import pyarrow as pa
 
-    def handleInputRows(self, key, rows, timerValues):
-        s = self.state.get() if self.state.exists() else None
-        out = []
-        t_col = self.order[0]
-        for r in _sorted(rows, self.order).to_dict("records"):
-            v, t = float(r[self.value]), int(r[t_col])
-            if s is None or (self.reset and bool(r[self.reset])):
-                s = (v, 0, v, t)
-                continue
-            v0, k, pv, pt = s
-            u = (v - v0) / self.theta
-            new = min(max(k, math.floor(u)), math.ceil(u))
-            sign = 1 if new > k else -1
-            for i in range(1, abs(new - k) + 1):
-                target = v0 + (k + sign * i) * self.theta
-                a = min(max((target - pv) / (v - pv), 0.0), 1.0) if abs(v - pv) > 1e-12 else 1.0
-                out.append([*key, *[r[c] for c in self.order], sign, i, pt + a * max(t - pt, 0)])
-            s = (v0, new, v, t)
-        if s is not None:
-            self.state.update((float(s[0]), int(s[1]), float(s[2]), int(s[3])))
-        yield pd.DataFrame(out, columns=[*self.keys, *self.order, "p", "ordinal", "t_cross"])
+    with pa.ipc.open_stream(bytes(piece)) as r:
+        return r.read_all().to_pandas()
 
-    def close(self) -> None:
-        pass
 
+class Ordered(StatefulProcessor):
+    """Hands a key's rows in order to ``advance``, with the state that the rows before have left.
 
-class MinimumGap(StatefulProcessor):
-    """Greedy minimum-gap filter per key."""
+    ``order`` makes the order total. With ``span`` (milliseconds) rows wait by stretches of
+    that length; rows of a stretch that has been handled are late and dropped by the watermark.
+    """
 
-    def __init__(self, order, gap, columns):
-        self.order, self.gap, self.columns = order, gap, columns
+    state_schema: str
 
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "t double")
+    def __init__(self, order: list[str], span: int | None = None) -> None:
+        self.order, self.span = order, span
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()[0] if self.last.exists() else -math.inf
-        pdf = _sorted(rows, self.order)
-        keep = []
-        for t in pdf[self.order[0]].to_numpy():
-            ok = t - last >= self.gap
-            keep.append(ok)
-            if ok:
-                last = float(t)
-        if last > -math.inf:
-            self.last.update((float(last),))
-        yield pdf[keep][self.columns]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.state_schema)
+        if self.span:
+            self.pending = handle.getMapState("pending", "stretch long", "pieces long")
+            self.held = handle.getMapState("held", "stretch long, piece long", "rows binary")
+
+    def advance(self, key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        raise NotImplementedError
+
+    def _step(self, key: tuple, pieces: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(pieces).sort_values(self.order, ignore_index=True)
+        out, state = self.advance(key, rows, tuple(self.state.get()) if self.state.exists() else None)
+        if state is not None:
+            self.state.update(state)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.span:
+            yield self._step(key, list(rows))
+            return
+        for pdf in rows:
+            for stretch, part in pdf.groupby(pdf[MS] // self.span):
+                at = (int(stretch),)
+                n = int(self.pending.getValue(at)[0]) if self.pending.containsKey(at) else 0
+                self.held.updateValue((*at, n), (packed(part),))
+                self.pending.updateValue(at, (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer((at[0] + 1) * self.span)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        for (stretch,) in sorted(tuple(k) for k in self.pending.keys()):
+            if (stretch + 1) * self.span > until:
+                break
+            pieces = [(stretch, i) for i in range(int(self.pending.getValue((stretch,))[0]))]
+            out = self._step(key, [unpacked(self.held.getValue(p)[0]) for p in pieces])
+            for p in pieces:
+                self.held.removeKey(p)
+            self.pending.removeKey((stretch,))
+            yield out
 
     def close(self) -> None:
         pass
 
 
-class LowPass(StatefulProcessor):
-    """Exponential smoothing on irregular times per key."""
+def last_true(flags: np.ndarray) -> np.ndarray:
+    """Index of the last true flag up to each place, -1 before the first."""
+    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
 
-    def __init__(self, order, value, tau, columns):
-        self.order, self.value, self.tau, self.columns = order, value, float(tau), columns
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("y", "y double, t double")
+class CrossingEncoder(Ordered):
+    """Send-on-delta per key; a true ``reset`` column value starts a new reference silently."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        y, pt = self.state.get() if self.state.exists() else (None, None)
-        pdf, ys = _sorted(rows, self.order), []
-        for t, x in zip(pdf[self.order[0]].to_numpy(), pdf[self.value].to_numpy()):
-            y = float(x) if y is None else y + min(1.0, max(t - pt, 0) / self.tau) * (float(x) - y)
-            pt = float(t)
-            ys.append(y)
-        self.state.update((float(y), float(pt)))
-        yield pdf[self.columns].assign(smooth=ys)
+    state_schema = "v0 double, k long, v double, t long"
+
+    def __init__(self, keys, order, value, theta, reset=None, span=None):
+        super().__init__(order, span)
+        self.keys, self.value, self.theta, self.reset = keys, value, float(theta), reset
+
+    def advance(self, key, rows, state):
+        n = len(rows)
+        v, t = rows[self.value].to_numpy(float), rows[self.order[0]].to_numpy("int64")
+        start = rows[self.reset].to_numpy(bool) if self.reset else np.zeros(n, bool)
+        start[0] |= state is None
+        v0, k, pv, pt = state or (v[0], 0, v[0], t[0])
+        at = last_true(start)
+        ref = np.where(at < 0, v0, v[at])
+        u = (v - ref) / self.theta
+        lo, hi = np.floor(u), np.ceil(u)
+        before = (pv - v0) / self.theta
+        plo, phi = np.concatenate([[math.floor(before)], lo[:-1]]), np.concatenate([[math.ceil(before)], hi[:-1]])
+        # the interval [lo, hi] that holds u moves up: its lower end is the level, down: its upper end
+        up, down = (lo > plo) | (hi > phi), (lo < plo) | (hi < phi)
+        own = np.where(start, 0, np.where(up, lo, hi))
+        moved = last_true(start | up | down)
+        level = np.where(moved < 0, k, own[moved])
+        entering = np.concatenate([[k], level[:-1]])
+        count = np.where(start, 0, level - entering).astype("int64")
+        i = np.repeat(np.arange(n), np.abs(count))
+        first = np.cumsum(np.abs(count)) - np.abs(count)
+        ordinal = np.arange(len(i)) - first[i] + 1
+        p = np.sign(count[i])
+        target = ref[i] + (entering[i] + p * ordinal) * self.theta
+        va, ta = np.concatenate([[pv], v[:-1]])[i], np.concatenate([[pt], t[:-1]])[i]
+        flat = np.abs(v[i] - va) <= 1e-12
+        a = np.where(flat, 1.0, np.clip((target - va) / np.where(flat, 1.0, v[i] - va), 0.0, 1.0))
+        out = {**{c: x for c, x in zip(self.keys, key)}, **{c: rows[c].to_numpy()[i] for c in self.order}, "p": p, "ordinal": ordinal, "t_cross": ta + a * np.maximum(t[i] - ta, 0)}
+        return pd.DataFrame(out, index=range(len(i))), (float(ref[-1]), int(level[-1]), float(v[-1]), int(t[-1]))
+
+
+class MinimumGap(Ordered):
+    """Greedy minimum-gap filter per key."""
 
-    def close(self) -> None:
-        pass
+    state_schema = "t double"
+
+    def __init__(self, order, gap, columns, span=None):
+        super().__init__(order, span)
+        self.gap, self.columns = gap, columns
+
+    def advance(self, key, rows, state):
+        t = rows[self.order[0]].to_numpy()
+        i = int(np.searchsorted(t, state[0] + self.gap)) if state else 0
+        kept = []
+        while i < len(t):
+            kept.append(i)
+            i = int(np.searchsorted(t, t[i] + self.gap, side="left")) if self.gap > 0 else i + 1
+        return rows.iloc[kept][self.columns], (float(t[kept[-1]]),) if kept else state
+
+
+class LowPass(Ordered):
+    """Exponential smoothing on irregular times per key."""
+
+    state_schema = "y double, t double"
+
+    def __init__(self, order, value, tau, columns, span=None):
+        super().__init__(order, span)
+        self.value, self.tau, self.columns = value, float(tau), columns
+
+    def advance(self, key, rows, state):
+        t, x = rows[self.order[0]].to_numpy(), rows[self.value].to_numpy(float)
+        y, pt = state or (x[0], t[0])
+        share = np.minimum(1.0, np.maximum(np.diff(t, prepend=pt), 0) / self.tau)
+        a, b = 1.0 - share, share * x
+        b[0] += a[0] * y
+        step = 1  # maps y -> a y + b are composed over twice the distance each round
+        while step < len(b):
+            b[step:] += a[step:] * b[:-step].copy()
+            a[step:] *= a[:-step].copy()
+            step *= 2
+        return rows[self.columns].assign(smooth=b), (float(b[-1]), float(t[-1]))
 
 
 class BinRing(StatefulProcessor):
@@ -139,14 +221,23 @@ class BinRing(StatefulProcessor):
 
 
 class ChunkMerge(StatefulProcessor):
-    """Overlapping chunks of steps: the newest chunk wins per step; steps before its start are dropped."""
+    """Overlapping chunks of steps: the newest chunk wins per step; steps before its start are dropped.
+
+    Without ``step_ms`` every change of a step is handed out at once and all steps stay in
+    state. With it step s lasts from ``origin_ms`` + s * ``step_ms`` for that long: a timer
+    hands a step out once, when the watermark has passed its end, and its state goes.
+    """
 
-    def __init__(self, keys, step, chunk, value):
-        self.keys, self.step, self.chunk, self.value = keys, step, chunk, value
+    def __init__(self, keys, step, chunk, value, step_ms=None, origin_ms=0):
+        self.keys, self.step, self.chunk, self.value, self.step_ms, self.origin_ms = keys, step, chunk, value, step_ms, origin_ms
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.steps = handle.getMapState("steps", "step long", "chunk long, value double")
 
+    def _rows(self, key, steps: dict) -> pd.DataFrame:
+        return pd.DataFrame([[*key, s, c, v] for s, (c, v) in steps.items()], columns=[*self.keys, self.step, "from_chunk", self.value])
+
     def handleInputRows(self, key, rows, timerValues):
         touched = {}
         for pdf in rows:
@@ -154,39 +245,48 @@ class ChunkMerge(StatefulProcessor):
             pdf = pdf[pdf[self.step] >= pdf[self.chunk]].sort_values(self.chunk).drop_duplicates(self.step, keep="last")
             for step, chunk, x in zip(pdf[self.step], pdf[self.chunk], pdf[self.value]):
                 step, chunk, x = int(step), int(chunk), float(x)
-                have = touched[step][0] if step in touched else self.steps.getValue((step,))[0] if self.steps.containsKey((step,)) else chunk
+                held = step not in touched and self.steps.containsKey((step,))
+                if self.step_ms and not held and step not in touched:
+                    self.handle.registerTimer(self.origin_ms + (step + 1) * self.step_ms)
+                have = touched[step][0] if step in touched else self.steps.getValue((step,))[0] if held else chunk
                 if have <= chunk:
                     touched[step] = (chunk, x)
         for step, to in touched.items():
             self.steps.updateValue((step,), to)
-        yield pd.DataFrame([[*key, s, c, v] for s, (c, v) in touched.items()], columns=[*self.keys, self.step, "from_chunk", self.value])
+        if not self.step_ms:
+            yield self._rows(key, touched)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        step = (expiredTimerInfo.getExpiryTimeInMs() - self.origin_ms) // self.step_ms - 1
+        if self.steps.containsKey((step,)):
+            yield self._rows(key, {step: tuple(self.steps.getValue((step,)))})
+            self.steps.removeKey((step,))
 
     def close(self) -> None:
         pass
 
 
-class PreviousFrame(StatefulProcessor):
+class PreviousFrame(Ordered):
     """Hands every (frame, value) the value of exactly the frame before, across micro-batches."""
 
-    def __init__(self, keys, frame, value):
-        self.keys, self.frame, self.value = keys, frame, value
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "frame long, value double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        k, v = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for r in _sorted(rows, [self.frame]).to_dict("records"):
-            f, x = int(r[self.frame]), float(r[self.value])
-            out.append([*key, f, x, v if k is not None and k == f - 1 else None])
-            k, v = f, x
-        self.last.update((int(k), float(v)))
-        yield pd.DataFrame(out, columns=[*self.keys, self.frame, self.value, "previous"]).astype({"previous": "float64"})
-
-    def close(self) -> None:
-        pass
+    state_schema = "frame long, value double"
 
+    def __init__(self, keys, frame, value, span=None):
+        super().__init__([frame], span)
+        self.keys, self.frame, self.value = keys, frame, value
 
-def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append") -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "None")
+    def advance(self, key, rows, state):
+        f, x = rows[self.frame].to_numpy("int64"), rows[self.value].to_numpy(float)
+        pf, px = state or (f[0], math.nan)  # no frame precedes itself
+        adjacent = np.concatenate([[pf], f[:-1]]) == f - 1
+        previous = np.where(adjacent, np.concatenate([[px], x[:-1]]), np.nan)
+        out = {**{c: k for c, k in zip(self.keys, key)}, self.frame: f, self.value: x, "previous": pd.Series(previous).astype(object).where(adjacent, None)}
+        return pd.DataFrame(out, index=range(len(f))), (int(f[-1]), float(x[-1]))
+
+
+def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append", event_time: Column | None = None, delay: str | None = None) -> DataFrame:
+    """Runs a processor per key. ``event_time`` (a timestamp) with ``delay`` drives the timers of those that hold rows."""
+    if event_time is None:
+        return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "None")
+    marked = df.withColumn(AT, event_time).withColumn(MS, F.unix_millis(AT)).withWatermark(AT, delay)
+    return marked.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "EventTime")

@@ -105,6 +105,142 @@ def encode_crossings(df: DataFrame, keys: list[str], order: list[str], value: st
     return s.select(*keys, *order, "p", "ordinal", t.alias("t_cross"), *keep)
 
 
+#: A change counts as whole from this share of a threshold below it on, so that ties do not hang on rounding.
+NEAR = 1e-9
+
+
+def two_sided_steps(v, start, up: float, down: float, state):
+    """Thresholds crossed at each sample, upward less downward, and the reference before it.
+
+    ``state`` = (v0, a, b): the reference is v0 + a * up - b * down. ``start`` marks samples
+    that begin a new reference. Returns (n, reference, state after).
+    """
+    import math
+
+    import numpy as np
+
+    v0, a, b = state or (0.0, 0, 0)
+    n, refs = [], []
+    for x, new in zip(v.tolist(), start.tolist()):
+        if new:
+            v0, a, b = x, 0, 0
+            n.append(0)
+            refs.append(x)
+            continue
+        ref = v0 + a * up - b * down
+        k = math.floor(max(x - ref, 0.0) / up + NEAR) or -math.floor(max(ref - x, 0.0) / down + NEAR)
+        a, b = (a + k, b) if k > 0 else (a, b - k)
+        n.append(k)
+        refs.append(ref)
+    return np.array(n, dtype="int64"), np.array(refs, dtype="float64"), (v0, a, b)
+
+
+def transfer_pieces(v, before: float, up: float, down: float):
+    """What a run of samples does to any reference that may enter it: rows (upper end, da, db).
+
+    After the sample ``before`` the reference lies within one threshold of it. A sample shifts
+    the references out of reach by whole thresholds, so the run as a whole is a piecewise
+    shift by da * up - db * down; a sample only adds pieces where references part.
+    """
+    import numpy as np
+
+    ends = np.array([before + down])
+    starts = np.array([before - up])
+    da, db = np.zeros(1, "int64"), np.zeros(1, "int64")
+    low, high = starts[0], ends[0]  # of where references are by now
+    for x in v.tolist():
+        reach = x - up * (1 - NEAR), x + down * (1 - NEAR)
+        if low > reach[0] and high < reach[1]:
+            continue
+        shift = da * up - db * down
+        cuts = [x - up * (k - NEAR) for k in range(1, int((x - low) / up + NEAR) + 2)] + [x + down * (k - NEAR) for k in range(1, int((high - x) / down + NEAR) + 2)]
+        for p in cuts:
+            at = p - shift
+            m = (starts < at) & (at < ends)
+            if m.any():
+                starts, ends = np.concatenate([starts, at[m]]), np.concatenate([np.where(m, at, ends), ends[m]])
+                da, db, shift = (np.concatenate([c, c[m]]) for c in (da, db, shift))
+        mid = (starts + ends) / 2 + shift
+        da = da + np.floor(np.maximum(x - mid, 0) / up + NEAR).astype("int64")
+        db = db + np.floor(np.maximum(mid - x, 0) / down + NEAR).astype("int64")
+        by = np.argsort(starts)
+        starts, ends, da, db = starts[by], ends[by], da[by], db[by]
+        last = np.concatenate([(np.diff(da) != 0) | (np.diff(db) != 0), [True]])  # neighbours that move alike are one piece
+        first = np.concatenate([[True], last[:-1]])
+        starts, ends, da, db = starts[first], ends[last], da[last], db[last]
+        shift = da * up - db * down
+        low, high = (starts + shift).min(), (ends + shift).max()
+    return ends, da, db
+
+
+def two_sided_crossings(df: DataFrame, keys: list[str], order: list[str], value: str, up: str, down: str, width, reset: Column | None = None) -> DataFrame:
+    """Send-on-delta with its own thresholds for rises and falls, given as columns that are constant per key.
+
+    The reference moves by whole thresholds of either kind, ``v0 + a * up - b * down``, so
+    no closed form is left; but a chunk of the series is a piecewise shift of the reference
+    that enters it (``transfer_pieces``). Chunks are summed up by their pieces, one pass per
+    key goes through the pieces, and every chunk is then replayed from its entry. A change
+    within 1e-9 of a whole number of thresholds counts as whole. ``reset`` starts a new
+    reference on that row. Keys, order, value and thresholds must not be NULL; a threshold
+    must be above 0.
+
+    One row per crossing: p (1 or -1), ordinal, interpolated t_cross.
+    """
+    t = order[0]
+    c = F.col
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    d = chunked.with_chunk(df.select(*keys, *order, c(value).cast("double").alias("_v"), c(up).cast("double").alias("_up"), c(down).cast("double").alias("_down"),
+                                     (F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))).alias("_reset")), keys, order, width)
+    d = chunked.prev_value(d, keys, order, {"_pv": c("_v"), "_pt": c(t)}, width)
+    d = d.withColumns({"_start": c("_reset") | c("_pv").isNull(), "_pv": F.coalesce("_pv", "_v"), "_pt": F.coalesce("_pt", c(t))}).drop("_reset")
+
+    def summary(b):
+        import numpy as np
+
+        u, w = float(b["_up"][0]), float(b["_down"][0])
+        starts = np.flatnonzero(b["_start"])
+        if len(starts):  # what enters does not matter
+            s = starts[-1]
+            _, _, (v0, x, y) = two_sided_steps(b["_v"][s:], b["_start"][s:], u, w, None)
+            ends, da, db, fixed = np.array([0.0]), np.array([x]), np.array([y]), v0
+        else:
+            ends, da, db = transfer_pieces(b["_v"], float(b["_pv"][0]), u, w)
+            fixed = np.nan
+        n = len(ends)
+        return {"_seq": np.arange(n, dtype="int32"), "_end": ends, "_da": da.astype("int64"), "_db": db.astype("int64"), "_fixed": np.full(n, fixed), "_u": np.full(n, u), "_w": np.full(n, w)}
+
+    def entries(b):
+        import numpy as np
+
+        ch = b[chunked.CHUNK]
+        edges = [0, *(np.flatnonzero(ch[1:] != ch[:-1]) + 1).tolist(), len(ch)]
+        u, w = float(b["_u"][0]), float(b["_w"][0])
+        state, out = (0.0, 0, 0), []
+        for i, j in zip(edges, edges[1:]):
+            out.append(state)
+            if not np.isnan(b["_fixed"][i]):
+                state = (float(b["_fixed"][i]), int(b["_da"][i]), int(b["_db"][i]))
+                continue
+            v0, x, y = state
+            k = min(i + int(np.searchsorted(b["_end"][i:j], v0 + x * u - y * w)), j - 1)
+            state = (v0, x + int(b["_da"][k]), y + int(b["_db"][k]))
+        return {chunked.CHUNK: ch[edges[:-1]], "_v0": np.array([o[0] for o in out]), "_a": np.array([o[1] for o in out], "int64"), "_b": np.array([o[2] for o in out], "int64")}
+
+    def replay(b):
+        u, w = float(b["_up"][0]), float(b["_down"][0])
+        n, refs, _ = two_sided_steps(b["_v"], b["_start"], u, w, (float(b["_v0"][0]), int(b["_a"][0]), int(b["_b"][0])))
+        on = n != 0
+        return {**{k: b[k][on] for k in (*keys, *order, "_v", "_pv", "_pt", "_up", "_down")}, "_n": n[on], "_ref": refs[on]}
+
+    moves = chunked.chunk_scan(
+        d, keys, order, width, summary=summary, summary_schema="_end double, _da long, _db long, _fixed double, _u double, _w double", entries=entries,
+        entry_schema="_v0 double, _a long, _b long", replay=replay,
+        out_schema=", ".join(f"`{k}` {types[k]}" for k in (*keys, *order)) + f", _v double, _pv double, _pt {types[t]}, _up double, _down double, _n long, _ref double")
+    m = moves.withColumn("p", F.signum(c("_n").cast("double")).cast("int")).withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))))
+    target = c("_ref") + F.when(c("p") > 0, c("ordinal") * c("_up")).otherwise(-c("ordinal") * c("_down"))
+    return m.select(*keys, *order, "p", "ordinal", crossing_time(target, c("_pv"), c("_v"), c("_pt"), c(t)).alias("t_cross"))
+
+
 def refractory(df: DataFrame, keys: list[str], order: list[str], gap: float, width) -> DataFrame:
     """Keeps a row only if it lies at least ``gap`` after the last kept row of its key.
 

@@ -61,6 +61,40 @@ def encode_with_validity(spark, sf):
     return d.withColumn("t_cross", F.round("t_cross", 0))
 
 
+UP, DOWN = "(20 + user_id % 5 * 2.5::DOUBLE)", "(35 - user_id % 3 * 4.5::DOUBLE)"
+
+
+def two_sided_sql(start="false"):
+    """The recursion with thresholds of each key's own; counts of rises (a) and falls (b) give the reference."""
+    new = "(e.v0 + e.a * up - e.b * down)"
+    return f"""ou AS (SELECT *, {UP} AS up, {DOWN} AS down FROM od),
+  tw AS (SELECT user_id, rn, t_us, event_id, value, value AS v0, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS n, NULL::DOUBLE AS ref, NULL::DOUBLE AS pv, NULL::BIGINT AS pt FROM ou WHERE rn = 1
+    UNION ALL SELECT user_id, rn, t_us, event_id, value, CASE WHEN s THEN value ELSE v0 END, CASE WHEN s THEN 0 ELSE a + r END, CASE WHEN s THEN 0 ELSE b + f END, CASE WHEN s THEN 0 ELSE r - f END, ref, pv, pt FROM (
+      SELECT o.user_id, o.rn, o.t_us, o.event_id, o.value, e.v0, e.a, e.b, {start} AS s, {new} AS ref, e.value AS pv, e.t_us AS pt,
+        floor(greatest(o.value - {new}, 0) / up + 1e-9::DOUBLE)::BIGINT AS r, floor(greatest({new} - o.value, 0) / down + 1e-9::DOUBLE)::BIGINT AS f
+      FROM tw e JOIN ou o ON o.user_id = e.user_id AND o.rn = e.rn + 1)),
+  tc AS (SELECT *, ref + CASE WHEN n > 0 THEN i * {UP} ELSE -i * {DOWN} END AS target FROM tw, (SELECT unnest(generate_series(1::BIGINT, max(abs(n)))) AS i FROM tw) g WHERE i <= abs(n))
+  SELECT user_id, t_us, event_id, sign(n)::INT AS p, i::INT AS ordinal,
+    round(pt + CASE WHEN abs(value - pv) > 1e-12 THEN least(greatest((target - pv) / (value - pv), 0), 1) ELSE 1 END * (t_us - pt), 0) AS t_cross FROM tc"""
+
+
+def thresholds(d):
+    return d.withColumns({"up": 20 + F.col("user_id") % 5 * 2.5, "down": 35 - F.col("user_id") % 3 * 4.5})
+
+
+@query("T4", f"{ORD}, {two_sided_sql()}", "v_events")
+def encode_two_sided(spark, sf):
+    """Thresholds of each user's own, other ones up than down, against a recursive query."""
+    d = se.two_sided_crossings(thresholds(series(spark, sf)), U, O, "value", "up", "down", v.ROWS)
+    return d.withColumn("t_cross", F.round("t_cross", 0))
+
+
+@query("T4 T10", f"{ORD}, {two_sided_sql('o.reset')}", "v_events")
+def encode_two_sided_reset(spark, sf):
+    d = se.two_sided_crossings(thresholds(series(spark, sf)), U, O, "value", "up", "down", v.ROWS, reset=F.col("reset"))
+    return d.withColumn("t_cross", F.round("t_cross", 0))
+
+
 @query("F16", "SELECT event_id, floor(greatest(value - 100, 0) / 7.5::DOUBLE)::BIGINT AS n_on, floor(greatest(100 - value, 0) / 7.5::DOUBLE)::BIGINT AS n_off FROM v_events", "v_events")
 def crossing_counts(spark, sf):
     d = F.col("value") - 100
@@ -177,6 +211,14 @@ def stream_crossings(spark, sf):
     return windows.run_available(s, ["user_id", "event_id", "ordinal"], "append").withColumn("t_cross", F.round("t_cross", 0))
 
 
+@query("T4", f"{ORD}, {two_sided_sql()}", "v_events")
+def stream_two_sided(spark, sf):
+    s, delay, span = scattered(spark, sf)
+    p = stateful.TwoSidedEncoder(U, O, "value", "up", "down", span=span)
+    s = stateful.apply(thresholds(s.select("ts", *U, *O, "value")), U, p, "user_id bigint, t_us bigint, event_id bigint, p int, ordinal int, t_cross double", event_time=F.col("ts"), delay=delay)
+    return windows.run_available(s, ["user_id", "event_id", "ordinal"], "append").withColumn("t_cross", F.round("t_cross", 0))
+
+
 @query("T5", f"{REFR} SELECT user_id, t_us, event_id FROM rf WHERE kept", "v_events")
 def stream_refractory(spark, sf):
     s, delay, span = scattered(spark, sf)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from eventloom.operators.series import two_sided_steps
+
 AT, MS = "event_at", "event_ms"  # event time, and in milliseconds for timers (names with a leading _ do not reach the processors)
 
 
@@ -103,6 +105,13 @@ def last_true(flags: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
 
 
+def passed(target: np.ndarray, v0: np.ndarray, v1: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """When straight lines from v0 to v1 pass their targets; flat ones at their end."""
+    flat = np.abs(v1 - v0) <= 1e-12
+    share = np.where(flat, 1.0, np.clip((target - v0) / np.where(flat, 1.0, v1 - v0), 0.0, 1.0))
+    return t0 + share * np.maximum(t1 - t0, 0)
+
+
 class CrossingEncoder(Ordered):
     """Send-on-delta per key; a true ``reset`` column value starts a new reference silently."""
 
@@ -137,12 +146,35 @@ class CrossingEncoder(Ordered):
         p = np.sign(count[i])
         target = ref[i] + (entering[i] + p * ordinal) * self.theta
         va, ta = np.concatenate([[pv], v[:-1]])[i], np.concatenate([[pt], t[:-1]])[i]
-        flat = np.abs(v[i] - va) <= 1e-12
-        a = np.where(flat, 1.0, np.clip((target - va) / np.where(flat, 1.0, v[i] - va), 0.0, 1.0))
-        out = {**{c: x for c, x in zip(self.keys, key)}, **{c: rows[c].to_numpy()[i] for c in self.order}, "p": p, "ordinal": ordinal, "t_cross": ta + a * np.maximum(t[i] - ta, 0)}
+        out = {**{c: x for c, x in zip(self.keys, key)}, **{c: rows[c].to_numpy()[i] for c in self.order}, "p": p, "ordinal": ordinal, "t_cross": passed(target, va, v[i], ta, t[i])}
         return pd.DataFrame(out, index=range(len(i))), (float(ref[-1]), int(level[-1]), float(v[-1]), int(t[-1]))
 
 
+class TwoSidedEncoder(Ordered):
+    """Send-on-delta with thresholds for rises and falls from columns that are constant per key."""
+
+    state_schema = "v0 double, a long, b long, v double, t long"
+
+    def __init__(self, keys, order, value, up, down, reset=None, span=None):
+        super().__init__(order, span)
+        self.keys, self.value, self.up, self.down, self.reset = keys, value, up, down, reset
+
+    def advance(self, key, rows, state):
+        v, t = rows[self.value].to_numpy(float), rows[self.order[0]].to_numpy("int64")
+        up, down = float(rows[self.up].iloc[0]), float(rows[self.down].iloc[0])
+        start = rows[self.reset].to_numpy(bool) if self.reset else np.zeros(len(v), bool)
+        start[0] |= state is None
+        n, refs, after = two_sided_steps(v, start, up, down, state[:3] if state else None)
+        pv, pt = (state[3], state[4]) if state else (v[0], t[0])
+        i = np.repeat(np.arange(len(v)), np.abs(n))
+        ordinal = np.arange(len(i)) - (np.cumsum(np.abs(n)) - np.abs(n))[i] + 1
+        p = np.sign(n[i])
+        target = refs[i] + np.where(p > 0, ordinal * up, -ordinal * down)
+        va, ta = np.concatenate([[pv], v[:-1]])[i], np.concatenate([[pt], t[:-1]])[i]
+        out = {**{c: x for c, x in zip(self.keys, key)}, **{c: rows[c].to_numpy()[i] for c in self.order}, "p": p, "ordinal": ordinal, "t_cross": passed(target, va, v[i], ta, t[i])}
+        return pd.DataFrame(out, index=range(len(i))), (float(after[0]), int(after[1]), int(after[2]), float(v[-1]), int(t[-1]))
+
+
 class MinimumGap(Ordered):
     """Greedy minimum-gap filter per key."""
 

@@ -146,3 +146,42 @@ def test_refractory_keeps_null_columns_exact(spark):
     assert got == [(0, big, None), (20, big + 2, "y")]
     y = {r.t: (r.n, r.smooth) for r in se.lowpass(d.withColumn("v", F.lit(2.0)), ["k"], ["t"], "v", 10, 7).collect()}
     assert y == {0: (big, 2.0), 5: (None, 2.0), 20: (big + 2, 2.0)}
+
+
+def two_sided(pdf, reset=None):
+    """The recursion itself, thresholds by key."""
+    out = []
+    for k, g in pdf.sort_values(["t", "id"]).groupby("k"):
+        up, down, ref = 0.5 + k % 4 * 0.25, 0.9 - k % 3 * 0.2, None
+        for r in g.to_dict("records"):
+            if ref is None or (reset and r[reset]):
+                v0, a, b = r["v"], 0, 0
+            else:
+                on, off = int(np.floor(max(r["v"] - ref, 0) / up + 1e-9)), int(np.floor(max(ref - r["v"], 0) / down + 1e-9))
+                a, b = a + on, b + off
+                out += [(r["id"], 1 if on else -1, i) for i in range(1, on + off + 1)]
+            ref = v0 + a * up - b * down
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width", [3, 50, 10**9, chunked.Rows(40, 7)])
+@pytest.mark.parametrize("reset", [None, "flag"])
+def test_two_sided_encoder_against_recursion(spark, width, reset):
+    d = data(spark, 1500, seed=11).withColumns({"up": 0.5 + F.col("k") % 4 * 0.25, "down": 0.9 - F.col("k") % 3 * 0.2})
+    got = se.two_sided_crossings(d, ["k"], ["t", "id"], "v", "up", "down", width, F.col(reset) if reset else None)
+    assert sorted((r.id, r.p, r.ordinal) for r in got.collect()) == two_sided(d.toPandas(), reset)
+
+
+@pytest.mark.parametrize(("up", "down"), [(0.5, 0.5), (0.25, 1.0), (1.0, 0.75), (0.3, 3.1)])
+def test_transfer_pieces(up, down):
+    """A run's pieces tell for any reference what the recursion does, and they are few."""
+    r = np.random.default_rng(1)
+    for n in (1, 5, 60, 400):
+        v = np.round(np.cumsum(r.normal(0, 0.6, n)), 2)
+        before = float(v[0]) + 0.05
+        ends, da, db = se.transfer_pieces(v, before, up, down)
+        assert (np.diff(ends) > 0).all() and len(ends) <= n + 2
+        for x in r.uniform(before - up, before + down, 50):
+            _, _, (_, a, b) = se.two_sided_steps(v, np.zeros(n, bool), up, down, (float(x), 0, 0))
+            i = int(np.searchsorted(ends, x))
+            assert (da[i], db[i]) == (a, b)

@@ -323,48 +323,59 @@ def interpolate_frames(pairs: DataFrame, k: int, width: int, height: int, beta:
     later end wherever it has content. With ``nearer_wins`` a nearer earlier surface wins
     where the two differ. Cells neither end reaches get ``hole_fill`` and are invalid.
 
-    Taps of both ends and of all gaps and fractions go through one aggregation.
+    With a ``depth`` (and ``next_depth``) column the nearer pixel weighs more where several
+    land, and surfaces are told apart by depth. Without, the pixel that has come farther
+    weighs more, and both ends show the same surface where their motions agree.
+
+    One exchange places the frames. Both ends, all fractions, and the cells themselves as
+    taps of no weight, go through one aggregation in that placement.
     """
+    if blend not in ("log", "later"):
+        raise ValueError(f"unknown blend {blend}")
+    depth = "depth" in pairs.columns
+    if nearer_wins and not depth:
+        raise ValueError("which surface is nearer takes a depth column")
     c = F.col
-    chan = ["r", "g", "b", "depth", "mvx", "mvy"]
-    steps = F.explode(F.array(*[F.lit(i) for i in range(1, k)]))
+    chan = ["r", "g", "b", *(["depth"] if depth else []), "mvx", "mvy"]
+    d = by_frame(pairs.select(*PIXEL, *[c(f"{e}{v}").cast("double").alias(f"{e}{v}") for e in ("", "next_") for v in chan]))
+
+    def rank(e: str) -> Column:
+        return 1 / (c(f"{e}depth") + 1e-3) if depth else F.sqrt(c(f"{e}mvx") * c(f"{e}mvx") + c(f"{e}mvy") * c(f"{e}mvy"))
+
+    d = d.withColumns({"_ra": rank(""), "_rb": rank("next_")})
     w = Window.partitionBy(*FRAME)
+    d = d.withColumns({"_ma": F.max("_ra").over(w), "_mb": F.max("_rb").over(w), "step": F.explode(F.array(*[F.lit(i) for i in range(1, k)]))})
+    f = c("step") / F.lit(float(k))
 
-    def side(prefix: str, sign_of_f):
-        src = pairs.select(*PIXEL, *[c(f"{prefix}{v}").cast("double").alias(v) for v in chan])
-        src = by_frame(src).withColumn("_imp", 1 / (c("depth") + 1e-3))
-        src = src.withColumn("_imp", F.exp(beta * (c("_imp") / F.greatest(F.max("_imp").over(w), F.lit(1e-6)))))
-        src = src.withColumn("step", steps)
-        f = sign_of_f(c("step") / F.lit(float(k)))
-        return src.select(*FRAME, "step", *chan, "_imp", F.explode(taps(c("x") + f * c("mvx"), c("y") + f * c("mvy"))).alias("_t"),
-                          F.lit(prefix == "").alias("_a"))
+    def end(e: str, side: str, way: Column) -> Column:
+        far = F.lit(1.0) if depth else F.abs(way)
+        weight = F.exp(beta * (far * c(f"_r{side}") / F.greatest(far * c(f"_m{side}"), F.lit(1e-6))))
+        return F.struct(F.lit(side == "a").alias("a"), (c("x") + way * c(f"{e}mvx")).alias("tx"), (c("y") + way * c(f"{e}mvy")).alias("ty"), weight.alias("imp"), *[c(f"{e}{v}").alias(v) for v in chan])
 
-    t = side("", lambda f: -f).unionByName(side("next_", lambda f: 1.0 - f))
+    t = d.select(*FRAME, "step", "y", "x", F.explode(F.array(end("", "a", -f), end("next_", "b", 1.0 - f))).alias("e"))
+    own = F.array(F.struct(c("y"), c("x"), F.lit(0.0).alias("w")))
+    t = t.select(*FRAME, "step", "e", F.explode(F.concat(taps(c("e.tx"), c("e.ty")), F.when(c("e.a"), own).otherwise(F.slice(own, 1, 0)))).alias("_t"))
     t = t.where((c("_t.x") >= 0) & (c("_t.x") < width) & (c("_t.y") >= 0) & (c("_t.y") < height))
-    wt = c("_t.w") * c("_imp")
-    aggs = []
-    for s, on in (("a", c("_a")), ("b", ~c("_a"))):
+    wt = c("_t.w") * c("e.imp")
+    aggs = [F.count_if(c("_t.w") == 0).alias("_cell")]
+    for s, on in (("a", c("e.a")), ("b", ~c("e.a"))):
         aggs.append(F.coalesce(F.sum(F.when(on, wt)), F.lit(0.0)).alias(f"w{s}"))
-        aggs += [F.sum(F.when(on, wt * c(v))).alias(f"{s}_{v}") for v in chan]
-    g = t.groupBy(*FRAME, "step", c("_t.y").alias("y"), c("_t.x").alias("x")).agg(*aggs)
-    grid = pairs.select(*PIXEL).withColumn("step", steps)
-    g = grid.join(g, [*FRAME, "step", "y", "x"], "left")
-    has_a, has_b = F.coalesce(c("wa") >= 1e-4, F.lit(False)), F.coalesce(c("wb") >= 1e-4, F.lit(False))
-    g = g.withColumns({"has_a": has_a, "has_b": has_b})
+        aggs += [F.sum(F.when(on, wt * c(f"e.{v}"))).alias(f"{s}_{v}") for v in chan]
+    g = t.groupBy(*FRAME, "step", c("_t.y").alias("y"), c("_t.x").alias("x")).agg(*aggs).where("_cell > 0")
+    g = g.withColumns({"has_a": c("wa") >= 1e-4, "has_b": c("wb") >= 1e-4})
     g = g.withColumns({f"{s}_{v}": F.when(c(f"has_{s}"), c(f"{s}_{v}") / c(f"w{s}")) for s in "ab" for v in chan})
-    q = warp_quality(c("has_a"), c("has_b"), c("a_depth"), c("b_depth"), [c("a_mvx"), c("a_mvy")], [c("b_mvx"), c("b_mvy")])
+    moved = [[c(f"{s}_mvx"), c(f"{s}_mvy")] for s in "ab"]
+    q = warp_quality(c("has_a"), c("has_b"), *([c("a_depth"), c("b_depth")] if depth else [None, None]), *moved)
     g = g.withColumns({"same_surface": q["same_surface"], "_conf": q["confidence"], "_none": ~(c("has_a") | c("has_b"))})
-    f = c("step") / F.lit(float(k))
     mix = light.log_blend([c(f"a_{v}") for v in "rgb"], [c(f"b_{v}") for v in "rgb"], f)
-    if blend not in ("log", "later"):
-        raise ValueError(f"unknown blend {blend}")
-    nearer = c("has_a") & c("has_b") & ~c("same_surface") & (c("a_depth") < c("b_depth"))
     out = {}
     for v, m in zip("rgb", mix):
-        e = F.when(nearer & F.lit(nearer_wins), c(f"a_{v}"))
-        if blend == "log":
-            e = e.when(c("same_surface"), m)
-        out[v] = e.when(c("has_b"), c(f"b_{v}")).when(c("has_a"), c(f"a_{v}")).otherwise(F.lit(hole_fill))
+        e = F.when(c("same_surface"), m) if blend == "log" else F.when(F.lit(False), m)
+        if nearer_wins:
+            e = F.when(c("has_a") & c("has_b") & ~c("same_surface") & (c("a_depth") < c("b_depth")), c(f"a_{v}")).otherwise(e.when(c("has_b"), c(f"b_{v}")).when(c("has_a"), c(f"a_{v}")).otherwise(F.lit(hole_fill)))
+        else:
+            e = e.when(c("has_b"), c(f"b_{v}")).when(c("has_a"), c(f"a_{v}")).otherwise(F.lit(hole_fill))
+        out[v] = e
     g = g.withColumns(out)
     wr = Window.partitionBy(*FRAME, "step", "y").orderBy("x").rangeBetween(-margin, margin)
     wc = Window.partitionBy(*FRAME, "step", "x").orderBy("y").rangeBetween(-margin, margin)
@@ -374,16 +385,22 @@ def interpolate_frames(pairs: DataFrame, k: int, width: int, height: int, beta:
 
 
 def warp_quality(has_a, has_b, za, zb, mva, mvb, depth_abs=0.05, depth_rel=0.05, flow_abs=1.0, flow_rel=0.25) -> dict[str, Column]:
-    """Do both ends show the same surface, and how far to trust the blended pixel."""
+    """Do both ends show the same surface, and how far to trust the blended pixel.
+
+    Depth tells surfaces apart where there is one; without (``za`` and ``zb`` None) motion does.
+    """
     n = lambda u: F.sqrt(u[0] * u[0] + u[1] * u[1])
     flow_err = n(rot.sub(mva, mvb))
     flow_tol = flow_abs + flow_rel * F.greatest(n(mva), n(mvb))
-    dep_err = F.abs(za - zb)
-    dep_tol = depth_abs + depth_rel * F.least(F.abs(za), F.abs(zb))
     both = has_a & has_b
-    agree = F.sqrt(F.exp(-dep_err / dep_tol) * F.sqrt(F.exp(-flow_err / flow_tol)))
+    if za is None:
+        same, agree = flow_err <= flow_tol, F.exp(-flow_err / flow_tol)
+    else:
+        dep_err = F.abs(za - zb)
+        dep_tol = depth_abs + depth_rel * F.least(F.abs(za), F.abs(zb))
+        same, agree = dep_err <= dep_tol, F.sqrt(F.exp(-dep_err / dep_tol) * F.sqrt(F.exp(-flow_err / flow_tol)))
     return {
-        "same_surface": F.coalesce(both & (dep_err <= dep_tol), F.lit(False)),
+        "same_surface": F.coalesce(both & same, F.lit(False)),
         "confidence": F.when(both, 0.5 + 0.5 * agree).when(has_a | has_b, F.lit(0.5)).otherwise(F.lit(0.0)),
     }
 

@@ -316,23 +316,43 @@ def splat(spark, sf):
 
 
 CH = ("r", "g", "b", "depth", "mvx", "mvy")
-
-
-@query("G15 F31 F32 J7", f"""{PAIR}, ia AS (SELECT *, exp(12.0::DOUBLE * (1 / (depth + 1e-3) / max(1 / (depth + 1e-3)) OVER (PARTITION BY episode, camera, frame_index))) AS imp_a,
-      exp(12.0::DOUBLE * (1 / (next_depth + 1e-3) / max(1 / (next_depth + 1e-3)) OVER (PARTITION BY episode, camera, frame_index))) AS imp_b FROM pr),
+FLAT = ("r", "g", "b", "mvx", "mvy")
+
+
+def _interpolation(depth: bool) -> str:
+    """Two frames between the ends of every pair; without depth the farther-moved pixel wins and motion tells surfaces apart."""
+    ch = CH if depth else FLAT
+    over = "OVER (PARTITION BY episode, camera, frame_index)"
+    rank = {e: f"1 / ({e}depth + 1e-3)" if depth else f"sqrt({e}mvx * {e}mvx + {e}mvy * {e}mvy)" for e in ("", "next_")}
+    weight = lambda s, way: f"exp(12.0::DOUBLE * ({way} * r{s} / greatest({way} * m{s}, 1e-6::DOUBLE)))"
+    err = "sqrt(pow(a_mvx - b_mvx, 2) + pow(a_mvy - b_mvy, 2))"
+    tol = "(1 + 0.25::DOUBLE * greatest(sqrt(pow(a_mvx, 2) + pow(a_mvy, 2)), sqrt(pow(b_mvx, 2) + pow(b_mvy, 2))))"
+    far, within = "abs(a_depth - b_depth)", "(0.05::DOUBLE + 0.05::DOUBLE * least(abs(a_depth), abs(b_depth)))"
+    same, agree = (f"{far} <= {within}", f"sqrt(exp(-{far} / {within}) * sqrt(exp(-{err} / {tol})))") if depth else (f"{err} <= {tol}", f"exp(-{err} / {tol})")
+    side = lambda s, t: f"""s{s} AS (SELECT episode, camera, frame_index, step, ty AS y, tx AS x, sum(tw * imp) AS w, {', '.join(f'sum(tw * imp * {c}) / sum(tw * imp) AS {s}_{c}' for c in ch)} FROM {t} WHERE tw > 0 GROUP BY ALL HAVING sum(tw * imp) >= 1e-4)"""
+    return f"""{PAIR}, ia AS (SELECT *, {rank['']} AS ra, {rank['next_']} AS rb, max({rank['']}) {over} AS ma, max({rank['next_']}) {over} AS mb FROM pr),
   fs AS (SELECT ia.*, k.k AS step, k.k / 3.0::DOUBLE AS f FROM ia CROSS JOIN generate_series(1, 2) k(k)),
-  ta AS ({s_taps('fs', '(x - f * mvx)', '(y - f * mvy)', 'episode, camera, frame_index, step, imp_a AS imp, ' + ', '.join(CH))}),
-  tb AS ({s_taps('fs', '(x + (1 - f) * next_mvx)', '(y + (1 - f) * next_mvy)', 'episode, camera, frame_index, step, imp_b AS imp, ' + ', '.join(f'next_{c} AS {c}' for c in CH))}),
-  sa AS (SELECT episode, camera, frame_index, step, ty AS y, tx AS x, sum(tw * imp) AS w, {', '.join(f'sum(tw * imp * {c}) / sum(tw * imp) AS a_{c}' for c in CH)} FROM ta WHERE tw > 0 GROUP BY ALL HAVING sum(tw * imp) >= 1e-4),
-  sb AS (SELECT episode, camera, frame_index, step, ty AS y, tx AS x, sum(tw * imp) AS w, {', '.join(f'sum(tw * imp * {c}) / sum(tw * imp) AS b_{c}' for c in CH)} FROM tb WHERE tw > 0 GROUP BY ALL HAVING sum(tw * imp) >= 1e-4),
+  ta AS ({s_taps('fs', '(x - f * mvx)', '(y - f * mvy)', f"episode, camera, frame_index, step, {weight('a', '1' if depth else 'f')} AS imp, " + ', '.join(ch))}),
+  tb AS ({s_taps('fs', '(x + (1 - f) * next_mvx)', '(y + (1 - f) * next_mvy)', f"episode, camera, frame_index, step, {weight('b', '1' if depth else '(1 - f)')} AS imp, " + ', '.join(f'next_{c} AS {c}' for c in ch))}),
+  {side('a', 'ta')}, {side('b', 'tb')},
   q0 AS (SELECT fs.episode, fs.camera, fs.frame_index, fs.step, fs.y, fs.x, f, sa.w IS NOT NULL AS ha, sb.w IS NOT NULL AS hb, sa.* EXCLUDE (episode, camera, frame_index, step, y, x, w), sb.* EXCLUDE (episode, camera, frame_index, step, y, x, w)
      FROM fs LEFT JOIN sa USING (episode, camera, frame_index, step, y, x) LEFT JOIN sb USING (episode, camera, frame_index, step, y, x)),
-  q1 AS (SELECT *, coalesce(ha AND hb AND abs(a_depth - b_depth) <= 0.05::DOUBLE + 0.05::DOUBLE * least(abs(a_depth), abs(b_depth)), false) AS same,
-     CASE WHEN ha AND hb THEN 0.5::DOUBLE + 0.5::DOUBLE * sqrt(exp(-abs(a_depth - b_depth) / (0.05::DOUBLE + 0.05::DOUBLE * least(abs(a_depth), abs(b_depth)))) * sqrt(exp(-sqrt(pow(a_mvx - b_mvx, 2) + pow(a_mvy - b_mvy, 2)) / (1 + 0.25::DOUBLE * greatest(sqrt(pow(a_mvx, 2) + pow(a_mvy, 2)), sqrt(pow(b_mvx, 2) + pow(b_mvy, 2))))))) WHEN ha OR hb THEN 0.5::DOUBLE ELSE 0 END AS conf,
+  q1 AS (SELECT *, coalesce(ha AND hb AND {same}, false) AS same, CASE WHEN ha AND hb THEN 0.5::DOUBLE + 0.5::DOUBLE * {agree} WHEN ha OR hb THEN 0.5::DOUBLE ELSE 0 END AS conf,
      exp((1 - f) * ln({lum('a_')} + 1e-5::DOUBLE) + f * ln({lum('b_')} + 1e-5::DOUBLE)) - 1e-5::DOUBLE AS want, {', '.join(f'(1 - f) * a_{c} + f * b_{c} AS m{c}' for c in 'rgb')} FROM q0),
   q2 AS (SELECT a.episode, a.camera, a.frame_index, a.step, a.y, a.x, bool_or(NOT b.ha AND NOT b.hb) AS near FROM q1 a JOIN q1 b ON {SAME} AND a.step = b.step AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
   SELECT {KEY}, step::INT AS step, {', '.join(f'round(CASE WHEN same THEN m{c} * want / (0.2126::DOUBLE * mr + 0.7152::DOUBLE * mg + 0.0722::DOUBLE * mb + 1e-5::DOUBLE) WHEN hb THEN b_{c} WHEN ha THEN a_{c} ELSE 0 END, 5) AS {c}' for c in 'rgb')},
-   NOT near AS valid, round(CASE WHEN near THEN 0 ELSE conf END, 6) AS confidence FROM q1 JOIN q2 USING ({KEY}, step)""", "v_pixels")
+   NOT near AS valid, round(CASE WHEN near THEN 0 ELSE conf END, 6) AS confidence FROM q1 JOIN q2 USING ({KEY}, step)"""
+
+
+@query("G15 F31 F32 J7", _interpolation(False), "v_pixels")
+def interpolate_by_flow(spark, sf):
+    """Two-ended interpolation of colour and motion alone."""
+    p = v.v_pixels(spark, sf).select(*PIX, *FLAT)
+    d = px.interpolate_frames(px.frame_pairs(p, list(FLAT)), 3, N, N)
+    return rnd(rnd(d, "r", "g", "b", digits=5), "confidence")
+
+
+@query("G15 F31 F32 J7", _interpolation(True), "v_pixels")
 def interpolate_frames(spark, sf):
     p = v.v_pixels(spark, sf).select(*PIX, *CH)
     d = px.interpolate_frames(px.frame_pairs(p, list(CH)), 3, N, N)

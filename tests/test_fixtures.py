@@ -284,6 +284,38 @@ def test_normal_tail(spark):
     assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in zs], rel=1e-9, abs=1e-18)
 
 
+def test_wilcoxon_exact_for_thousands_of_pairs(spark):
+    """5,000 pairs in blocks of frequencies, near the normal value; with and without ties the sums of all 2^12 signs."""
+    import itertools
+    import time
+
+    r = np.random.default_rng(8)
+    big = r.normal(0.02, 1, 5000)
+    small, tied = r.normal(0.3, 1, 12), r.integers(-4, 6, 12).astype(float)
+    rows = [("big", float(x)) for x in big] + [("small", float(x)) for x in small] + [("tied", float(x)) for x in tied]
+    d = spark.createDataFrame(rows, "metric string, delta double").repartition(4)
+    t0 = time.time()
+    got = {x.metric: x for x in st.wilcoxon(d, ["metric"]).collect()}
+    assert time.time() - t0 < 60
+    near = {x.metric: x for x in st.wilcoxon(d, ["metric"], method="normal").collect()}
+    assert got["big"].n == 5000 and abs(got["big"].p_value - near["big"].p_value) < 1e-4
+    for name, x in (("small", small), ("tied", tied[tied != 0])):
+        size = np.abs(x)
+        rank = np.array([(size < v).sum() + ((size == v).sum() + 1) / 2 for v in size])
+        w = rank[x > 0].sum()
+        sums = np.array([rank[np.array(s)].sum() for s in itertools.product([False, True], repeat=len(x))])
+        assert got[name].p_value == pytest.approx(min(1, 2 * min((sums <= w).mean(), (sums >= w).mean())), abs=1e-12)
+
+
+def test_bootstrap_blocks_do_not_change_it(spark, monkeypatch):
+    d = spark.createDataFrame([("m", i, float(i * i % 37)) for i in range(50)], "metric string, episode long, delta double")
+    whole = st.bootstrap_ci(d, ["metric"], ["episode"], 300, 2).first()
+    monkeypatch.setattr(st, "BLOCK", 7)
+    monkeypatch.setattr(st, "RESAMPLES", 41)
+    cut = st.bootstrap_ci(d, ["metric"], ["episode"], 300, 2).first()
+    assert cut.ci_low == pytest.approx(whole.ci_low, abs=1e-12) and cut.ci_high == pytest.approx(whole.ci_high, abs=1e-12)
+
+
 def test_bootstrap_is_reproducible_and_sane(spark):
     d = spark.createDataFrame([("m", i, float(i % 7) - 2) for i in range(40)], "metric string, episode long, delta double")
     a = st.bootstrap_ci(d, ["metric"], ["episode"], 500, 1).first()

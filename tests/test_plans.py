@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from eventloom.operators import pixels as px
+from eventloom.operators import statistics as st
 from eventloom.plans import registry
 from eventloom.sources import readers, writers
 
@@ -36,3 +38,18 @@ def test_voxel_history_shuffles_once(spark):
     p = plan(registry.load()["voxel_history"].run(spark, SF))
     assert p.count("Exchange") == 1
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>", p)
+
+
+def test_interpolation_moves_frames_once(spark, tmp_path):
+    """From a table of pairs: one exchange, by frame, for both ends, all fractions and the borders of holes."""
+    cols = ["r", "g", "b", "mvx", "mvy"]
+    pairs = spark.range(64).selectExpr("0L AS episode", "'c' AS camera", "0L AS frame_index", "cast(id div 8 as int) AS y", "cast(id % 8 as int) AS x", *[f"1.0D AS {e}{c}" for e in ("", "next_") for c in cols])
+    pairs.write.parquet(str(tmp_path / "p"))
+    p = plan(px.interpolate_frames(spark.read.parquet(str(tmp_path / "p")), 4, 8, 8))
+    assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_resamples_are_drawn_without_a_lookup(spark):
+    d = spark.createDataFrame([("m", 1, 0.5)], "metric string, episode long, delta double")
+    p = plan(st.bootstrap_ci(d, ["metric"], ["episode"], 100, 1))
+    assert "_i" not in "".join(re.findall(r"Join.*", p))

@@ -12,27 +12,82 @@ the chunks, all together give a total order.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import cut_lineage
+
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class Rows:
-    """Chunks of about ``target`` rows: whole cells of ``cell`` units of the first order column.
-
-    A chunk has at most ``target`` rows and one more cell, so take cells that hold few rows.
-    The number of chunks follows the data; what is ordered per key is a count per cell, and
-    the number of cells follows the extent of the order column.
+    """Chunks of about ``target`` rows, less than twice as many.
+
+    Rows are counted by cells of ``cell`` units of the first order column, and a chunk is a
+    run of whole cells. A cell of more rows than ``target`` is cut into up to ``PARTS`` parts
+    of its own extent, and those again: by the first order column while its rows differ in
+    it, then by the next. So rows of one instant are cut too. Only a column that is no number
+    or time cannot cut. The counts are made when the operator is called, in one pass, with
+    one more pass over the rows of heavy cells for each cut; the number of chunks follows the
+    rows, and what is ordered per key is a count per cell.
     """
 
     target: int
     cell: float
 
 
+PARTS = 64
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp", "date", "boolean")
+
+
+def _number(df: DataFrame, col: str) -> Column | None:
+    """A column as a number in its own order; None if it has none."""
+    kind = df.schema[col].dataType.simpleString()
+    if not kind.startswith(_NUMBERS):
+        return None
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return (F.unix_date(col) if kind == "date" else F.col(col)).cast("double")
+
+
+def _cut_rows(df: DataFrame, keys: list[str], order: list[str], width: Rows) -> DataFrame:
+    """``df`` with chunks of bounded size: the cut table is refined until no cell is heavy."""
+    by = {c: n for c in order if (n := _number(df, c)) is not None}
+    ends = [f(n).alias(f"_{e}{i}") for i, n in enumerate(by.values()) for e, f in (("lo", F.min), ("hi", F.max))]
+    split = lambda e: reduce(lambda a, i: a.when(F.col(f"_hi{i}") > F.col(f"_lo{i}"), e(i)), range(1, len(by)), F.when(F.col("_hi0") > F.col("_lo0"), e(0)))
+    path = F.array(F.floor(F.col(order[0]) / F.lit(width.cell)).cast("long"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.groupBy(*keys, "_path").agg(F.count(F.lit(1)).alias("_n"), *ends), "cells")
+
+    def finer(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        value = reduce(lambda a, i: a.when(F.col("_by") == i, list(by.values())[i]), range(1, len(by)), F.when(F.col("_by") == 0, list(by.values())[0]))
+        part = F.least(F.floor((value - F.col("_from")) / F.col("_step")).cast("long"), F.lit(PARTS - 1))
+        to = F.when(F.col("_by").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array(part)))
+        return rows.join(table, [*keys, "_path"], how).withColumn("_path", to).drop("_by", "_from", "_step")
+
+    rows = part = df.withColumn("_path", path)
+    cells = counted(rows)
+    done = None
+    while True:
+        heavy = cells.where((F.col("_n") > width.target) & split(F.lit).isNotNull())
+        if heavy.limit(1).count() == 0:
+            break
+        table = cut_lineage(heavy.select(*keys, "_path", split(F.lit).alias("_by"), split(lambda i: F.col(f"_lo{i}")).alias("_from"), split(lambda i: (F.col(f"_hi{i}") - F.col(f"_lo{i}")) / PARTS).alias("_step")), "cuts")
+        light = cells.join(table.select(*keys, "_path"), [*keys, "_path"], "left_anti")
+        done = light if done is None else done.unionByName(light)
+        part, rows = finer(part, table, "inner"), finer(rows, table, "left")
+        cells = counted(part)
+    cells = (cells if done is None else done.unionByName(cells)).select(*keys, "_path", "_n")
+    before = Window.partitionBy(*keys).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cells.select(*keys, "_path", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / width.target).alias(CHUNK))
+    return rows.join(cuts, [*keys, "_path"]).select(*df.columns, CHUNK)
+
+
 def with_chunk(df: DataFrame, keys: list[str], order: list[str], width: float | Rows) -> DataFrame:
     """Adds the chunk number; a no-op when present. ``width``: of a chunk in units of the order column, or :class:`Rows`.
 
@@ -43,11 +98,7 @@ def with_chunk(df: DataFrame, keys: list[str], order: list[str], width: float |
         return df
     if not isinstance(width, Rows):
         return df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
-    d = df.withColumn("_cell", F.floor(F.col(order[0]) / F.lit(width.cell)).cast("long"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = d.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = cells.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / width.target).alias(CHUNK))
-    return d.join(cuts, [*keys, "_cell"]).select(*df.columns, CHUNK)
+    return _cut_rows(df, keys, order, width)
 
 
 def _ord(order: list[str]) -> Column:

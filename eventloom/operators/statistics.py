@@ -139,6 +139,11 @@ def t_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 BLOCK, RESAMPLES, FREQUENCIES = 4096, 1000, 1 << 19
 
 
+def _width(df: DataFrame) -> int:
+    """Tasks for rows that are few and light but stand for much work, so that they are not put together by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bootstrap_ci(pairs: DataFrame, keys: list[str], order: list[str], b: int, seed: int, width: int = 100_000) -> DataFrame:
     """Percentile interval of the mean change over b resamples, reproducible from the seed.
 
@@ -150,11 +155,14 @@ def bootstrap_ci(pairs: DataFrame, keys: list[str], order: list[str], b: int, se
     p = chunked.positions(pairs.select(*keys, *order, "delta"), keys, order, width, "_i").select(*keys, "_i", "delta")
     n = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     blocks = p.groupBy(*keys, F.floor(c("_i") / BLOCK).alias("_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "delta"))), lambda x: x["delta"]).alias("_values"))
-    d = blocks.join(n, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // RESAMPLES)))).repartition(*keys, "_block", "_part")
+    d = blocks.join(n, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // RESAMPLES)))).repartition(_width(pairs), *keys, "_block", "_part")
     d = d.withColumn("_r", F.explode(F.sequence(c("_part") * RESAMPLES, F.least(c("_part") * RESAMPLES + RESAMPLES, F.lit(b)) - 1)))
     ids = [c(k) for k in keys]
-    found = F.aggregate(F.sequence(F.lit(0).cast("long"), c("_n") - 1), F.lit(0.0), lambda a, i: a + F.coalesce(F.get("_values", (counter.pick(seed, "boot", c("_n"), *ids, c("_r"), i) - c("_block") * BLOCK).cast("int")), F.lit(0.0)))
-    means = d.select(*keys, "_r", "_n", found.alias("_sum")).groupBy(*keys, "_r").agg((F.sum("_sum") / F.max("_n")).alias("_m"))
+    # draws are only ever rows of a pipeline that ends in the sums of a resample
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), c("_n") - 1)))
+    found = F.get("_values", (counter.pick(seed, "boot", c("_n"), *ids, c("_r"), c("_k")) - c("_block") * BLOCK).cast("int"))
+    sums = d.select(*keys, "_r", "_n", found.alias("_x")).groupBy(*keys, "_r", "_n").agg(F.sum("_x").alias("_sum"))
+    means = sums.select(*keys, "_r", (c("_sum") / c("_n")).alias("_m"))
     # b values per key, set by the caller
     q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy(*keys).agg(q.alias("_q")).select(*keys, c("_q")[0].alias("ci_low"), c("_q")[1].alias("ci_high"))
@@ -220,7 +228,7 @@ def wilcoxon(pairs: DataFrame, keys: list[str], method: str = "exact", width: fl
             pdf["_part"] = [_tail_part(r, k, int(w), b * FREQUENCIES, (b + 1) * FREQUENCIES) for r, k, w, b in zip(pdf["_r"], pdf["_n"], pdf["_least"], pdf["_block"])]
             yield pdf[[*keys, "_part"]]
 
-    part = parts.repartition(*keys, "_block").mapInPandas(run, f"{kinds}, _part double").groupBy(*keys).agg(F.sum("_part").alias("_part"))
+    part = parts.repartition(_width(pairs), *keys, "_block").mapInPandas(run, f"{kinds}, _part double").groupBy(*keys).agg(F.sum("_part").alias("_part"))
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (c("_least") + 1 + c("_part")) / (c("_total") + 1)))
     return s.join(part, keys).select(*keys, "n", (c("_w2") / 2.0).alias("w_plus"), p.alias("p_value"))
 

@@ -185,3 +185,35 @@ def test_transfer_pieces(up, down):
             _, _, (_, a, b) = se.two_sided_steps(v, np.zeros(n, bool), up, down, (float(x), 0, 0))
             i = int(np.searchsorted(ends, x))
             assert (da[i], db[i]) == (a, b)
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "timestamp"])
+def test_one_hot_instant_is_cut(spark, kind):
+    """All rows of a key at one time, most rows of another within a few units: chunks stay below twice the target, in order."""
+    r = np.random.default_rng(13)
+    rows = [(0, 500, int(i)) for i in r.permutation(4000)] + [(1, int(t), 10_000 + i) for i, t in enumerate(r.integers(70, 74, 3000))] + [(2, i * 10**6, i) for i in range(300)] + [(1, 10**9, 50_000)]
+    d = spark.createDataFrame(rows, "k long, t long, id long").withColumn("id", F.col("id").cast(kind))
+    c = chunked.with_chunk(d, ["k"], ["t", "id"], chunked.Rows(50, 1000))
+    got = c.toPandas().sort_values(["k", "t", "id"])
+    assert len(got) == len(rows) and c.columns == [*d.columns, chunked.CHUNK]
+    sizes = got.groupby(["k", chunked.CHUNK]).size()
+    assert sizes.max() < 100
+    assert (got.groupby("k")[chunked.CHUNK].diff().dropna() >= 0).all()
+    assert {k: len(s) for k, s in sizes.groupby("k")}[0] >= 50
+
+
+def test_operators_over_a_hot_instant(spark):
+    """Positions, encoding and the minimum gap over rows that share their time."""
+    r = np.random.default_rng(14)
+    pdf = pd.DataFrame({"k": 0, "t": np.where(np.arange(1500) < 1200, 100, np.arange(1500)), "id": np.arange(1500), "v": np.round(np.cumsum(r.normal(0, 1, 1500)), 3)})
+    d, w = spark.createDataFrame(pdf).repartition(5), chunked.Rows(40, 500)
+    assert [x.pos for x in chunked.positions(d, ["k"], ["t", "id"], w).orderBy("id").collect()] == list(range(1500))
+    got = se.encode_crossings(d, ["k"], ["t", "id"], "v", 0.75, w)
+    assert sorted((x.id, x.p, x.ordinal) for x in got.collect()) == encode(pdf, 0.75)
+    assert [x.id for x in se.refractory(d.select("k", "t", "id"), ["k"], ["t", "id"], 5, w).orderBy("id").collect()][:2] == [0, 1200]
+
+
+def test_rows_alike_in_all_that_can_cut_stay_together(spark):
+    d = spark.createDataFrame([(0, 5, f"n{i:04d}") for i in range(300)], "k long, t long, name string")
+    c = chunked.with_chunk(d, ["k"], ["t", "name"], chunked.Rows(50, 10))
+    assert c.count() == 300 and c.select(chunked.CHUNK).distinct().count() == 1

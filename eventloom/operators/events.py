@@ -288,51 +288,43 @@ def phase_imbalance(hist: DataFrame, keys: list[str], phases: int = 4) -> DataFr
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], width: float, levels: int = 2) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per key as columns ``q0, q1, ...``.
 
-    ``percentile`` would hold a key's distinct values in one buffer. Here values are counted
-    per cell of ``width`` (map-side combined, one small row per cell) to find the cell of
-    every wanted rank; the next level counts only the rows of those cells in cells 4,096
-    times finer; only what falls into the last cells is ordered, equal values as one row.
-    So neither a hot key nor a pile-up of values in one cell is sorted as a whole. With more
-    than one level the levels run as jobs of their own.
+    ``percentile`` would hold a key's distinct values in one buffer. Here one pass counts the
+    distinct values of each key (combined map-side), and that table of counts, written once,
+    stands for the input from then on: its rows are added up per cell of ``width`` to find
+    the cell of every wanted rank, then only in those cells per cell 4,096 times finer;
+    only what falls into the last cells is ordered. So the input is read once whatever the
+    number of levels and of quantiles, and neither a hot key nor a pile-up of values in one
+    cell is sorted as a whole.
     """
     names = [f"_c{i}" for i in range(levels)]
     v = F.col(value)
-    src = df.where(v.isNotNull() & ~F.isnan(value)).select(
-        *keys, v.alias("_v"), *[F.floor(v / F.lit(width / 4096.0**i)).cast("long").alias(n) for i, n in enumerate(names)])
-    want = None
-    rows = src
-    for i in range(levels):
-        outer, cell = [*keys, *names[:i]], [*keys, *names[:i + 1]]
-        if want is not None:
-            rows = src.join(want.select(*outer).distinct(), outer, "left_semi")
-        hist = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_k"))
-        w = Window.partitionBy(*outer)
-        before = (F.sum("_k").over(w.orderBy(names[i]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).alias("_before")
-        if want is None:
-            hist = hist.select(*cell, "_k", before, F.sum("_k").over(w).alias("_n"))
-            ranks = []
-            for q, p in enumerate(probs):
-                pos = F.lit(p) * (F.col("_n") - 1)
-                ranks += [F.struct(F.lit(q).alias("i"), F.lit(hi).alias("hi"), (F.ceil(pos) if hi else F.floor(pos)).alias("r"), (pos - F.floor(pos)).alias("frac"))
-                          for hi in (False, True)]
-            hist = hist.withColumn("_w", F.explode(F.array(*ranks))).select(
-                *cell, "_k", "_before", F.col("_w.i").alias("_i"), F.col("_w.hi").alias("_hi"), F.col("_w.frac").alias("_frac"), F.col("_w.r").alias("_r"))
-        else:
-            hist = hist.select(*cell, "_k", before).join(want, outer)
-        r = F.col("_r") - F.col("_before")
-        want = hist.where((r >= 0) & (r < F.col("_k"))).select(*cell, "_i", "_hi", "_frac", r.alias("_r"))
-        if levels > 1:
-            # a few rows per key: written once, so that each level is one scan of the input
-            want = cut_lineage(want, "quantile-ranks")
-    cell = [*keys, *names]
-    vals = src.join(want.select(*cell).distinct(), cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_upto", F.sum("_k").over(upto))
-    hit = vals.join(want, cell).where((F.col("_r") >= F.col("_upto") - F.col("_k")) & (F.col("_r") < F.col("_upto")))
+    src = df.where(v.isNotNull() & ~F.isnan(value)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    src = cut_lineage(src, "value-counts").withColumns({n: F.floor(F.col("_v") / F.lit(width / 4096.0**i)).cast("long") for i, n in enumerate(names)})
+    c = F.col
+    rank = ["_i", "_hi", "_frac", "_r"]
+    hist = src.groupBy(*keys, names[0]).agg(F.sum("_k").alias("_k"))
+    w = Window.partitionBy(*keys)
+    hist = hist.withColumns({"_before": F.sum("_k").over(w.orderBy(names[0]).rowsBetween(Window.unboundedPreceding, 0)) - c("_k"), "_n": F.sum("_k").over(w)})
+    ranks = []
+    for q, p in enumerate(probs):
+        pos = F.lit(p) * (c("_n") - 1)
+        ranks += [F.struct(F.lit(q).alias("_i"), F.lit(hi).alias("_hi"), (pos - F.floor(pos)).alias("_frac"), (F.ceil(pos) if hi else F.floor(pos)).alias("_r")) for hi in (False, True)]
+    want = hist.withColumn("_w", F.explode(F.array(*ranks))).select(*keys, names[0], "_k", "_before", "_w.*")
+    for i in range(1, levels + 1):
+        # the cells, at last the values, that hold the wanted ranks; a wanted rank goes its own way, so that each level is used once
+        r = c("_r") - c("_before")
+        want = want.where((r >= 0) & (r < c("_k"))).select(*keys, *names[:i], "_i", "_hi", "_frac", r.alias("_r"))
+        at = names[i] if i < levels else "_v"
+        rows = src.select(*keys, *names[:i], at, "_k").join(want, [*keys, *names[:i]])
+        if i < levels:
+            rows = rows.groupBy(*keys, *names[:i], *rank, at).agg(F.sum("_k").alias("_k"))
+        upto = Window.partitionBy(*keys, *names[:i], *rank).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        want = rows.withColumn("_before", F.sum("_k").over(upto) - c("_k"))
+    hit = want.where((c("_r") >= c("_before")) & (c("_r") < c("_before") + c("_k")))
     aggs = []
     for i in range(len(probs)):
-        lo, hi = (F.max(F.when((F.col("_i") == i) & (F.col("_hi") == F.lit(h)), F.col("_v"))) for h in (False, True))
-        aggs.append((lo + (hi - lo) * F.max(F.when(F.col("_i") == i, F.col("_frac")))).alias(f"q{i}"))
+        lo, hi = (F.max(F.when((c("_i") == i) & (c("_hi") == F.lit(h)), c("_v"))) for h in (False, True))
+        aggs.append((lo + (hi - lo) * F.max(F.when(c("_i") == i, c("_frac")))).alias(f"q{i}"))
     return hit.groupBy(*keys).agg(*aggs)
 
 

@@ -264,21 +264,67 @@ def taps(tx: Column, ty: Column) -> Column:
     return F.filter(all4, lambda t: t["w"] > 0)
 
 
-def sample_forward(df: DataFrame, nxt: DataFrame, dx: str, dy: str, values: list[str]) -> DataFrame:
-    """Read the next frame's values at ``(x + dx, y + dy)``; NULL when any tap is missing.
+def sample_forward(df: DataFrame, nxt: DataFrame, dx: str, dy: str, values: list[str], tile: int = 64) -> DataFrame:
+    """Read the next frame's values at ``(x + dx, y + dy)``; NULL when a tap, or a value of one, is missing.
 
-    All values share one pass: taps are joined on (frame, y, x) and summed back per pixel.
+    Rasters are cut into tiles. A row goes to the tile of its upper left tap, once; the next
+    frame's pixels go to their tile, those on its upper and left edge also to the tiles
+    before, whose taps reach one pixel over. Tiles come through a task one after another,
+    and all reads of the tiles in a batch are one gather.
     """
-    p = df.withColumn("_t", taps(F.col("x") + F.col(dx), F.col("y") + F.col(dy)))
-    p = p.select(*PIXEL, F.struct(*df.columns).alias("_row"), F.size("_t").alias("_need"), F.explode_outer("_t").alias("_t"))
-    n = nxt.select(*RUN, (F.col("frame_index") - 1).alias("frame_index"), F.col("y").alias("_ty"), F.col("x").alias("_tx"),
-                   F.struct(*values).alias("_v"))
-    j = p.withColumns({"_ty": F.col("_t.y"), "_tx": F.col("_t.x")}).join(n, [*FRAME, "_ty", "_tx"], "left")
-    g = j.groupBy(*PIXEL).agg(
-        F.first("_row").alias("_row"), F.first("_need").alias("_need"), F.count("_v").alias("_got"),
-        *[F.sum(F.col("_t.w") * F.col(f"_v.{c}")).alias(f"_s_{c}") for c in values])
-    full = (F.col("_need") > 0) & (F.col("_got") == F.col("_need"))
-    return g.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns], *[F.when(full, F.col(f"_s_{c}")).alias(f"fwd_{c}") for c in values])
+    c = F.col
+    keys, own = [*FRAME, "_ky", "_kx"], df.columns
+    near = lambda e: F.when(F.abs(e) < 1e9, e)
+    tiles = lambda a: F.explode(F.array_distinct(F.array(F.floor(c(a) / tile).cast("int"), F.floor((c(a) - 1) / tile).cast("int")))).alias(f"_k{a}")
+    rows = df.select(*FRAME, F.struct(*own).alias("_row"), near(c("x") + c(dx)).cast("double").alias("_x"), near(c("y") + c(dy)).cast("double").alias("_y"), F.lit(1).alias("_kind"))
+    rows = rows.withColumns({f"_k{a}": F.coalesce(F.floor(c(f"_{a}") / tile).cast("int"), F.lit(0)) for a in "xy"})
+    n = nxt.select(*RUN, (c("frame_index") - 1).alias("frame_index"), c("x").cast("double").alias("_x"), c("y").cast("double").alias("_y"), F.lit(0).alias("_kind"), tiles("y"), "x", *[c(v).cast("double").alias(f"_v_{v}") for v in values])
+    n = n.select("*", tiles("x")).drop("x")
+    u = n.unionByName(rows, allowMissingColumns=True).repartition(*keys)
+    u = u.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy("_kind")) == 1)
+    u = u.sortWithinPartitions(*keys, "_kind").select("_first", "_kind", "_ky", "_kx", "_y", "_x", "_row", *[f"_v_{v}" for v in values])
+
+    def gathered(t):
+        import numpy as np
+        import pyarrow as pa
+
+        get = lambda name: t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        group, pixel = np.cumsum(get("_first")), get("_kind") == 0
+        y, x = get("_y").astype(float) - get("_ky") * float(tile), get("_x").astype(float) - get("_kx") * float(tile)
+        known = ~pixel & np.isfinite(x) & np.isfinite(y)
+        y0, x0 = np.floor(np.where(pixel | known, y, 0)).astype("int64"), np.floor(np.where(pixel | known, x, 0)).astype("int64")
+        code = (group * (tile + 2) + y0) * (tile + 2) + x0
+        have = np.flatnonzero(pixel)
+        have = have[np.argsort(code[have])]
+        layers = np.stack([get(f"_v_{v}").astype(float) for v in values])[:, have] if len(have) else np.full((len(values), 1), np.nan)
+        there = code[have] if len(have) else np.array([-1])
+        src = np.flatnonzero(~pixel)
+        fx, fy, on, at = (x - x0)[src], (y - y0)[src], known[src], code[src]
+        out = np.where(on, 0.0, np.nan) * np.ones((len(values), 1))
+        for step, w in ((0, (1 - fx) * (1 - fy)), (1, fx * (1 - fy)), (tile + 2, (1 - fx) * fy), (tile + 3, fx * fy)):
+            use = np.flatnonzero(on & (w > 0))
+            i = np.minimum(np.searchsorted(there, at[use] + step), len(there) - 1)
+            out[:, use] += w[use] * np.where(there[i] == at[use] + step, layers[:, i], np.nan)
+        row = t.column("_row").combine_chunks().take(pa.array(src))
+        return pa.RecordBatch.from_arrays([*row.flatten(), *(pa.array(o, pa.float64(), mask=np.isnan(o)) for o in out)], [*own, *(f"fwd_{v}" for v in values)])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = int(np.flatnonzero(t.column("_first").to_numpy())[-1])  # its tile may go on
+            if last:
+                yield gathered(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield gathered(held)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", `fwd_{v}` double" for v in values)
+    return u.mapInArrow(run, schema)
 
 
 def depth_residual(sampled: Column, predicted: Column) -> Column:

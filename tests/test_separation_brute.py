@@ -132,3 +132,31 @@ def test_separation(spark, causal):
         g = np.zeros((T, H, W))
         g[got.frame_index, got.y, got.x] = got[name]
         np.testing.assert_allclose(g, a, atol=1e-9, err_msg=name)
+
+
+@pytest.mark.parametrize("tile", [1, 4, 64])
+def test_reads_across_tiles(spark, tile):
+    """Reads at any distance over the borders of tiles, of holes, of nothing and from nowhere; other columns come through as they were."""
+    from eventloom.operators import pixels as px
+
+    r = np.random.default_rng(6)
+    y, x = (a.ravel() for a in np.mgrid[:H, :W])
+    img = r.normal(0, 1, (2, 2, H, W))  # run, value
+    hole = r.random((2, H, W)) < 0.1
+    pos = [np.where(r.random((2, H * W)) < 0.3, np.rint(d), d) for d in (r.normal(0, 4, (2, H * W)), r.normal(0, 4, (2, H * W)))]
+    rows, nxt = [], []
+    for k in range(2):
+        rows += [(k, "c", 4, int(b), int(a), float(u) if i % 17 else None, float(v), 2**60 + i, None if i % 3 else f"s{i}") for i, (b, a, u, v) in enumerate(zip(y, x, pos[0][k], pos[1][k]))]
+        nxt += [(k, "c", 5, int(b), int(a), float(img[k, 0, b, a]), float(img[k, 1, b, a])) for b, a in zip(y, x) if not hole[k, b, a]]
+    d = spark.createDataFrame(rows, "episode long, camera string, frame_index long, y int, x int, dx double, dy double, big long, text string").repartition(3)
+    n = spark.createDataFrame(nxt, "episode long, camera string, frame_index long, y int, x int, p double, q double")
+    got = px.sample_forward(d, n, "dx", "dy", ["p", "q"], tile=tile)
+    assert got.columns == [*d.columns, "fwd_p", "fwd_q"]
+    out = {(g.episode, g.y, g.x): g for g in got.collect()}
+    assert len(out) == len(rows)
+    for row in rows:
+        g = out[row[0], row[3], row[4]]
+        assert (g.dx, g.dy, g.big, g.text) == row[5:]
+        for i, v in enumerate((g.fwd_p, g.fwd_q)):
+            want = np.nan if row[5] is None else bilinear(np.where(hole[row[0]], np.nan, img[row[0], i]), np.array([[row[4] + row[5]]]), np.array([[row[3] + row[6]]]))[0, 0]
+            assert (v is None and np.isnan(want)) or v == pytest.approx(want, abs=1e-12)

@@ -252,8 +252,8 @@ def residual_mask(pixels: DataFrame, cams: DataFrame, gain: float | Column, widt
 
 def moving_recall(maps: DataFrame, speeds: DataFrame, keys: list[str], q: str, thr: float, speed: float = 0.02) -> DataFrame:
     """Share of moving-target pixels found, last frame of each run excluded."""
-    d = maps.withColumn("_last", F.max("frame_index").over(Window.partitionBy(*RUN, "y", "x")) == F.col("frame_index"))
-    d = d.where(~F.col("_last") & (F.col("seg") == 2)).join(speeds, FRAME).where(F.col("speed") > speed)
+    last = maps.groupBy(*RUN).agg(F.max("frame_index").alias("_last"))
+    d = maps.where(F.col("seg") == 2).join(last, RUN).where(F.col("frame_index") < F.col("_last")).drop("_last").join(speeds, FRAME).where(F.col("speed") > speed)
     n = F.count_if("valid")
     return d.groupBy(*keys).agg(n.alias("moving_pixels"), ev.ratio(F.count_if(F.col("valid") & (F.col(q) >= thr)), n).alias("recall"))
 

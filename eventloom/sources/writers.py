@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom import schemas
 from eventloom.functions import text as tx
+from eventloom.session import cut_lineage
 
 
 def write_events(df: DataFrame, path: str, attributes: DataFrame | None = None, rows_per_file: int = 8_000_000, partitions: int | None = None) -> None:
@@ -38,7 +39,11 @@ def export_report(df: DataFrame, keys: list[str], width: int, height: int) -> Da
 
 
 def checked_export(df: DataFrame, path: str, keys: list[str], width: int, height: int, series: DataFrame | None = None) -> DataFrame:
-    """Write an export and compare the re-read counts per stream; refuses bad streams, and those of ``series`` without events."""
+    """Write an export and compare the re-read counts per stream; refuses bad streams, and those of ``series`` without events.
+
+    ``df`` is evaluated once, into the shared folder; the checks and the export read that.
+    """
+    df = cut_lineage(df, "export")
     empty = df.limit(1) if series is None else series.select(*keys).join(df.select(*keys), keys, "left_anti")
     if empty.isEmpty() == (series is None):
         raise ValueError(f"empty streams: {[] if series is None else empty.limit(5).collect()}")
@@ -146,17 +151,25 @@ def materialize(spark: SparkSession, inputs: DataFrame, build, path: str, keys:
     """Recompute only the parts whose inputs or code changed, and return the whole table.
 
     ``build`` maps stale input rows to output rows that carry ``keys`` and ``fingerprint``.
-    Parts are folders; only rewritten folders are replaced.
+    Parts are folders; only rewritten folders are replaced, and those of inputs that are
+    gone are removed. Keys must not be NULL.
     """
-    todo = inputs
+    todo, gone = inputs, []
     try:
-        stored = spark.read.parquet(path).select(*keys, "fingerprint").distinct()
-        todo = stale(inputs, stored, keys)
+        table = spark.read.parquet(path)
+        todo = stale(inputs, table.select(*keys, "fingerprint").distinct(), keys)
+        same = [F.col(k).cast(inputs.schema[k].dataType).alias(k) for k in keys]
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")
+        gone = table.select(*same, folder).distinct().join(inputs.select(*keys), keys, "left_anti").select("folder").distinct()
+        gone = [r.folder for r in gone.toLocalIterator()]  # names of folders to drop
     except AnalysisException as e:  # first run: nothing is stored
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     out = build(todo)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    for name in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return spark.read.parquet(path)
 
 
@@ -214,6 +227,7 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", order: list[str] |
         return
     if fmt != "markdown":
         raise ValueError(f"unknown report format {fmt}")
+    df = cut_lineage(df, "report")  # computed by as many tasks as it takes; one task only puts its rows in order
     head = df.sparkSession.createDataFrame(list(enumerate(markdown_head(df))), "_i int, value string")
     body = df.select(F.lit(2).alias("_i"), markdown_row(df).alias("value"), *order)
     # a report has one row per metric and episode, so it fits one file

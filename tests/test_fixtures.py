@@ -392,3 +392,29 @@ def test_reports(spark, tmp_path):
     assert lines == ["| name | value | n |", "| --- | ---: | ---: |", "| a | 1.5000 | 1,200 |", "| b | n/a | 3 |"]
     writers.write_report(d, str(tmp_path / "js"), "json", ["name"])
     assert spark.read.text(str(tmp_path / "js")).orderBy("value").first().value == '{"name":"a","value":1.5,"n":1200}'
+
+
+def test_parts_of_vanished_inputs_go(spark, tmp_path):
+    """Odd names and two keys: only the folders of inputs that are gone are removed."""
+    rows = [("a b/ü=1", 1, 5), ("a b/ü=1", 2, 6), ("c%d", 1, 7)]
+    t = writers.with_fingerprint(spark.createDataFrame(rows, "name string, part int, n long"), {"n": F.col("n")}, "v1")
+    path = str(tmp_path / "t")
+    writers.materialize(spark, t, lambda x: x, path, ["name", "part"])
+    for keep in ("part = 1 or n = 6", "part = 1", "n = 7"):
+        out = writers.materialize(spark, t.where(keep), lambda x: x.withColumn("n", F.lit(-1).cast("long")), path, ["name", "part"])
+        want = sorted(tuple(r) for r in t.where(keep).select("name", "part", "n").collect())
+        assert sorted(tuple(r) for r in out.select("name", "part", "n").collect()) == want
+        assert sorted(tuple(r) for r in spark.read.parquet(path).select("name", "part", "n").collect()) == want
+
+
+def test_checked_export_evaluates_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    e = spark.range(100).selectExpr("id % 2 AS episode", "'c' AS camera", "id AS event_id", "id AS t_us", "1 AS x", "1 AS y", "cast(1 AS tinyint) AS p").mapInArrow(count, "episode long, camera string, event_id long, t_us long, x int, y int, p tinyint")
+    assert writers.checked_export(e, str(tmp_path / "x"), ["episode", "camera"], 10, 10).count() == 0
+    assert seen.value == 100

@@ -100,10 +100,10 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` named in ``kept(_id, _sha)``, one each."""
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
+    """The rows of ``docs`` named in ``kept(_id, _sha)``, one each; of several the least row, by its JSON if it holds maps."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("_key"))
+    found = keyed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return found.select(*docs.columns)
-    others = [c for c in docs.columns if c != "doc_id"]
-    return found.groupBy("doc_id", "_key").agg(F.min(F.struct(*others)).alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+        return found.select("_row.*")
+    least = F.min_by("_row", F.to_json("_row")) if "map<" in docs.schema.simpleString() else F.min("_row")
+    return found.groupBy("_doc", "_key").agg(least.alias("_row")).select("_row.*")

@@ -152,6 +152,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = mix(docs).groupBy(*keys).agg((F.sum("taken") / F.count("*")).alias("_taken")).withColumnsRenamed({c: f"_{c}" for c in keys})
     times = F.round(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1))).cast("int")
     taken = pin(taken.select("_doc_id", "_source", "_size", times.alias("_times")).filter("_times > 0"), "mix-taken")
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(taken, same).withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), size.alias("_words"))
+    same = F.col("_doc").eqNullSafe(F.col("_doc_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return sized.join(taken, same).withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")

@@ -12,6 +12,7 @@ round. The library is used only to read the vocabulary.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
@@ -234,10 +235,11 @@ class Merges:
 
 def _utf8(run: bytes) -> str:
     """Bytes as text; a replacement character for each byte that is in no valid character."""
-    try:
-        return run.decode()
-    except UnicodeDecodeError as e:
-        return run[: e.start].decode() + _REPLACEMENT + _utf8(run[e.start + 1 :])
+    return run.decode("utf-8", _EACH)
+
+
+_EACH = "eventloom.each-byte"
+codecs.register_error(_EACH, lambda e: (_REPLACEMENT, e.start + 1))
 
 
 def words_of(text: str) -> list[str]:

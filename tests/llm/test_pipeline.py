@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import Row
+
 import corpus_pipeline
 from eventloom.llm import mixing, queries
 
@@ -55,16 +57,42 @@ def test_registered():
 
     found = __spark_entry__.queries()
     assert "pipeline" in found and set(queries.QUERIES) <= set(found) and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_oracle(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql("create view documents as from '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as from '/root/testdata/sf0.001/{table}.parquet'")
     for name, sql in queries.SQL.items():
-        mine = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
-        theirs = con.sql(sql).df()[list(mine.columns)]
-        key = list(mine.columns)
-        assert mine.sort_values(key).values.tolist() == theirs.sort_values(key).values.tolist()
+        mine = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        theirs = con.sql(sql)
+        assert sorted(mine.columns) == sorted(theirs.columns)
+        assert sorted(map(repr, mine.collect())) == sorted(repr(Row(*mine.columns)(*[r[theirs.columns.index(c)] for c in mine.columns])) for r in theirs.fetchall())
+
+
+def test_columns_named_like_the_stages_own(spark):
+    """Columns that clash with those a stage works with, and a map, come through untouched."""
+    from eventloom.llm import exact_dedup, mixing
+
+    own = ["_key", "_id", "_sha", "_row", "_doc", "_words", "_size", "_times", "_again", "_taken", "_source", "_doc_id", "a.b"]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in own) + ", tags map<string,int>"
+    row = lambda i, text, n=0: (i, text, "ab"[i % 2], *(n + k for k in range(len(own))), {"t": n})
+    docs = spark.createDataFrame([row(i, f"words of text {i}", i) for i in range(12)] + [row(20, "words of text 1", 7), row(20, "words of text 1", 3), row(3, "another text", 4)], kind).repartition(3)
+    given = {tuple(map(str, r)) for r in docs.collect()}
+    kept = exact_dedup.distinct_texts(docs)
+    assert kept.columns == docs.columns and {tuple(map(str, r)) for r in kept.collect()} <= given
+    assert kept.count() == 13 and kept.where("doc_id = 20").first()["_key"] == 3
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    found = [tuple(map(str, r)) for r in mixed.collect()]
+    assert found and set(found) <= given and max(map(found.count, found)) <= 4
+
+
+def test_many_invalid_bytes_decode(model):
+    from eventloom.llm import pieces
+
+    assert pieces._utf8(b"\xff" * 3000) == "\ufffd" * 3000
+    assert pieces._utf8(b"a\xe3\x81b\xe3\x81\x82\xff") == "a\ufffd\ufffdb\u3042\ufffd"

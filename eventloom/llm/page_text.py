@@ -26,7 +26,7 @@ from eventloom.llm.common import batches, pin
 SHARE = 2
 _BATCH = 500
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -172,6 +172,8 @@ def _marks(attributes: str) -> tuple[list[str], str]:
     names: list[str] = []
     classes: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
+        if key.lower() not in ("class", "id", "role"):
+            continue
         own = "".join(values).split()
         names += [x for x in own if not LAYOUT.match(x)]
         if key.lower() == "class":

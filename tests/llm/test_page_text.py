@@ -79,6 +79,7 @@ def test_large_tables_of_paths_meet_by_host(spark):
     ("<p>one<script>x = '<p>two</p>'</script> three<style>p{}</style><textarea>no", "one three"),
     ("<p>cut <a title='x>y' href=", "cut"),
     ("</p></b></div>text<p>more</i>", "text more"),
+    ("<div><p data-id=nav title='id=menu'>a <a href='/x?id=search&class=ad'>b</a> c <i DATA-ROLE='banner' hidden>d</i><b ID = nav>no</b>", "a b c d"),
     ("<nav>only a menu</nav>", ""), ("   \n ", ""), ("<", "<"), ("<!-- never closed <p>x", ""),
     ("<div><table><tr><td>a<td>b<tr><td>c</table></div><ul><li>d<li>e<ul><li>f</ul></ul>", None),
 ])

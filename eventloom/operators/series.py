@@ -317,7 +317,7 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: str, b: str
 
     Keys, order columns, a and b must not be NULL; other columns are joined back.
     """
-    names = [*keys, *order]
+    names, chunk = [*keys, *order], [c for c in df.columns if c == chunked.CHUNK]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def fold(slopes, shifts, y):
@@ -345,16 +345,16 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: str, b: str
         return {**{n: blk[n] for n in names}, out: np.array(fold(blk[a], blk[b], float(blk["_entry"][0])))}
 
     got = chunked.chunk_scan(
-        df.select(*names, a, b), keys, order, width, summary=summary, summary_schema="_pa double, _pb double", entries=entries, entry_schema="_entry double",
+        df.select(*names, *chunk, a, b), keys, order, width, summary=summary, summary_schema="_pa double, _pb double", entries=entries, entry_schema="_entry double",
         replay=replay, out_schema=", ".join(f"`{n}` {types[n]}" for n in names) + f", {out} double")
-    rest = [c for c in df.columns if c not in (a, b)]
+    rest = [c for c in df.columns if c not in (a, b, *chunk)]
     return got if set(rest) <= set(names) else df.select(*rest).join(got, names)
 
 
 def lowpass(df: DataFrame, keys: list[str], order: list[str], value: str, tau: float, width, rate: Column | None = None, out: str = "smooth") -> DataFrame:
     """Smoothing on irregular times: ``y += min(1, rate * dt / tau) * (x - y)``; the first sample seeds y."""
     c = F.col
-    d = chunked.prev_value(df, keys, order, {"_pt": c(order[0])}, width)
+    d = chunked.prev_value(chunked.with_chunk(df, keys, order, width), keys, order, {"_pt": c(order[0])}, width)
     r = F.lit(1.0) if rate is None else rate
     eps = F.when(c("_pt").isNull(), F.lit(1.0)).otherwise(F.least(r * F.greatest(c(order[0]) - c("_pt"), F.lit(0)) / F.lit(float(tau)), F.lit(1.0)))
     d = d.withColumn("_e", eps).withColumns({"_a": 1 - c("_e"), "_b": c("_e") * c(value)}).drop("_pt", "_e")

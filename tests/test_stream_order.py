@@ -172,3 +172,33 @@ def test_steps_of_one_row_at_a_time():
             out, state = make().advance((0,), pdf.iloc[cut].reset_index(drop=True), state)
             parts.append(out)
         pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole.reset_index(drop=True), check_dtype=False, atol=1e-9)
+
+
+KINDS = {
+    "crossings": (lambda **span: stateful.CrossingEncoder(["k"], ["t", "id"], "v", 0.6, reset="flag", **span), "k long, t long, id long, p int, ordinal int, t_cross double"),
+    "two_sided": (lambda **span: stateful.TwoSidedEncoder(["k"], ["t", "id"], "v", "up", "down", reset="flag", **span), "k long, t long, id long, p int, ordinal int, t_cross double"),
+    "gap": (lambda **span: stateful.MinimumGap(["t", "id"], 60, ["k", "t", "id"], **span), "k long, t long, id long"),
+    "lowpass": (lambda **span: stateful.LowPass(["t", "id"], "v", 30.0, ["k", "id"], **span), "k long, id long, smooth double"),
+}
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_many_keys_share_groups(spark, tmp_path, kind):
+    """Three hundred keys, one of them null and one beyond 2^53, in two groups: what each key gives alone, in few state entries."""
+    make, schema = KINDS[kind]
+    pdf = series(4000, 300, 8).assign(t=lambda d: d.t + 1)  # the watermark starts at 0
+    pdf["k"] = np.where(pdf.k == 7, 2**60 + 1, np.where(pdf.k == 8, 2**60 + 2, pdf.k))
+    pdf = pdf.assign(up=0.5 + pdf.k % 3 / 10, down=0.9 - pdf.k % 4 / 10)
+    none = pdf.k == 9
+    pdf["k"] = pdf.k.astype("Int64").mask(none)
+    part = np.minimum((pdf.t + np.random.default_rng(5).integers(0, 600, len(pdf))) // 2400, 3)
+    end = pdf.iloc[:1].assign(k=-1, t=10**7, id=-1)
+    path = files(tmp_path, pd.concat([pdf, end], ignore_index=True), [*(np.flatnonzero(part == i) for i in (1, 0, 3, 2)), [len(pdf)]])
+    s = spark.readStream.schema(SCHEMA + ", up double, down double").option("maxFilesPerTrigger", 1).parquet(path)
+    got, progress = run(stateful.apply(s, ["k"], make(span=SPAN * 5), schema, event_time=F.timestamp_millis("t"), delay="6 seconds", groups=2), str(tmp_path / "out"))
+    want = pd.concat([make().advance((None if pd.isna(k) else k,), g.reset_index(drop=True), None)[0] for k, g in pdf.groupby("k", dropna=False)])
+    cols = [c.split()[0] for c in schema.split(", ")]
+    number = lambda x: -5 if x is None or x is pd.NA or x != x else int(x) if float(x).is_integer() else round(float(x), 6)
+    assert sorted(tuple(map(number, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(number, r)) for r in want[cols].astype(object).itertuples(index=False))
+    # ten stretches of up to four pieces for each of two groups and the null key's, with counts and timers; not 300 keys
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress) <= 200

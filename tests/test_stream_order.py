@@ -202,3 +202,25 @@ def test_many_keys_share_groups(spark, tmp_path, kind):
     assert sorted(tuple(map(number, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(number, r)) for r in want[cols].astype(object).itertuples(index=False))
     # ten stretches of up to four pieces for each of two groups and the null key's, with counts and timers; not 300 keys
     assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress) <= 200
+
+
+@pytest.mark.parametrize("step_ms", [1000, None])
+def test_merges_share_groups(spark, tmp_path, step_ms):
+    """Chunks of 200 keys, one null, in two groups: each step's newest chunk, one entry and timer for a group's step."""
+    r = np.random.default_rng(6)
+    n = 6000
+    pdf = pd.DataFrame({"k": pd.array(r.integers(0, 200, n), "Int64"), "chunk": r.integers(0, 12, n), "step": r.integers(0, 20, n)}).assign(v=lambda d: d.chunk / 2, t=lambda d: 1000 * d.step + 1)
+    pdf["k"] = pdf.k.mask(pdf.k == 3)
+    end = pd.DataFrame([(-1, 10**6, 10**6, 0.0, 10**9)], columns=list(pdf)).astype({"k": "Int64"})
+    path = files(tmp_path, pd.concat([pdf, end], ignore_index=True), [*np.array_split(r.permutation(n), 3), [n]])
+    s = spark.readStream.schema("k long, chunk long, step long, v double, t long").option("maxFilesPerTrigger", 1).parquet(path)
+    timed = dict(event_time=F.timestamp_millis("t"), delay="30 seconds") if step_ms else {}
+    got, progress = run(stateful.apply(s, ["k"], stateful.ChunkMerge(["k"], "step", "chunk", "v", step_ms), "k long, step long, from_chunk long, v double", groups=2, **timed), str(tmp_path / "out"))
+    want = pdf[pdf.step >= pdf.chunk].groupby(["k", "step"], dropna=False).chunk.max()
+    have = [(-5 if x.k is None else x.k, x.step, x.from_chunk, x.v) for x in got.where("step < 1000").collect()]
+    newest = sorted((-5 if pd.isna(k) else int(k), int(s), int(c), c / 2) for (k, s), c in want.items())
+    if step_ms:
+        assert sorted(have) == newest
+        assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress) <= 3 * 21 * 2 + 3
+    else:  # every change is handed out, the last one last
+        assert sorted({x[:2]: x for x in sorted(have, key=lambda x: x[2])}.values()) == newest

@@ -139,6 +139,21 @@ def test_separation_of_scattered_pixels(spark, tmp_path):
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3 * 8
 
 
+@pytest.mark.parametrize("steps", [1, 2, 64])
+def test_separation_in_blocks_of_steps(spark, tmp_path, steps):
+    """Steps that share a key, their pixels mixed over four files: the batch form, and few state entries."""
+    p, cams = pixels(spark)
+    path = files(tmp_path, p, np.array_split(np.random.default_rng(2).permutation(len(p)), 4))
+    s = spark.readStream.schema(PIXELS).option("maxFilesPerTrigger", 1).parquet(path)
+    got, progress = run(raster.stream_separate(s, cams, scene.GAIN, scene.W, scene.H, steps=steps), str(tmp_path / "out"))
+    want = sep.separate(spark.createDataFrame(p, PIXELS), cams, scene.GAIN, scene.W, scene.H, causal=True)
+    by = ["frame_index", "y", "x"]
+    a, b = (x.toPandas().sort_values(by, ignore_index=True) for x in (got, want.select(*got.columns)))
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1e-9)
+    blocks = -(-(scene.T + 1) // steps)
+    assert max(q["stateOperators"][0]["numRowsTotal"] for q in progress) <= blocks * 5
+
+
 def test_a_missing_frame_ends_the_wait(spark, tmp_path):
     """Frames 0, 1, 3, 4: step 3 is handed out without the one before; steps 1 and 2 never."""
     p, cams = pixels(spark)

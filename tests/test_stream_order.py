@@ -211,10 +211,10 @@ def test_many_keys_share_groups(spark, tmp_path, kind):
     path = files(tmp_path, pd.concat([pdf, end], ignore_index=True), [*(np.flatnonzero(part == i) for i in (1, 0, 3, 2)), [len(pdf)]])
     s = spark.readStream.schema(SCHEMA + ", up double, down double").option("maxFilesPerTrigger", 1).parquet(path)
     got, progress = run(stateful.apply(s, ["k"], make(span=SPAN * 5), schema, event_time=F.timestamp_millis("t"), delay="6 seconds", groups=2), str(tmp_path / "out"))
-    want = pd.concat([make().advance((None if pd.isna(k) else k,), g.reset_index(drop=True), None)[0] for k, g in pdf.groupby("k", dropna=False)])
+    want = pd.concat([make().advance((None if pd.isna(k) else k,), g.reset_index(drop=True), None)[0].astype(object) for k, g in pdf.groupby("k", dropna=False)])
     cols = [c.split()[0] for c in schema.split(", ")]
     number = lambda x: -5 if x is None or x is pd.NA or x != x else int(x) if float(x).is_integer() else round(float(x), 6)
-    assert sorted(tuple(map(number, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(number, r)) for r in want[cols].astype(object).itertuples(index=False))
+    assert sorted(tuple(map(number, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(number, r)) for r in want[cols].itertuples(index=False))
     # ten stretches of up to four pieces for each of two groups and the null key's, with counts and timers; not 300 keys
     assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress) <= 200
 

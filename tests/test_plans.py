@@ -49,6 +49,23 @@ def test_interpolation_moves_frames_once(spark, tmp_path):
     assert p.count("Exchange") == 1 and "Join" not in p
 
 
+def test_interpolation_holds_a_batch_of_frames(spark, tmp_path):
+    """No table of all cells of a partition: one sort by frame; frames that end in other batches give the same cells."""
+    cols = ["r", "g", "b", "mvx", "mvy"]
+    pairs = spark.range(10 * 64).selectExpr("0L AS episode", "'c' AS camera", "id div 64 AS frame_index", "cast(id div 8 % 8 as int) AS y", "cast(id % 8 as int) AS x", *[f"(id * {7 + i} % 23) / 5D - 2 AS {e}{c}" for e in ("", "next_") for i, c in enumerate(cols)])
+    pairs.write.parquet(str(tmp_path / "p"))
+    d = px.interpolate_frames(spark.read.parquet(str(tmp_path / "p")), 3, 8, 8)
+    p = plan(d)
+    assert "Aggregate" not in p and "Generate" not in p and len(re.findall(r"(?<!\w)Sort \[", p)) <= 2
+    found = []
+    for n in ("10000", "50"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        found.append(sorted(d.collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and len(found[0]) == 2 * 10 * 64
+
+
 def test_resamples_are_drawn_without_a_lookup(spark):
     d = spark.createDataFrame([("m", 1, 0.5)], "metric string, episode long, delta double")
     p = plan(st.bootstrap_ci(d, ["metric"], ["episode"], 100, 1))

@@ -67,28 +67,40 @@ _CHUNK = 1 << 17
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bytes as they are, the rest in unary with a directory of ranks."""
+    """A non-decreasing sequence: low half bytes as they are, the rest in unary with a directory of ranks.
+
+    A few places are selected through the directory; for as many as the sequence has words of
+    unary, all places of a kind of bit are listed once.
+    """
 
     def __init__(self, blob: memoryview | bytes):
         n, low, words = np.frombuffer(blob, np.int64, 3)
-        self.n, self.bytes = int(n), int(low)
+        self.n, self.bytes, self.half = int(n), int(low) // 2, int(low) % 2
+        self.bits = np.uint64(4 * low)
         self.words = np.frombuffer(blob, np.uint64, words, 24)
         self.ones = np.frombuffer(blob, np.int64, words // 8 + 1, 24 + 8 * words)
-        self.low = np.frombuffer(blob, np.uint8, self.n * self.bytes, 24 + 8 * words + 8 * (words // 8 + 1)).reshape(self.n, self.bytes)
+        at = 24 + 8 * words + 8 * (words // 8 + 1)
+        self.low = np.frombuffer(blob, np.uint8, self.n * self.bytes, at).reshape(self.n, self.bytes)
+        self.halves = np.frombuffer(blob, np.uint8, (self.n + 1) // 2 * self.half, at + self.n * self.bytes)
+        self.listed: dict[bool, np.ndarray] = {}
         self.zeros = np.arange(len(self.ones)) * 512 - self.ones
 
     @staticmethod
     def build(values: np.ndarray, top: int) -> bytes:
         """The sequence of uint64 ``values``, none above ``top``; 8-byte aligned."""
         n = len(values)
-        low = min(range(0, 8), key=lambda b: n * 8 * b + min(top >> (8 * b), 1 << 62))
-        high = (values >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)
-        size = n + (top >> (8 * low)) + 2
+        low = min(range(0, 16), key=lambda b: n * 4 * b + min(top >> (4 * b), 1 << 62))
+        high = (values >> np.uint64(4 * low)).astype(np.int64) + np.arange(n)
+        size = n + (top >> (4 * low)) + 2
         bits = np.zeros(-(-size // 512) * 512, np.uint8)
         bits[high] = 1
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.append(0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(axis=1, dtype=np.int64)))
-        rest = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8)[:, :low].tobytes()
+        planes = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8)
+        rest = planes[:, : low // 2].tobytes()
+        if low % 2:
+            half = np.append(planes[:, low // 2] & 15, np.zeros(n % 2, np.uint8)).reshape(-1, 2)
+            rest += (half[:, 0] | (half[:, 1] << 4)).astype(np.uint8).tobytes()
         out = np.array([n, low, len(words)], np.int64).tobytes() + words.tobytes() + ones.tobytes() + rest
         return out + bytes(-len(out) % 8)
 
@@ -102,13 +114,20 @@ class EliasFano:
     def _lows(self, i: np.ndarray) -> np.ndarray:
         wide = np.zeros((len(i), 8), np.uint8)
         wide[:, : self.bytes] = self.low[i]
+        if self.half:
+            wide[:, self.bytes] = (self.halves[i >> 1] >> ((i & 1) << 2).astype(np.uint8)) & 15
         return wide.view(np.uint64).ravel()
 
     def _with_low(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return (high << np.uint64(8 * self.bytes)) | self._lows(i) if self.bytes else high
+        return (high << self.bits) | self._lows(i) if self.bits else high
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Place of the k-th (from 0) set or unset bit."""
+        if one in self.listed or len(k) >= len(self.words):
+            if one not in self.listed:
+                bits = np.unpackbits(self.words.view(np.uint8), bitorder="little").view(bool)
+                self.listed[one] = np.flatnonzero(bits if one else ~bits)
+            return self.listed[one][k]
         out = np.empty(len(k), np.int64)
         ranks = self.ones if one else self.zeros
         for s in range(0, len(k), _CHUNK):
@@ -126,13 +145,13 @@ class EliasFano:
         """The place of each ``x`` between ``first`` and ``last``, or -1: the successor of x, if it is x."""
         if not self.n:
             return np.full(len(x), -1)
-        high = (x >> np.uint64(8 * self.bytes)).astype(np.int64)
+        high = (x >> self.bits).astype(np.int64)
         known = high <= int(self.zeros[-1]) - 1
         h = np.where(known, high, 0)
         a = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
         b = self._select(h, False) - h
         a, b = np.maximum(a, first), np.minimum(b, self.n if last is None else last)
-        low = x & np.uint64((1 << (8 * self.bytes)) - 1)
+        low = x & ((np.uint64(1) << self.bits) - np.uint64(1))
         end = b.copy()
         while (open_ := np.flatnonzero(a < b)).size:
             mid = (a[open_] + b[open_]) // 2

@@ -334,3 +334,22 @@ def test_tree_skips_nodes(monkeypatch):
         scores = vectors @ vectors[q]
         assert got == [(int(s), int(i)) for s, i in sorted(((-scores[i], i) for i in range(4000) if i != q))[:5] for s in [-s]]
         assert sum(seen) < 2000
+
+
+def test_elias_fano_selects_in_bulk_and_keeps_to_its_bits():
+    """Many places at once are listed once and are those of the directory; lows take half bytes."""
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 9), (1, 1 << 64), (5001, 1 << 20), (55_000, (1 << 64) // 22), (3000, 4000), (4096, 1 << 51)):
+        x = np.sort(rng.integers(0, top - 1, n, np.uint64))
+        blob = ngrams.EliasFano.build(x, top)
+        few, many = ngrams.EliasFano(blob), ngrams.EliasFano(blob)
+        assert (many.values() == x).all() and (many.at(np.arange(n)) == x).all()
+        if n < 2:
+            continue
+        ask = np.concatenate([x, x + np.uint64(1), rng.integers(0, top - 1, 500, np.uint64)])
+        part = np.arange(0, len(ask), 997)
+        found = many.find(ask)
+        assert many.listed and ((found >= 0) == np.isin(ask, x)).all() and (x[found[found >= 0]] == ask[found >= 0]).all()
+        assert (few.find(ask[part]) == found[part]).all() and len(few.listed) == (len(part) >= len(few.words))
+        # its entropy, one bit of unary each way, up to half a byte of rounding, and a word of ranks in 512 bits
+        assert len(blob) * 8 <= n * (max(0, np.log2(top / n)) + 3.2) * 1.03 + 2000

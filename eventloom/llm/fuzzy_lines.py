@@ -14,7 +14,7 @@ that are linked already are not compared again, so a task returns a forest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.collocations import BITS_EACH, MAX_BITS, probe
 from eventloom.llm.common import batches, components, pin
 
 SHINGLE = 9
@@ -39,13 +40,24 @@ CAP = 16
 BLOCK = 200_000
 _BATCH = 1000
 _LINES = 100
+_CHARS = 1_000_000
+#: Multiplications that all pairs of a block may cost; beyond that pairs are found by rare shingles.
+_DENSE = 2_000_000_000
 #: What a line counts for in a block besides its shingles.
 _LINE = 100
+_LOW = 0xFFFFFFFF
+_ANY = 1 << 62
+#: Length of shingles, and the lengths of lines that are compared by them.
+Kind = tuple[int, int, int]
+_DEALT = (("part", pa.int32()), ("sure", pa.bool_()), ("key", pa.binary()), ("a", pa.binary()))
+_DEALT_DDL = "part int, sure boolean, key binary, a binary"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    x = line.lower()
+    # no other white space is printable
+    return x if x.isprintable() and "  " not in x and x[:1] != " " != x[-1:] else " ".join(x.split())
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -124,61 +136,105 @@ def band_keys(lines: list[str], n: int = SHINGLE, rows: int = ROWS, bands: int =
     return key.view(np.int64)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, h (xxhash64 of the text), line, id, text: the normalised lines that take part, with their content numbers."""
+def kinds_of(n: int = SHINGLE, short: int | None = None) -> tuple[Kind, ...]:
+    """How lines are compared: all by shingles of ``n``; with ``short`` those of up to ``SHORT_TO`` by shingles of that, those from ``LONG_FROM`` on by ``n``."""
+    return ((short, 0, SHORT_TO), (n, LONG_FROM, _ANY)) if short else ((n, 0, _ANY),)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+
+
+def line_table(docs: DataFrame, min_chars: int, kinds: tuple[Kind, ...]) -> DataFrame:
+    """One row per row of ``docs``, of doc_id, h (xxhash64 of the text), ids and lines: content and line numbers of the normalised
+    lines that take part; and, with a part, rows as of :func:`dealt` of the lines of ``min_chars`` or more."""
+    parts = _parts(docs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(d, h, i, content(x), x) for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for i, x in lines_of(t)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "h", "line", "id", "text"])
-
+            own, ids, at = {}, [], []
+            for t in b.column(2).to_pylist():
+                found = lines_of(t) if t else []
+                ids.append([content(x) for _, x in found])
+                at.append([i for i, _ in found])
+                own.update((k, x) for k, (_, x) in zip(ids[-1], found, strict=True) if len(x) >= min_chars)
+            none = [pa.nulls(len(b), t) for _, t in _DEALT]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), *none], names)
+            for r in dealt(own, kinds, parts):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(r), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))), *r.columns], names)
+
+    names = ["doc_id", "h", "ids", "lines", *(k for k, _ in _DEALT)]
     batches(docs.sparkSession, _BATCH)
-    return _keyed(docs).mapInArrow(run, "doc_id long, h long, line int, id long, text string")
+    return _keyed(docs).mapInArrow(run, f"doc_id long, h long, ids array<long>, lines array<int>, {_DEALT_DDL}")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
+def dealt(own: dict[int, str], kinds: tuple[Kind, ...], parts: int) -> Iterator[pa.RecordBatch]:
+    """The band keys of the lines ``own`` by content number: a row per part of the keys, with its keys (those of a part differ in 32 bits) and
+    the line of each, packed as 32-bit and 64-bit integers. A part holds keys of one kind: its number's remainder by the number of kinds. ``sure``: lines past
+    the first ``CAP`` + 1 of a key, which tell the others that its value is crowded; the rest needs no meeting.
+    """
+    for kind, (n, low, high) in enumerate(kinds):
+        every = np.sort(np.fromiter((i for i, x in own.items() if low <= len(x) <= high), np.int64))
+        for at in range(0, len(every), 10 * _BATCH):
+            ids = every[at : at + 10 * _BATCH]
+            keys = band_keys([own[i] for i in ids.tolist()], n).ravel().view(np.uint64)
+            keys = ((keys >> np.uint64(32)) % np.uint64(parts) * np.uint64(len(kinds)) + np.uint64(kind) << np.uint64(32) | keys & np.uint64(_LOW)).view(np.int64)
+            order = np.argsort(keys)
+            keys, of = keys[order], np.repeat(ids, BANDS)[order]
+            first, size = _runs(keys)
+            sure = np.arange(len(keys)) - np.repeat(first, size) > CAP
+            for crowded in (False, True):
+                k, a = keys[sure == crowded], of[sure == crowded]
+                start, _ = _runs(k >> 32)
+                ends = np.append(start, len(k)).astype(np.int32)
+                packed = (pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends * np.int32(x.itemsize)), pa.py_buffer(x)]) for x in ((k & _LOW).astype(np.uint32), a))
+                yield pa.RecordBatch.from_arrays([pa.array((k[start] >> 32).astype(np.int32)), pa.array(np.full(len(start), crowded)), *packed], [c for c, _ in _DEALT])
 
-def candidates(lines: DataFrame, n: int = SHINGLE) -> DataFrame:
+
+def candidates(lines: DataFrame, n: int = SHINGLE, short: int | None = None) -> DataFrame:
     """What is to be compared of ``lines(id, text)``: pairs (a, b) of content numbers, a < b, without a key;
-    and the lines a of each band value (key) of more than ``CAP`` different lines. Each row comes once.
+    and the lines a of each band value (key) of more than ``CAP`` different lines. Each row comes once for a kind of comparison.
     """
+    kinds, parts = kinds_of(n, short), _parts(lines)
 
-    def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            own = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            ids = np.sort(np.fromiter(own.keys(), np.int64, len(own)))
-            keys = band_keys([own[i] for i in ids.tolist()], n).ravel()
-            of = np.repeat(ids, BANDS)
-            order = np.argsort(keys, kind="stable")
-            keys, of = keys[order], of[order]
-            first, size = _runs(keys)
-            # CAP + 1 lines tell the others that the value is crowded; the rest needs no meeting
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of), pa.array(np.arange(len(keys)) - np.repeat(first, size) > CAP)], ["key", "a", "sure"])
+            yield from dealt(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), kinds, parts)
 
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.int64), np.empty(0, np.int64)
+    batches(lines.sparkSession, 10 * _BATCH)
+    return met(lines.select("id", "text").mapInArrow(run, _DEALT_DDL), len(kinds))
+
+
+def met(rows: DataFrame, kinds: int) -> DataFrame:
+    """key, a, b, kind: the candidates among rows of :func:`dealt`."""
+
+    def meet(part: pa.Table) -> pa.Table:
+        high = part.column("part")[0].as_py()
+        key, a = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("key", np.uint32), ("a", np.int64)))
+        order = np.argsort(key)
+        key, a = key[order], a[order]
+        # a key that comes once pairs nothing
+        same = key[1:] == key[:-1]
+        more = np.append(False, same) | np.append(same, False)
+        key, a = key[more], a[more]
+        order = np.lexsort((a, key))
+        key, a = key[order], a[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]))[: len(key)]
+        return _met(key[new].astype(np.int64) | high << 32, a[new], high % kinds)
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            key, a, sure = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            crowd = key[sure], a[sure]
-            key, a = np.append(held[0], key[~sure]), np.append(held[1], a[~sure])
-            new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]))[: len(key)]
-            key, a = key[new], a[new]
-            # the last run may go on: of a crowded one CAP + 1 lines are enough to know
-            last = _runs(key)[0][-1] if len(key) else 0
-            held = key[last:], a[last:]
-            if len(held[0]) > CAP:
-                last, held = len(key), tuple(x[-CAP - 1 :] for x in held)
-            yield _met(key[:last], a[:last], *crowd)
-        yield _met(*held, *(np.empty(0, np.int64) for _ in range(2)))
+            for high, k, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key, of = np.frombuffer(k, np.uint32).astype(np.int64) | high << 32, np.frombuffer(a, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.nulls(len(of), pa.int64()), pa.array(np.full(len(of), high % kinds, np.int32))], ["key", "a", "b", "kind"])
 
-    batches(lines.sparkSession, 10 * _BATCH)
-    rows = lines.select("id", "text").mapInArrow(bands, "key long, a long, sure boolean")
-    # the rest of crowded values is spread by its own numbers
-    dealt = rows.repartition(F.when(F.col("sure"), F.xxhash64("key", "a")).otherwise(F.col("key"))).sortWithinPartitions("key", "a")
-    return dealt.mapInArrow(meet, "key long, a long, b long").distinct()
+    near = rows.filter("NOT sure").select("part", "key", "a").groupBy("part").applyInArrow(meet, "key long, a long, b long, kind int")
+    crowd = rows.filter("sure").select("part", "key", "a").mapInArrow(spread, "key long, a long, b long, kind int")
+    return near.unionByName(crowd).distinct()
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +243,11 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(first, append=len(keys))
 
 
-def _met(key: np.ndarray, a: np.ndarray, crowd_key: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
-    """Pairs of the runs of up to ``CAP`` rows; the rows of longer ones, and those of ``crowd``, with their keys."""
+def _met(key: np.ndarray, a: np.ndarray, kind: int) -> pa.Table:
+    """Pairs of the runs of up to ``CAP`` rows; the rows of longer ones with their keys."""
     size = np.repeat(s := _runs(key)[1], s)
     many = size > CAP
-    crowd_key, crowd = np.append(crowd_key, key[many]), np.append(crowd, a[many])
+    crowd_key, crowd = key[many], a[many]
     key, a = key[~many], a[~many]
     x, y = [a[:0]], [a[:0]]
     for d in range(1, CAP):
@@ -202,7 +258,8 @@ def _met(key: np.ndarray, a: np.ndarray, crowd_key: np.ndarray, crowd: np.ndarra
         y.append(a[same + d])
     x, y = _once(np.concatenate(x), np.concatenate(y))
     none = np.append(np.ones(len(x), bool), np.zeros(len(crowd), bool))
-    return pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(x), np.int64), crowd_key), mask=none), pa.array(np.append(x, crowd)), pa.array(np.append(y, np.zeros(len(crowd), np.int64)), mask=~none)], ["key", "a", "b"])
+    columns = [pa.array(np.append(np.zeros(len(x), np.int64), crowd_key), mask=none), pa.array(np.append(x, crowd)), pa.array(np.append(y, np.zeros(len(crowd), np.int64)), mask=~none)]
+    return pa.table([*columns, pa.array(np.full(len(none), kind, np.int32))], ["key", "a", "b", "kind"])
 
 
 def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +279,8 @@ def forest(lines: list[str], block: np.ndarray, n: int = SHINGLE, threshold: flo
     """
     h, line = _hashed(lines, n)
     _, token, often = np.unique(h, return_inverse=True, return_counts=True)
+    if len(lines) ** 2 * (shared := np.count_nonzero(often > 1)) <= _DENSE and len(lines) * shared <= BLOCK * _LINE:
+        return _all_pairs(line, token, often > 1, block, threshold)
     rank = np.empty(len(often), np.int64)
     rank[np.argsort(often, kind="stable")] = np.arange(len(often))
     flat = np.unique(line * len(often) + rank[token])
@@ -254,67 +313,142 @@ def forest(lines: list[str], block: np.ndarray, n: int = SHINGLE, threshold: flo
     return a, b
 
 
-def _crowded(crowd: DataFrame, texts: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-    """Links (a, b) that connect the lines ``crowd(key, id)`` of each key, by pairs of blocks of its lines."""
+def _all_pairs(line: np.ndarray, token: np.ndarray, shared: np.ndarray, block: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """:func:`forest` from the numbers of shingles that all pairs have in common; tokens that are not ``shared`` are in one line only."""
+    flat = np.sort(line * len(shared) + token)
+    flat = flat[np.append(True, flat[1:] != flat[:-1])[: len(flat)]]
+    line, token = np.divmod(flat, len(shared))
+    size = np.bincount(line, minlength=len(block))
+    place, on = np.cumsum(shared) - 1, shared[token]
+    has = np.zeros((len(block), np.count_nonzero(shared)), np.float32)
+    has[line[on], place[token[on]]] = 1
+    common = (has @ has.T).astype(np.int64)
+    near = common >= threshold * (size[:, None] + size - common)
+    if len(block) and block.min() != block.max():
+        near &= block[:, None] != block
+    near[np.arange(len(block)), np.arange(len(block))] = False
+    new, a, b = near.any(axis=1), [], []
+    for i in np.flatnonzero(new).tolist():
+        reached = [i] if new[i] else []
+        new[i] = False
+        for x in reached:
+            found = np.flatnonzero(near[x] & new)
+            new[found] = False
+            a += [x] * len(found)
+            b += (found := found.tolist())
+            reached += found
+    return a, b
+
+
+def _crowded(crowd: DataFrame, texts: DataFrame, kinds: tuple[Kind, ...], threshold: float, block: int) -> DataFrame:
+    """Links (a, b) that connect the lines ``crowd(key, id, kind)`` of each key, by pairs of blocks of its lines."""
 
     def compare(cell: pa.Table) -> pa.Table:
-        ids = cell.column("id").to_numpy()
+        ids, n = cell.column("id").to_numpy(), kinds[cell.column("kind")[0].as_py()][0]
         a, b = forest(cell.column("line").to_pylist(), cell.column("block").to_numpy(), n, threshold)
         return pa.table(_once(ids[a], ids[b]) if a else (np.empty(0, np.int64),) * 2, ["a", "b"])
 
-    sizes = crowd.join(texts.select("id", "n"), "id").groupBy("key").agg(F.ceil(F.sum(F.col("n") + _LINE) / block).alias("blocks"))
+    sizes = crowd.join(texts.select("id", "kind", "n"), ["id", "kind"]).groupBy("key").agg(F.ceil(F.sum(F.col("n") + _LINE) / block).alias("blocks"))
     dealt = crowd.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("key", "id", "block", other).join(texts.select("id", "line"), "id")
+    cells = dealt.select("key", "id", "kind", "block", other).join(texts.select("id", "kind", "line"), ["id", "kind"])
     return cells.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(compare, "a long, b long")
 
 
-def links(lines: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def _sizes(lines: list[str], n: int, each: int = 1) -> np.ndarray:
+    """How many different shingles each line has, or every ``each`` lines have together."""
+    out, at, end = [np.empty(0, np.int64)], 0, 0
+    while at < len(lines):
+        end, chars = at, 0
+        while end < len(lines) and (end == at or end < at + each * _LINES and chars < _CHARS):
+            chars += sum(map(len, lines[end : end + each]))
+            end += each
+        h, line = _hashed(lines[at:end], n)
+        own = np.sort((line // each).astype(np.uint64) << np.uint64(57) | h >> np.uint64(7))
+        out.append(np.bincount((own[np.append(True, own[1:] != own[:-1])] >> np.uint64(57)).astype(np.int64), minlength=(end - at) // each))
+        at = end
+    return np.concatenate(out)
+
+
+def _bits(wanted: DataFrame, n: int) -> np.ndarray:
+    """The bit map of ``n`` numbers ``wanted(id)``, by their upper bits: ``BITS_EACH`` bits each, ``MAX_BITS`` at most."""
+    log = min(max(12, (BITS_EACH * n).bit_length()), MAX_BITS.bit_length() - 1)
+    place = F.shiftrightunsigned("id", 64 - log)
+    slot = wanted.select(F.shiftright(place, 6).cast("int").alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - log}) & 63 AS int))").alias("bits"))
+    t = slot.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2 ** log / 64 rows at most
+    out = np.zeros(1 << log - 6, np.uint64)
+    out[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def links(lines: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, block: int = BLOCK, short: int | None = None) -> DataFrame:
     """Pairs of ``lines(id, text)`` whose shingle sets have a Jaccard similarity of ``threshold`` or more.
 
     They connect all lines of a band value that such pairs connect; of lines so connected not each pair is named.
+    With ``short`` lines are compared as :func:`kinds_of` says.
     """
+    return _links(candidates(lines, n, short), lambda bits: lines.select("id", F.col("text").alias("line")), kinds_of(n, short), threshold, block)
+
+
+def _links(found: DataFrame, read: Callable[[np.ndarray], DataFrame], kinds: tuple[Kind, ...], threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links among the candidates ``found``. ``read`` gives (id, line) of the lines of a bit map of content numbers at least, repeats allowed."""
 
     def sized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(shingles(x, n)) for x in b.column(1).to_pylist()], pa.int32())], ["id", "line", "n"])
+            ids, own = b.column(0), b.column(1).to_pylist()
+            for kind, (n, low, high) in enumerate(kinds):
+                on = [i for i, x in enumerate(own) if low <= len(x) <= high]
+                at = pa.array(on, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.full(len(on), kind, np.int32)), b.column(1).take(at), pa.array(_sizes([own[i] for i in on], n).astype(np.int32))], ["id", "kind", "line", "n"])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, set()
         for b in it:
-            good = []
-            for x, y, m, k in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                if y != held:  # pairs come in the order of one side
-                    held, own = y, shingles(y, n)
-                common = len(own.intersection([x[i : i + n] for i in range(max(1, len(x) - n + 1))]))
-                good.append(common >= threshold * (m + k - common))
-            on = pa.array(good, pa.bool_())
+            x, y, kind = (b.column(i).to_pylist() for i in (2, 3, 6))
+            both, kind = [t for pair in zip(x, y, strict=True) for t in pair], np.array(kind, np.int64)
+            union = np.empty(len(x), np.int64)
+            for k, (n, _, _) in enumerate(kinds):
+                on = np.flatnonzero(kind == k)
+                union[on] = _sizes([t for i in on.tolist() for t in both[2 * i : 2 * i + 2]], n, 2)
+            common = b.column(4).to_numpy().astype(np.int64) + b.column(5).to_numpy() - union
+            on = pa.array(common >= threshold * union)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], ["a", "b"])
 
-    met = pin(candidates(lines, n), "line-pairs")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("id")).filter("id IS NOT NULL").distinct()
-    pairs = met.filter("key IS NULL").select("a", "b")
-    crowd = met.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
-    texts = lines.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("line"))
-    batches(lines.sparkSession, _BATCH)
-    texts = pin(texts.mapInArrow(sized, "id long, line string, n int"), "line-texts")
-    left, right = (texts.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(k)) for i, t, k in (("a", "x", "m"), ("b", "y", "k")))
+    found = pin(found, "line-pairs")
+    wanted = pin(found.select(F.explode(F.array("a", "b")).alias("id")).filter("id IS NOT NULL").distinct(), "line-wanted")
+    pairs = found.filter("key IS NULL").select("a", "b", "kind")
+    crowd = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"), "kind")
+    lines = read(_bits(wanted, wanted.count()))
+    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    batches(found.sparkSession, _BATCH)
+    texts = pin(texts.mapInArrow(sized, "id long, kind int, line string, n int"), "line-texts")
+    left, right = (texts.select(F.col("id").alias(i), "kind", F.col("line").alias(t), F.col("n").alias(k)) for i, t, k in (("a", "x", "m"), ("b", "y", "k")))
     # the numbers of shingles alone rule most pairs out
-    likely = pairs.join(left, "a").join(right, "b").filter(F.least("m", "k") >= threshold * F.greatest("m", "k"))
-    near = likely.select("a", "b", "x", "y", "m", "k").mapInArrow(verify, "a long, b long")
-    return near.unionByName(_crowded(crowd, texts, n, threshold, block))
+    likely = pairs.join(left, ["a", "kind"]).join(right, ["b", "kind"]).filter(F.least("m", "k") >= threshold * F.greatest("m", "k"))
+    near = likely.select("a", "b", "x", "y", "m", "k", "kind").mapInArrow(verify, "a long, b long")
+    return near.unionByName(_crowded(crowd, texts, kinds, threshold, block))
 
 
-def links_by_length(lines: DataFrame, threshold: float = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """Links as of :func:`links`: by shingles of ``short`` characters between lines of up to ``SHORT_TO``, of ``SHINGLE`` between those from ``LONG_FROM`` on."""
-    low = links(lines.filter(F.length("text") <= SHORT_TO), threshold, short)
-    return low.unionByName(links(lines.filter(F.length("text") >= LONG_FROM), threshold))
+def _lines_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(id, line): the normalised lines of ``docs`` that the bit map lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            own = {content(x): x for t in b.column(0).to_pylist() if t for _, x in lines_of(t)}
+            ids = np.fromiter(own, np.int64, len(own))
+            ids = ids[probe(shared.value, ids.view(np.uint64))]
+            for at in range(0, len(ids), _BATCH):
+                some = ids[at : at + _BATCH]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([own[i] for i in some.tolist()], pa.string())], ["id", "line"])
+
+    return docs.select("text").mapInArrow(run, "id long, line string")
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, short: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, removed (line numbers from 0, in order).
 
-    With ``short`` lines are linked by :func:`links_by_length`, else all by shingles of ``SHINGLE`` characters.
+    With ``short`` lines are compared as :func:`kinds_of` says, else all by shingles of ``SHINGLE`` characters.
+    ``docs`` is read twice: the texts of the lines that are compared are not kept but taken again.
 
     Of the lines of a component the occurrence of the smallest (doc_id, line number) stays,
     nulls last. ``n_lines`` counts the lines that take part, all that are not empty; those of
@@ -322,22 +456,22 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = M
     Null and empty texts have none; repeated rows of one id and text count as one document
     and have the same result. An empty table gives no rows; other columns are ignored.
     """
-
-    seen = pin(line_table(docs), "lines")
-    long = seen.filter(F.length("text") >= min_chars)
-    near = links_by_length(long, threshold, short) if short else links(long, threshold)
+    kinds = kinds_of(short=short)
+    table = pin(line_table(docs, min_chars, kinds), "lines")
+    seen = table.filter("part IS NULL").select("doc_id", "h", "ids", "lines")
+    near = _links(met(table.filter("part IS NOT NULL"), len(kinds)), lambda bits: _lines_in(docs, bits), kinds, threshold)
     found = pin(components(near).withColumnsRenamed({"node": "id"}), "line-components")
-    seen = seen.drop("text")
-    own = seen.join(found, "id", "left").select("doc_id", "h", "line", F.coalesce("root", "id").alias("root"))
+    flat = seen.select("doc_id", "h", F.explode(F.arrays_zip("ids", "lines")).alias("r")).select("doc_id", "h", F.col("r.ids").alias("id"), F.col("r.lines").alias("line"))
+    # a line that comes once and is linked to none stays
+    often = flat.groupBy("id").agg(F.count("*").alias("n")).join(found, "id", "left").filter("n > 1 OR root IS NOT NULL").select("id", F.coalesce("root", "id").alias("root"))
+    own = pin(flat.join(often, "id").select("doc_id", "h", "line", "root"), "line-copies")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "line")
-    first = own.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = own.groupBy("root").agg(F.min(place).alias("first"))
     gone = own.join(first, "root").filter(place > F.col("first")).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    count = seen.groupBy("doc_id", "h").agg(F.count_distinct("line").alias("n_lines"))
-    per = count.join(gone.withColumnsRenamed({"doc_id": "_d", "h": "_g"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_g")), "left").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_lines", "removed")
-    none = F.array().cast("array<int>")
-    out = _keyed(docs).select("doc_id", "h").join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    removed = F.coalesce("removed", none)
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    gone = gone.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
+    out = seen.select("doc_id", "h", F.size("lines").cast("long").alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from eventloom import session
 from eventloom.llm import common, exact_dedup, fuzzy_lines, repeats, simhash, units
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -275,6 +276,46 @@ def test_forest_against_brute_force():
         assert joined(got, range(len(pool))) == joined(wanted, range(len(pool)))
 
 
+def test_blocks_by_rare_shingles_and_by_all_pairs_agree(monkeypatch):
+    r = random.Random(14)
+    lines, near = templated(15, 80)
+    pool = lines + near + [x[: r.randrange(90, len(x))] for x in lines[:30]] + ["a", "abc"]
+    for block in (np.zeros(len(pool), np.int64), np.arange(len(pool)) % 2):
+        monkeypatch.setattr(fuzzy_lines, "_DENSE", 2_000_000_000)
+        dense = list(zip(*fuzzy_lines.forest(pool, block), strict=True))
+        monkeypatch.setattr(fuzzy_lines, "_DENSE", -1)
+        rare = list(zip(*fuzzy_lines.forest(pool, block), strict=True))
+        assert len(dense) == len(rare) > 10 and joined(dense, range(len(pool))) == joined(rare, range(len(pool)))
+
+
+def test_numbers_of_shingles(monkeypatch):
+    r = random.Random(16)
+    lines = ["a", "ab", "aaaaaaaaaaaaaaaa", "x" * 3000] + ["".join(r.choice("abc é") for _ in range(r.randrange(1, 300))) for _ in range(600)]
+    for chars in (1_000_000, 500):
+        monkeypatch.setattr(fuzzy_lines, "_CHARS", chars)
+        for n in (4, 9):
+            sets = [fuzzy_lines.shingles(x, n) for x in lines]
+            assert fuzzy_lines._sizes(lines, n).tolist() == [len(x) for x in sets]
+            assert fuzzy_lines._sizes(lines, n, 2).tolist() == [len(x | y) for x, y in zip(sets[::2], sets[1::2], strict=True)]
+
+
+def test_normal_lines():
+    for x in ("", " ", "a", " A  b ", "a\tb", "a\u3000b\xa0", "a\x85", "ΟΔΟΣ", "İx", "a\u200bb", "two  spaces", "end ", "a b"):
+        assert fuzzy_lines.normal(x) == " ".join(x.lower().split())
+
+
+def test_texts_of_lines_without_neighbours_are_not_kept(spark, tmp_path, monkeypatch):
+    """The texts of all lines were written to the shared folder, and shuffled to find the few that are compared."""
+    r = random.Random(17)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(500)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 10])) for i in range(0, 1000, 10)] + [(2000, lines[3][:-1] + "é")], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(session, "shared_folder", lambda spark, name: f"{tmp_path}/{name}-{r.random()}")
+    got = {x.doc_id: x.removed for x in fuzzy_lines.line_dedup(docs, short=4).collect()}
+    assert got.pop(2000) == [0] and not any(got.values())
+    kept = [f for f in tmp_path.rglob("*.parquet")]
+    assert kept and sum(f.stat().st_size for f in kept) < 0.7 * sum(map(len, lines))
+
+
 # --- suffix arrays -------------------------------------------------------------------------
 
 
